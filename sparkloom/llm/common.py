@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on; longer single texts are taken whole.
@@ -41,7 +42,7 @@ def settle(df: DataFrame) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `step` bytes in a string column, one row at least."""
     at = batch.schema.get_field_index(column)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
     i = 0
     while i < len(sizes):

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +112,7 @@ def add_fingerprints(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 data, starts = bytes_of(part.column("text"))
                 prints = [fingerprint(data[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
-                chars = pa.compute.utf8_length(part.column("text").fill_null("")).cast(pa.int64())
+                chars = pc.utf8_length(part.column("text").fill_null("")).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), chars, pa.array(prints, pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
     return _two(docs).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
