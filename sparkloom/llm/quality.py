@@ -136,10 +136,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fac
     return FactorisationMachine().fit([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32)) for i, x in zip(rows["ids"], rows["x"], strict=True)], rows["mark"].to_numpy(np.float32))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, keep: list[str] | None = None) -> DataFrame:
-    """docs with text -> the columns named by `keep` (doc_id) and score; one pass without shuffle."""
+def score_quality(docs: DataFrame, model: FactorisationMachine, keep: list[str] | None = None, text: bool = False) -> DataFrame:
+    """docs with text -> the columns named by `keep` (doc_id; text only if `text` says so) and score; one pass without shuffle."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    assert text or "text" not in keep
     picked = docs.select(*keep, F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

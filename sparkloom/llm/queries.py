@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontamination, fingerprints, mixing, quality, substrings, tokens, urls, warc
+from sparkloom.llm import chat, decontamination, fingerprints, mixing, neardup, quality, substrings, tokens, urls, warc
 from sparkloom.session import table
 
 
@@ -22,13 +22,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), length=200).drop("kept")
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), length=200).drop("text", "kept_text", "spans")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer(), limit=4096)
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_substrings": op2_substrings,
     "op3_token_counts": op3_token_counts,
+    "op4_neardup": op4_neardup,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from sparkloom.llm.common import _BYTE, bytes_of, mix, powers, prefix_sums, settle, slices, span_hash
 
@@ -235,25 +236,33 @@ def _merge(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def dedup_substrings(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans."""
+def dedup_substrings(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document: doc_id, text, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the remaining bytes
+    without those that are no whole character), spans (byte offsets), and the columns named by `keep`."""
     found = repeats(docs, length, k, hot).alias("r")
-    joined = _rows(docs).alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.th") == F.col("r.th")), "left").select("d.doc_id", "d.text", "r.runs")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), *keep)
+    #: columns by other names than the operator's own
+    extra = {f"__{i}": c for i, c in enumerate(keep)}
+    rows = rows.select("doc_id", "text", "th", *(F.col(c).alias(n) for n, c in extra.items()))
+    joined = rows.alias("d").join(found, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.th") == F.col("r.th")), "left").select("d.doc_id", "d.text", *extra, "r.runs")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 out = []
-                for doc, text, runs in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
-                    data = text.encode()
+                for text, runs in zip(*(part.column(c).to_pylist() for c in ("text", "runs")), strict=True):
+                    data = (text or "").encode()
                     spans = _merge(runs, length)
                     pieces, at = [], 0
                     for a, b in spans:
                         pieces.append(data[at:a])
                         at = b
                     rest = b"".join([*pieces, data[at:]])
-                    out.append((doc, len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                    out.append((len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), b"".join(x.decode(errors="ignore").encode() for x in [*pieces, data[at:]]).decode(), [{"first": a, "last": b} for a, b in spans]))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
+                own = ["doc_id", "text", *extra]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=[*own, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans"])
+
+    kinds = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, spans array<struct<first: long, last: long>>"
+    made = joined.mapInArrow(remove, StructType([*joined.drop("runs").schema.fields, *_parse_datatype_string(kinds).fields]))
+    return made.select("doc_id", "text", *(F.col(n).alias(c) for n, c in extra.items()), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans")
