@@ -6,8 +6,9 @@ to the power THREEFOLD. Representatives are posted under each coordinate and val
 in the join. In a list, agreements of all single hashes are counted and pairs below MATCHES are skipped.
 
 No list emits all its pairs. First a list gives a maximum spanning forest of its pairs, at most one pair a document; they
-are confirmed on full sets and joined to components. Then lists that still hold several components give the pairs
-between components, each from the first list that both share, and these are confirmed too. Long lists are dealt in blocks.
+are confirmed on full sets and joined to components. Then in lists that still hold several components, pairs between
+components are looked at, each in the first list that both share; the documents concerned (not the pairs) are sent to one
+place with their texts, and only links that join components come out. Long lists are dealt in blocks.
 
 A link at similarity 0.75 is missed with a probability below 1e-6: that no coordinate agrees, or fewer than MATCHES of
 the 144 hashes (108 expected, deviation 5.2) do.
@@ -31,7 +32,7 @@ from sparkloom.llm.components import connected_components
 
 SHINGLE, COORDINATES, THREEFOLD, MATCHES = 5, 48, 3, 80
 #: Documents of a list that meet in one task.
-BLOCK = 1024
+BLOCK = 2048
 _A, _B = np.random.default_rng(7).integers(0, 1 << 64, (2, COORDINATES * THREEFOLD), dtype=np.uint64)
 _A |= np.uint64(1)
 
@@ -193,10 +194,12 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
     open_lists = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for held in _by_list(batches, ["key", "cell", "rep", "sig", "component", "at", "own"]):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        out: list[tuple] = []
+        for held in _by_list(batches, ["key", "cell", "rep", "sig", "component", "at", "own", "spot"]):
             sigs = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
-            part, own, at, cell = np.array([r[4] for r in held]), np.array([r[6] for r in held]), held[0][5], held[0][1]
+            part, own, at, cell, spot = np.array([r[4] for r in held]), np.array([r[6] for r in held]), held[0][5], held[0][1], held[0][7]
+            partners: dict[int, list[int]] = {}
             for i in range(len(held) - 1):
                 far = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
                 if cell["i"] != cell["j"]:  # pairs inside a block are those of its own cell
@@ -207,18 +210,60 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
                 few = same.sum(axis=1) >= matches
                 far, same = far[few], same[few]
                 if at and len(far):  # a pair comes from the first list that both share
-                    earlier = same[:, : at * THREEFOLD].reshape(len(far), at, THREEFOLD).all(axis=2).any(axis=1)
-                    far = far[~earlier]
-                out += [(held[i][2], held[j][2]) for j in far]
-                if len(out) >= 5000:
-                    yield _pairs(out)
-                    out = []
+                    far = far[~same[:, : at * THREEFOLD].reshape(len(far), at, THREEFOLD).all(axis=2).any(axis=1)]
+                if len(far):
+                    partners.setdefault(i, []).extend(held[j][2] for j in far)
+                    for j in far:
+                        partners.setdefault(int(j), [])
+            out += [(spot, held[i][2], held[i][4], them) for i, them in partners.items()]
+            if len(out) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["spot", "rep", "component", "partners"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["spot", "rep", "component", "partners"])
+
+    def confirm_spot(held: list[tuple]) -> Iterator[tuple[int, int]]:
+        """Links between components among the documents of a spot; what a link has joined isn't compared again."""
+        sets_ = shingle_sets(pa.array([r[3] for r in held], pa.large_string()), size)
+        sizes = np.array(list(map(len, sets_)))
+        where, group = {r[0]: i for i, r in enumerate(held)}, np.unique([r[1] for r in held], return_inverse=True)[1]
+        ids = np.unique(np.concatenate(sets_), return_inverse=True)[1]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        mark = np.zeros(len(ids) + 1, np.int64)
+        for i, r in enumerate(held):
+            far = np.array([where[b] for b in r[2]], np.int64)
+            far = far[group[far] != group[i]]
+            if not len(far):
+                continue
+            mine = ids[starts[i] : starts[i + 1]]
+            mark[mine] = 1
+            if len(far) * 4 > len(held):
+                both = np.add.reduceat(mark[ids], starts[:-1])[far]
+            else:
+                both = np.array([mark[ids[starts[j] : starts[j + 1]]].sum() for j in far])
+            mark[mine] = 0
+            for j in far[100 * both >= similarity * (sizes[far] + sizes[i] - both)]:
+                if group[j] != group[i]:
+                    yield r[0], held[j][0]
+                    group[group == group[j]] = group[i]
+
+    def confirm_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, out = [], None, []
+        for batch in batches:
+            for spot, *row in zip(*(batch.column(c).to_pylist() for c in ("spot", "rep", "component", "partners", "text")), strict=True):
+                if spot != now:
+                    out += confirm_spot(held) if held else ()
+                    held, now = [], spot
+                held.append(row)
+        out += confirm_spot(held) if held else ()
         if out:
             yield _pairs(out)
 
-    again = _lists(labelled.join(open_lists, "key").join(ids, "rep"), block)
-    second = again.select("key", "cell", "rep", "sig", "component", "at", "own").mapInArrow(between, "a long, b long").where("a < b").distinct().join(first, ["a", "b"], "left_anti")
-    more = settle(confirm(second, texts, similarity, size))
+    spot = F.xxhash64("key", "cell.i", "cell.j")
+    again = _lists(labelled.join(open_lists, "key").join(ids, "rep"), block).withColumn("spot", spot)
+    second = again.select("key", "cell", "rep", "sig", "component", "at", "own", "spot").mapInArrow(between, "spot long, rep long, component long, partners array<long>")
+    met = second.join(texts.select("rep", "text"), "rep").select("spot", "rep", "component", "partners", "text")
+    more = settle(met.repartition("spot").sortWithinPartitions("spot", "rep").mapInArrow(confirm_all, "a long, b long"))
     name = lambda c, as_: parts.select(F.col("node").alias(c), F.col("component").alias(as_))
     merged = more.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     tops = connected_components(merged)
