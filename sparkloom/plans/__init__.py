@@ -1 +1,3 @@
-"""plans"""
+"""Registered queries; importing the package registers all of them."""
+
+from sparkloom.plans import relational, retrieval  # noqa: F401
