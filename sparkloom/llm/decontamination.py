@@ -55,6 +55,11 @@ def _runs(df: DataFrame, name: str, seed: int) -> DataFrame:
     return df.select(*keep, name)
 
 
+def _joined_runs(n: int) -> Column:
+    """The strings of every run of n words."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i: F.array_join(F.slice("words", i + 1, n), " "))
+
+
 def fingerprints(df: DataFrame) -> DataFrame:
     """words -> also kept: the least gram hash of every window, each once."""
     keep = df.columns
@@ -90,7 +95,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         runs = runs.select(*key, F.arrays_zip("a", "b").alias("ab")).select(*key, F.posexplode_outer("ab").alias("at", "ab")).select(*key, "at", F.lit(LENGTH).alias("n"), "ab.a", "ab.b")
         hits = runs.join(_small(windows.where(F.col("n") == LENGTH).select("a", "b", "item_id"), lengths[LENGTH]), ["a", "b"])
     for n in sorted(k for k in lengths if k < LENGTH):
-        run = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i, n=n: F.array_join(F.slice("words", i + 1, n), " "))
+        run = _joined_runs(n)
         runs = docs.select(*key, words_of(F.col("text")).alias("words")).where(F.size("words") >= n).select(*key, F.posexplode_outer(run).alias("at", "s"))
         runs = runs.select(*key, "at", F.lit(n).alias("n"), F.xxhash64(F.lit(2), "s").alias("a"), F.xxhash64(F.lit(3), "s").alias("b"))
         found = runs.join(_small(windows.where(F.col("n") == n).select("a", "b", "item_id"), lengths[n]), ["a", "b"])
