@@ -50,7 +50,7 @@ def nearest_of_each(docs: DataFrame, chunks: DataFrame, k: int, blocks: int = 8)
     with the number of chunks.
     """
     cut = chunks.select("chunk", doubles("vector").alias("w"), F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("block"))
-    each = docs.select("doc", doubles("vector").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    each = docs.select("doc", doubles("vector").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     scored = each.join(cut, "block").select("doc", "block", "chunk", cosine(F.col("v"), F.col("w")).alias("score"))
     order = [F.desc("score"), "chunk"]
     for by in (["doc", "block"], ["doc"]):

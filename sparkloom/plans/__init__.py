@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from sparkloom.plans import relational, retrieval  # noqa: F401
+from sparkloom.plans import relational, retrieval, texts  # noqa: F401

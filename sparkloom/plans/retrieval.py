@@ -299,7 +299,7 @@ def claim_fusion(spark, sf_dir):
 shared("G18_enforcement_rerank", "SELECT doc_id, round((CASE WHEN source IN ('src1', 'src2') THEN 0.5 WHEN source IN ('src3', 'src4') THEN 0.7 WHEN source = 'src5' THEN 1.1 ELSE 1.0 END) * (1 + 0.15 * ((CASE WHEN RX(text, '(?i)must|shall|raise') THEN 1 ELSE 0 END) + (CASE WHEN RX(text, '[0-9]+') THEN 1 ELSE 0 END))) + 0.02 * ((CASE WHEN lower(text) LIKE '%tion%' THEN 1 ELSE 0 END) + (CASE WHEN lower(text) LIKE '%heit%' THEN 1 ELSE 0 END)), 6) AS score FROM {documents}")
 shared("G19_key_files", "SELECT source, sum(score) AS score FROM (SELECT source, (n_chars % 10) * (20 - r) * w AS score FROM (SELECT source, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r, 3.0 AS w FROM {documents} ORDER BY n_chars DESC, doc_id LIMIT 20) a UNION ALL SELECT source, (n_chars % 10) * (20 - r) * w AS score FROM (SELECT source, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS r, 1.5 AS w FROM {documents} ORDER BY n_chars, doc_id LIMIT 20) b) u GROUP BY source")
 shared("G20_citation", "SELECT doc_id, source || ', Page ' || CAST(doc_id % 30 + 1 AS VARCHAR(9)) || ' (' || lang || ')' AS citation FROM {documents}")
-shared("G21_symbol_search", "SELECT p_partkey, p_name FROM {part} WHERE lower(p_name || ' ' || p_type) LIKE '%1%' ORDER BY p_partkey LIMIT 25")
+shared("G21_symbol_search", "SELECT p_partkey, p_name FROM {part} WHERE lower(p_name || ' ' || p_type) LIKE '%e%' ORDER BY p_partkey LIMIT 25")
 
 # -- graphs and packing ------------------------------------------------------------------------------------------------
 _E = "SELECT DISTINCT l_suppkey AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45"
