@@ -163,13 +163,16 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
     sketches = settle(sketch(docs, size))
     sets = ["s1", "s2", "n"]
     classes = settle(sketches.where("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep")))
-    #: rows of the representatives; equal rows are one
-    reps = sketches.join(classes, sets).where("doc_id = rep").select("rep", *sets, "keys", "sig")
-    posted = reps.select("rep", F.posexplode("keys").alias("at", "key"))
-    lists = posted.groupBy("key").agg(F.count("*").alias("df"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "df")
-    live = settle(posted.join(lists, "key"))
-    signed = reps.select("rep", "n", "sig").dropDuplicates(["rep"])
-    ids = settle(live.select("rep").distinct().join(signed, "rep"))
+    #: all documents are posted under their set's hash, so that no sketch moves; one shuffle by key serves count and join,
+    #: and a key has at most one row in COORDINATES
+    posted = sketches.where("n > 0").select("s1", F.posexplode("keys").alias("at", "key"))
+    posted = posted.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    lists = posted.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("key")
+    found = settle(posted.join(lists, "key").distinct())
+    live = found.join(classes.select("s1", "rep"), "s1").select("key", "at", "rep")
+    live = settle(live.join(live.groupBy("key").agg(F.count("*").alias("df")), "key"))
+    signed = sketches.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "sig")
+    ids = settle(signed.join(live.select("rep").distinct(), "rep").dropDuplicates(["rep"]))
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     texts = settle(rows.join(ids.select("rep", "n"), "rep").dropDuplicates(["rep"]))
 
