@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as t
+from sparkloom.operators.fulltext import lexemes
 from sparkloom.registry import query, shared
 from sparkloom.session import table
 
@@ -146,14 +147,19 @@ def sql_dialect(spark, sf_dir):
     return _values(spark, rows, "id int, body string").select("id", t.sql_dialect(F.col("body")).alias("dialect"))
 
 
-_CALLS = (("select", r"(?i)\bthe\b"), ("insert", r"(?i)\bwith\b"), ("connect", r"(?i)\bder\b"))
+_CALLS = (("select", "the"), ("insert", "with"), ("connect", "der"))
 
 
-@query("I30_db_calls", " UNION ALL ".join(f"SELECT doc_id AS id, '{k}' AS kind, len(regexp_extract_all(text, '{p}')) AS n FROM documents WHERE regexp_matches(text, '{p}')" for k, p in _CALLS))
+@query("I30_db_calls", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id AS id, '{k}' AS kind, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: x = '{w}')) AS n FROM documents" for k, w in _CALLS) + ") u WHERE n > 0")
 def db_calls(spark, sf_dir):
-    #: one pass over the texts, a column for each pattern
-    docs = _docs(spark, sf_dir).select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_count("content", F.lit(p)).alias("n")) for k, p in _CALLS))).alias("c"))
-    return docs.select("id", "c.kind", "c.n").where("n > 0")
+    #: one pass over the texts, a count for each pattern
+    tokens = _docs(spark, sf_dir).select("id", lexemes(F.col("content")).alias("w"))
+    each = tokens.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.size(F.filter("w", _is(w))).alias("n")) for k, w in _CALLS))).alias("c"))
+    return each.select("id", "c.kind", "c.n").where("n > 0")
+
+
+def _is(word: str):
+    return lambda x: x == word
 
 
 @query("I5_sql_stats", "SELECT kind, count(*) AS n FROM (VALUES ('schema'), ('schema'), ('data'), ('data'), ('data'), ('other')) v(kind) GROUP BY kind")
