@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from sparkloom.plans import pipelines, relational, retrieval, texts  # noqa: F401
+from sparkloom.plans import pipelines, relational, retrieval, sources, texts  # noqa: F401
