@@ -111,34 +111,41 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.hash("text"))
 
 
 def repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> DataFrame:
     """doc_id, text -> doc_id, th (a hash of the text), runs (array of first and last start of repeated strings)."""
     rows = _rows(docs)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                data, starts = bytes_of(part.column("text"))
-                row, anchor, first, last = anchors(data, starts, length, k)
-                if not len(row):
-                    continue
-                sums, others = prefix_sums(data), other_sums(data)
-                gram = span_hash(sums, anchor, anchor + k)
-                #: the context's bytes, and where the anchor stands in it
-                context = mix(span_hash(others, first, last + length) ^ mix((anchor - first).astype(np.uint64)))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("th").take(take), pa.array((anchor - starts[row]).astype(np.int32)), pa.array((anchor - first).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names=["doc_id", "th", "anchor", "back", "more", "gram", "context"])
-
-    found = settle(rows.mapInArrow(find, "doc_id long, th long, anchor int, back int, more int, gram long, context long"))
+    def find(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    data, starts = bytes_of(part.column("text"))
+                    row, anchor, first, last = anchors(data, starts, length, k)
+                    if not len(row):
+                        continue
+                    gram = pa.array(span_hash(prefix_sums(data), anchor, anchor + k).view(np.int64))
+                    if not whole:
+                        yield pa.RecordBatch.from_arrays([gram], names=["gram"])
+                        continue
+                    #: the context's bytes, and where the anchor stands in it
+                    context = mix(span_hash(other_sums(data), first, last + length) ^ mix((anchor - first).astype(np.uint64)))
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([gram, pa.array(context.view(np.int64)), part.column("doc_id").take(take), part.column("th").take(take), pa.array((anchor - starts[row]).astype(np.int32)), pa.array((anchor - first).astype(np.int16)), pa.array((last - first).astype(np.int16))], names=["gram", "context", "doc_id", "th", "anchor", "back", "more"])
+
+        return run
+
+    #: most K-grams are the only ones of their kind; of them, eight bytes are shuffled, and the rest goes no further
+    counted = rows.select("text").mapInArrow(find(False), "gram long").groupBy("gram").agg(F.count("*").alias("n"))
+    repeated = settle(counted.where("n > 1").select("gram"))
+    found = settle(rows.mapInArrow(find(True), "gram long, context long, doc_id long, th int, anchor int, back short, more short").join(repeated, "gram", "left_semi"))
     one = F.struct("doc_id", "th", "anchor", "back", "more")
-    contexts = found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(one).alias("one"))
-    contexts = settle(contexts)
-    grams = contexts.groupBy("gram").agg(F.count("*").alias("different"), F.sum("n").alias("n_all")).where("n_all > 1").drop("n_all")
+    contexts = settle(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(one).alias("one")))
+    grams = contexts.groupBy("gram").agg(F.count("*").alias("different"))
     known = settle(contexts.join(grams, "gram"))
-    full = known.where("n > 1").select("gram", "context", F.array(F.struct(F.lit(0).alias("first"), F.col("one.more").alias("last"))).alias("runs"))
+    full = known.where("n > 1").select("gram", "context", F.array(F.struct(F.lit(0).alias("first"), F.col("one.more").cast("int").alias("last"))).alias("runs"))
     several = known.where("different > 1").select("gram", "context", "different", "n", "one.*")
 
     #: the text around one copy of each context; a context occurring n > 1 times is in `full` already, but others may equal parts of it
@@ -240,7 +247,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, k: int = K, hot: int =
     """A row for each document: doc_id, text, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the remaining bytes
     without those that are no whole character), spans (byte offsets), and the columns named by `keep`."""
     found = repeats(docs, length, k, hot).alias("r")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), *keep)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), *keep)
     #: columns by other names than the operator's own
     extra = {f"__{i}": c for i, c in enumerate(keep)}
     rows = rows.select("doc_id", "text", "th", *(F.col(c).alias(n) for n, c in extra.items()))
