@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,9 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: rows go to a Parquet table in the shared folder, so that later reads survive a lost executor."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    #: what the write shuffled is read no more; Spark's cleaner drops those files when the driver collects its garbage
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
