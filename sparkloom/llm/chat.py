@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of common chat templates, without their first character; fixed values.
-_REST = r"\|[A-Za-z_]{1,40}(?::[0-9]{1,9})?\|>|/?s>|/?INST\]|</?SYS>>|/?SYS>>|start_of_turn>|end_of_turn>|pad>|unk>|bos>|eos>"
+_REST = r"\|[A-Za-z_]{1,40}(?::[0-9]{1,9})?\|>|/?s>|/?INST\]|/?SYS>>|start_of_turn>|end_of_turn>|pad>|unk>|bos>|eos>"
 _ESCAPE = re.compile(rf"([<\[])(\\*)(?={_REST})")
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)(?={_REST})")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
