@@ -242,3 +242,16 @@ def change_set(spark, sf_dir):
 
 
 shared("K14_heartbeat", "SELECT user_id, max(ts) < TIMESTAMP '2024-01-15 00:00:00' AS dead FROM {events} GROUP BY user_id")
+
+
+@query("C10_rules_by_chunks", f"SELECT id, rule FROM ({_RULE_UNION}) u")
+def rules_by_chunks(spark, sf_dir):
+    """Every rule against every chunk in one pass: rules are literals, so each pattern is compiled once."""
+    hit = F.array_compact(F.array(*(F.when(F.col("text").rlike("(?i)" + r.pattern), F.lit(r.id)) for r in rules.MIGRATION_RULES)))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(hit).alias("rule"))
+
+
+@query("J11_ruleset", "SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.category}', '{r.severity}', {rules.SEVERITY[r.severity]} * {rules.CATEGORY[r.category]})" for r in rules.MIGRATION_RULES) + ") v(id, category, severity, weight)")
+def ruleset(spark, sf_dir):
+    df = spark.createDataFrame([tuple(r) for r in rules.MIGRATION_RULES], "id string, category string, severity string, pattern string").drop("pattern")
+    return df.withColumn("weight", rules.weight_of(rules.SEVERITY, F.col("severity"), 0.0) * rules.weight_of(rules.CATEGORY, F.col("category"), 1.0))

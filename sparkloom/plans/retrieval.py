@@ -371,3 +371,9 @@ def numbered_context(spark, sf_dir):
 
 
 shared("H10_entrypoints", "SELECT page_id, url FROM {pages} WHERE url LIKE '%main%' OR url LIKE '%index%' OR url LIKE '%app%' OR url LIKE '%server%' OR url LIKE '%//www.%'")
+
+
+@query("B9_similarity_threshold", f"SELECT id FROM ({_VEC}) s WHERE score > 0.1")
+def similarity_threshold(spark, sf_dir):
+    score = vec.cosine(vec.doubles(F.col("vector")), vec.literal(_query_vector(spark, sf_dir)))
+    return _vectors(spark, sf_dir).where(score > 0.1).select("id")
