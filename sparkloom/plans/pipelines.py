@@ -172,7 +172,7 @@ def suggest_tool(spark, sf_dir):
 
 
 # -- incremental -------------------------------------------------------------------------------------------------------
-_JOBS = "SELECT o_orderkey AS id, o_custkey AS repo, CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'CLAIMED' ELSE 'DONE' END AS status, CAST(10 - CAST(substring(o_orderpriority, 1, 1) AS INT) AS INT) AS priority, o_orderdate AS created_at, o_orderdate AS run_after, o_orderdate AS claimed_at, o_orderdate AS completed_at, CAST(o_custkey % 5000 AS VARCHAR(9)) AS dedup_key FROM {orders}"
+_JOBS = "SELECT o_orderkey AS id, o_custkey AS repo, CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'CLAIMED' ELSE 'DONE' END AS status, CAST(10 - CAST(substring(o_orderpriority, 1, 1) AS INT) AS INT) AS priority, o_orderdate AS created_at, o_orderdate AS run_after, o_orderdate AS claimed_at, o_orderdate AS completed_at, CAST(o_custkey AS VARCHAR(9)) || '/' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'click' ELSE 'purchase' END AS dedup_key FROM {orders}"
 _JOBS_DUCK = _JOBS.replace("{", "").replace("}", "")
 
 
@@ -195,10 +195,10 @@ def debounce(spark, sf_dir):
     return incremental.debounce(e, "600 seconds", ["user_id"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("K4_enqueue", f"WITH q AS ({_JOBS_DUCK}) SELECT DISTINCT k AS dedup_key FROM (SELECT CAST(user_id % 7000 AS VARCHAR) AS k FROM events) e WHERE k NOT IN (SELECT dedup_key FROM q WHERE status IN ('PENDING', 'CLAIMED') AND created_at > TIMESTAMP '1998-05-01' AND id % 3 = 0)")
+@query("K4_enqueue", f"WITH q AS ({_JOBS_DUCK}) SELECT DISTINCT k AS dedup_key FROM (SELECT CAST(user_id AS VARCHAR) || '/' || event_type AS k FROM events) e WHERE k NOT IN (SELECT dedup_key FROM q WHERE status IN ('PENDING', 'CLAIMED'))")
 def enqueue(spark, sf_dir):
-    queue = _jobs(spark, sf_dir).where("created_at > TIMESTAMP_NTZ '1998-05-01 00:00:00' AND id % 3 = 0")
-    jobs = table(spark, sf_dir, "events").select((F.col("user_id") % 7000).cast("string").alias("dedup_key"))
+    queue = _jobs(spark, sf_dir)
+    jobs = table(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("dedup_key"))
     return incremental.enqueue(queue, jobs)
 
 
@@ -235,10 +235,13 @@ def retention(spark, sf_dir):
     return incremental.retain(_jobs(spark, sf_dir), F.expr(_AT.replace("TIMESTAMP", "TIMESTAMP_NTZ")), 30).select("id", "status")
 
 
-@query("K11_change_set", "SELECT n.doc_id AS id, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN o.h <> n.h THEN 'update' END AS op FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE 'y' END AS h FROM documents WHERE doc_id % 11 <> 0) n LEFT JOIN (SELECT doc_id, 'y' AS h FROM documents WHERE doc_id % 5 <> 0) o ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR o.h <> n.h UNION ALL SELECT doc_id AS id, 'delete' AS op FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 11 = 0")
+_OLD = "SELECT doc_id AS id, min(CAST(quality AS VARCHAR(9))) AS h FROM {labels} GROUP BY doc_id"
+_NEW = "SELECT doc_id AS id, CASE WHEN lang = 'en' THEN '1' ELSE '0' END AS h FROM {documents} WHERE source <> 'src3'"
+
+
+@query("K11_change_set", f"SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' ELSE 'update' END AS op FROM ({_NEW}) n FULL OUTER JOIN ({_OLD}) o ON o.id = n.id WHERE o.id IS NULL OR n.id IS NULL OR o.h <> n.h".replace("{", "").replace("}", ""))
 def change_set(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return incremental.changes(d.where("id % 5 <> 0").withColumn("h", F.lit("y")), d.where("id % 11 <> 0").withColumn("h", F.when(F.col("id") % 7 == 0, "x").otherwise("y")))
+    return incremental.changes(sql(spark, sf_dir, _OLD), sql(spark, sf_dir, _NEW))
 
 
 shared("K14_heartbeat", "SELECT user_id, max(ts) < TIMESTAMP '2024-01-15 00:00:00' AS dead FROM {events} GROUP BY user_id")

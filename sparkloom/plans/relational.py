@@ -54,7 +54,7 @@ shared(
     "C6_interval_overlap",
     "SELECT a.conv_id, a.turn AS a_turn, b.turn AS b_turn FROM (SELECT conv_id, turn, turn AS s, turn + 1 AS e FROM {conversations}) a JOIN (SELECT conv_id, turn, turn AS s, turn + 2 AS e FROM {conversations} WHERE role = 'assistant') b ON a.conv_id = b.conv_id AND a.s <= b.e AND a.e >= b.s",
 )
-_EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM {lineitem} WHERE l_linenumber = 1"
+_EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM {lineitem}"
 shared("C7_either_endpoint", f"SELECT src, dst FROM ({_EDGES}) e WHERE src = 7 UNION SELECT src, dst FROM ({_EDGES}) f WHERE dst = 7")
 shared(
     "C9_prefix_join",

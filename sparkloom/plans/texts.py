@@ -177,15 +177,16 @@ def plain_headings(spark, sf_dir):
     return rows.select("line", t.line_kind(F.col("s"), F.col("next")).alias("kind"))
 
 
-_FIRST = "SELECT doc_id AS id, substring(sha256(text), 1, 16) AS h FROM documents WHERE doc_id % 3 <> 0"
-_NOW = "SELECT doc_id AS id, substring(sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END), 1, 16) AS h FROM documents"
+_FIRST = "SELECT doc_id AS id, substring(sha256(text), 1, 16) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
+_NOW = "SELECT doc_id AS id, substring(sha256(CASE WHEN lang = 'de' THEN text || '!' ELSE text END), 1, 16) AS h FROM documents"
 
 
 @query("A5_ingest_changes", f"SELECT n.id, CASE WHEN f.id IS NULL THEN 'insert' ELSE 'update' END AS op FROM ({_NOW}) n LEFT JOIN ({_FIRST}) f ON f.id = n.id WHERE f.id IS NULL OR f.h <> n.h")
 def ingest_changes(spark, sf_dir):
     from sparkloom.operators.incremental import changes
 
-    docs = _docs(spark, sf_dir)
-    old = docs.where("id % 3 <> 0").select("id", t.content_hash(F.col("content")).alias("h"))
-    new = docs.select("id", t.content_hash(F.when(F.col("id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).alias("h"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("content"))
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    old = docs.join(known, "id", "left_semi").select("id", t.content_hash(F.col("content")).alias("h"))
+    new = docs.select("id", t.content_hash(F.when(F.col("lang") == "de", F.concat("content", F.lit("!"))).otherwise(F.col("content"))).alias("h"))
     return changes(old, new).where("op <> 'delete'")
