@@ -9,7 +9,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -49,16 +49,18 @@ def n_matches(tokens: Column, words: Sequence[str], prefix: bool = True) -> Colu
 
 
 def search_any(docs: DataFrame, query: str, k: int, key: str = "id", text: str = "content", prefix: bool = True) -> DataFrame:
-    """Best k by number of matching positions; where nothing matches at all, rows that hold the query as a substring."""
+    """Best k by number of matching positions; where nothing matches at all, rows that hold the query as a substring.
+
+    One pass: both kinds of rows are ranked, matches first, and of the k that stay, substrings go if there is a match.
+    """
     words = terms(query)
-    fallback = docs.where(F.col(text).ilike(f"%{query}%")).select(key, F.lit(0.1).alias("score")).orderBy(key).limit(k)
-    if not words:
-        return fallback
-    found = docs.select(key, (n_matches(lexemes(F.col(text)), words, prefix) * 0.1).alias("score")).where("score > 0")
-    best = found.orderBy(F.desc("score"), key).limit(k)
-    #: one plan: the fallback's rows pass only if the best are none (a single row says so)
-    none = best.agg(F.count("*").alias("n")).where("n = 0")
-    return best.unionByName(fallback.join(F.broadcast(none), F.lit(True)).select(key, "score"))
+    n = n_matches(lexemes(F.col(text)), words, prefix) if words else F.lit(0)
+    #: lexemes are searched once, below the filter
+    ranked = docs.select(key, n.alias("n"), F.col(text).ilike(f"%{query}%").alias("held")).where("n > 0 OR held")
+    ranked = ranked.select(key, F.when(F.col("n") > 0, 1).otherwise(2).alias("stage"), F.when(F.col("n") > 0, F.col("n") * 0.1).otherwise(0.1).alias("score"))
+    best = ranked.orderBy("stage", F.desc("score"), key).limit(k)
+    first = F.min("stage").over(Window.partitionBy())
+    return best.withColumn("first", first).where("stage = first").select(key, "score")
 
 
 def search_all(docs: DataFrame, query: str, k: int, key: str = "id", text: str = "content", skip: int = 0) -> DataFrame:
