@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
     signed = sketches.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "sig")
     ids = settle(signed.join(live.select("rep").distinct(), "rep").dropDuplicates(["rep"]))
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts = settle(rows.join(ids.select("rep", "n"), "rep").dropDuplicates(["rep"]))
+    #: texts move once; always by a shuffle, as the number of ids has no bound, so that small and large inputs take one plan
+    texts = settle(rows.hint("merge").join(ids.select("rep", "n"), "rep").dropDuplicates(["rep"]))
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
