@@ -7,7 +7,7 @@ in the join. In a list, agreements of all single hashes are counted and pairs be
 
 No list emits all its pairs. First a list gives a maximum spanning forest of its pairs, at most one pair a document; they
 are confirmed on full sets and joined to components. Then in lists that still hold several components, pairs between
-components are looked at, each in the first list that both share; the documents concerned (not the pairs) are sent to one
+components are looked at, each in the first list that both share (by the full keys); the documents concerned (not the pairs) are sent to one
 place with their texts, and only links that join components come out. Long lists are dealt in blocks.
 
 A link at similarity 0.75 is missed with a probability below 1e-6: that no coordinate agrees, or fewer than MATCHES of
@@ -121,10 +121,17 @@ def _lists(live: DataFrame, block: int) -> DataFrame:
     return live.withColumn("own", own).withColumn("cell", F.explode(pair)).repartition("key", "cell").sortWithinPartitions("key", "cell", "rep")
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; lists of numbers as arrays."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1]) if len(column) else []
+
+
 def _by_list(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
     held, now = [], None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+        for row in zip(*(_values(batch.column(c)) for c in columns), strict=True):
             mark = (row[0], row[1]["i"], row[1]["j"])
             if mark != now:
                 if len(held) > 1:
@@ -171,7 +178,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
     found = settle(posted.join(lists, "key").distinct())
     live = found.join(classes.select("s1", "rep"), "s1").select("key", "at", "rep")
     live = settle(live.join(live.groupBy("key").agg(F.count("*").alias("df")), "key"))
-    signed = sketches.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "sig")
+    signed = sketches.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "sig", "keys")
     ids = settle(signed.join(live.select("rep").distinct(), "rep").dropDuplicates(["rep"]))
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     #: texts move once; always by a shuffle, as the number of ids has no bound, so that small and large inputs take one plan
@@ -188,7 +195,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
         if out:
             yield _pairs(out)
 
-    dealt = _lists(live.join(ids, "rep"), block)
+    dealt = _lists(live.join(ids.drop("keys"), "rep"), block)
     first = settle(dealt.select("key", "cell", "rep", "sig").mapInArrow(forests, "a long, b long").where("a < b").distinct())
     links = settle(confirm(first, texts, similarity, size))
     parts = connected_components(links)
@@ -200,9 +207,10 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         out: list[tuple] = []
-        for held in _by_list(batches, ["key", "cell", "rep", "sig", "component", "at", "own", "spot"]):
+        for held in _by_list(batches, ["key", "cell", "rep", "sig", "component", "at", "own", "spot", "before"]):
             sigs = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
             part, own, at, cell, spot = np.array([r[4] for r in held]), np.array([r[6] for r in held]), held[0][5], held[0][1], held[0][7]
+            before = np.stack([r[8] for r in held])
             partners: dict[int, list[int]] = {}
             for i in range(len(held) - 1):
                 far = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
@@ -211,10 +219,9 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
                 if not len(far):
                     continue
                 same = sigs[far] == sigs[i]
-                few = same.sum(axis=1) >= matches
-                far, same = far[few], same[few]
-                if at and len(far):  # a pair comes from the first list that both share
-                    far = far[~same[:, : at * THREEFOLD].reshape(len(far), at, THREEFOLD).all(axis=2).any(axis=1)]
+                far = far[same.sum(axis=1) >= matches]
+                if at and len(far):  # a pair comes from the first list that both share, by the lists' full keys
+                    far = far[~(before[far] == before[i]).any(axis=1)]
                 if len(far):
                     partners.setdefault(i, []).extend(held[j][2] for j in far)
                     for j in far:
@@ -264,8 +271,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
             yield _pairs(out)
 
     spot = F.xxhash64("key", "cell.i", "cell.j")
-    again = _lists(labelled.join(open_lists, "key").join(ids, "rep"), block).withColumn("spot", spot)
-    second = again.select("key", "cell", "rep", "sig", "component", "at", "own", "spot").mapInArrow(between, "spot long, rep long, component long, partners array<long>")
+    again = _lists(labelled.join(open_lists, "key").join(ids, "rep"), block).withColumn("spot", spot).withColumn("before", F.expr("slice(keys, 1, at)"))
+    second = again.select("key", "cell", "rep", "sig", "component", "at", "own", "spot", "before").mapInArrow(between, "spot long, rep long, component long, partners array<long>")
     met = second.join(texts.select("rep", "text"), "rep").select("spot", "rep", "component", "partners", "text")
     more = settle(met.repartition("spot").sortWithinPartitions("spot", "rep").mapInArrow(confirm_all, "a long, b long"))
     name = lambda c, as_: parts.select(F.col("node").alias(c), F.col("component").alias(as_))

@@ -47,3 +47,13 @@ def test_components(spark):
 def test_forest_has_fewer_pairs_than_documents():
     sigs = np.repeat(np.arange(3, dtype=np.uint8), 5)[:, None] * np.ones(144, np.uint8)
     assert len(_forest(sigs, 80)) == 12
+
+
+def test_chance_agreement_of_bytes_is_no_shared_list(docs_of):
+    """a and c share one list alone, the fifth, where b hides their pair from the forest; at an earlier coordinate their bytes agree, their keys don't."""
+    a = [34026, 66863, 37914, 90840, 24087, 98429, 17691, 84248, 86657, 48443, 98769, 2465, 39956]
+    b = [24087, 37914, 86657, 39956, 17691, 75334, 56081, 36913, 222]
+    c = [34026, 66863, 37914, 90840, 24087, 98429, 75334, 3682, 41647, 56081, 56764, 36913, 94876]
+    docs = docs_of([" ".join(f"w{i}" for i in x) for x in (a, b, c)])
+    got = near_duplicates(docs, similarity=30, size=1, matches=12).orderBy("doc_id").collect()
+    assert [(r["component_id"], r["kept"]) for r in got] == [(0, True), (1, True), (0, False)]
