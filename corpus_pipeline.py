@@ -1,8 +1,9 @@
 """From raw documents to a training mix: five stages, each one operator over all that the stage before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the mix: doc_id, source, size,
-source_size, target and taken (words that the mix takes of a document, repeats counted). Null texts, repeated rows and
-empty tables are handled as the operators say; a document whose text is removed as a whole stays, with an empty text.
+source_size, target and taken (words that the mix takes of a document, repeats counted). Null texts and
+empty tables are handled as the operators say. Near-dedup keeps one row of each repeated document (same doc_id and text)
+and takes rows without a doc_id for documents of their own, told apart by their text. A document whose text is removed as a whole stays, with an empty text.
 """
 
 from __future__ import annotations
@@ -25,8 +26,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("k"), "left_semi").select(*COLUMNS)
+    return neardup.kept_documents(docs, COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

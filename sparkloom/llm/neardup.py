@@ -14,8 +14,10 @@ A link at similarity 0.75 is missed with a probability below 1e-6: that no coord
 the 144 hashes (108 expected, deviation 5.2) do.
 
 Defined results: without words a document has no shingles, links nothing and is kept; with fewer words than a shingle,
-the whole sequence is one; copies of a row are all linked; rows with the same doc_id and different texts share their
-links; an empty table gives no rows; other columns are ignored.
+the whole sequence is one. A row is known by doc_id and a hash of its text, so rows with one doc_id and different texts
+are documents of their own, and so are rows without a doc_id. Of a component the least row is kept, by doc_id, then by
+the hash, null ids last; copies of that row are all marked kept. component_id is the least doc_id, null if none has one.
+An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from sparkloom.llm.components import connected_components
 SHINGLE, COORDINATES, THREEFOLD, MATCHES = 5, 48, 3, 80
 #: Documents of a list that meet in one task.
 BLOCK = 2048
+#: What a row is known by, never null: whether it has no doc_id, the doc_id or 0, and a hash of the text.
+ROW = ["_unknown", "_id", "_hash"]
 _A, _B = np.random.default_rng(7).integers(0, 1 << 64, (2, COORDINATES * THREEFOLD), dtype=np.uint64)
 _A |= np.uint64(1)
 
@@ -69,8 +73,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mix(least)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """Adds the columns of ROW."""
+    ident = F.col("doc_id").cast("long")
+    return docs.withColumns(dict(zip(ROW, (ident.isNull(), F.coalesce(ident, F.lit(0)), F.xxhash64(F.col("text").cast("string"))), strict=True)))
+
+
 def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, text -> doc_id, n, s1, s2 (hashes of the set), keys (coordinate values), sig (a byte of every hash)."""
+    """doc_id, text -> doc_id, the columns of ROW, n, s1, s2 (hashes of the set), keys (coordinate values), sig (a byte of every hash)."""
     salt = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +99,10 @@ def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                         else:
                             rows.append((0, 0, 0, None, None))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n", "s1", "s2", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *ROW)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *ROW, "n", "s1", "s2", "keys", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, sig binary")
+    rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return rows.mapInArrow(run, "doc_id long, _unknown boolean, _id long, _hash long, n long, s1 long, s2 long, keys array<long>, sig binary")
 
 
 def _forest(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -167,9 +177,24 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: int = 75, size: int
 
 def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept."""
+    return _judged(docs, similarity, size, matches, block).drop(*ROW)
+
+
+def kept_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Some columns, doc_id and text among them, of the documents kept: one row of each group, repeated rows included."""
+    kept = _judged(docs).where("kept").select(*ROW).distinct()
+    rows = with_row(docs.select(*columns)).hint("merge").join(kept, ROW, "left_semi")
+    #: of repeated rows the least by the other columns
+    rest = [c for c in columns if c != "text"]
+    return rows.groupBy(*ROW).agg(F.min(F.struct(*rest, "text")).alias("row")).select("row.*").select(*columns)
+
+
+def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
+    """The columns of ROW and of near_duplicates."""
     sketches = settle(sketch(docs, size))
     sets = ["s1", "s2", "n"]
-    classes = settle(sketches.where("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep")))
+    #: a set's own number stands for it until the end, as ids may be missing or repeated; it has the texts of its least row
+    classes = settle(sketches.where("n > 0").groupBy(*sets).agg(F.min(F.struct(*ROW)).alias("row")).withColumn("rep", F.monotonically_increasing_id()))
     #: all documents are posted under their set's hash, so that no sketch moves; one shuffle by key serves count and join,
     #: and a key has at most one row in COORDINATES
     posted = sketches.where("n > 0").select("s1", F.posexplode("keys").alias("at", "key"))
@@ -178,11 +203,11 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
     found = settle(posted.join(lists, "key").distinct())
     live = found.join(classes.select("s1", "rep"), "s1").select("key", "at", "rep")
     live = settle(live.join(live.groupBy("key").agg(F.count("*").alias("df")), "key"))
-    signed = sketches.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "sig", "keys")
-    ids = settle(signed.join(live.select("rep").distinct(), "rep").dropDuplicates(["rep"]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    heads = settle(classes.join(live.select("rep").distinct(), "rep").select("rep", "n", "row.*"))
+    ids = settle(sketches.where("n > 0").select(*ROW, "sig", "keys").join(heads, ROW).dropDuplicates(ROW).drop(*ROW))
+    rows = with_row(docs.select("doc_id", F.col("text").cast("string").alias("text"))).drop("doc_id")
     #: texts move once; always by a shuffle, as the number of ids has no bound, so that small and large inputs take one plan
-    texts = settle(rows.hint("merge").join(ids.select("rep", "n"), "rep").dropDuplicates(["rep"]))
+    texts = settle(rows.hint("merge").join(heads, ROW).dropDuplicates(ROW).drop(*ROW))
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -281,6 +306,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = SHINGLE,
     final = parts.join(tops.withColumnRenamed("component", "top"), parts["component"] == tops["node"], "left").select(parts["node"].alias("rep"), F.coalesce("top", "component").alias("component"))
     lone = tops.join(parts.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), "component")
     final = settle(final.unionByName(lone))
-    out = sketches.select("doc_id", *sets).join(classes, sets, "left").join(final, "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    tops = classes.join(final, "rep").groupBy("component").agg(F.min("row").alias("top"))
+    named = classes.join(final, "rep", "left").join(tops, "component", "left").select(*sets, F.coalesce("top", "row").alias("top"))
+    out = sketches.select("doc_id", *ROW, *sets).join(named, sets, "left").withColumn("top", F.coalesce("top", F.struct(*ROW)))
+    component = F.when(~F.col("top._unknown"), F.col("top._id"))
+    return out.select(*ROW, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("top") == F.struct(*ROW)).alias("kept"))

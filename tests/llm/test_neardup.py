@@ -57,3 +57,19 @@ def test_chance_agreement_of_bytes_is_no_shared_list(docs_of):
     docs = docs_of([" ".join(f"w{i}" for i in x) for x in (a, b, c)])
     got = near_duplicates(docs, similarity=30, size=1, matches=12).orderBy("doc_id").collect()
     assert [(r["component_id"], r["kept"]) for r in got] == [(0, True), (1, True), (0, False)]
+
+
+def test_null_and_repeated_ids(docs_of):
+    """Documents without an id are linked and kept like others; two texts under one id are two documents."""
+    words = [f"w{i}" for i in range(60)]
+    near = lambda start: [" ".join([*(f"{start}{w}" for w in words), *more]) for more in ([], ["x"])]
+    (a, a2), (b, b2), (c, c2), (d, d2) = map(near, "abcd")
+    texts, ids = [a, a2, b, b2, "alone", c, d, c2, d2, c2], [None, 3, None, None, None, 5, 5, 6, 7, 6]
+    docs = docs_of(texts, ids=ids)
+    got = near_duplicates(docs)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    rows = sorted(got.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["component_id"] or 0, r["n_shingles"]))
+    assert [(r["doc_id"], r["component_id"], r["kept"]) for r in rows[:6]] == [(3, 3, True), (5, 5, True), (5, 5, True), (6, 5, False), (6, 5, False), (7, 5, False)]
+    unknown = [(r["n_shingles"], r["component_id"], r["kept"]) for r in rows[6:]]
+    assert (1, None, True) in unknown and (56, 3, False) in unknown
+    assert sum(r[2] for r in unknown) == 2 and len(unknown) == 4

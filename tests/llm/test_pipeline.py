@@ -30,3 +30,14 @@ def test_stages_against_brute_force(spark, tmp_path, docs_of, corpus):
     out = {r["doc_id"]: r["size"] for r in corpus_pipeline.run(spark, sf).collect()}
     assert out == {i: len(re.findall(r"[^\x20\x09-\x0D]+", x or "")) for i, x in clean.items()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "near-dedup", "suffix-array dedup", "benchmark decontamination", "source mixing"]
+
+
+def test_near_dedup_keeps_null_ids_and_one_of_repeated_rows(spark, docs_of):
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = ["clean text", None, "other text", "again", "again", long, long + " x", long]
+    ids = [None, None, None, 4, 4, 8, 9, 8]
+    docs = docs_of(texts, ids=ids).select(*corpus_pipeline.COLUMNS)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(None, "clean text"), (None, None), (None, "other text"), (4, "again"), (8, long)], key=str)
