@@ -73,3 +73,10 @@ def test_null_and_repeated_ids(docs_of):
     unknown = [(r["n_shingles"], r["component_id"], r["kept"]) for r in rows[6:]]
     assert (1, None, True) in unknown and (56, 3, False) in unknown
     assert sum(r[2] for r in unknown) == 2 and len(unknown) == 4
+
+
+def test_two_texts_under_one_id_have_links_of_their_own(docs_of):
+    words = [f"w{i}" for i in range(60)]
+    x, y = (" ".join(f"{k}{w}" for w in words) for k in "xy")
+    got = near_duplicates(docs_of([x, y, x + " z", y + " z"], ids=[1, 1, 2, 3])).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 1, False), (3, 1, False)}
