@@ -6,7 +6,7 @@ Archives are rows of a table in the shared folder, each the bytes of a `.warc.gz
 any store that Spark writes to will do; `save_archives` puts them out as files.
 
 Defined results: null html is the empty payload, null urls are left out of the header; of rows with the same payload the
-one with the smallest page_id is the response (of rows with the same page_id too, one); a payload below `least` bytes is
+one with the smallest page_id is the response (of rows with the same page_id too, one: the least by url); a payload below `least` bytes is
 always a response; an empty table gives no archives; damaged records raise ValueError.
 """
 
@@ -113,19 +113,26 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     keyed = base.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.length("payload").cast("long")})
-    firsts = keyed.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "size", "first")
-    #: the second and later rows of a page with the payload of its own first row revisit it as well
-    marked = keyed.join(firsts, ["sha", "size"], "left")
+    #: one row is the response: the least by page_id and url, and one of its copies where it is repeated
+    alike = keyed.where(F.col("size") >= least).groupBy("sha", "size", "page_id", "url").agg(F.count("*").alias("copies"))
+    firsts = alike.groupBy("sha", "size").agg(F.min(F.struct("page_id", "url", "copies")).alias("f"), F.sum("copies").alias("n")).where("n > 1")
+    firsts = settle(firsts.select("sha", "size", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"), F.col("f.copies").alias("copies")))
+    own = (F.col("page_id") == F.col("first")) & F.col("url").eqNullSafe(F.col("first_url"))
+    columns = ["page_id", "url", "payload", "sha", "size", "first", "again"]
+    marked = keyed.join(firsts, ["sha", "size"], "left").where(F.col("first").isNull() | ~own | (F.col("copies") == 1))
+    marked = marked.withColumn("again", F.col("first").isNotNull() & ~own).select(*columns)
+    repeated = firsts.where("copies > 1")
+    if not repeated.isEmpty():
+        #: only these rows move with their payloads, and only one of each; its copies are numbered
+        whole = keyed.join(repeated, ["sha", "size"]).where(own).dropDuplicates(["sha", "size"])
+        numbered = whole.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).withColumn("again", F.col("i") > 1)
+        marked = marked.unionByName(numbered.withColumn("payload", F.when(~F.col("again"), F.col("payload")).otherwise(F.lit(b""))).select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, size = [], 0
-        seen: set[tuple[int, bytes]] = set()
         for batch in batches:
-            for page, url, body, sha, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "first")), strict=True):
-                again = first is not None and (first != page or (page, sha) in seen)
-                if first == page:
-                    seen.add((page, sha))
-                records.append(record(page, url, body, first if again else None, len(body), base64.b32encode(sha).decode()))
+            for page, url, body, sha, long, first, again in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                records.append(record(page, url, body, first if again else None, long, base64.b32encode(sha).decode()))
                 size += len(records[-1])
                 if size >= ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(records)], pa.binary()), pa.array([len(records)], pa.int64())], names=["archive", "n_records"])
@@ -133,7 +140,7 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
         if records:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(records)], pa.binary()), pa.array([len(records)], pa.int64())], names=["archive", "n_records"])
 
-    return settle(marked.select("page_id", "url", "payload", "sha", "first").mapInArrow(run, "archive binary, n_records long"))
+    return settle(marked.mapInArrow(run, "archive binary, n_records long"))
 
 
 def save_archives(archives: DataFrame, folder: str) -> list[str]:

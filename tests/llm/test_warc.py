@@ -42,3 +42,15 @@ def test_round_trip(spark, tmp_path):
 def test_least_size(spark):
     pages = spark.createDataFrame([(i, "u", "short") for i in range(3)], "page_id long, url string, html string")
     assert {r["record_type"] for r in read_archives(write_archives(pages, least=6)).collect()} == {"response"}
+
+
+def test_one_response_for_repeated_pages(spark):
+    """Copies of a page in different tasks, and one page under two urls."""
+    rows = [(1, "u", "x")] * 3 + [(2, "u", "x")] + [(5, "b", "y"), (5, "a", "y"), (5, None, "z"), (5, None, "z"), (6, "c", "w")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = sorted((r["page_id"], r["payload_digest"], r["record_type"], r["url"] or "") for r in read_archives(write_archives(pages)).collect())
+    assert sorted((r[0], r[3]) for r in got) == sorted((i, u or "") for i, u, _ in rows)
+    want = {digest(b"x"): ("u", 3), digest(b"y"): ("a", 1), digest(b"z"): ("", 1), digest(b"w"): ("c", 0)}
+    for sha, (url, revisits) in want.items():
+        same = [r for r in got if r[1] == sha]
+        assert [r[3] for r in same if r[2] == "response"] == [url] and len(same) == revisits + 1
