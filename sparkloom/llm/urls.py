@@ -36,13 +36,13 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    """At most a few dozen strings: host suffixes, folders with their depth, extension, parameter names; numbers are masked."""
-    labels = F.slice(F.reverse(F.split(host_of(url), r"\.")), 1, 6)
+    """All of a URL's tokens: host suffixes, folders with their depth, extension, parameter names; numbers are masked."""
+    labels = F.reverse(F.split(host_of(url), r"\."))
     suffixes = F.transform(labels, lambda x, i: F.concat(F.lit("h:"), F.array_join(F.reverse(F.slice(labels, 1, i + 1)), ".")))
-    folders = F.slice(F.filter(F.split(path_of(url), "/"), lambda x: x != ""), 1, 6)
+    folders = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
     folders = F.transform(folders, lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), F.regexp_replace(x, r"[0-9]+", "0")))
     ending = F.regexp_extract(path_of(url), r"\.([A-Za-z0-9]{1,8})$", 1)
-    names = F.slice(F.regexp_extract_all(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(r"(?:^|&)([^=&]+)"), 1), 1, 6)
+    names = F.regexp_extract_all(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(r"(?:^|&)([^=&]+)"), 1)
     names = F.transform(names, lambda x: F.concat(F.lit("q:"), x))
     out = F.concat(suffixes, folders, names, F.array(F.concat(F.lit("e:"), ending), F.when(F.instr(url, "#") > 0, F.lit("f:")).otherwise(F.lit("e:"))))
     return F.when(F.instr(url, "://") > 0, F.array_distinct(F.filter(out, lambda x: ~x.isin("e:", "h:")))).otherwise(F.array().cast("array<string>"))
@@ -51,7 +51,8 @@ def tokens_of(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """url, bad -> rules (tokens, confidence, support), no rule with a subset that is as confident.
 
-    Support bounds the number of rules: with at most 21 tokens a URL no corpus has more than 21 / support frequent ones.
+    Support bounds the number of frequent tokens: with n tokens a URL on average, n / support. Sets of them are not bounded
+    by length: k frequent tokens that stand together in enough URLs make 2^k sets.
     """
     items = labelled.select(F.when(F.col("bad"), F.array_append(tokens_of(F.col("url")), F.lit(BLOCK))).otherwise(tokens_of(F.col("url"))).alias("items"))
     if items.isEmpty():

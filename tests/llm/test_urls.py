@@ -26,3 +26,14 @@ def test_mined_rules_block(spark):
     out = filter_urls(pages, mine_rules(labelled_urls(pages, labels))).collect()
     assert len(out) == 60 and all((r["verdict"] == "block") == (r["page_id"] % 2 == 1) for r in out)
     assert filter_urls(pages.where("false"), mine_rules(labelled_urls(pages, labels))).count() == 0
+
+
+def test_rules_on_late_tokens(spark):
+    """What tells the marks apart is the seventh parameter, folder or label of the host."""
+    many = "&".join(f"q{i}=1" for i in range(6))
+    shapes = [lambda bad: f"http://h.site/x?{many}&{'ad' if bad else 'ok'}=1", lambda bad: f"http://h.site/a/a/a/a/a/a/{'ad' if bad else 'ok'}", lambda bad: f"http://{'ad' if bad else 'ok'}.f.e.d.c.b.site/x"]
+    for shape in shapes:
+        pages = spark.createDataFrame([(i, shape(i % 2)) for i in range(40)], "page_id long, url string")
+        labels = spark.createDataFrame([(i, 0 if i % 2 else 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+        out = filter_urls(pages, mine_rules(labelled_urls(pages, labels))).collect()
+        assert all((r["verdict"] == "block") == (r["page_id"] % 2 == 1) for r in out)
