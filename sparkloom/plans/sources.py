@@ -65,8 +65,8 @@ def _one(spark, **columns):
 @query("A1_scan_repo")
 def scan_repo(spark, sf_dir):
     """The parquet folder's own tables as files, by name."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{sf_dir}/region.parquet")
-    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), t.detect_language(F.col("path")).alias("language"), F.length("content").alias("size"))
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(sf_dir)
+    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), t.detect_language(F.col("path")).alias("language"), F.col("length").alias("size"))
 
 
 @query("A3_scan_docs", "SELECT page_id, regexp_extract(url, '[.](html|md)$', 1) AS type FROM pages WHERE regexp_matches(url, '[.](html|md)$') AND NOT regexp_matches(url, '/(vendor|dist)/')")

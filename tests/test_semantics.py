@@ -128,3 +128,15 @@ def test_split_text_overlaps_and_loses_nothing():
 def test_dialect_ties_go_to_oracle(spark):
     assert one(spark, t.sql_dialect(F.lit("SELECT TOP 5 x FROM t WITH (NOLOCK) WHERE ROWNUM < 3 AND NVL(a, 1) = 1"))) == "oracle"
     assert one(spark, t.sql_dialect(F.lit("SELECT SYSDATE"))) == "postgres"
+
+
+def test_scan_repo_query_lists_every_table(spark, tmp_path):
+    import sparkloom.plans  # noqa: F401
+    from sparkloom.registry import QUERIES
+
+    for name in ("a.parquet", "b.parquet"):
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    (tmp_path / "c.parquet").mkdir()
+    (tmp_path / "c.parquet" / "part-0.parquet").write_bytes(b"xy")
+    got = QUERIES["A1_scan_repo"](spark, str(tmp_path)).collect()
+    assert sorted((r["path"], r["size"]) for r in got) == [("a.parquet", 9), ("b.parquet", 9), ("part-0.parquet", 2)]
