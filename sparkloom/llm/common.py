@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; longer single texts are taken whole.
 STEP_BYTES = 1 << 20
@@ -21,12 +21,16 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A random 64-bit value for each byte.
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only a local session, where the
+    driver is the executor, may do without the setting; a cluster without it is refused."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="sparkloom-")
         shared_dir.own = top
         spark.sparkContext.setCheckpointDir(top)
@@ -34,13 +38,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows go to a Parquet table in the shared folder, so that later reads survive a lost executor."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    #: what the write shuffled is read no more; Spark's cleaner drops those files when the driver collects its garbage
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: rows go to a Parquet table in the shared folder, so that later reads survive a lost executor.
+
+    What the write shuffled is read no more, so Spark removes those files with the end of the write. The table goes with
+    the end of the application, or by `discard` before.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove settled tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _file_system(df.sparkSession, path).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "inner", times: int = 256, share: int = 1000) -> DataFrame:
+    """Join on keys of which some hold a great part of the left side. `right` has, as `n`, the rows that each of its keys
+    has on the left (it is dropped). Keys with more than a `share`-th of them, which are fewer than `share`, are dealt to
+    `times` tasks by `spread`, a column of the left; only the right side's rows of these few keys are repeated."""
+    total = right.select(*on, "n").distinct().agg(F.sum("n")).head()[0] or 0
+    hot = right.where(F.col("n") * share > total).select(*on).distinct().withColumn("__hot", F.lit(True))
+    right, own = right.drop("n"), [c for c in right.columns if c not in (*on, "n")]
+    #: fewer than `share` keys, by their share
+    a = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(times))).otherwise(F.lit(0))).drop("__hot")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    b = right.join(F.broadcast(hot), on, "left").select(*on, *own, F.explode(salts).alias("__salt"))
+    return a.join(b, [*on, "__salt"], how).drop("__salt")
 
 
 def slices(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
