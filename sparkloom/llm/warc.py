@@ -7,7 +7,8 @@ any store that Spark writes to will do; `save_archives` puts them out as files.
 
 Defined results: null html is the empty payload, null urls are left out of the header; of rows with the same payload the
 one with the smallest page_id is the response (of rows with the same page_id too, one: the least by url); a payload below `least` bytes is
-always a response; an empty table gives no archives; damaged records raise ValueError.
+always a response; an empty table gives no archives; damaged records raise ValueError. Header names are read in any case,
+digests are verified where a record has them; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,38 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+_KINDS = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "sha512": hashlib.sha512, "md5": hashlib.md5}
+
+
+def _verify(what: str, given: str | None, data: bytes) -> None:
+    """Hold data against a digest in base32 or hex, if there is one of a known kind."""
+    kind, _, value = (given or "").partition(":")
+    make = _KINDS.get(kind.strip().lower().replace("-", ""))
+    if make is None:
+        return
+    own, value = make(data).digest(), value.strip()
+    if value.lower() != own.hex() and value.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("="):
+        raise ValueError(f"a {what}'s digest differs")
+
+
+def _headers(lines: list[str]) -> dict[str, str]:
+    """Fields by lower-case name; a line that begins with a blank continues the one before; of repeated fields the first counts."""
+    out: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise ValueError(f"not a header line: {line[:40]!r}")
+        name = name.strip().lower()
+        if name in out:
+            name = f"{name} again"
+        out[name] = value.strip()
+    return out
+
+
 def _url(text: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text or "")
 
@@ -89,19 +122,19 @@ def read_records(chunks: Iterator[bytes]) -> Iterator[Record]:
                 raise ValueError(f"not a gzip member: {e}") from e
             left = member.unused_data + left[STEP:] if member.eof else left[STEP:]
             if headers is None and (at := plain.find(b"\r\n\r\n")) >= 0:
-                first, *lines = plain[:at].decode().split("\r\n")
+                first, *lines = plain[:at].decode(errors="replace").split("\r\n")
                 if not first.startswith("WARC/"):
                     raise ValueError(f"not a WARC record: {first[:20]!r}")
-                headers = dict(line.split(": ", 1) for line in lines)
-                need, plain = int(headers["Content-Length"]), plain[at + 4 :]
-        if headers is None or bytes(plain[need:]) != b"\r\n\r\n":
+                headers = _headers(lines)
+                need, plain = int(headers.get("content-length", -1)), plain[at + 4 :]
+        if headers is None or need < 0 or bytes(plain[need:]) != b"\r\n\r\n":
             raise ValueError("a record's content isn't as long as its header says")
         block = bytes(plain[:need])
-        if headers["WARC-Block-Digest"] != f"sha1:{digest(block)}":
-            raise ValueError("a block's digest differs")
-        payload = block[block.find(b"\r\n\r\n") + 4 :] if block else b""
-        if headers["WARC-Type"] == "response" and headers["WARC-Payload-Digest"] != f"sha1:{digest(payload)}":
-            raise ValueError("a payload's digest differs")
+        _verify("block", headers.get("warc-block-digest"), block)
+        http = headers.get("content-type", "").lower().startswith("application/http")
+        payload = block.partition(b"\r\n\r\n")[2] if http else block
+        if headers.get("warc-type") != "revisit":  # a revisit's digest is that of the payload it leaves out
+            _verify("payload", headers.get("warc-payload-digest"), payload)
         yield Record(headers, payload)
 
 
@@ -162,18 +195,29 @@ def save_archives(archives: DataFrame, folder: str) -> list[str]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """archive -> a row for each record."""
+    """archive -> a row for each record, of our own archives and of others.
+
+    Others have records of more kinds, which come with their block or HTTP body as payload, and no page numbers: page_id
+    and refers_to are null there, payload_digest is taken from the payload, and a revisit has no size and the digest
+    given, null if that isn't SHA-1.
+    """
+
+    def number(headers: dict[str, str], name: str) -> int | None:
+        return int(headers[name]) if name in headers else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("archive").to_pylist():
                 rows = []
                 for r in read_records(data[i : i + STEP] for i in range(0, len(data), STEP)):
-                    h, kind = r.headers, r.headers["WARC-Type"]
-                    size = len(r.payload) if kind == "response" else int(h["X-Payload-Bytes"])
-                    refers = int(h["X-Refers-To-Page"]) if kind == "revisit" else None
-                    rows.append((int(h["X-Page-Id"]), h.get("WARC-Target-URI"), r.payload if kind == "response" else None, size, h["WARC-Payload-Digest"].removeprefix("sha1:"), kind, refers))
-                kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    h, kind = r.headers, r.headers.get("warc-type")
+                    again = kind == "revisit"
+                    size = number(h, "x-payload-bytes") if again else len(r.payload)
+                    given = h.get("warc-payload-digest", "")
+                    sha = given.partition(":")[2].strip() if given.lower().startswith("sha1:") else None
+                    rows.append((number(h, "x-page-id"), h.get("warc-target-uri"), None if again else r.payload, size, sha if again else digest(r.payload), kind, number(h, "x-refers-to-page")))
+                if rows:
+                    kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     return archives.select("archive").mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")

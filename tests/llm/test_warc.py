@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 
 import pytest
 
@@ -11,7 +12,7 @@ def test_chunks_of_any_size():
     data = record(1, "http://a/ ü\r\nX: y", "é".encode() * 90_000) + record(2, None, b"", 1, 7, "ABC")
     for step in (1, 7, 1000, 1 << 20):
         got = list(read_records(data[i : i + step] for i in range(0, len(data), step)))
-        assert [r.headers["WARC-Type"] for r in got] == ["response", "revisit"]
+        assert [r.headers["warc-type"] for r in got] == ["response", "revisit"]
         assert got[0].payload == "é".encode() * 90_000
     assert gzip.decompress(data).startswith(b"WARC/1.1\r\n")
 
@@ -54,3 +55,33 @@ def test_one_response_for_repeated_pages(spark):
     for sha, (url, revisits) in want.items():
         same = [r for r in got if r[1] == sha]
         assert [r[3] for r in same if r[2] == "response"] == [url] and len(same) == revisits + 1
+
+
+def member(lines, block):
+    return gzip.compress("\r\n".join(["WARC/1.0", *lines, f"content-length:{len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_others(spark):
+    """Records without digests or page numbers, with folded lines, other cases, other kinds and other digests."""
+    body, http = b"<p>\r\n\r\nx</p>", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>\r\n\r\nx</p>"
+    sha256 = hashlib.sha256(http).hexdigest()
+    data = member(["WARC-Type: warcinfo", "Content-Type: application/warc-fields"], b"software: x\r\n")
+    data += member(["warc-type:response", "CONTENT-TYPE: application/http;", " msgtype=response", "WARC-Target-URI:http://a/", f"WARC-Block-Digest: sha256:{sha256}"], http)
+    data += member(["WARC-Type: revisit", f"WARC-Payload-Digest: SHA1:{digest(body)}", "WARC-Target-URI: http://b/"], b"")
+    data += member(["WARC-Type: resource", f"WARC-Payload-Digest: sha1:{hashlib.sha1(b'').hexdigest()}"], b"")
+    got = read_archives(spark.createDataFrame([(bytearray(data),), (bytearray(),)], "archive binary")).collect()
+    assert [(r["record_type"], r["url"], r["page_id"], r["refers_to"], r["payload_bytes"]) for r in got] == [("warcinfo", None, None, None, 13), ("response", "http://a/", None, None, len(body)), ("revisit", "http://b/", None, None, None), ("resource", None, None, None, 0)]
+    assert bytes(got[1]["payload"]) == body and got[1]["payload_digest"] == got[2]["payload_digest"] == digest(body)
+    for bad in (member(["WARC-Type: resource", "WARC-Block-Digest: md5:00"], b"x"), member(["no colon"], b""), gzip.compress(b"WARC/1.0\r\nA: b\r\n\r\n\r\n\r\n")):
+        with pytest.raises(ValueError):
+            list(read_records([bad]))
+
+
+def test_long_payloads_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    html = ["é" * 1_500_000, "x", "é" * 1_500_000]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    pages = pages.withColumns({c: F.lit(1) for c in ("payload", "sha", "size", "first", "again", "copies", "n", "archive")})
+    got = {r["page_id"]: r for r in read_archives(write_archives(pages)).collect()}
+    assert [(got[i]["payload_bytes"], got[i]["record_type"]) for i in range(3)] == [(3_000_000, "response"), (1, "response"), (3_000_000, "revisit")]
