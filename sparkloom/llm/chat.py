@@ -7,7 +7,8 @@ backslashes already stand there; taking one away restores the text, whatever it
 nor those of other common templates occur in a formatted text but as marks.
 
 Defined results: null texts and roles are empty; a role's backslashes and line breaks are escaped too; turns with the
-same number follow by role and text; repeated rows are turns of their own; an empty table gives no conversations.
+same number follow by role and text; repeated rows are turns of their own; an empty table gives no conversations; rows
+without a conv_id are one conversation; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,13 +52,18 @@ class Part:
 
 #: Tokens that a placeholder stands for, for each unit of its part.
 TOKENS = {"image": 256, "audio": 25, "document": 600}
+_PARTS = "array<struct<kind: string, text: string, reference: string, units: long>>"
 
 
 @dataclass
 class Flattened:
-    """What the visitor gathers: pieces of text, attachments in order, expanded tokens, and spans that carry loss."""
+    """What the visitor gathers: pieces of text, attachments in order, expanded tokens, and spans that carry loss.
+
+    Text waits until an attachment or the turn's end comes, so that adjoining text parts are escaped as the one text that
+    they make: no control string can form over a seam."""
 
     pieces: list[str] = field(default_factory=list)
+    waiting: list[str] = field(default_factory=list)
     attachments: list[tuple[str, str, int]] = field(default_factory=list)
     spans: list[tuple[int, int]] = field(default_factory=list)
     length: int = 0
@@ -70,9 +76,14 @@ class Flattened:
         getattr(self, f"visit_{part.kind}")(part)
 
     def visit_text(self, part: Part) -> None:
-        self.add(escape(part.text))
+        self.waiting.append(part.text)
+
+    def flush(self) -> None:
+        self.add(escape("".join(self.waiting)))
+        self.waiting.clear()
 
     def _attach(self, part: Part) -> None:
+        self.flush()
         self.add(f"<|{part.kind}:{len(self.attachments)}|>")
         self.attachments.append((part.kind, part.reference, TOKENS[part.kind] * part.units))
 
@@ -91,6 +102,7 @@ def format_turns(turns: list[tuple[str, list[Part]]], learn: str = "assistant")
         begin = out.length
         for part in parts:
             out.visit(part)
+        out.flush()
         if role == learn and out.length > begin:
             out.spans.append((begin, out.length))
         out.add(END + "\n")
@@ -98,7 +110,7 @@ def format_turns(turns: list[tuple[str, list[Part]]], learn: str = "assistant")
 
 
 def read_turns(text: str, attachments: list[tuple[str, str, int]] = ()) -> list[tuple[str, list[Part]]]:
-    """The turns of a formatted text."""
+    """The turns of a formatted text; adjoining text parts come back as one, a turn without parts as an empty text."""
     out = []
     for role, content in _TURN.findall(text):
         role = unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
@@ -115,27 +127,35 @@ def read_turns(text: str, attachments: list[tuple[str, str, int]] = ()) -> list[
     return out
 
 
-def format_chats(rows: DataFrame, learn: str = "assistant") -> DataFrame:
-    """conv_id, turn, role, text -> conv_id, formatted, spans, n_attachments, attachment_tokens.
+def format_chats(rows: DataFrame, learn: str = "assistant", parts: str | None = None) -> DataFrame:
+    """conv_id, turn, role, text -> conv_id, formatted, spans, n_attachments, attachment_tokens, attachments (kind,
+    reference, tokens, in order).
 
-    Turns are dealt by conversation and sorted; a task holds one conversation at a time, which is one output row.
+    `parts` names a column of typed parts, array<struct<kind, text, reference, units>>, that is read instead of the text;
+    null parts and units count as none and 1. Turns are dealt by conversation and sorted; a task holds one conversation at a time, which is one output row.
     """
-    typed = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = typed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    content = F.coalesce(F.col("text").cast("string"), F.lit("")) if parts is None else F.coalesce(F.col(parts).cast(_PARTS), F.array().cast(_PARTS))
+    typed = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), content.alias("content"))
+    ordered = typed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "content")
+
+    def as_parts(content: str | list[dict]) -> list[Part]:
+        if isinstance(content, str):
+            return [Part("text", content)]
+        return [Part(p["kind"] or "text", p["text"] or "", p["reference"] or "", 1 if p["units"] is None else p["units"]) for p in content if p]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(conv: int | None, turns: list[tuple[str, list[Part]]]) -> tuple:
             flat = format_turns(turns, learn)
-            return conv, flat.text, [{"begin": b, "end": e} for b, e in flat.spans], len(flat.attachments), sum(a[2] for a in flat.attachments)
+            return conv, flat.text, [{"begin": b, "end": e} for b, e in flat.spans], len(flat.attachments), sum(a[2] for a in flat.attachments), [dict(zip(("kind", "reference", "tokens"), a, strict=True)) for a in flat.attachments]
 
         def out(done: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=["conv_id", "formatted", "spans", "n_attachments", "attachment_tokens"])
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.int64(), pa.int64(), pa.list_(pa.struct([("kind", pa.string()), ("reference", pa.string()), ("tokens", pa.int64())]))]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=["conv_id", "formatted", "spans", "n_attachments", "attachment_tokens", "attachments"])
 
         turns: list[tuple[str, list[Part]]] = []
         key, some, done = None, False, []
         for batch in batches:
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            for conv, role, content in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "content")), strict=True):
                 if some and conv != key:
                     done.append(made(key, turns))
                     turns = []
@@ -143,13 +163,13 @@ def format_chats(rows: DataFrame, learn: str = "assistant") -> DataFrame:
                         yield out(done)
                         done = []
                 key, some = conv, True
-                turns.append((role, [Part("text", text)]))
+                turns.append((role, as_parts(content)))
         if some:
             done.append(made(key, turns))
         if done:
             yield out(done)
 
-    return ordered.mapInArrow(run, "conv_id long, formatted string, spans array<struct<begin: long, end: long>>, n_attachments long, attachment_tokens long")
+    return ordered.mapInArrow(run, "conv_id long, formatted string, spans array<struct<begin: long, end: long>>, n_attachments long, attachment_tokens long, attachments array<struct<kind: string, reference: string, tokens: long>>")
 
 
 def digest_chats(formatted: DataFrame) -> DataFrame:
