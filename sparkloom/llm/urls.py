@@ -6,7 +6,8 @@ unless a rule with a subset of its tokens is as confident. A rule is posted unde
 up its own tokens there, and a rule fires if the URL has all of its tokens. A rule given by hand goes before.
 
 Defined results: a null url, or one without `://`, has an empty host and path, no tokens and is allowed; repeated rows
-are judged alike; labels without a URL are left out; without labels nothing is mined and all is allowed but by hand.
+are judged alike; labels without a URL are left out; without labels nothing is mined and all is allowed but by hand; of
+several rules that fire the most confident is named, of those the last by its tokens; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 #: (host, path, verdict)
 GIVEN = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Share of labelled URLs that a mined rule covers at least, its confidence, and how far that lies above the average.
-SUPPORT, CONFIDENCE, LIFT = 0.01, 0.75, 1.3
+#: Share of labelled URLs that a mined rule is right about at least, how many these are at least (a share of a small table
+#: is no evidence), the rule's confidence, and how far that lies above the average.
+SUPPORT, LEAST, CONFIDENCE, LIFT = 0.01, 10, 0.75, 1.3
 BLOCK = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,16 +50,19 @@ def tokens_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_distinct(F.filter(out, lambda x: ~x.isin("e:", "h:")))).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
-    """url, bad -> rules (tokens, confidence, support), no rule with a subset that is as confident.
+def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST) -> DataFrame:
+    """url, bad -> rules (tokens, confidence, support), no rule with a subset that is as confident. A rule is right about
+    `support` of the labelled URLs and about `least` of them.
 
     Support bounds the number of frequent tokens: with n tokens a URL on average, n / support. Sets of them are not bounded
     by length: k frequent tokens that stand together in enough URLs make 2^k sets.
     """
     items = labelled.select(F.when(F.col("bad"), F.array_append(tokens_of(F.col("url")), F.lit(BLOCK))).otherwise(tokens_of(F.col("url"))).alias("items"))
-    if items.isEmpty():
+    n = items.count()
+    if n < least or not n:
         return items.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    #: half a URL less than `least`, so that rounding can't ask for one more
+    model = FPGrowth(itemsCol="items", minSupport=max(support, (least - 0.5) / n), minConfidence=confidence).fit(items)
     rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     smaller = rules.select(F.col("tokens").alias("t"), F.col("confidence").alias("c"))
     #: rules share a token with each of their subsets: an equi-join on it
