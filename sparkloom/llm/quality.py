@@ -6,7 +6,8 @@ one-hot by its bin. The model is fitted on the driver on at most `sample` labell
 and its size is fixed; everything is scored.
 
 Defined results: null or empty texts have only the bins of an empty text and get a score all the same; labels without a
-document or without a mark are left out, of several marks of one document the lowest counts; repeated rows score alike;
+document or without a mark are left out, of several marks of one document the lowest counts, of several texts under one
+doc_id the least is learned from; repeated rows score alike; labels without a doc_id teach nothing;
 without any label every score is 0.5; other columns are ignored. Neither labels nor lang, source or doc_id are inputs.
 """
 
@@ -131,8 +132,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fac
 
     #: `sample` rows at most, as they are limited above
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "id")
-    rows = texts.select("id", "mark", "text").mapInArrow(run, "id long, mark int, ids binary, x binary").toPandas()
-    rows = rows.sort_values(["id", "ids"]).drop_duplicates("id")
+    #: one row an id before anything is collected; repeated rows end in each task
+    one = texts.groupBy("id", "mark").agg(F.min("text").alias("text"))
+    rows = one.mapInArrow(run, "id long, mark int, ids binary, x binary").toPandas().sort_values("id")
     return FactorisationMachine().fit([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(x, np.float32)) for i, x in zip(rows["ids"], rows["x"], strict=True)], rows["mark"].to_numpy(np.float32))
 
 

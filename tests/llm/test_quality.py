@@ -44,3 +44,44 @@ def test_without_labels_or_rows(spark, docs_of):
     model = fit_quality(docs_of(["a", None]), labels)
     assert score_quality(docs_of(["a", None]), model).count() == 2
     assert score_quality(docs_of([]), model).count() == 0
+
+
+def test_training_follows_the_loss(monkeypatch):
+    """One step on one document moves every parameter against the numeric slope of the logistic loss."""
+    from sparkloom.llm import quality
+
+    monkeypatch.setattr(quality, "WIDTH", 6)
+    ids, x = np.array([0, 2, 5]), np.array([0.5, 0.25, 1.0], np.float32)
+    start = FactorisationMachine()
+
+    def loss(bias, linear, factors):
+        pairs = sum(float(factors[a] @ factors[b]) * p * q for i, (a, p) in enumerate(zip(ids, x)) for b, q in zip(ids[i + 1 :], x[i + 1 :]))
+        margin = bias + float(linear[ids] @ x) + pairs
+        return np.log1p(np.exp(-margin))
+
+    bias = float(np.log((1 - 1e-3) / 1e-3))  # of one mark, which is 1
+    fitted = FactorisationMachine().fit([(ids, x)], np.array([1.0], np.float32), epochs=1, decay=0.0)
+    at = start.factors.astype(float)
+    for i in ids:
+        up = np.zeros(6)
+        up[i] = 1e-4
+        slope = (loss(bias, up, at) - loss(bias, -up, at)) / 2e-4
+        assert slope < 0 < fitted.linear[i]
+        for f in range(at.shape[1]):
+            some = np.zeros_like(at)
+            some[i, f] = 1e-3
+            slope = (loss(bias, np.zeros(6), at + some) - loss(bias, np.zeros(6), at - some)) / 2e-3
+            moved = float(fitted.factors[i, f] - start.factors[i, f])
+            assert moved * slope <= 0 and (abs(slope) < 1e-9 or moved)
+    assert not fitted.linear[[1, 3, 4]].any()
+
+
+def test_repeated_rows_long_texts_and_null_ids(spark, docs_of):
+    texts = ["good words here", None, "b", "word " * 250_000, ""]
+    ids = [1, 1, None, 3, 4]
+    df = docs_of(texts * 40, ids=ids * 40)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 1, 0), (4, 0, 0), (None, 1, 0)] * 3, "doc_id long, quality int, toxic int")
+    model, once = fit_quality(df, labels), fit_quality(docs_of(texts, ids=ids), labels)
+    assert np.array_equal(model.factors, once.factors)
+    scores = score_quality(df, model).collect()
+    assert len(scores) == 200 and all(0 <= r["score"] <= 1 for r in scores) and len({r["score"] for r in scores if r["doc_id"] == 4}) == 1
