@@ -66,7 +66,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
     #: `below`: words under the bucket `edge`; the budget runs out in that bucket
     state = by_source.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     #: sizes by the finest bucket in question: level 0 over all documents, deeper levels over the edge bucket only
-    edge = state.withColumns({"below": F.lit(0).cast("long"), "edge": F.lit(0).cast("long")})
+    #: a row a source, settled between levels, so that no level computes those before again
+    edge = settle(state.withColumns({"below": F.lit(0).cast("long"), "edge": F.lit(0).cast("long")}))
     for level in range(LEVELS):
         at_edge = F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", 62 - BITS * level) == F.col("edge"))
         inside = base.join(edge.select(F.col("source").alias("s"), "edge"), at_edge, "left_semi") if level else base
@@ -80,6 +81,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
         edge = joined.groupBy(*(F.col(f"e.{c}").alias(c) for c in ("source", "source_size", "target", "passes", "rest", "below", "edge"))).agg(pick.alias("p"))
         words = F.coalesce(F.col("p.words"), F.lit(0))
         edge = edge.withColumns({"below": F.col("below") + F.coalesce(F.col("p.before"), F.lit(0)), "edge": F.coalesce(F.col("p.bucket"), F.shiftleft("edge", BITS)), "words": words})
+        edge = settle(edge.drop("p"))
     #: the last bucket holds a document or copies of it: take it if that comes nearer
     take_edge = F.abs(F.col("below") + F.col("words") - F.col("rest")) < F.abs(F.col("below") - F.col("rest"))
     cut = edge.select(F.col("source").alias("s"), "source_size", "target", "passes", (F.col("edge") + take_edge.cast("long")).alias("threshold"))
