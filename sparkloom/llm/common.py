@@ -67,12 +67,12 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "inner", times: int = 256, share: int = 1000) -> DataFrame:
-    """Join on keys of which some hold a great part of the left side. `right` has, as `n`, the rows that each of its keys
+    """Join on keys of which some hold a great part of the left side. `right` has, as `__n`, the rows that each of its keys
     has on the left (it is dropped). Keys with more than a `share`-th of them, which are fewer than `share`, are dealt to
     `times` tasks by `spread`, a column of the left; only the right side's rows of these few keys are repeated."""
-    total = right.select(*on, "n").distinct().agg(F.sum("n")).head()[0] or 0
-    hot = right.where(F.col("n") * share > total).select(*on).distinct().withColumn("__hot", F.lit(True))
-    right, own = right.drop("n"), [c for c in right.columns if c not in (*on, "n")]
+    total = right.select(*on, "__n").distinct().agg(F.sum("__n")).head()[0] or 0
+    hot = right.where(F.col("__n") * share > total).select(*on).distinct().withColumn("__hot", F.lit(True))
+    right, own = right.drop("__n"), [c for c in right.columns if c not in (*on, "__n")]
     #: fewer than `share` keys, by their share
     a = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(times))).otherwise(F.lit(0))).drop("__hot")
     salts = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))

@@ -1,14 +1,19 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Words are hashed, grams of K words hashed from them by doubling, and of every WINDOWS neighbouring grams the least hash
-is kept: K + WINDOWS - 1 words, shared by a document and an item, always share a kept hash. Documents that share one
-with an item are candidates; in them, hits are extended: each run of LENGTH words is held against the items' windows by
-two hashes of 64 bits. Kept hashes of documents meet the benchmark's in a join; the benchmark is broadcast only if it is
-small on disk, else both sides are shuffled by hash.
+is kept: K + WINDOWS - 1 words, shared by a document and an item, always share a kept hash. An item of fewer words has one
+gram, of all its words, and documents keep all their grams of that length. Documents that share a kept hash with an item
+are candidates; in them, hits are extended: each run of LENGTH words (or of a short item's) is held against the items'
+windows by two hashes of 64 bits.
+
+Texts are split once to find candidates. Hashes that can't be the benchmark's, by a bitmap of 65,536 bits, go before rows
+are made of them. The rest meets the benchmark's in a join; the benchmark is broadcast only up to a number of rows, else
+both sides are shuffled by hash and hot hashes are dealt to many tasks. Windows with the same items are one set, and
+documents with the same sets one class, so ids of items are gathered once a class, not once a document and window.
 
 Defined results: null texts have no words; an item without words has no window, an item of fewer than LENGTH words is one
 window; items with the same id count once; rows with the same doc_id are told apart by their text; an empty benchmark
-hits nothing; other columns are ignored.
+hits nothing; other columns are ignored; a null item_id isn't counted among the items, though its words are hit.
 """
 
 from __future__ import annotations
@@ -18,14 +23,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import settle
+from sparkloom.llm.common import join_hot, settle
 
 LENGTH, K, WINDOWS = 10, 8, 3
-#: Benchmark rows times columns of hashes up to which it is broadcast (16 bytes each: 32 MB).
+#: Benchmark rows up to which it is broadcast (40 bytes each at most: 80 MB).
 BROADCAST_ROWS = 2_000_000
+#: Bits of the bitmap, as a power of two.
+BITMAP = 16
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z is lower-cased.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,62 +53,94 @@ def _grams(df: DataFrame, seed: int) -> DataFrame:
     return df
 
 
-def _runs(df: DataFrame, name: str, seed: int) -> DataFrame:
-    """Add the hashes of every run of LENGTH words."""
+def _runs(df: DataFrame, lengths: list[int], name: str, seed: int) -> DataFrame:
+    """Add, for each length, the hashes of every run of as many words, put together from grams."""
     keep = df.columns
-    df = _grams(df, seed).withColumn(name, _pair("w8", "w2", K, lambda x, y: F.xxhash64(x, y)))
-    return df.select(*keep, name)
-
-
-def _joined_runs(n: int) -> Column:
-    """The strings of every run of n words."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))), lambda i: F.array_join(F.slice("words", i + 1, n), " "))
-
-
-def fingerprints(df: DataFrame) -> DataFrame:
-    """words -> also kept: the least gram hash of every window, each once."""
+    df = _grams(df, seed)
+    for n in lengths:
+        have, at = None, 0
+        for k in (8, 4, 2, 1):
+            if n & k:
+                df = df.withColumn(f"{name}{n}", F.col(f"w{k}") if have is None else _pair(f"{name}{n}", f"w{k}", at, lambda x, y: F.xxhash64(x, y)))
+                have, at = k, at + k
+    return df.select(*keep, *(f"{name}{n}" for n in lengths))
+
+
+def kept_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """words -> also kept: if LENGTH is asked for, the least gram hash of every window; for lower lengths, all grams; each once."""
     keep = df.columns
     df = _grams(df, 1)
-    df = df.withColumn("m2", _pair("w8", "w8", 1, lambda x, y: F.least(x, y))).withColumn("m3", _pair("m2", "m2", 1, lambda x, y: F.least(x, y)))
-    return df.select(*keep, F.array_distinct("m3").alias("kept"))
-
-
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text; item_id, text -> a row for each document that an item's window occurs in: doc_id, th (a hash of the
-    text), places (array of position and length), items (their ids as sorted strings)."""
-    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text").cast("string")).alias("words")).withColumn("n", F.size("words")).where("n > 0")
-    short = F.col("n") < LENGTH
-    two = _runs(_runs(items.where(~short), "a", 2), "b", 3)
-    long_windows = two.select("item_id", F.lit(LENGTH).alias("n"), F.inline_outer(F.arrays_zip("a", "b")))
-    whole = F.array_join("words", " ")
-    windows = settle(long_windows.unionByName(items.where(short).select("item_id", "n", F.xxhash64(F.lit(2), whole).alias("a"), F.xxhash64(F.lit(3), whole).alias("b"))).distinct())
-    kept = settle(fingerprints(items.where(~short)).select(F.explode_outer("kept").alias("h")).distinct())
-    lengths = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count("*").alias("c")).collect()}  # LENGTH rows at most
-
-    hits = None
-    key = ["doc_id", "th"]
+    found = []
     if LENGTH in lengths:
-        own = fingerprints(docs.select(*key, words_of(F.col("text")).alias("words"))).select(*key, F.explode_outer("kept").alias("h"))
-        candidates = settle(own.join(_small(kept, lengths[LENGTH]), "h", "left_semi").select(*key).distinct())
-        again = docs.alias("d").join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th")), "left_semi")
-        runs = _runs(_runs(again.select(*key, words_of(F.col("text")).alias("words")), "a", 2), "b", 3)
-        runs = runs.select(*key, F.arrays_zip("a", "b").alias("ab")).select(*key, F.posexplode_outer("ab").alias("at", "ab")).select(*key, "at", F.lit(LENGTH).alias("n"), "ab.a", "ab.b")
-        hits = runs.join(_small(windows.where(F.col("n") == LENGTH).select("a", "b", "item_id"), lengths[LENGTH]), ["a", "b"])
-    for n in sorted(k for k in lengths if k < LENGTH):
-        run = _joined_runs(n)
-        runs = docs.select(*key, words_of(F.col("text")).alias("words")).where(F.size("words") >= n).select(*key, F.posexplode_outer(run).alias("at", "s"))
-        runs = runs.select(*key, "at", F.lit(n).alias("n"), F.xxhash64(F.lit(2), "s").alias("a"), F.xxhash64(F.lit(3), "s").alias("b"))
-        found = runs.join(_small(windows.where(F.col("n") == n).select("a", "b", "item_id"), lengths[n]), ["a", "b"])
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = docs.select(*key, F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("item_id")).where(F.lit(False))
+        df = df.withColumn("m2", _pair("w8", "w8", 1, lambda x, y: F.least(x, y))).withColumn("m3", _pair("m2", "m2", 1, lambda x, y: F.least(x, y)))
+        found.append("m3")
+    short = [n for n in lengths if n < LENGTH]
+    if short:
+        df = _runs(df, short, "r", 1)
+        found += [f"r{n}" for n in short]
+    return df.select(*keep, F.array_distinct(F.concat(*found)).alias("kept"))
+
+
+def _bitmap(hashes: DataFrame, column: str) -> Callable[[Column], Column]:
+    """Whether a hash may be one of a table's, by a bitmap of fixed size that is part of the plan."""
+    bit = lambda h: h.bitwiseAND(F.lit((1 << BITMAP) - 1))
+    one = F.col(column)
+    rows = hashes.groupBy(F.shiftright(bit(one), 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(one).bitwiseAND(F.lit(63)).cast("int"))).alias("w")).collect()
+    found = {r["i"]: r["w"] for r in rows}
+    words = F.array(*(F.lit(found.get(i, 0)).cast("long") for i in range(1 << (BITMAP - 6))))
+    return lambda h: F.getbit(F.get(words, F.shiftright(bit(h), 6).cast("int")), bit(h).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str], spread: str, most: int, how: str = "inner") -> DataFrame:
+    """Join with rows of the benchmark, broadcast only up to `most` of them; else hot keys are dealt to many tasks."""
+    if right.count() <= most:
+        return left.join(F.broadcast(right), on, how)
+    left = settle(left)
+    return join_hot(left, right.join(left.groupBy(*on).agg(F.count("*").alias("__n")), on), on, F.col(spread), how)
+
+
+def _spots(n: int) -> Column:
+    """The runs of n words: where they begin, their length and their two hashes."""
+    return F.transform(f"a{n}", lambda x, i: F.struct(i.alias("at"), F.lit(n).alias("n"), x.alias("a"), F.get(f"b{n}", i).alias("b")))
+
+
+def _key(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """doc_id, text; item_id, text -> documents (doc_id, th, n_words), hits (doc_id, th, places, sets; None if the benchmark
+    has no windows) and the benchmark's windows (n, a, b, set, item_id). th is a hash of the text."""
+    docs, key = _key(docs), ["doc_id", "th"]
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text").cast("string")).alias("words"))
+    items = settle(items.withColumn("n", F.least(F.size("words"), F.lit(LENGTH))).where("n > 0"))
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # LENGTH rows at most
+    words = words_of(F.col("text"))
+    if not lengths:
+        return docs.select(*key, F.size(words).cast("long").alias("n_words")), None, items.select("n", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(None).alias("set"), "item_id")
+    windows, fingerprints = None, None
+    for n in lengths:
+        some = _runs(_runs(items.where(F.col("n") == n), [n], "a", 2), [n], "b", 3).select("item_id", "n", F.inline(F.arrays_zip(F.col(f"a{n}").alias("a"), F.col(f"b{n}").alias("b"))))
+        own = kept_hashes(items.where(F.col("n") == n), [n]).select(F.explode("kept").alias("h"))
+        windows = some if windows is None else windows.unionByName(some)
+        fingerprints = own if fingerprints is None else fingerprints.unionByName(own)
+    windows, fingerprints = settle(windows.distinct()), settle(fingerprints.distinct())
+    #: windows of the same items are one set, named by a hash of the ids that doesn't depend on their order
+    name = F.struct(F.bit_xor(F.xxhash64("item_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "item_id")).alias("y"), F.count("*").alias("c"))
+    sets = settle(windows.groupBy("n", "a", "b").agg(name.alias("set")))
+
+    may = _bitmap(fingerprints, "h")
+    first = kept_hashes(docs.select(*key, words.alias("words")), lengths)
+    first = settle(first.select(*key, F.size("words").cast("long").alias("n_words"), F.filter("kept", may).alias("kept")))
+    candidates = settle(_meet(first.select(*key, F.explode("kept").alias("h")), fingerprints, ["h"], "th", most, "left_semi").select(*key).distinct())
+    again = docs.alias("d").join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.th") == F.col("c.th")), "left_semi").dropDuplicates(key)
+    runs = _runs(_runs(again.select(*key, words.alias("words")), lengths, "a", 2), lengths, "b", 3)
+    may = _bitmap(sets, "a")
+    runs = runs.select(*key, F.inline(F.concat(*(F.filter(_spots(n), lambda s: may(s["a"])) for n in lengths))))
+    hits = _meet(runs, sets, ["n", "a", "b"], "at", most)
     #: sets are built in each task before the shuffle; a document's are no larger than it and the benchmark
-    return hits.groupBy(*key).agg(F.collect_set(F.struct("at", "n")).alias("places"), F.collect_set("item_id").alias("items")).withColumns({"places": F.array_sort("places"), "items": F.array_sort("items")})
+    hits = hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("places"), F.array_sort(F.collect_set("set")).alias("sets"))
+    return first.select(*key, "n_words"), settle(hits), windows.join(sets, ["n", "a", "b"])
 
 
 def covered(places: Column) -> Column:
@@ -113,18 +150,32 @@ def covered(places: Column) -> Column:
     return F.aggregate(places, state, step, lambda s: s["sum"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each document: n_words, n_hit, n_items, items_sha256, contaminated, places."""
-    found = find_hits(docs, benchmark).alias("f")
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words")).alias("d")
-    out = base.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.th") == F.col("f.th")), "left")
+    base, hits, windows = find_hits(docs, benchmark, most)
+    none = F.array().cast("array<string>")
+    if hits is None:
+        hits = base.select("doc_id", "th", F.array().cast("array<struct<at: int, n: int>>").alias("places"), none.alias("items")).where(F.lit(False))
+    else:
+        #: one row of a set stands for it; a class is all documents with the same sets
+        of_set = windows.groupBy("set").agg(F.min(F.struct("n", "a", "b")).alias("w")).select("set", "w.*")
+        of_set = windows.drop("set").join(of_set, ["n", "a", "b"]).where(F.col("item_id").isNotNull()).select("set", "item_id")
+        hits = hits.withColumn("class", F.sha2(F.to_json("sets"), 256))
+        classes = settle(hits.groupBy("class").agg(F.first("sets").alias("sets"), F.count("*").alias("__n")))
+        items = classes.select("class", F.explode("sets").alias("set")).join(of_set, "set").groupBy("class").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+        right = classes.select("class", "__n").join(items, "class", "left").withColumn("items", F.coalesce("items", none))
+        hits = join_hot(hits.drop("sets"), right, ["class"], F.col("th"))
+    out = base.alias("d").join(hits.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.th") == F.col("f.th")), "left")
     n_hit = F.coalesce(covered(F.col("places")), F.lit(0)).cast("long")
-    items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
+    items = F.coalesce(F.col("items"), none)
     return out.select(F.col("d.doc_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "places")
 
 
-def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean_of(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """The documents, with all their columns, in which no benchmark window occurs."""
-    found = find_hits(docs, benchmark).select("doc_id", "th").alias("f")
+    _, hits, _ = find_hits(docs, benchmark, most)
+    if hits is None:
+        return docs
     d = docs.withColumn("__th", F.xxhash64("text")).alias("d")
-    return d.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__th") == F.col("f.th")), "left_anti").drop("__th")
+    f = hits.select("doc_id", "th").alias("f")
+    return d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__th") == F.col("f.th")), "left_anti").drop("__th")

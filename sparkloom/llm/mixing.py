@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import settle
 
-#: A word: no space and no control character from tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Between words: spaces and control characters from tab to carriage return.
+GAP = r"[\x20\x09-\x0D]+"
 #: Hash bits refined in each round, and rounds: 3 * 12 bits part more documents of a source than any corpus has.
 BITS, LEVELS = 12, 3
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), GAP), "")).cast("long")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:

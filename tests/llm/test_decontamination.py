@@ -42,6 +42,30 @@ def test_equals_brute_force(spark, docs_of, corpus):
     assert sorted(r["doc_id"] for r in clean_of(df, bench).collect()) == [i for i, w in enumerate(want) if not w[4]]
 
 
+def test_short_items_of_every_length_and_beyond_the_broadcast_bound(spark, docs_of, corpus):
+    """Items of 1 to 12 words from many places, one of them in many documents; once by a join without broadcast."""
+    long_ = corpus[-1].split()
+    items = [(n, " ".join(long_[100 * n : 100 * n + n])) for n in range(1, 13)] + [(100 + n, " ".join(corpus[50].split()[3 : 3 + n])) for n in range(1, 13)]
+    items += [(200 + n, corpus[56]) for n in range(5)] + [(None, " ".join(long_[7:30]))]
+    df, bench = docs_of(corpus), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(corpus, [(i, x) for i, x in items if i is not None])
+    hit = brute(corpus, items)
+    for most in (2_000_000, 0):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in contamination(df, bench, most).collect()}
+        assert [got[i] for i in range(len(corpus))] == [(w[0], h[1], w[2], w[3], h[4]) for w, h in zip(want, hit, strict=True)]
+    assert sorted(r["doc_id"] for r in clean_of(df, bench, 0).collect()) == [i for i, w in enumerate(hit) if not w[4]]
+
+
+def test_null_and_repeated_ids(spark, docs_of):
+    passage = " ".join(f"w{i}" for i in range(12))
+    texts, ids = [passage, "x " + passage, "clean", passage, passage, None], [None, None, None, 4, 4, 5]
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in contamination(docs_of(texts, ids=ids), bench).collect()))
+    assert got == [(0, 1, 0), (0, 12, 12), (0, 13, 12), (4, 12, 12), (4, 12, 12), (5, 0, 0)]
+    long = docs_of(["y " * 300_000 + passage])
+    assert [(r["n_words"], r["n_hit"]) for r in contamination(long, bench).collect()] == [(300_012, 12)]
+
+
 def test_long_items_only(spark, docs_of, corpus):
     items = [(1, " ".join(corpus[-1].split()[50:90])), (2, corpus[50])]
     got = {r["doc_id"]: r["n_hit"] for r in contamination(docs_of(corpus), spark.createDataFrame(items, "item_id long, text string")).collect()}
