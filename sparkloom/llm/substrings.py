@@ -1,18 +1,23 @@
 """Suffix-array dedup: remove every byte under a string of `length` bytes that also starts elsewhere in the corpus.
 
-A full suffix array has a row per byte. Here suffixes are gathered at anchors: of the K-byte grams in a window of `length`
-bytes, the one of least hash (the leftmost of ties). Equal windows have equal anchors, so all copies of a string meet at
-one K-gram. An anchor's context is the bytes under all windows that it anchors; contexts that are equal as a whole are
-counted by hash before any text moves (copies of a document or passage end here). Only K-grams with several different
-contexts go on: one copy of each context is range-partitioned by its anchored suffix's leading bytes (Spark samples the
-splitters), and in a partition the windows of a run of equal leading bytes are sorted as suffixes by multikey quicksort,
-eight bytes at a time; equal neighbours are repeats. Runs never cross a partition, as equal keys share one.
-
-A K-gram with more than `HOT` different contexts isn't gathered: its windows are counted one by one by a 128-bit hash,
-pre-aggregated in each task and packed, so no task holds such a run.
-
-Defined results: null is the empty text; a text shorter than `length` keeps all; rows with the same doc_id are told apart by
-`row` (their text's hash and copies stay apart as occurrences); an empty table gives no rows; other columns are ignored.
+A full suffix array has a row per byte. Here it is sparse: suffixes are taken at anchors. Of the K-byte grams in a window
+of `length` bytes the one of least hash (the leftmost of ties) is its anchor, so equal windows have equal anchors, at the
+same place in them. An anchor's context is the bytes under all windows that it anchors.
+
+Anchors are found once. Grams that occur once go no further than a count. Equal contexts become one suffix with its number
+of copies (told by two hashes, a pre-filter: copies need no order among themselves). Suffixes are range-partitioned by
+their leading bytes, of which Spark samples the splitters; equal leads share a partition, so that no run of them has a
+neighbour across a boundary. In a partition each run is sorted by what follows the lead and by what stands before it, read
+backwards, by multikey quicksort on eight bytes at a time, and the common bytes of neighbours are measured. A window is
+under both orders: it is repeated if another suffix agrees with it as far as it reaches on either side, or if its own
+suffix has copies. A suffix that is alone in its run is decided by its copies.
+
+A run of more than `hot` suffixes isn't gathered: each suffix is dealt to narrower runs, led by the bytes that all windows
+of a narrower range of places share, down to the window itself, whose run has nothing left to sort. No task holds a longer
+run, and all suffixes take the same way.
+
+Defined results: null is the empty text; a text shorter than `length` keeps all; rows are told apart by doc_id and a hash
+of the text, and copies of a row are occurrences of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from sparkloom.llm.common import _BYTE, bytes_of, mix, powers, prefix_sums, settle, slices, span_hash
+from sparkloom.llm.common import _BYTE, bytes_of, discard, join_hot, mix, powers, prefix_sums, settle, slices, span_hash
 
 K = 48
-#: Different contexts of one K-gram that are sorted together, at most.
-HOT = 8192
-#: Bytes of contexts that a task sorts at once, unless one K-gram has more (HOT contexts at most).
-SORT_BYTES = 4 << 20
+#: Suffixes of one run that are sorted together, at most.
+HOT = 4096
+#: Suffixes that a task sorts at once, unless one run has more (HOT at most).
+SORTED = 8192
 _OTHER = mix(_BYTE)
 
 
@@ -78,28 +83,76 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int, k: int = K) -> tu
     return np.searchsorted(starts, start[first], side="right") - 1, place[first], start[first], start[last]
 
 
-def sort_equal(data: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
-    """Which of the strings data[b:b+length] equal another one, by multikey quicksort in keys of eight bytes: strings are
-    parted by their next eight bytes, and only parts with several strings go on."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    same = np.zeros(len(begin), bool)
-    live, group = np.arange(len(begin)), np.zeros(len(begin), np.int64)
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+def suffix_order(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of equally long rows of bytes in each group, and how many bytes each in it shares with the one before
+    (-1 for the first of a group). Multikey quicksort in keys of eight bytes: rows are parted by their next eight bytes,
+    and only parts with several rows go on."""
+    n, width = rows.shape
+    keys = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    keys[:, :width] = rows
+    keys = keys.view(">u8")
+    order = np.argsort(group, kind="stable")
+    #: a part is known by its first place in the order
+    part = np.searchsorted(group[order], group[order])
+    live = np.arange(n)
+    for column in range(keys.shape[1]):
+        live = live[np.bincount(part[live])[part[live]] > 1] if len(live) else live
         if not len(live):
-            return same
-        from_ = begin[live] + at
-        key = np.zeros(len(live), np.uint64)
-        for j in range(8):
-            key = key << np.uint64(8) | padded[from_ + j]
-        order = np.lexsort((key, group))
-        key, sorted_group = key[order], group[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (key[1:] != key[:-1]) | (sorted_group[1:] != sorted_group[:-1])
-        part = np.cumsum(new) - 1
-        several = np.bincount(part)[part] > 1
-        live, group = live[order][several], part[several]
-    same[live] = True
-    return same
+            break
+        key = keys[order[live], column]
+        by = np.lexsort((key, part[live]))
+        order[live], key = order[live][by], key[by]
+        new = np.ones(len(live), bool)
+        new[1:] = (key[1:] != key[:-1]) | (part[live][1:] != part[live][:-1])
+        part[live] = live[new][np.cumsum(new) - 1]
+    shared = np.full(n, -1)
+    if n > 1:
+        a, b = order[:-1], order[1:]
+        same = np.concatenate([rows[a] == rows[b], np.zeros((n - 1, 1), bool)], axis=1)
+        shared[1:] = np.where(group[a] == group[b], same.argmin(axis=1), -1)
+    return order, shared
+
+
+def repeated_windows(data: np.ndarray, begin: np.ndarray, at: np.ndarray, core: np.ndarray, more: np.ndarray, group: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each piece of data, which of its windows (0 to more) stand in another piece of its group, too. Pieces of a group
+    have the same `core` bytes, `at` bytes after their beginning."""
+    n = len(begin)
+    out = [np.zeros(0, np.int64)] * n
+    if not n:
+        return out
+    free = length - core  # bytes of a window beside its core
+    step = np.arange(int(free.max()))
+    size = more + length
+    padded = np.concatenate([data, np.zeros(1, np.uint8)])
+
+    def side(from_: np.ndarray, have: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place = np.where(step < have[:, None], from_[:, None] + sign * step, len(data))
+        order, shared = suffix_order(padded[place], group)
+        most = np.zeros(n, np.int64)
+        np.maximum.at(most, order, shared)
+        np.maximum.at(most, order[:-1], shared[1:])
+        return order, shared, most
+
+    after, before = side(begin + at + core, size - at - core, 1), side(begin + at - 1, at, -1)
+    #: window i has at - i bytes before the core; both sides must be shared so far with some other piece
+    first, last = np.maximum(0, at - before[2]), np.minimum(more, at + after[2] - free)
+    marks = np.zeros((n, int(more.max()) + 1), bool)
+    for x in range(len(step) + 1):
+        i = at - x
+        on = np.flatnonzero((first <= i) & (i <= last) & (x <= free))
+        if not len(on):
+            continue
+        runs = []
+        for order, shared, need in ((after[0], after[1], None), (before[0], before[1], x)):
+            #: where less is shared than the window needs, another run begins
+            need = free[order] - x if need is None else need
+            run = np.empty(n, np.int64)
+            run[order] = np.cumsum(shared < need)
+            runs.append(run[on])
+        _, which, count = np.unique(runs[0] * n + runs[1], return_inverse=True, return_counts=True)
+        same = on[count[which] > 1]
+        marks[same, i[same]] = True
+    return [np.flatnonzero(m) for m in marks]
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,125 +164,155 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.hash("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+
+
+#: A suffix: its lead and the piece of text under its windows (`more` and one), in which the lead begins at `at` and the
+#: anchor at `back`; `skip` windows of the context come before these; n copies.
+_PIECE = "gram long, context long, lead binary, piece binary, at int, back int, skip int, more int, n long"
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+_NAMES = [c.split()[0] for c in _PIECE.split(", ")]
 
 
 def repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> DataFrame:
     """doc_id, text -> doc_id, th (a hash of the text), runs (array of first and last start of repeated strings)."""
     rows = _rows(docs)
 
-    def find(whole: bool):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, starts = bytes_of(part.column("text"))
+                row, anchor, first, last = anchors(data, starts, length, k)
+                if not len(row):
+                    continue
+                gram = span_hash(prefix_sums(data), anchor, anchor + k)
+                #: the context's bytes, and where the anchor stands in it
+                context = mix(span_hash(other_sums(data), first, last + length) ^ mix((anchor - first).astype(np.uint64)))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), part.column("doc_id").take(take), part.column("th").take(take), pa.array((anchor - starts[row]).astype(np.int32)), pa.array((anchor - first).astype(np.int16)), pa.array((last - first).astype(np.int16))], names=["gram", "context", "doc_id", "th", "anchor", "back", "more"])
+
+    place = F.struct("doc_id", "th", "anchor")
+    anchored = settle(rows.mapInArrow(find, "gram long, context long, doc_id long, th long, anchor int, back short, more short"))
+    #: most grams are the only ones of their kind; of them, eight bytes are shuffled
+    repeated = settle(anchored.groupBy("gram").agg(F.count("*").alias("__n")).where("__n > 1"))
+    found = settle(join_hot(anchored, repeated, ["gram"], place, "left_semi"))
+    discard(anchored, repeated)
+    contexts = settle(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "anchor", "back", "more")).alias("one")))
+    grams = settle(contexts.groupBy("gram").agg(F.count("*").alias("__n")))
+    spots = F.struct("gram", "context", "one.anchor", "one.back", "one.more", "n", "different")
+    known = join_hot(contexts, grams.withColumn("different", F.col("__n")), ["gram"], F.col("context"))
+    wanted = settle(known.groupBy("one.doc_id", "one.th").agg(F.collect_list(spots).alias("spots")))
+    discard(contexts, grams)
+    w = wanted.alias("w")
+    near = rows.alias("d").join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))).select("d.text", "w.spots")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One copy of each context; of a suffix that is alone in its run the lead is enough."""
+        for batch in batches:
+            texts, spots = batch.column("text").to_pylist(), batch.column("spots")
+            inner, ends = spots.flatten(), np.cumsum(spots.value_lengths().to_numpy()).tolist()
+            gram, context, anchor, back, more, n, different = (inner.field(i).to_pylist() for i in range(7))
+            lead, piece, j = [], [], 0
+            for text, end in zip(texts, ends, strict=True):
+                data = text.encode()
+                for i in range(j, end):
+                    lead.append(data[anchor[i] : anchor[i] + k])
+                    piece.append(data[anchor[i] - back[i] : anchor[i] - back[i] + more[i] + length] if different[i] > 1 else b"")
+                j = end
+            if lead:
+                columns = [gram, context, lead, piece, back, back, [0] * len(lead), more, n]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)), pa.array(different, pa.int64())], names=[*_NAMES, "different"])
+
+    pieces = settle(near.mapInArrow(cut, _PIECE + ", different long"))
+    discard(wanted)
+
+    def narrow(width: int):
+        """Deal a suffix to the runs of narrower ranges: the windows that have from j * width bytes on before the anchor,
+        fewer than (j + 1) * width, share the bytes of the lead. The runs are named by two hashes of it."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text"):
-                    data, starts = bytes_of(part.column("text"))
-                    row, anchor, first, last = anchors(data, starts, length, k)
-                    if not len(row):
-                        continue
-                    gram = pa.array(span_hash(prefix_sums(data), anchor, anchor + k).view(np.int64))
-                    if not whole:
-                        yield pa.RecordBatch.from_arrays([gram], names=["gram"])
-                        continue
-                    #: the context's bytes, and where the anchor stands in it
-                    context = mix(span_hash(other_sums(data), first, last + length) ^ mix((anchor - first).astype(np.uint64)))
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([gram, pa.array(context.view(np.int64)), part.column("doc_id").take(take), part.column("th").take(take), pa.array((anchor - starts[row]).astype(np.int32)), pa.array((anchor - first).astype(np.int16)), pa.array((last - first).astype(np.int16))], names=["gram", "context", "doc_id", "th", "anchor", "back", "more"])
+                out = []
+                for gram, context, _, piece, _, back, skip, more, n in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
+                    for j in range((back - more) // width, back // width + 1):
+                        first, last = back - min(back, (j + 1) * width - 1), back - max(back - more, j * width)
+                        some, own = piece[first : last + length], back - first
+                        lead = some[own - j * width : own - j * width + length - width + 1]
+                        name = hashlib.blake2b(lead, digest_size=16).digest()
+                        out.append((gram, context, lead, some, own - j * width, own, skip + first, last - first, n, int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)))
+                if out:
+                    kinds = [*_KINDS, pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*_NAMES, "core", "core2"])
 
         return run
 
-    #: most K-grams are the only ones of their kind; of them, eight bytes are shuffled, and the rest goes no further
-    counted = rows.select("text").mapInArrow(find(False), "gram long").groupBy("gram").agg(F.count("*").alias("n"))
-    repeated = settle(counted.where("n > 1").select("gram"))
-    found = settle(rows.mapInArrow(find(True), "gram long, context long, doc_id long, th int, anchor int, back short, more short").join(repeated, "gram", "left_semi"))
-    one = F.struct("doc_id", "th", "anchor", "back", "more")
-    contexts = settle(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(one).alias("one")))
-    grams = contexts.groupBy("gram").agg(F.count("*").alias("different"))
-    known = settle(contexts.join(grams, "gram"))
-    full = known.where("n > 1").select("gram", "context", F.array(F.struct(F.lit(0).alias("first"), F.col("one.more").cast("int").alias("last"))).alias("runs"))
-    several = known.where("different > 1").select("gram", "context", "different", "n", "one.*")
-
-    #: the text around one copy of each context; a context occurring n > 1 times is in `full` already, but others may equal parts of it
-    wanted = several.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "context", "anchor", "back", "more", (F.col("different") > hot).alias("hot"), (F.col("n") > 1).alias("known"))).alias("spots")).alias("w")
-    near = rows.alias("d").join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))).select("d.text", "w.spots")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for text, spots in zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist(), strict=True):
-                data = text.encode()
-                for s in spots:
-                    begin = s["anchor"] - s["back"]
-                    piece = data[begin : begin + s["more"] + length]
-                    for column, value in zip(out, (s["gram"], s["context"], piece[s["back"] : s["back"] + k], piece, s["back"], s["more"], s["hot"], s["known"]), strict=True):
-                        column.append(value)
-            if out[0]:
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["gram", "context", "lead", "piece", "back", "more", "hot", "known"])
-
-    pieces = settle(near.mapInArrow(cut, "gram long, context long, lead binary, piece binary, back int, more int, hot boolean, known boolean").dropDuplicates(["gram", "context"]))
-    spans = "gram long, context long, runs array<struct<first: int, last: int>>"
-
-    def out_of(gram: list, context: list, owner: np.ndarray, offset: np.ndarray) -> pa.RecordBatch | None:
-        """Repeated window offsets, sorted by owner, as runs."""
-        rows_, ends = [], np.flatnonzero(np.diff(owner)) + 1
-        for part in np.split(np.arange(len(owner)), ends) if len(owner) else []:
-            a, b = _runs(offset[part])
-            o = owner[part[0]]
-            rows_.append((gram[o], context[o], [{"first": int(x), "last": int(y)} for x, y in zip(a, b, strict=True)]))
-        if not rows_:
-            return None
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_, strict=True), kinds, strict=True)], names=["gram", "context", "runs"])
+    spans = "gram long, context long, n long, runs array<struct<first: int, last: int>>"
+    ready, rest, whole = pieces.where(F.col("different") <= hot).select(*_NAMES), pieces.where(F.col("different") > hot).select(*_NAMES), None
+    widest = length - k + 1
+    for width in (-(-widest // 9), 1):
+        if rest.isEmpty():
+            break
+        split = settle(rest.mapInArrow(narrow(width), _PIECE + ", core long, core2 long"))
+        names, where = ["core", "core2"], F.struct("gram", "context", "skip")
+        if width > 1:
+            sizes = settle(split.groupBy(*names).agg(F.count("*").alias("__n")))
+            split = settle(join_hot(split, sizes.withColumn("different", F.col("__n")), names, where))
+            ready = ready.unionByName(split.where(F.col("different") <= hot).select(*_NAMES))
+            rest = split.where(F.col("different") > hot).select(*_NAMES)
+        else:
+            #: the lead is the window: its run has only equal strings
+            again = split.groupBy(*names).agg(F.count("*").alias("__n"), F.min("context").alias("lo"), F.max("context").alias("hi"), F.max("n").alias("most"))
+            again = settle(again.where((F.col("lo") < F.col("hi")) | (F.col("most") > 1)).select(*names, "__n"))
+            whole = join_hot(split.drop("lead", "piece"), again, names, where, "left_semi").select("gram", "context", "n", F.array(F.struct(F.col("skip").alias("first"), F.col("skip").alias("last"))).alias("runs"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list[tuple]) -> pa.RecordBatch | None:
-            gram, context, _, piece, _, more, known = zip(*held, strict=True)
+            lead, context, skip, gram, piece, at, more, n = zip(*held, strict=True)
+            run = np.cumsum([0, *(a != b for a, b in zip(lead[1:], lead[:-1], strict=True))])
+            several = np.flatnonzero(np.bincount(run)[run] > 1)
             data = np.frombuffer(b"".join(piece), np.uint8)
-            begin = np.cumsum([0, *map(len, piece)])[:-1]
-            count = np.array(more) + 1
-            owner = np.repeat(np.arange(len(held)), count)
-            offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            #: windows with the same bytes but another anchor place can't be: the anchor follows from the bytes
-            same = sort_equal(data, begin[owner] + offset, length) & ~np.array(known)[owner]
-            return out_of(gram, context, owner[same], offset[same])
-
-        held, size, lead = [], 0, None
+            sizes = np.array(list(map(len, piece)))
+            begin = np.cumsum(sizes) - sizes
+            core = np.array(list(map(len, lead)))
+            windows = repeated_windows(data, begin[several], np.array(at)[several], core[several], np.array(more)[several], run[several], length)
+            found = dict(zip(several.tolist(), windows, strict=True))
+            out = []
+            for i in range(len(held)):
+                if n[i] > 1:
+                    out.append((gram[i], context[i], n[i], [{"first": skip[i], "last": skip[i] + more[i]}]))
+                elif i in found and len(found[i]):
+                    a, b = _runs(found[i])
+                    out.append((gram[i], context[i], n[i], [{"first": int(x) + skip[i], "last": int(y) + skip[i]} for x, y in zip(a, b, strict=True)]))
+            if not out:
+                return None
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "context", "n", "runs"])
+
+        held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "lead", "piece", "back", "more", "known")), strict=True):
-                if size >= SORT_BYTES and row[2] != lead:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "context", "skip", "gram", "piece", "at", "more", "n")), strict=True):
+                if held and row[:3] == held[-1][:3]:
+                    continue  # repeated rows of one document gave the same suffix
+                if len(held) >= SORTED and row[0] != held[-1][0]:
                     if (b := solve(held)) is not None:
                         yield b
-                    held, size = [], 0
-                lead = row[2]
+                    held = []
                 held.append(row)
-                size += len(row[3])
         if held and (b := solve(held)) is not None:
             yield b
 
-    ordered = pieces.where("not hot").repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lead").sortWithinPartitions("lead")
-    sorted_out = ordered.mapInArrow(sort, spans)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, starts = bytes_of(batch.column("piece"))
-            more = np.asarray(batch.column("more"))
-            owner = np.repeat(np.arange(len(more)), more + 1)
-            offset = np.arange(len(owner)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-            begin = starts[owner] + offset
-            a, b = span_hash(prefix_sums(data), begin, begin + length), span_hash(other_sums(data), begin, begin + length)
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([batch.column("gram").take(take), batch.column("context").take(take), pa.array(offset.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column("known").take(take)], names=["gram", "context", "offset", "a", "b", "known"])
-
-    windows = pieces.where("hot").mapInArrow(explode, "gram long, context long, offset int, a long, b long, known boolean")
-    twice = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    singles = windows.where("not known").join(twice, ["a", "b"]).select("gram", "context", F.array(F.struct(F.col("offset").alias("first"), F.col("offset").alias("last"))).alias("runs"))
-    hot_out = singles.groupBy("gram", "context").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-
-    spans_of = full.unionByName(sorted_out).unionByName(hot_out)
-    marked = found.join(spans_of, ["gram", "context"])
+    ordered = ready.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lead").sortWithinPartitions("lead", "context", "skip")
+    spans_of = settle(ordered.mapInArrow(sort, spans))
+    if whole is not None:
+        spans_of = settle(spans_of.unionByName(whole))
+    discard(pieces)
+    marked = join_hot(found, spans_of.withColumnRenamed("n", "__n"), ["gram", "context"], place)
     begin = F.col("anchor") - F.col("back")
     runs = F.transform("runs", lambda r: F.struct((r["first"] + begin).alias("first"), (r["last"] + begin).alias("last")))
-    return marked.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(runs)).alias("runs"))
+    #: sets, as repeated rows have the same ones
+    out = settle(marked.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(runs)).alias("runs")))
+    discard(found, spans_of)
+    return out
 
 
 def _merge(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -247,7 +330,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, k: int = K, hot: int =
     """A row for each document: doc_id, text, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the remaining bytes
     without those that are no whole character), spans (byte offsets), and the columns named by `keep`."""
     found = repeats(docs, length, k, hot).alias("r")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), *keep)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), *keep)
     #: columns by other names than the operator's own
     extra = {f"__{i}": c for i, c in enumerate(keep)}
     rows = rows.select("doc_id", "text", "th", *(F.col(c).alias(n) for n, c in extra.items()))
