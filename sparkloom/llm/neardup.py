@@ -1,17 +1,20 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
-A document is the set of its shingles; documents with equal sets are one class, found by hash. A signature has COORDINATES
-coordinates, each the least of THREEFOLD independent hashes over the set, so two sets agree in one with their similarity
-to the power THREEFOLD. Representatives are posted under each coordinate and value; values that only one has are dropped
-in the join. In a list, agreements of all single hashes are counted and pairs below MATCHES are skipped.
-
-No list emits all its pairs. First a list gives a maximum spanning forest of its pairs, at most one pair a document; they
-are confirmed on full sets and joined to components. Then in lists that still hold several components, pairs between
-components are looked at, each in the first list that both share (by the full keys); the documents concerned (not the pairs) are sent to one
-place with their texts, and only links that join components come out. Long lists are dealt in blocks.
-
-A link at similarity 0.75 is missed with a probability below 1e-6: that no coordinate agrees, or fewer than MATCHES of
-the 144 hashes (108 expected, deviation 5.2) do.
+A document is the set of its shingles; documents with equal sets are one class, found by hash, and only classes go on. A
+signature has COORDINATES coordinates, each of the least of THREEFOLD independent hashes over the set, so two sets agree
+in one with their similarity to the power THREEFOLD. A pair is retained if MATCHES coordinates collide. So it collides in
+the first COORDINATES - MATCHES + 1 (the prefix) at least once, and classes are posted under these coordinates' values
+only; values that only one class has are dropped. In a list, collisions are counted by merging the members' posting lists;
+the MATCHES - 1 longest of them are skipped in the merge and looked up for its candidates only.
+
+No list emits all its pairs. First each list, in blocks, gives a spanning forest of its pairs, at most one pair a class;
+they are confirmed on full sets and joined to components. Then in lists that still hold several components, pairs between
+components are looked at, each in the first list that both share (by the lists' full keys): blocks of the list's largest
+component meet the blocks of the others, and never each other. The classes concerned (not the pairs) are sent to one place
+with their texts, and only links that join components come out. A block is bounded in classes and in shingles.
+
+A link at similarity 0.75 is missed with a probability of 1.6e-6: that fewer than MATCHES of 48 coordinates collide, each
+of which does with 0.75 ** 3. Tests measure it.
 
 Defined results: without words a document has no shingles, links nothing and is kept; with fewer words than a shingle,
 the whole sequence is one. A row is known by doc_id and a hash of its text, so rows with one doc_id and different texts
@@ -26,15 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, SPACES, bytes_of, mix, prefix_sums, settle, slices, span_hash, words_of
+from sparkloom.llm.common import LOWER, SPACES, bytes_of, discard, join_hot, mix, prefix_sums, settle, slices, span_hash, words_of
 from sparkloom.llm.components import connected_components
 
-SHINGLE, COORDINATES, THREEFOLD, MATCHES = 5, 48, 3, 80
-#: Documents of a list that meet in one task.
-BLOCK = 2048
+SHINGLE, COORDINATES, THREEFOLD, MATCHES = 5, 48, 3, 6
+#: Collisions of pairs that a list's forest is made of; the likelier links, others are found between components.
+LIKELY = 14
+#: Classes and shingles of a block; blocks meet in one task two at a time.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: Members of a list up to which their signatures are merged coordinate by coordinate, without posting lists.
+FEW = 24
 #: What a row is known by, never null: whether it has no doc_id, the doc_id or 0, and a hash of the text.
 ROW = ["_unknown", "_id", "_hash"]
 _A, _B = np.random.default_rng(7).integers(0, 1 << 64, (2, COORDINATES * THREEFOLD), dtype=np.uint64)
@@ -80,7 +87,7 @@ def with_row(docs: DataFrame) -> DataFrame:
 
 
 def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, text -> doc_id, the columns of ROW, n, s1, s2 (hashes of the set), keys (coordinate values), sig (a byte of every hash)."""
+    """doc_id, text -> doc_id, the columns of ROW, n, s1, s2 (hashes of the set), keys (coordinate values)."""
     salt = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,40 +102,77 @@ def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                             keys = salt
                             for j in range(THREEFOLD):
                                 keys = mix(keys * np.uint64(31) + three[:, j])
-                            rows.append((len(s), int(s.sum().view(np.int64)), int(mix(s).sum().view(np.int64)), keys.view(np.int64), (least & np.uint64(255)).astype(np.uint8).tobytes()))
+                            rows.append((len(s), int(s.sum().view(np.int64)), int(mix(s).sum().view(np.int64)), keys.view(np.int64)))
                         else:
-                            rows.append((0, 0, 0, None, None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *ROW)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *ROW, "n", "s1", "s2", "keys", "sig"])
+                            rows.append((0, 0, 0, None))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *ROW)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *ROW, "n", "s1", "s2", "keys"])
 
     rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return rows.mapInArrow(run, "doc_id long, _unknown boolean, _id long, _hash long, n long, s1 long, s2 long, keys array<long>, sig binary")
-
-
-def _forest(sigs: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """A maximum spanning forest over agreements of at least `least` (Prim)."""
-    n = len(sigs)
-    best, near, todo = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool)
-    todo[0], last, out = False, 0, []
-    for _ in range(n - 1):
-        rest = np.flatnonzero(todo)
-        same = (sigs[rest] == sigs[last]).sum(axis=1)
-        better = same > best[rest]
-        best[rest[better]], near[rest[better]] = same[better], last
-        last = int(rest[np.argmax(best[rest])])
-        todo[last] = False
-        if best[last] >= least:
-            out.append((int(near[last]), last))
+    return rows.mapInArrow(run, "doc_id long, _unknown boolean, _id long, _hash long, n long, s1 long, s2 long, keys array<long>")
+
+
+class Collisions:
+    """Counts, for the members of a list, the coordinates in which they collide."""
+
+    def __init__(self, values: np.ndarray, least: int) -> None:
+        """values: a row of coordinate values a member; pairs of `least` collisions are retained."""
+        self.values, self.least = values, least
+        n = len(values)
+        if n > FEW:
+            #: a posting list for each coordinate and value, its members in order; where each member stands in its lists
+            order = np.argsort(values, axis=0, kind="stable")
+            ordered = np.take_along_axis(values, order, axis=0)
+            new = np.ones(values.shape, bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            begin = np.maximum.accumulate(np.where(new, np.arange(n)[:, None], 0), axis=0)
+            self.begin, self.place = np.empty_like(begin), np.empty_like(begin)
+            np.put_along_axis(self.begin, order, begin, axis=0)
+            np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
+            self.order = np.ascontiguousarray(order.T)
+
+    def before(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The members before i that collide with it often enough, and how often."""
+        if len(self.values) <= FEW:
+            count = (self.values[:i] == self.values[i]).sum(axis=1)
+            near = np.flatnonzero(count >= self.least)
+            return near, count[near]
+        begin, end = self.begin[i], self.place[i]
+        by_length = np.argsort(begin - end, kind="stable")  # the longest first
+        skipped, merged = by_length[: self.least - 1], by_length[self.least - 1 :]
+        count = np.bincount(np.concatenate([self.order[c, begin[c] : end[c]] for c in merged]), minlength=1)
+        near = np.flatnonzero(count)
+        count = count[near] + (self.values[np.ix_(near, skipped)] == self.values[i, skipped]).sum(axis=1)
+        enough = count >= self.least
+        return near[enough], count[enough]
+
+
+def _forest(values: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """A spanning forest over pairs of at least `least` collisions: each member hangs on every tree that it has pairs
+    with, by the pair of most collisions (of ties the first)."""
+    found, tree, out = Collisions(values, least), np.arange(len(values)), []
+    for i in range(1, len(values)):
+        near, count = found.before(i)
+        if not len(near):
+            continue
+        by = np.lexsort((near, -count, tree[near]))
+        trees, first = np.unique(tree[near][by], return_index=True)
+        out += [(int(j), i) for j in near[by][first]]
+        tree[np.isin(tree[:i], trees).nonzero()[0]] = i
     return out
 
 
-def _lists(live: DataFrame, block: int) -> DataFrame:
-    """Deal lists to tasks: short ones whole, long ones as pairs of blocks, so that any two of a list meet."""
-    blocks = F.ceil(F.col("df") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    other = F.sequence(F.lit(0), blocks - 1)
-    pair = F.transform(other, lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    return live.withColumn("own", own).withColumn("cell", F.explode(pair)).repartition("key", "cell").sortWithinPartitions("key", "cell", "rep")
+def _blocks(n: str, shingles: str, block: int) -> Column:
+    return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _own(blocks: Column) -> Column:
+    """The block of a class in a list; other lists deal it with others, so that blocks of a group are joined over lists."""
+    return F.pmod(F.xxhash64("key", "rep"), blocks).cast("int")
+
+
+def _in_order(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("key", "cell").sortWithinPartitions("key", "cell", "rep")
 
 
 def _values(column: pa.Array) -> list:
@@ -142,7 +186,7 @@ def _by_list(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
     held, now = [], None
     for batch in batches:
         for row in zip(*(_values(batch.column(c)) for c in columns), strict=True):
-            mark = (row[0], row[1]["i"], row[1]["j"])
+            mark = row[:2]
             if mark != now:
                 if len(held) > 1:
                     yield held
@@ -193,58 +237,67 @@ def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches:
     """The columns of ROW and of near_duplicates."""
     sketches = settle(sketch(docs, size))
     sets = ["s1", "s2", "n"]
-    #: a set's own number stands for it until the end, as ids may be missing or repeated; it has the texts of its least row
-    classes = settle(sketches.where("n > 0").groupBy(*sets).agg(F.min(F.struct(*ROW)).alias("row")).withColumn("rep", F.monotonically_increasing_id()))
-    #: all documents are posted under their set's hash, so that no sketch moves; one shuffle by key serves count and join,
-    #: and a key has at most one row in COORDINATES
-    posted = sketches.where("n > 0").select("s1", F.posexplode("keys").alias("at", "key"))
-    posted = posted.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    lists = posted.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("key")
-    found = settle(posted.join(lists, "key").distinct())
-    live = found.join(classes.select("s1", "rep"), "s1").select("key", "at", "rep")
-    live = settle(live.join(live.groupBy("key").agg(F.count("*").alias("df")), "key"))
-    heads = settle(classes.join(live.select("rep").distinct(), "rep").select("rep", "n", "row.*"))
-    ids = settle(sketches.where("n > 0").select(*ROW, "sig", "keys").join(heads, ROW).dropDuplicates(ROW).drop(*ROW))
+    some = sketches.where("n > 0")
+    #: a class's own number stands for it until the end, as ids may be missing or repeated; it has the texts of its least row
+    classes = settle(some.groupBy(*sets).agg(F.min(F.struct(*ROW)).alias("row"), F.first("keys").alias("keys"), F.count("*").alias("members")).withColumn("rep", F.monotonically_increasing_id()))
+    prefix = COORDINATES - matches + 1
+    posted = classes.select("rep", "n", F.posexplode(F.slice("keys", 1, prefix)).alias("at", "key"))
+    lists = settle(posted.groupBy("key").agg(F.count("*").alias("df"), F.sum("n").alias("shingles")).where("df > 1").withColumn("__n", F.col("df")))
+    live = settle(join_hot(posted, lists, ["key"], F.col("rep")))
+    #: of every coordinate's value 31 bits are counted; the lists themselves have the full ones
+    narrow = F.transform("keys", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    ids = settle(classes.join(live.select("rep").distinct(), "rep", "left_semi").select("rep", "row.*", "n", narrow.alias("vals"), "keys"))
     rows = with_row(docs.select("doc_id", F.col("text").cast("string").alias("text"))).drop("doc_id")
     #: texts move once; always by a shuffle, as the number of ids has no bound, so that small and large inputs take one plan
-    texts = settle(rows.hint("merge").join(heads, ROW).dropDuplicates(ROW).drop(*ROW))
+    texts = settle(rows.hint("merge").join(ids.select(*ROW, "rep", "n"), ROW).dropDuplicates(ROW).drop(*ROW))
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for held in _by_list(batches, ["key", "cell", "rep", "sig"]):
-            sigs = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
-            out += [(held[i][2], held[j][2]) for i, j in _forest(sigs, matches)]
+        for held in _by_list(batches, ["key", "cell", "rep", "vals"]):
+            out += [(held[i][2], held[j][2]) for i, j in _forest(np.stack([r[3] for r in held]), max(matches, LIKELY))]
             if len(out) >= 5000:
                 yield _pairs(out)
                 out = []
         if out:
             yield _pairs(out)
 
-    dealt = _lists(live.join(ids.drop("keys"), "rep"), block)
-    first = settle(dealt.select("key", "cell", "rep", "sig").mapInArrow(forests, "a long, b long").where("a < b").distinct())
+    #: every posting is dealt once, to its own block
+    dealt = live.join(ids.select("rep", "vals"), "rep").withColumn("cell", _own(_blocks("df", "shingles", block)))
+    first = settle(_in_order(dealt.select("key", "cell", "rep", "vals")).mapInArrow(forests, "a long, b long").where("a < b").distinct())
     links = settle(confirm(first, texts, similarity, size))
-    parts = connected_components(links)
+    parts = settle(connected_components(links))
+    discard(first, links)
 
     #: what the forests left: lists over several components
-    labelled = live.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_lists = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    labelled = live.drop("df", "shingles").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_ = labelled.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    open_ = open_.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("k", "w", "component")).alias("m"), F.sum("k").alias("__n"), F.sum("w").alias("all_w")).where("parts > 1")
+    open_ = open_.select("key", "__n", F.col("m.component").alias("main"), F.col("m.k").alias("mk"), F.col("m.w").alias("mw"), (F.col("__n") - F.col("m.k")).alias("sk"), (F.col("all_w") - F.col("m.w")).alias("sw"))
+    open_ = settle(open_.withColumns({"m_blocks": _blocks("mk", "mw", block), "s_blocks": _blocks("sk", "sw", block)}).select("key", "__n", "main", "m_blocks", "s_blocks"))
+    labelled = settle(join_hot(labelled, open_, ["key"], F.col("rep")))
+    #: a list that fits one block is one cell; else blocks of the main component come first and meet the others' only
+    alone = F.col("m_blocks") + F.col("s_blocks") == 2
+    main = F.col("component") == F.col("main")
+    own = F.when(main, _own(F.col("m_blocks"))).otherwise(F.col("m_blocks") + _own(F.col("s_blocks")))
+    own = F.when(alone, 0).otherwise(own)
+    others = F.sequence(F.when(main, F.col("m_blocks")).otherwise(F.lit(0)), F.col("m_blocks") + F.col("s_blocks") - 1)
+    pair = F.transform(others, lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    again = labelled.withColumn("own", own).withColumn("cell", F.explode(F.when(alone, one).otherwise(pair)))
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         out: list[tuple] = []
-        for held in _by_list(batches, ["key", "cell", "rep", "sig", "component", "at", "own", "spot", "before"]):
-            sigs = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
+        for held in _by_list(batches, ["key", "cell", "rep", "vals", "component", "at", "own", "spot", "before"]):
+            found = Collisions(np.stack([r[3] for r in held]), matches)
             part, own, at, cell, spot = np.array([r[4] for r in held]), np.array([r[6] for r in held]), held[0][5], held[0][1], held[0][7]
             before = np.stack([r[8] for r in held])
             partners: dict[int, list[int]] = {}
-            for i in range(len(held) - 1):
-                far = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+            for i in range(1, len(held)):
+                far = found.before(i)[0]
+                far = far[part[far] != part[i]]
                 if cell["i"] != cell["j"]:  # pairs inside a block are those of its own cell
                     far = far[own[far] != own[i]]
-                if not len(far):
-                    continue
-                same = sigs[far] == sigs[i]
-                far = far[same.sum(axis=1) >= matches]
                 if at and len(far):  # a pair comes from the first list that both share, by the lists' full keys
                     far = far[~(before[far] == before[i]).any(axis=1)]
                 if len(far):
@@ -296,8 +349,9 @@ def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches:
             yield _pairs(out)
 
     spot = F.xxhash64("key", "cell.i", "cell.j")
-    again = _lists(labelled.join(open_lists, "key").join(ids, "rep"), block).withColumn("spot", spot).withColumn("before", F.expr("slice(keys, 1, at)"))
-    second = again.select("key", "cell", "rep", "sig", "component", "at", "own", "spot", "before").mapInArrow(between, "spot long, rep long, component long, partners array<long>")
+    again = again.join(ids.select("rep", "vals", "keys"), "rep").withColumn("spot", spot).withColumn("before", F.expr("slice(keys, 1, at)"))
+    again = _in_order(again.select("key", "cell", "rep", "vals", "component", "at", "own", "spot", "before"))
+    second = again.mapInArrow(between, "spot long, rep long, component long, partners array<long>")
     met = second.join(texts.select("rep", "text"), "rep").select("spot", "rep", "component", "partners", "text")
     more = settle(met.repartition("spot").sortWithinPartitions("spot", "rep").mapInArrow(confirm_all, "a long, b long"))
     name = lambda c, as_: parts.select(F.col("node").alias(c), F.col("component").alias(as_))
@@ -306,8 +360,14 @@ def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches:
     final = parts.join(tops.withColumnRenamed("component", "top"), parts["component"] == tops["node"], "left").select(parts["node"].alias("rep"), F.coalesce("top", "component").alias("component"))
     lone = tops.join(parts.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), "component")
     final = settle(final.unionByName(lone))
-    tops = classes.join(final, "rep").groupBy("component").agg(F.min("row").alias("top"))
-    named = classes.join(final, "rep", "left").join(tops, "component", "left").select(*sets, F.coalesce("top", "row").alias("top"))
-    out = sketches.select("doc_id", *ROW, *sets).join(named, sets, "left").withColumn("top", F.coalesce("top", F.struct(*ROW)))
+    discard(live, labelled, open_, ids, texts, more, lists)
+    joined = classes.drop("keys").join(final, "rep")
+    tops = joined.groupBy("component").agg(F.min("row").alias("top"), F.count("*").alias("__n"))
+    joined = join_hot(joined, tops, ["component"], F.col("rep")).select(*sets, "top")
+    named = settle(classes.select(*sets, F.col("row").alias("own"), F.col("members").alias("__n")).join(joined, sets, "left").select(*sets, F.coalesce("top", "own").alias("top"), "__n"))
+    out = join_hot(some.select("doc_id", *ROW, *sets), named, sets, F.struct(*ROW))
+    none = sketches.where("n = 0").select("doc_id", *ROW, *sets, F.struct(*ROW).alias("top"))
+    out = out.select("doc_id", *ROW, *sets, "top").unionByName(none)
+    discard(classes, parts, final)
     component = F.when(~F.col("top._unknown"), F.col("top._id"))
     return out.select(*ROW, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("top") == F.struct(*ROW)).alias("kept"))

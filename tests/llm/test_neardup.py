@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from sparkloom.llm.components import connected_components
-from sparkloom.llm.neardup import _forest, near_duplicates
+from sparkloom.llm.neardup import COORDINATES, FEW, MATCHES, Collisions, _forest, near_duplicates, shingle_sets, signature
 
 
 def brute(texts):
@@ -45,20 +45,74 @@ def test_components(spark):
 
 
 def test_forest_has_fewer_pairs_than_documents():
-    sigs = np.repeat(np.arange(3, dtype=np.uint8), 5)[:, None] * np.ones(144, np.uint8)
-    assert len(_forest(sigs, 80)) == 12
-
-
-def test_chance_agreement_of_bytes_is_no_shared_list(docs_of):
-    """a and c share one list alone, the fifth, where b hides their pair from the forest; at an earlier coordinate their bytes agree, their keys don't."""
+    for copies in (5, 40):
+        values = np.repeat(np.arange(3), copies)[:, None] * np.ones(COORDINATES, np.int32)
+        assert len(_forest(values, 14)) == 3 * (copies - 1)
+
+
+def test_counting_by_postings_equals_comparing():
+    """Long lists are merged by posting lists, the longest skipped; every pair over the threshold comes with its count."""
+    r = np.random.default_rng(6)
+    for n, kinds in ((FEW + 1, 2), (300, 3), (300, 60), (200, 1)):
+        values = r.integers(0, kinds, (n, COORDINATES)).astype(np.int32)
+        for least in (1, MATCHES, 20):
+            found = Collisions(values, least)
+            for i in range(1, n):
+                want = (values[:i] == values[i]).sum(axis=1)
+                near, count = found.before(i)
+                assert list(near) == list(np.flatnonzero(want >= least)) and list(count) == list(want[near])
+
+
+def test_chance_agreement_is_no_shared_list(docs_of):
+    """a and c share one list alone, the fifth, where b hides their pair from the forest."""
     a = [34026, 66863, 37914, 90840, 24087, 98429, 17691, 84248, 86657, 48443, 98769, 2465, 39956]
     b = [24087, 37914, 86657, 39956, 17691, 75334, 56081, 36913, 222]
     c = [34026, 66863, 37914, 90840, 24087, 98429, 75334, 3682, 41647, 56081, 56764, 36913, 94876]
     docs = docs_of([" ".join(f"w{i}" for i in x) for x in (a, b, c)])
-    got = near_duplicates(docs, similarity=30, size=1, matches=12).orderBy("doc_id").collect()
+    got = near_duplicates(docs, similarity=30, size=1, matches=1).orderBy("doc_id").collect()
     assert [(r["component_id"], r["kept"]) for r in got] == [(0, True), (1, True), (0, False)]
 
 
+def test_recall_of_pairs_just_over_the_threshold(docs_of):
+    """2,000 pairs, no two of which are alike, at similarities from 0.75: all that brute force links are found."""
+    r = np.random.default_rng(9)
+    texts = []
+    for i in range(2000):
+        words = [f"p{i}x{j}" for j in range(r.integers(40, 120))]
+        #: a changed word takes five shingles on either side, so this many reach 0.75 and not much more
+        shingles = len(words) - 4
+        cut = words[: len(words) - (shingles - int(np.ceil(0.75 * shingles)))]
+        texts += [" ".join(words), " ".join(cut)]
+    got = near_duplicates(docs_of(texts)).collect()
+    found = sum(x["component_id"] == x["doc_id"] - 1 for x in got if x["doc_id"] % 2)
+    assert found / 2000 >= 0.999 and all(x["kept"] for x in got if x["doc_id"] % 2 == 0)
+
+
+def test_signatures_miss_what_the_binomial_says():
+    """Share of pairs at 0.75 to 0.76 whose coordinates collide fewer than MATCHES times: none of 3,000."""
+    import pyarrow as pa
+
+    r, least = np.random.default_rng(10), COORDINATES
+    for i in range(3000):
+        n = int(r.integers(100, 200))
+        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = a[: int(np.ceil(0.75 * n))]
+        with np.errstate(over="ignore"):
+            x, y = (signature(v).reshape(COORDINATES, -1) for v in (a, b))
+        least = min(least, int((x == y).all(axis=1).sum()))
+    assert least >= MATCHES
+    assert [len(v) for v in shingle_sets(pa.array([None, "", "a b", "a b c d e f"]))] == [0, 0, 1, 2]
+
+
+def test_very_long_texts_and_large_groups(docs_of):
+    """Near copies of 300,000 words beside a group of 300 near copies, in blocks of 50."""
+    words = [f"w{i}" for i in range(300_000)]
+    base = [f"g{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:-5] + ["x"])] + [" ".join([*base, f"t{i}"]) for i in range(300)]
+    got = near_duplicates(docs_of(texts), block=50).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0} | {i: 2 for i in range(2, 302)}
+
+
 def test_null_and_repeated_ids(docs_of):
     """Documents without an id are linked and kept like others; two texts under one id are two documents."""
     words = [f"w{i}" for i in range(60)]
