@@ -1,6 +1,6 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Every document has a 64-bit hash. Sizes are summed by source and hash bucket; the bucket in which a source's budget
+Every document has a hash of 36 bits. Sizes are summed by source and hash bucket; the bucket in which a source's budget
 runs out is found from running sums, and only that bucket is summed again by finer buckets. After `LEVELS` rounds a
 source has one hash threshold: documents whose hash is below it are taken once more than the others. Thresholds are
 nested: a larger budget takes a superset. No document is sorted, and a hot source is pre-summed in each task.
@@ -54,12 +54,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
     A source's target is n whole passes over it and a rest; `taken` is n times the size, and once more for documents
     below the source's threshold, chosen so that the words taken come nearest to the target.
     """
-    h = F.xxhash64(F.lit(seed), "doc_id", F.col("text"))
+    #: the leading bits of a digest, which other engines can compute as well
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
     #: texts are read once; what follows works on four short columns
-    base = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), h.bitwiseAND(F.lit((1 << 62) - 1)).alias("h")))
+    base = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), h.alias("h")))
 
     def bucket(level: int) -> Column:
-        return F.shiftright("h", 62 - BITS * (level + 1))
+        return F.shiftright("h", BITS * (LEVELS - 1 - level))
 
     by_source = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -69,7 +70,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
     #: a row a source, settled between levels, so that no level computes those before again
     edge = settle(state.withColumns({"below": F.lit(0).cast("long"), "edge": F.lit(0).cast("long")}))
     for level in range(LEVELS):
-        at_edge = F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", 62 - BITS * level) == F.col("edge"))
+        at_edge = F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", BITS * (LEVELS - level)) == F.col("edge"))
         inside = base.join(edge.select(F.col("source").alias("s"), "edge"), at_edge, "left_semi") if level else base
         sums = inside.groupBy("source", bucket(level).alias("bucket")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy("bucket")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, decontamination, fingerprints, mixing, neardup, quality, substrings, tokens, urls, warc
+from sparkloom.llm.oracles import ORACLE_SQL  # noqa: F401
 from sparkloom.session import table
 
 
@@ -75,4 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_urls": op9_urls,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {}
