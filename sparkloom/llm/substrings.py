@@ -35,7 +35,7 @@ from sparkloom.llm.common import _BYTE, bytes_of, discard, join_hot, mix, powers
 
 K = 48
 #: Suffixes of one run that are sorted together, at most.
-HOT = 4096
+HOT = 1024
 #: Suffixes that a task sorts at once, unless one run has more (HOT at most).
 SORTED = 8192
 _OTHER = mix(_BYTE)
