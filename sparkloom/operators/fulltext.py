@@ -9,7 +9,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -24,6 +24,30 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(lexemes(F.col(text))).alias("at", "lexeme"))
 
 
+def write_index(docs: DataFrame, path: str, key: str = "id", text: str = "content") -> None:
+    """An inverted index: lexeme, key, n (positions), range-partitioned and sorted by lexeme, so that a search for a prefix
+    reads few row groups. Frequent lexemes are spread by key."""
+    rows = docs.select(F.col(key).alias("key"), F.explode(lexemes(F.col(text))).alias("lexeme")).groupBy("key", "lexeme").agg(F.count("*").alias("n"))
+    rows.repartitionByRange("lexeme", "key").sortWithinPartitions("lexeme", "key").write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def search_index(index: DataFrame, docs: DataFrame, query: str, k: int, key: str = "id", text: str = "content", prefix: bool = True) -> DataFrame:
+    """The same rows as `search_any`, from an index; the texts are read only if no lexeme matches."""
+    words = terms(query)
+    if words:
+        lexeme = F.col("lexeme")
+        hit = reduce(lambda a, b: a | b, ((lexeme.startswith(w) if prefix else lexeme == w) for w in words))
+        best = index.where(hit).groupBy(F.col("key").alias(key)).agg((F.sum("n") * 0.1).alias("score")).orderBy(F.desc("score"), key).limit(k)
+        if not index.where(hit).isEmpty():
+            return best
+    held = docs.where(F.col(text).ilike(f"%{query}%"))
+    return held.select(key, F.lit(0.1).alias("score")).orderBy(key).limit(k)
+
+
 def sanitize(query: str) -> str:
     """Characters with a meaning in search syntax become blanks; blanks are collapsed."""
     return re.sub(r"\s+", " ", re.sub(r"[^\w\s.\-/~?`\u0080-\U0010ffff]", " ", query)).strip()
@@ -42,6 +66,12 @@ def or_query(query: str, prefix: bool = True) -> str:
     return " | ".join(f"{t}:*" if prefix else t for t in terms(query))
 
 
+def or_query_column(text: Column, least: int = 2) -> Column:
+    """The prefix query of each row's text: its distinct words of at least `least` characters, joined by `|`."""
+    words = F.array_distinct(F.filter(F.split(F.lower(sanitize_column(text)), " "), lambda w: F.length(w) >= least))
+    return F.array_join(F.transform(words, lambda w: F.concat(w, F.lit(":*"))), " | ")
+
+
 def n_matches(tokens: Column, words: Sequence[str], prefix: bool = True) -> Column:
     """Positions of an array of lexemes that match one of the words."""
     hit = lambda t: reduce(lambda a, b: a | b, ((t.startswith(w) if prefix else t == w) for w in words))
@@ -84,17 +114,43 @@ def search_staged(docs: DataFrame, query: str, k: int, key: str = "id", text: st
 
 
 #: Words without weight in keyword extraction; fixed values.
-STOP_WORDS = frozenset("a an and are as at be by do does for from how i in is it of on or that the this to was what when where which who why will with you your".split())
+STOP_WORDS = frozenset(
+    """
+    what which who whom whose where when why how
+    a an the
+    in on at to for of with by from as into through during before after above below between under
+    and or but nor so yet both either neither
+    i me my myself we our ours ourselves you your yours yourself yourselves
+    he him his himself she her hers herself it its itself they them their theirs themselves
+    this that these those
+    is are was were be been being have has had having do does did doing
+    will would could should may might must shall can need dare ought used
+    about if then else when there here all each every any some no not only just
+    more most other such than too very also now ever never always often sometimes
+    please thank thanks yes no ok okay get got getting give gave given giving go goes went gone going
+    know knows knew known knowing think thinks thought thinking want wants wanted wanting
+    use uses using find found show tell said say
+    """.split()
+)
 
 
 def weighted_keywords(query: str) -> tuple[list[str], list[str]]:
-    """Technical words (capitals inside, all capitals, underscore or digit) and the others, without stop words."""
-    technical, plain = [], []
-    for w in re.findall(r"[A-Za-z_][A-Za-z0-9_.]*", query):
-        if w.lower() in STOP_WORDS or len(w) < 2:
-            continue
-        (technical if "_" in w or w.isupper() or re.search(r"[a-z][A-Z]|\d", w) else plain).append(w.lower())
-    return list(dict.fromkeys(technical)), [w for w in dict.fromkeys(plain) if w not in technical]
+    """Technical words (an underscore, all capitals, or a capital behind the first letter) and the others, in lower case,
+    without stop words and single letters; the first way a word is written decides."""
+    kind: dict[str, bool] = {}
+    for w in re.findall(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b", query):
+        if w.lower() not in STOP_WORDS and len(w) > 1:
+            kind.setdefault(w.lower(), "_" in w or w.isupper() or w[1:] != w[1:].lower())
+    return [w for w, technical in kind.items() if technical], [w for w, technical in kind.items() if not technical]
+
+
+def keywords_column(text: Column) -> Column:
+    """The same for each row's text: an array of (word, technical), in order."""
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), 0)
+    words = F.filter(words, lambda w: w.rlike("^[a-zA-Z_][a-zA-Z0-9_]+$") & ~F.lower(w).isin(*sorted(STOP_WORDS)))
+    lower = F.transform(words, lambda w: F.lower(w))
+    first = F.filter(words, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
+    return F.transform(first, lambda w: F.struct(F.lower(w).alias("word"), w.rlike("_|^[^a-z]+$|^.+[A-Z]").alias("technical")))
 
 
 def keyword_score(text: Column, weights: dict[str, float]) -> Column:
