@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.listings import latest
+
 
 def traverse(edges: DataFrame, roots: DataFrame, direction: str = "out", depth: int = 2) -> DataFrame:
     """src, dst; node -> node, depth: one row for each edge from an expanded node. A node is expanded once, at its first
@@ -49,3 +52,45 @@ def pack_within(spans: DataFrame, budget: int, size: Column, partition: Sequence
 
 def estimate_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
+
+
+#: Names of files that programs start from; fixed values.
+ENTRY_FILES = ("main.", "index.", "app.", "server.")
+
+
+def is_entrypoint(path: Column, name: Column) -> Column:
+    """A symbol in a file that programs start from, or with main in its name."""
+    return reduce(lambda a, b: a | b, (F.contains(path, F.lit(x)) for x in ENTRY_FILES)) | name.contains("main") | name.contains("Main")
+
+
+def find_symbol(symbols: DataFrame, name: str | None = None, id_: int | None = None, key: str = "id", fqn: str = "fqn") -> DataFrame:
+    """One symbol by its qualified name (of several the least id) or by its id."""
+    found = symbols.where(F.col(key) == id_) if id_ is not None else symbols.where(F.col(fqn) == name)
+    return found.orderBy(key).limit(1)
+
+
+def call_flows(edges: DataFrame, entries: DataFrame, depth: int = 2, k: int = 20) -> DataFrame:
+    """src, dst; node -> node, callee, depth: for each entry the distinct callees of every depth, the first k by depth and name.
+
+    A callee is given at each depth at which a path reaches it; paths are cut to distinct ends at every step.
+    """
+    step = entries.select("node", F.col("node").alias("callee")).distinct()
+    out = None
+    for level in range(1, depth + 1):
+        step = step.join(edges, step["callee"] == edges["src"]).select("node", F.col("dst").alias("callee")).distinct()
+        found = step.withColumn("depth", F.lit(level))
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy("node").orderBy("depth", "callee")
+    return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
+def first_chunk(chunks: DataFrame, owner: str, line: str = "start_line", tie: str = "id") -> DataFrame:
+    """The chunk in which each symbol or file begins."""
+    return latest(chunks, [owner], [line, tie])
+
+
+def below(files: DataFrame, modules: DataFrame, path: str = "path", module: str = "module") -> DataFrame:
+    """Files with each module (a folder) that their path lies under; all folders of a path are exploded, then joined."""
+    parts = F.split(path, "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return files.withColumn(module, F.explode(F.when(F.size(parts) > 1, folders))).join(modules, module)

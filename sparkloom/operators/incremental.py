@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.listings import latest
+
 
 def changes(old: DataFrame, new: DataFrame, key: str = "id", digest: str = "h") -> DataFrame:
     """key, op: insert, update or delete; rows with the same digest are skipped."""
@@ -15,9 +17,22 @@ def changes(old: DataFrame, new: DataFrame, key: str = "id", digest: str = "h")
     return a.join(b, F.col("k1") == F.col("k2"), "full_outer").select(F.coalesce("k2", "k1").alias(key), op.alias("op")).where("op IS NOT NULL")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The last write wins."""
-    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new.dropDuplicates(list(keys)))
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence = ()) -> DataFrame:
+    """The last write wins; of several new rows of a key the first in `order` is it."""
+    new = new.dropDuplicates(list(keys)) if not order else latest(new, keys, order)
+    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+
+
+def insert_new(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence = ()) -> DataFrame:
+    """Rows that are there stay; of several new rows of a key the first in `order` is inserted."""
+    new = new.dropDuplicates(list(keys)) if not order else latest(new, keys, order)
+    return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti"))
+
+
+def regenerate(files: DataFrame, changed: Column, by: str, share: float = 0.05) -> DataFrame:
+    """Which groups of files get a new summary: those of which more than a share has changed."""
+    n, all_ = F.count(F.when(changed, 1)), F.count("*")
+    return files.groupBy(by).agg(n.alias("changed"), all_.alias("total"), F.when(n / all_ > share, "REGENERATE_SUMMARY").otherwise("skip").alias("action"))
 
 
 def enqueue(queue: DataFrame, jobs: DataFrame, key: str = "dedup_key") -> DataFrame:

@@ -3,6 +3,7 @@ once and one pass over the texts serves all rules."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
@@ -10,6 +11,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import trigrams
+from sparkloom.operators.incremental import upsert
+
 
 class TagRule(NamedTuple):
     tag: str
@@ -38,6 +42,85 @@ def apply_tag_rules(entities: DataFrame, rules: Sequence[TagRule], key: str = "i
     return each.groupBy(key, "r.tag").agg(F.min_by("r.confidence", "r.at").alias("confidence"))
 
 
+#: Tags by place: globs (`**` crosses folders, `*` doesn't) or, behind `re:`, regular expressions; fixed values.
+PATH_TAGS = (
+    ("vendor", ("**/node_modules/**", "**/vendor/**", "**/third_party/**", "**/.venv/**", "**/venv/**", "**/site-packages/**")),
+    ("generated", ("**/dist/**", "**/build/**", "**/*.min.js", "**/*.min.css", "**/bundle.js")),
+    ("test", ("**/test/**", "**/tests/**", "**/__tests__/**", r"re:\.test\.(js|ts|py|go|java)$", r"re:\.spec\.(js|ts|py|go|java)$", r"re:_test\.(go|rs)$")),
+)
+
+
+def _place_regex(pattern: str) -> str:
+    if pattern.startswith("re:"):
+        return pattern[3:]
+    return "^" + "".join(".*" if x == "**" else "[^/]*" if x == "*" else re.escape(x) for x in re.split(r"(\*\*|\*)", pattern)) + "$"
+
+
+def auto_tags(files: DataFrame, tags: Sequence[tuple[str, Sequence[str]]] = PATH_TAGS, key: str = "id", path: str = "path") -> DataFrame:
+    """key, tag: the tags of which a pattern fits a file's path, each once; a tag's patterns are one expression."""
+    found = F.array(*(F.when(F.col(path).rlike("|".join(f"(?:{_place_regex(p)})" for p in patterns)), tag) for tag, patterns in tags))
+    return files.select(key, F.explode(F.array_compact(found)).alias("tag"))
+
+
+def tag_entities(tags: DataFrame, entities: DataFrame, tag: str, kind: str, source: str = "manual", confidence: float = 1.0, key: str = "id") -> DataFrame:
+    """entity, id, tag, source, confidence with some entities tagged; a tag that an entity has is written anew."""
+    new = entities.select(F.lit(kind).alias("entity"), F.col(key).alias("id"), F.lit(tag).alias("tag"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
+    return upsert(tags, new, ["entity", "id", "tag"])
+
+
+def tag_files_with_chunks(tags: DataFrame, files: DataFrame, chunks: DataFrame, tag: str, key: str = "id", owner: str = "file_id") -> DataFrame:
+    """Files are tagged, and their chunks with them."""
+    own = chunks.join(files.select(F.col(key).alias(owner)), owner, "left_semi")
+    return tag_entities(tag_entities(tags, files, tag, "file", key=key), own, tag, "chunk", key=key)
+
+
+def entity_tags(tags: DataFrame, kind: str, id_: int) -> DataFrame:
+    """The tags of an entity, the surest first."""
+    return tags.where((F.col("entity") == kind) & (F.col("id") == id_)).select("tag", "source", "confidence").orderBy(F.desc("confidence"), "tag")
+
+
+def list_features(features: DataFrame, prefix: str = "", most: int = 20, name: str = "name") -> DataFrame:
+    return features.where(F.lower(name).startswith(prefix.lower())).select(name).distinct().orderBy(name).limit(most)
+
+
+def validate_symbols(refs: DataFrame, symbols: DataFrame, near: float = 0.7, suggest_at: float = 0.3) -> DataFrame:
+    """ref, confidence; name -> ref, status (valid, STALE_API or MISSING_SYMBOL), severity, match.
+
+    The name is what stands before `(` and behind the last dot. It is valid if a symbol has it; else the most similar
+    symbol by trigrams (ties by name) makes it an old name if it is closer than `near`, or is suggested. Candidates meet
+    in an equi-join on their trigrams, so names without a common one are never compared.
+    """
+    name = F.element_at(F.split(F.element_at(F.split("ref", r"\("), 1), r"\."), -1)
+    asked = refs.select("ref", "confidence", name.alias("asked")).distinct()
+    known = symbols.select(F.col("name")).distinct()
+    open_ = asked.select("asked").distinct().join(known, F.col("asked") == F.col("name"), "left_anti").withColumn("x", trigrams(F.col("asked")))
+    a = open_.select("asked", F.size("x").alias("nx"), F.explode("x").alias("t"))
+    b = known.withColumn("y", trigrams(F.col("name"))).select("name", F.size("y").alias("ny"), F.explode("y").alias("t"))
+    shared = a.join(b, "t").groupBy("asked", "name", "nx", "ny").agg(F.count("*").alias("both"))
+    sim = F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))
+    best = shared.withColumn("sim", sim).where(F.col("sim") >= suggest_at).groupBy("asked").agg(F.min(F.struct((-F.col("sim")).alias("d"), "name")).alias("b"))
+    out = asked.join(known.withColumnRenamed("name", "same"), F.col("asked") == F.col("same"), "left").join(best, "asked", "left")
+    sim = -F.col("b.d")
+    status = F.when(F.col("same").isNotNull(), "valid").when(sim > near, "STALE_API").otherwise("MISSING_SYMBOL")
+    severity = F.when(F.col("same").isNotNull(), F.lit(None)).when(sim > near, "info").when(F.col("confidence") > 0.8, "error").otherwise("warning")
+    return out.select("ref", status.alias("status"), severity.alias("severity"), F.coalesce("same", "b.name").alias("match"))
+
+
+def validate_imports(refs: DataFrame, files: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
+    """ref; path; name; content -> ref, status: valid (a module's file or a symbol), external (the first part of the name
+    stands behind `import` in a line's text) or INVALID_IMPORT. All by equi-joins: words behind an import are exploded."""
+    base = F.translate(F.col("ref"), ".", "/")
+    asked = refs.select("ref").distinct().withColumn("root", F.lower(F.element_at(F.split("ref", r"\."), 1)))
+    paths = asked.select("ref", F.explode(F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")), base)).alias("path"))
+    by_file = paths.join(files.select("path").distinct(), "path", "left_semi").select("ref")
+    by_symbol = asked.join(symbols.select(F.col("name").alias("ref")).distinct(), "ref", "left_semi").select("ref")
+    behind = F.regexp_extract(F.lower("content"), r"(?s)import(.*)", 1)
+    named = chunks.select(F.explode(F.array_distinct(F.regexp_extract_all(behind, F.lit(r"[a-z0-9_]+"), 0))).alias("root")).distinct()
+    known = by_file.unionByName(by_symbol).distinct().withColumn("known", F.lit(True))
+    out = asked.join(known, "ref", "left").join(named.withColumn("named", F.lit(True)), "root", "left")
+    return out.select("ref", F.when(F.col("known"), "valid").when(F.col("named"), "external").otherwise("INVALID_IMPORT").alias("status"))
+
+
 class MigrationRule(NamedTuple):
     id: str
     category: str

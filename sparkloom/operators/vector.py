@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -73,16 +74,77 @@ def ann_advice(rows: Column) -> Column:
     return F.when(rows < 1000, "none").when(rows < 100_000, "ivfflat").otherwise("hnsw")
 
 
+def needs_rebuild(rows: Column, before: Column, share: float = 0.2) -> Column:
+    """Whether a table has changed by more than a share since its index was built."""
+    return F.abs(rows - before) > before * share
+
+
 def mean_pool(segments: DataFrame, key: str = "id", vector: str = "vector") -> DataFrame:
     """The mean of the vectors of each key, dimension by dimension, in their order."""
     each = segments.select(key, F.posexplode(doubles(F.col(vector))).alias("at", "x")).groupBy(key, "at").agg(F.avg("x").alias("x"))
     return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(vector))
 
 
-def cells(vectors: DataFrame, k: int, seed: int = 3, vector: str = "vector") -> DataFrame:
-    """Assign each vector to one of k cells (k-means), so that a search may probe a few partitions only."""
+def cells(vectors: DataFrame, k: int, seed: int = 3, vector: str = "vector", sample: int = 50_000) -> tuple[DataFrame, list[list[float]]]:
+    """Vectors at length 1, each with the nearest of k centres (`cell`) and its distance; and the centres.
+
+    The centres are fitted by k-means on `sample` vectors at most; every vector is assigned. Zero vectors have no
+    direction and are left out.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = vectors.withColumn("features", array_to_vector(doubles(F.col(vector))))
-    return KMeans(k=k, seed=seed, maxIter=5).fit(points).transform(points).drop("features").withColumnRenamed("prediction", "cell")
+    one = doubles(F.col(vector))
+    unit = vectors.withColumn("unit", one).withColumn("norm", F.sqrt(dot(F.col("unit"), F.col("unit")))).where("norm > 0")
+    unit = unit.withColumn("unit", F.transform("unit", lambda x: x / F.col("norm"))).drop("norm").withColumn("features", array_to_vector("unit"))
+    some = unit.orderBy(F.xxhash64("unit")).limit(sample)
+    if some.isEmpty():
+        return unit.withColumns({"cell": F.lit(0), "far": F.lit(0.0)}).drop("features"), []
+    model = KMeans(k=k, seed=seed, maxIter=5).fit(some)
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    found = model.transform(unit).withColumnRenamed("prediction", "cell").drop("features")
+    place = F.element_at(F.array(*(literal(c) for c in centres)), F.col("cell") + 1)
+    far = F.sqrt(F.aggregate(F.zip_with("unit", place, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return found.withColumn("far", far), centres
+
+
+class Cells(NamedTuple):
+    """An index of vectors: a table partitioned by cell; centre, radius and size of each cell that has vectors."""
+
+    path: str
+    centres: dict[int, list[float]]
+    radii: dict[int, float]
+    sizes: dict[int, int]
+
+
+def write_cells(vectors: DataFrame, path: str, k: int, key: str = "id", vector: str = "vector", seed: int = 3) -> Cells:
+    found, centres = cells(vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector")), k, seed)
+    #: a large cell is written by several tasks
+    dealt = found.select("key", "vector", "cell", "far").repartition("cell", F.pmod(F.xxhash64("key"), F.lit(8)))
+    dealt.write.mode("overwrite").partitionBy("cell").parquet(path)
+    spark = vectors.sparkSession
+    rows = spark.read.schema("key long, vector array<double>, far double, cell int").parquet(path).groupBy("cell").agg(F.max("far").alias("r"), F.count("*").alias("n")).collect()  # k rows
+    return Cells(path, {r["cell"]: centres[r["cell"]] for r in rows}, {r["cell"]: r["r"] for r in rows}, {r["cell"]: r["n"] for r in rows})
+
+
+def search_cells(spark: SparkSession, index: Cells, q: Sequence[float], k: int, key: str = "id") -> tuple[DataFrame, list[int]]:
+    """The k nearest, as by `vector_topk`, and the cells that were read.
+
+    The nearest cells that hold k vectors give a bound; of the others only those are read whose centre less their radius
+    lies within it, so the result is exact. Equal scores make the bound inclusive, so ties are those of the scan.
+    """
+    rows = spark.read.schema("key long, vector array<double>, far double, cell int").parquet(index.path)
+    norm = sum(x * x for x in q) ** 0.5
+    if not norm or not index.centres:
+        return rows.where(F.lit(False)).select(F.col("key").alias(key), F.lit(0.0).alias("score")), []
+    unit = [x / norm for x in q]
+    far = {c: sum((x - y) ** 2 for x, y in zip(unit, centre, strict=True)) ** 0.5 for c, centre in index.centres.items()}
+    order, first, n = sorted(far, key=far.get), [], 0
+    while order and n < k:
+        first.append(order.pop(0))
+        n += index.sizes[first[-1]]
+    within = lambda some: vector_topk(rows.where(F.col("cell").isin(some)), q, k, "key")
+    worst = within(first).agg(F.min("score")).head()[0]  # of k rows
+    bound = (max(0.0, 2 - 2 * worst) ** 0.5) + 1e-6 if n >= k else float("inf")
+    read = first + [c for c in order if far[c] - index.radii[c] <= bound]
+    return within(read).select(F.col("key").alias(key), "score"), read

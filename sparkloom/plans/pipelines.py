@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from sparkloom.operators import fulltext as ft
 from sparkloom.operators import fusion, incremental, rules
 from sparkloom.plans.retrieval import _hybrid_oracle, _lists, _tags
-from sparkloom.registry import query, shared, sql
+from sparkloom.registry import query, sql
 from sparkloom.session import table
 
-shared("J1_starter_tags", "SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in rules.STARTER_TAGS) + ") v(tag)")
 
 _RULES = (
     rules.TagRule("source one", "PATH", "src1/", 0.9), rules.TagRule("syllables", "REGEX", "(^|[^a-z])(tion|heit)", 0.8), rules.TagRule("syllables", "PATH", "src2/", 0.5),
@@ -34,10 +33,6 @@ def apply_tag_rules(spark, sf_dir):
     return rules.apply_tag_rules(_entities(spark, sf_dir), _RULES)
 
 
-shared("J3_auto_tags", "SELECT page_id, CASE WHEN RX(url, '^https?://[^/]*[.]net/') THEN 'vendor' WHEN RX(url, '/(de|fr)/') THEN 'generated' WHEN RX(url, '[?].*page=') THEN 'test' END AS tag FROM {pages}")
-shared("J4_file_and_chunk_tags", "SELECT 'file' AS entity, doc_id AS id, 'manual' AS tag FROM {documents} WHERE source = 'src1' UNION ALL SELECT 'chunk' AS entity, conv_id * 100 + turn AS id, 'manual' AS tag FROM {conversations} WHERE role = 'system'")
-
-
 @query("J5_feature_index", """WITH u AS (SELECT lower(lang) AS name, lang || ' documents' AS description, 'tag' AS origin FROM documents GROUP BY lang UNION ALL SELECT lower(source), 'module ' || source || ' in ' || count(*) || ' files', 'module' FROM documents GROUP BY source UNION ALL SELECT lower(role), role || ' turns', 'heading' FROM conversations GROUP BY role)
 SELECT name, arg_max(description, (length(description), description)) AS description, list(DISTINCT origin ORDER BY origin) AS evidence FROM u GROUP BY name""")
 def feature_index(spark, sf_dir):
@@ -48,9 +43,6 @@ def feature_index(spark, sf_dir):
     return all_.groupBy("name").agg(F.max_by("description", F.struct(F.length("description"), "description")).alias("description"), F.array_sort(F.collect_set("origin")).alias("evidence"))
 
 
-shared("J6_list_features", "SELECT DISTINCT source AS name FROM {documents} WHERE source LIKE 'src1%' ORDER BY name LIMIT 20")
-
-
 @query("J7_feature_context", f"SELECT d.source, round(avg(h.score), 6) AS score, list(h.id ORDER BY h.score DESC, h.id)[1:5] AS top, count(*) AS n FROM ({_hybrid_oracle('true', (0.55, 0.35, 0.10), 36)}) h JOIN documents d ON d.doc_id = h.id GROUP BY d.source")
 def feature_context(spark, sf_dir):
     v, f = _lists(spark, sf_dir)
@@ -60,9 +52,6 @@ def feature_context(spark, sf_dir):
     return docs.join(F.broadcast(best), "id").groupBy("source").agg(F.round(F.avg("score"), 6).alias("score"), top.alias("top"), F.count("*").alias("n"))
 
 
-shared("J8_directory_histogram", "SELECT dir, count(*) AS n FROM (SELECT source || '/' || lang AS dir FROM {documents}) t GROUP BY dir ORDER BY n DESC, dir LIMIT 3")
-
-
 @query("J9_review_sections", "SELECT 'languages' AS section, count(DISTINCT lang) AS value FROM documents UNION ALL SELECT 'files', count(*) FROM documents UNION ALL SELECT 'modules', count(DISTINCT source) FROM documents UNION ALL SELECT 'unlabelled', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'largest', max(length(text)) FROM documents")
 def review_sections(spark, sf_dir):
     return sql(spark, sf_dir, "SELECT stack(4, 'languages', count(DISTINCT lang), 'files', count(*), 'modules', count(DISTINCT source), 'largest', CAST(max(length(text)) AS BIGINT)) AS (section, value) FROM {documents} UNION ALL SELECT 'unlabelled', count(*) FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id")
@@ -125,8 +114,6 @@ def resolve_paths(spark, sf_dir):
     return rules.resolve_paths(sql(spark, sf_dir, _REFS.replace("documents", "{documents}")), files)
 
 
-shared("J16_symbol_validation", "SELECT r.name, CASE WHEN s.name IS NOT NULL THEN 'valid' ELSE 'MISSING_SYMBOL' END AS status FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || '_x' END AS name FROM {part}) r LEFT JOIN (SELECT DISTINCT p_name AS name FROM {part}) s ON r.name = s.name")
-shared("J17_import_validation", "SELECT r.root, count(p.page_id) > 0 AS valid FROM (SELECT 'example' AS root UNION ALL SELECT 'nowhere' UNION ALL SELECT 'www.') r LEFT JOIN {pages} p ON p.url ILIKE '%' || r.root || '%' GROUP BY r.root")
 _PARTS = "SELECT doc_id, (doc_id % 11) / 1e1 AS r, (doc_id % 7) / 6e0 AS e, (doc_id % 5) / 4e0 AS f, (doc_id % 3) / 2e0 AS s FROM {documents}"
 
 
@@ -141,9 +128,6 @@ def validity_score(spark, sf_dir):
     return p.select("doc_id", rules.validity_score(cols).alias("plain"), rules.validity_score(cols | {"semantic": F.col("s").cast("double")}).alias("semantic"))
 
 
-shared("J19_drift_list", "SELECT o.o_orderkey, o.o_orderpriority, c.c_name, n.n_name FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey WHERE o.o_orderstatus = 'P' ORDER BY CASE o.o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o.o_orderkey LIMIT 30")
-
-
 @query("J21_column_usage", "WITH l AS (SELECT doc_id AS id, i AS line, lower(x[i]) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) d, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) r), c AS (SELECT unnest(['the', 'tion', 'und']) AS \"column\") SELECT DISTINCT c.\"column\", l.id, l.line, 'read' AS usage FROM l JOIN c ON list_contains(regexp_extract_all(l.s, '[a-z_][a-z0-9_]*'), c.\"column\") WHERE NOT regexp_matches(s, '\\b(where|join|insert|update|set)\\b')")
 def column_usage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
@@ -151,7 +135,6 @@ def column_usage(spark, sf_dir):
     return rules.usage_of_columns(columns, docs).where("usage = 'read'")
 
 
-shared("J22_schema_stats", "SELECT p_brand AS table_name, count(*) AS n_columns, count(DISTINCT p_type) AS n_types, round(avg(p_size), 4) AS mean_size FROM {part} GROUP BY p_brand")
 _WORDS = ("tion", "heit", "the", "und")
 
 
@@ -162,15 +145,6 @@ def feature_mentions(spark, sf_dir):
     return per_doc.groupBy("name").agg(F.sum("n").alias("mentions"), F.slice(F.array_sort(F.collect_set("id")), 1, 20).alias("chunks"), F.min("id").alias("first"))
 
 
-shared("J24_simple_summary", "SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, CASE WHEN avg(n_chars) > 3000 THEN 'reference' ELSE 'guide' END AS purpose FROM {documents} GROUP BY source")
-_TOOLS = (rules.Tool("hybrid_search", ("find", "search", "where")), rules.Tool("callers", ("calls", "who uses", "callers")), rules.Tool("doc_search", ("docs", "documentation", "search")))
-
-
-@query("J26_suggest_tool", "SELECT * FROM (VALUES ('find docs by search', 'doc_search', 20, 'high'), ('find docs by search', 'hybrid_search', 20, 'high'), ('Who calls it', 'callers', 10, 'medium')) v(query, tool, score, confidence)")
-def suggest_tool(spark, sf_dir):
-    return rules.suggest_tools(spark.createDataFrame([("find docs by search",), ("Who calls it",), ("zzz",)], "query string"), _TOOLS)
-
-
 # -- incremental -------------------------------------------------------------------------------------------------------
 _JOBS = "SELECT o_orderkey AS id, o_custkey AS repo, CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'CLAIMED' ELSE 'DONE' END AS status, CAST(10 - CAST(substring(o_orderpriority, 1, 1) AS INT) AS INT) AS priority, o_orderdate AS created_at, o_orderdate AS run_after, o_orderdate AS claimed_at, o_orderdate AS completed_at, CAST(o_custkey AS VARCHAR(9)) || '/' || CASE WHEN o_orderpriority = '1-URGENT' THEN 'click' ELSE 'purchase' END AS dedup_key FROM {orders}"
 _JOBS_DUCK = _JOBS.replace("{", "").replace("}", "")
@@ -222,9 +196,6 @@ def follow_ups(spark, sf_dir):
     return incremental.follow_ups(done, ["auto_embed"])
 
 
-shared("K8_regenerate", "SELECT source, count(*) FILTER (WHERE doc_id % 13 = 0) AS changed, count(*) AS total, CASE WHEN count(*) FILTER (WHERE doc_id % 13 = 0) / count(*) > 0.05 THEN 'REGENERATE_SUMMARY' ELSE 'skip' END AS action FROM {documents} GROUP BY source")
-
-
 @query("K9_stale_jobs", f"WITH q AS ({_JOBS_DUCK}) SELECT id FROM q WHERE status = 'CLAIMED' AND claimed_at < {_AT} - INTERVAL '30' MINUTE")
 def stale_jobs(spark, sf_dir):
     return incremental.stale(_jobs(spark, sf_dir), F.expr(_AT.replace("TIMESTAMP", "TIMESTAMP_NTZ"))).select("id")
@@ -244,9 +215,6 @@ def change_set(spark, sf_dir):
     return incremental.changes(sql(spark, sf_dir, _OLD), sql(spark, sf_dir, _NEW))
 
 
-shared("K14_heartbeat", "SELECT user_id, max(ts) < TIMESTAMP '2024-01-15 00:00:00' AS dead FROM {events} GROUP BY user_id")
-
-
 @query("C10_rules_by_chunks", f"SELECT id, rule FROM ({_RULE_UNION}) u")
 def rules_by_chunks(spark, sf_dir):
     """Every rule against every chunk in one pass: rules are literals, so each pattern is compiled once."""

@@ -56,10 +56,6 @@ shared(
 )
 _EDGES = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM {lineitem}"
 shared("C7_either_endpoint", f"SELECT src, dst FROM ({_EDGES}) e WHERE src = 7 UNION SELECT src, dst FROM ({_EDGES}) f WHERE dst = 7")
-shared(
-    "C9_prefix_join",
-    "SELECT m.prefix, count(*) AS n FROM (SELECT DISTINCT substring(url, 1, 14) AS prefix FROM {pages}) m JOIN {pages} p ON substring(p.url, 1, length(m.prefix)) = m.prefix GROUP BY m.prefix",
-)
 shared("C11_chain", "SELECT c.c_custkey, count(*) AS n FROM {nation} n JOIN {customer} c ON c.c_nationkey = n.n_nationkey JOIN {orders} o ON o.o_custkey = c.c_custkey JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey WHERE n.n_regionkey = 1 AND l.l_returnflag = 'R' GROUP BY c.c_custkey")
 shared("C12_scalar_counts", "SELECT c.c_custkey, coalesce(o.n, 0) AS n_open, (SELECT count(*) FROM {region}) AS n_regions FROM {customer} c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} WHERE o_orderstatus = 'O' GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey")
 shared(
@@ -128,23 +124,3 @@ shared("E11_concat_resort", "SELECT id, kind, score FROM (SELECT doc_id AS id, '
 shared("E12_ordered_dedupe", "SELECT event_type, user_id, min(event_id) AS first_at FROM {events} GROUP BY event_type, user_id")
 
 # -- tables and listings -----------------------------------------------------------------------------------------------
-shared("A14_table_page", "SELECT s_suppkey, s_name, s_acctbal FROM {supplier} ORDER BY s_name, s_suppkey LIMIT 10 OFFSET 5")
-shared("A15_list_files", "SELECT lang, count(*) AS n FROM (SELECT lang, source || '/' || lang || '/' || doc_id || '.txt' AS path FROM {documents}) t WHERE RX(path, '^src1[0-9]?/.*/[0-9]*7[.]txt$') GROUP BY lang")
-shared(
-    "A16_read_lines",
-    "SELECT doc_id, array_join(slice(split(text, '\n'), 2, 3), '\n') AS lines, CAST(size(split(text, '\n')) AS BIGINT) AS n_lines FROM {documents}",
-    "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS lines, len(string_split(text, chr(10))) AS n_lines FROM documents",
-)
-shared(
-    "A19_upsert_last_wins",
-    "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) t WHERE rn = 1",
-)
-shared("A19_do_nothing", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM {events}) t WHERE rn = 1")
-shared(
-    "A6_summary_as_document",
-    "SELECT doc_id, 'text' AS kind, substring(text, 1, 40) AS title FROM {documents} UNION ALL SELECT -conv_id - 1 AS doc_id, 'summary' AS kind, substring(text, 1, 40) AS title FROM {conversations} WHERE role = 'assistant' AND turn = 1",
-)
-shared(
-    "A2_detect_language",
-    """SELECT page_id, CASE WHEN lower(regexp_extract(url, '([.][A-Za-z0-9]+)([?#].*)?$', 1)) IN ('.html', '.htm') THEN 'html' WHEN lower(regexp_extract(url, '([.][A-Za-z0-9]+)([?#].*)?$', 1)) = '.py' THEN 'python' WHEN RX(url, '/(en|de|fr|es)/[0-9]+/?([?#].*)?$') THEN 'page' ELSE NULL END AS language FROM {pages}""",
-)

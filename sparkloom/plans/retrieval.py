@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import fulltext as ft
 from sparkloom.operators import fusion, graph
 from sparkloom.operators import vector as vec
-from sparkloom.registry import query, shared, sql
-from sparkloom.session import table
+from sparkloom.registry import query, sql
+from sparkloom.session import shared_path, table
 
 #: The text query that fixtures are asked; prefixes of common syllables.
 ASKED = "tion wor the_x"
@@ -108,10 +110,39 @@ def ann_lists(spark, sf_dir):
     return sizes.select("t", vec.ann_lists(F.col("n")).alias("lists"))
 
 
-@query("F8_cells")
+#: Indexes of a session, by the folder of their tables: built by the first query that needs them.
+_INDEXES: dict[tuple, tuple] = {}
+
+
+def indexes(spark: SparkSession, sf_dir: str) -> tuple[vec.Cells, DataFrame]:
+    """The vectors' cells and the texts' postings, written to the shared folder."""
+    mark = (spark.sparkContext.applicationId, sf_dir)
+    if mark not in _INDEXES:
+        top = shared_path(spark, f"indexes-{uuid.uuid4().hex}")
+        vectors = _vectors(spark, sf_dir)
+        k = vectors.agg(vec.ann_lists(F.count("*")).alias("k")).head()["k"]
+        ft.write_index(_docs(spark, sf_dir), f"{top}/postings")
+        _INDEXES[mark] = vec.write_cells(vectors, f"{top}/cells", max(8, k)), ft.read_index(spark, f"{top}/postings")
+    return _INDEXES[mark]
+
+
+@query("F8_cells", "SELECT vec_id AS id FROM embeddings WHERE list_dot_product(embedding, embedding) > 0")
 def ann_cells(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    return vec.cells(v, 8).select("id", "cell")
+    """Every vector is in a cell of the index."""
+    found = indexes(spark, sf_dir)[0]
+    return spark.read.schema("key long, vector array<double>, far double, cell int").parquet(found.path).select(F.col("key").alias("id"))
+
+
+@query("F8_rebuild", "SELECT source, count(*) AS n, abs(count(*) - count(*) FILTER (WHERE lang <> 'fr')) > 0.2 * count(*) FILTER (WHERE lang <> 'fr') AS rebuild FROM documents GROUP BY source")
+def rebuild(spark, sf_dir):
+    """An index is rebuilt when its table has changed by a fifth; here, the tables were built before French came."""
+    n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count(F.when(F.col("lang") != "fr", 1)).alias("before"))
+    return n.select("source", "n", vec.needs_rebuild(F.col("n"), F.col("before")).alias("rebuild"))
+
+
+@query("F1_vector_topk_indexed", f"SELECT id, round(score, 6) AS score FROM ({_VEC}) s ORDER BY s.score DESC, id LIMIT 30")
+def vector_topk_indexed(spark, sf_dir):
+    return _round(vec.search_cells(spark, indexes(spark, sf_dir)[0], _query_vector(spark, sf_dir), 30)[0], "score")
 
 
 @query("F9_ann_advice", f"SELECT t, CASE WHEN n < 1000 THEN 'none' WHEN n < 100000 THEN 'ivfflat' ELSE 'hnsw' END AS advice FROM ({_SIZES}) s")
@@ -140,16 +171,16 @@ def sanitize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ft.sanitize_column(F.col("html")).alias("clean"))
 
 
-@query("G2_or_query", "SELECT 'tion:* | wor:* | the_x:*' AS q")
-def or_query(spark, sf_dir):
-    return spark.createDataFrame([(ft.or_query("Tion (wor) the_x x"),)], "q string")
-
-
 @query("G3_fts_chunks", f"SELECT id, round(score, 6) AS score FROM ({_FTS}) s")
 def fts_chunks(spark, sf_dir):
     return _round(ft.search_any(_docs(spark, sf_dir), ASKED, 30), "score")
 
 
+@query("G3_fts_indexed", f"SELECT id, round(score, 6) AS score FROM ({_FTS}) s")
+def fts_indexed(spark, sf_dir):
+    return _round(ft.search_index(indexes(spark, sf_dir)[1], _docs(spark, sf_dir), ASKED, 30), "score")
+
+
 @query("G3_fts_fallback", "SELECT doc_id AS id, 0.1 AS score FROM documents WHERE text ILIKE '%, t%' ORDER BY id LIMIT 10")
 def fts_fallback(spark, sf_dir):
     #: no lexeme begins with a comma, so the substring search answers
@@ -188,12 +219,6 @@ def staged(spark, sf_dir):
     return ft.search_staged(_docs(spark, sf_dir), "the zzzz", 20)
 
 
-@query("G9_keywords", "SELECT * FROM (VALUES ('dbms_output', 'technical'), ('maxvalue2', 'technical'), ('print', 'plain'), ('lines', 'plain')) t(word, kind)")
-def keywords(spark, sf_dir):
-    tech, plain = ft.weighted_keywords("How do I print lines with DBMS_OUTPUT and maxValue2")
-    return spark.createDataFrame([(w, "technical") for w in tech] + [(w, "plain") for w in plain], "word string, kind string")
-
-
 @query("G10_weighted_keywords", "SELECT * FROM (SELECT doc_id AS id, CASE WHEN contains(lower(text), 'er_or') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(text), 'tion') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(text), 'shall') THEN 3.0 ELSE 0 END AS score FROM documents) s WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
 def weighted_keywords(spark, sf_dir):
     return ft.search_keywords(_docs(spark, sf_dir), "er_or tion", 20, primary=["shall"])
@@ -236,6 +261,14 @@ def hybrid_search(spark, sf_dir):
     return _explained(fusion.hybrid(v, f, 12, tags=_tags(spark, sf_dir), tags_any=["good", "de", "fr"]))
 
 
+@query("G12_hybrid_indexed", _hybrid_oracle("len(matched_tags) > 0 AND list_has_any(matched_tags, ['good', 'de', 'fr'])", (0.55, 0.35, 0.10), 12))
+def hybrid_indexed(spark, sf_dir):
+    found, postings = indexes(spark, sf_dir)
+    v = vec.search_cells(spark, found, _query_vector(spark, sf_dir), 30)[0]
+    f = ft.search_index(postings, _docs(spark, sf_dir), ASKED, 30)
+    return _explained(fusion.hybrid(v, f, 12, tags=_tags(spark, sf_dir), tags_any=["good", "de", "fr"]))
+
+
 @query("G12_hybrid_plain", _hybrid_oracle("true", (0.55, 0.35, 0.10), 12))
 def hybrid_plain(spark, sf_dir):
     v, f = _lists(spark, sf_dir)
@@ -296,11 +329,6 @@ def claim_fusion(spark, sf_dir):
     return _round(both, "score").groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
-shared("G18_enforcement_rerank", "SELECT doc_id, round((CASE WHEN source IN ('src1', 'src2') THEN 0.5 WHEN source IN ('src3', 'src4') THEN 0.7 WHEN source = 'src5' THEN 1.1 ELSE 1.0 END) * (1 + 0.15 * ((CASE WHEN RX(text, '(?i)must|shall|raise') THEN 1 ELSE 0 END) + (CASE WHEN RX(text, '[0-9]+') THEN 1 ELSE 0 END))) + 0.02 * ((CASE WHEN lower(text) LIKE '%tion%' THEN 1 ELSE 0 END) + (CASE WHEN lower(text) LIKE '%heit%' THEN 1 ELSE 0 END)), 6) AS score FROM {documents}")
-shared("G19_key_files", "SELECT source, sum(score) AS score FROM (SELECT source, (n_chars % 10) * (20 - r) * w AS score FROM (SELECT source, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS r, 3.0 AS w FROM {documents} ORDER BY n_chars DESC, doc_id LIMIT 20) a UNION ALL SELECT source, (n_chars % 10) * (20 - r) * w AS score FROM (SELECT source, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS r, 1.5 AS w FROM {documents} ORDER BY n_chars, doc_id LIMIT 20) b) u GROUP BY source")
-shared("G20_citation", "SELECT doc_id, source || ', Page ' || CAST(doc_id % 30 + 1 AS VARCHAR(9)) || ' (' || lang || ')' AS citation FROM {documents}")
-shared("G21_symbol_search", "SELECT p_partkey, p_name FROM {part} WHERE lower(p_name || ' ' || p_type) LIKE '%e%' ORDER BY p_partkey LIMIT 25")
-
 # -- graphs and packing ------------------------------------------------------------------------------------------------
 _E = "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem"
 
@@ -332,14 +360,6 @@ def bfs_multiplicity(spark, sf_dir):
     return graph.traverse(_edges(spark, sf_dir), _root(spark), "out", 3)
 
 
-shared("H3_symbol_by_name", "SELECT p_partkey, p_name FROM {part} WHERE p_name = (SELECT min(p_name) FROM {part}) ORDER BY p_partkey LIMIT 1")
-_E_SPARK = _E.replace("lineitem", "{lineitem}")
-shared(
-    "H4_recursive_calls",
-    f"WITH RECURSIVE e AS ({_E_SPARK}), walk(node, depth) AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT e.dst AS node, w.depth + 1 AS depth FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 2) SELECT node, depth FROM (SELECT DISTINCT node, depth FROM walk) d ORDER BY depth, node LIMIT 20",
-)
-
-
 @query("H5_one_hop_each", f"WITH e AS ({_E}), u AS (SELECT src AS node, 'callee' AS side, dst AS other FROM e UNION SELECT dst AS node, 'caller' AS side, src AS other FROM e WHERE dst IN (SELECT src FROM e)) SELECT node, side, other FROM (SELECT *, row_number() OVER (PARTITION BY node, side ORDER BY other) AS r FROM u) t WHERE r <= 5")
 def one_hop_each(spark, sf_dir):
     edges = _edges(spark, sf_dir)
@@ -353,9 +373,6 @@ def symbol_context(spark, sf_dir):
     return graph.pack_crossing(spans, 200 * 4, F.length("text"), ["conv_id"], [priority, "turn"]).select("conv_id", "turn", "spent")
 
 
-shared("H7_first_chunk", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM {conversations} WHERE role <> 'system') t WHERE r = 1")
-
-
 @query("H8_doc_context", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn) AS spent FROM conversations) t WHERE spent <= 150")
 def doc_context(spark, sf_dir):
     chats = table(spark, sf_dir, "conversations")
@@ -371,9 +388,6 @@ def numbered_context(spark, sf_dir):
     return packed.groupBy("conv_id").agg(rows.alias("rows")).select("conv_id", F.array_join(parts, " ").alias("context"), F.when(n >= 4, "high").when(n >= 2, "medium").otherwise("low").alias("confidence"))
 
 
-shared("H10_entrypoints", "SELECT page_id, url FROM {pages} WHERE url LIKE '%main%' OR url LIKE '%index%' OR url LIKE '%app%' OR url LIKE '%server%' OR url LIKE '%//www.%'")
-
-
 @query("B9_similarity_threshold", f"SELECT id FROM ({_VEC}) s WHERE score > 0.1")
 def similarity_threshold(spark, sf_dir):
     score = vec.cosine(vec.doubles(F.col("vector")), vec.literal(_query_vector(spark, sf_dir)))

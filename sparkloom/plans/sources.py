@@ -1,78 +1,19 @@
-"""Scans, extractors, parsers and providers over fixed inputs and stand-in tables (groups A, F10, I, J20, J25, J28, K1, K12)."""
+"""Extractors, splitters, catalogs and providers over stand-in tables (groups A, F10, I6)."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import functions as F
 
-from sparkloom.functions import text as t
-from sparkloom.operators import fulltext as ft
-from sparkloom.operators import graph
 from sparkloom.registry import query
 from sparkloom.session import table
 from sparkloom.sources import code, extract, files
-from sparkloom.streaming import queue
-
-#: A small repository of our own.
-PYTHON = '''"""A bank."""
-import os
-from decimal import Decimal
-
-
-class Account(Base):
-    """Holds money."""
-
-    def deposit(self, amount):
-        check(amount)
-        return log("deposit", amount)
-
-
-def check(amount):
-    return Decimal(amount) > 0
-
-
-def main():
-    print(check(os.environ["AMOUNT"]))
-'''
-SCRIPT = '''-- accounts
-CREATE TABLE accounts (
-  id UUID PRIMARY KEY,
-  owner TEXT NOT NULL REFERENCES users(id),
-  balance NUMERIC(10,2) DEFAULT 0,
-  CONSTRAINT positive CHECK (balance >= 0)
-);
-CREATE OR REPLACE FUNCTION pay(IN a UUID, amount NUMERIC(10,2) DEFAULT 0) RETURNS void AS $$
-BEGIN
-  UPDATE accounts SET balance = balance - amount WHERE id = a;
-END;
-$$ LANGUAGE plpgsql;
-INSERT INTO accounts VALUES (1);
-INSERT INTO accounts VALUES (2);
-CREATE TRIGGER audit AFTER UPDATE ON accounts FOR EACH ROW EXECUTE FUNCTION log_it();
-'''
-GO = 'package main\n\nimport "fmt"\n\nfunc add(a int) int {\n\treturn a + 1\n}\n\nfunc (s *Set) Put(x int) {\n\tadd(x)\n\tfmt.Println(x)\n}\n'
-VUE = '<template>\n<p/>\n</template>\n<script lang="ts">\nexport default {}\n</script>\n'
-
-
-def _one(spark, **columns):
-    return spark.createDataFrame(pd.DataFrame({"id": [1], **{k: [v] for k, v in columns.items()}}))
-
-
 
 
-@query("A1_scan_repo")
-def scan_repo(spark, sf_dir):
+@query("A1_folder_files")
+def folder_files(spark, sf_dir):
     """The parquet folder's own tables as files, by name."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(sf_dir)
-    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), t.detect_language(F.col("path")).alias("language"), F.col("length").alias("size"))
-
-
-@query("A3_scan_docs", "SELECT page_id, regexp_extract(url, '[.](html|md)$', 1) AS type FROM pages WHERE regexp_matches(url, '[.](html|md)$') AND NOT regexp_matches(url, '/(vendor|dist)/')")
-def scan_docs(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.where(F.col("url").rlike("[.](html|md)$") & ~F.col("url").rlike("/(vendor|dist)/")).select("page_id", F.regexp_extract("url", "[.](html|md)$", 1).alias("type"))
+    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.col("length").alias("size"))
 
 
 @query("A7_markdown_sections")
@@ -94,91 +35,17 @@ def page_sections(spark, sf_dir):
     return extract.sections_of(docs, extract.page_sections)
 
 
-@query("A11_template_scripts", "SELECT 1 AS id, 'export default ' || chr(123) || chr(125) AS script, 'typescript' AS language, [5] AS lines")
-def template_scripts(spark, sf_dir):
-    one = code.explode_with(_one(spark, content=VUE), lambda x: [extract.scripts_of(x, ".vue")], "script string, language string, lines array<long>")
-    return one
-
-
-@query("A12_parse_files")
-def parse_files(spark, sf_dir):
-    rows = [(1, "python", PYTHON), (2, "go", GO), (3, "sql", SCRIPT)]
-    df = spark.createDataFrame(rows, "id long, language string, content string")
-    return code.explode_with(df, lambda x, lang: [(lang, len(x.split("\n")), len(code.symbols_of(x, lang)))], "language string, n_lines long, n_symbols long", inputs=("content", "language"))
-
-
-@query("I28_symbols", "SELECT * FROM (VALUES (1, 'Account', 'class', 6), (1, 'Account.deposit', 'method', 9), (1, 'check', 'function', 14), (1, 'main', 'function', 18), (2, 'add', 'function', 5), (2, 'Put', 'method', 9)) v(id, fqn, kind, start_line)")
-def symbols(spark, sf_dir):
-    df = spark.createDataFrame([(1, "python", PYTHON), (2, "go", GO)], "id long, language string, content string")
-    return code.explode_with(df, lambda x, lang: [(s[0], s[2], s[3]) for s in code.symbols_of(x, lang)], "fqn string, kind string, start_line long", inputs=("content", "language"))
-
-
-@query("I29_edges", "SELECT * FROM (VALUES (1, '', 'os', 'IMPORTS', 1.0), (1, '', 'decimal', 'IMPORTS', 1.0), (1, 'Account', 'Base', 'INHERITS', 0.8), (1, 'Account.deposit', 'check', 'CALLS', 0.5), (1, 'Account.deposit', 'log', 'CALLS', 0.5), (1, 'check', 'Decimal', 'CALLS', 0.5), (1, 'main', 'print', 'CALLS', 0.5), (1, 'main', 'check', 'CALLS', 0.5)) v(id, src, dst, type, confidence)")
-def edges(spark, sf_dir):
-    df = _one(spark, content=PYTHON, language="python")
-    return code.explode_with(df, lambda x, lang: [e[:4] for e in code.edges_of(x, lang)], "src string, dst string, type string, confidence double", inputs=("content", "language"))
-
-
-@query("I3_sql_statements", "SELECT * FROM (VALUES (1, 'CREATE_TABLE', 2, 7, false), (1, 'CREATE_FUNCTION', 8, 12, false), (1, 'INSERT', 13, 13, true), (1, 'INSERT', 14, 14, true), (1, 'CREATE_TRIGGER', 15, 15, false)) v(id, kind, first, last, data)")
-def sql_statements(spark, sf_dir):
-    return code.explode_with(_one(spark, content=SCRIPT), lambda x: [(k, a, b, d) for k, _, a, b, d in code.statements_of(x)], "kind string, first long, last long, data boolean")
-
-
-@query("I4_sql_groups", "SELECT * FROM (VALUES (1, 0, 2), (1, 1, 2), (1, 2, 1)) v(id, grp, n)")
-def sql_groups(spark, sf_dir):
-    return code.explode_with(_one(spark, content=SCRIPT), lambda x: [(i, len(g)) for i, g in enumerate(code.group_statements(code.statements_of(x)))], "grp long, n long")
-
-
-@query("I27_ddl_columns", "SELECT * FROM (VALUES (1, 'table', 'accounts', 'id', 'UUID', false, NULL), (1, 'table', 'accounts', 'owner', 'TEXT', false, 'users.id'), (1, 'table', 'accounts', 'balance', 'NUMERIC(10,2)', true, NULL), (1, 'function', 'pay', 'a', 'UUID', true, NULL), (1, 'function', 'pay', 'amount', 'NUMERIC(10,2)', true, NULL), (1, 'trigger', 'audit', 'UPDATE', 'AFTER', true, NULL)) v(id, kind, name, item, type, nullable, fk)")
-def ddl_columns(spark, sf_dir):
-    def parse(x):
-        for _, s, *_ in code.statements_of(x):
-            if d := code.parse_ddl(s):
-                yield from ((d[0], d[1], c["name"], c["type"], c["nullable"], c["fk"]) for c in d[2])
-
-    return code.explode_with(_one(spark, content=SCRIPT), parse, "kind string, name string, item string, type string, nullable boolean, fk string")
-
-
 @query("I6_split_text")
 def split_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return code.explode_with(docs, lambda x: list(enumerate(code.split_text(x or ""))), "chunk long, content string")
 
 
-@query("I7_breadcrumbs", "SELECT * FROM (VALUES (1, 0, 'A'), (1, 1, 'A > B'), (1, 2, 'A > C')) v(id, \"at\", path)")
-def breadcrumbs(spark, sf_dir):
-    text = "# A\nx\n## B\ny\n## C\nz"
-    return code.explode_with(_one(spark, content=text), lambda x: [(i, " > ".join(b)) for i, b in enumerate(extract.breadcrumbs(extract.markdown_sections(x)))], "at long, path string")
-
-
-@query("I8_chunk_sizes", "SELECT 512 AS tokens, 1433 AS target, 2048 AS most, 204 AS least, 204 AS overlap")
-def chunk_sizes(spark, sf_dir):
-    s = code.Sizes.for_model(512)
-    return spark.createDataFrame([(512, s.target, s.most, s.least, s.overlap)], "tokens int, target int, most int, least int, overlap int")
-
-
-@query("I14_sequence_match", "SELECT * FROM (VALUES ('wrestling-gam', 'wrestling-game'), ('my-ap', 'my-app')) v(asked, name)")
-def sequence_match(spark, sf_dir):
-    names = ["wrestling-game", "codegraph", "my-app", "test-project"]
-
-    def best(asked):
-        scored = sorted(((difflib.SequenceMatcher(None, asked.lower(), n).ratio(), n) for n in names), reverse=True)
-        return [(asked, n) for r, n in scored[:3] if r >= 0.6]
-
-    df = spark.createDataFrame([(1, "wrestling-gam"), (2, "my-ap"), (3, "zzz")], "id long, content string")
-    return code.explode_with(df, best, "asked string, name string").drop("id")
-
-
 @query("A13_schemas")
 def schemas(spark, sf_dir):
     return files.list_schemas(spark)
 
 
-@query("A17_catalog", "SELECT * FROM (VALUES ('nation', 0, 'n_nationkey', 'int'), ('nation', 1, 'n_name', 'string'), ('nation', 2, 'n_regionkey', 'int'), ('region', 0, 'r_regionkey', 'int'), ('region', 1, 'r_name', 'string')) v(\"table\", position, \"column\", type)")
-def catalog(spark, sf_dir):
-    return files.describe_catalog(spark, {n: table(spark, sf_dir, n) for n in ("region", "nation")}).drop("nullable")
-
-
 @query("A18_embed")
 def embed(spark, sf_dir):
     docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
@@ -192,39 +59,3 @@ def embed_missing(spark, sf_dir):
     return files.embed_missing(docs, done, files.hash_embedder(), 32)
 
 
-@query("J20_claim_evidence")
-def claim_evidence(spark, sf_dir):
-    """Candidates for a claim, packed by priority of their place: sources before tests, before 12,000 characters."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.substring("text", 1, 2000).alias("content"))
-    found = ft.search_any(docs, "tion wor", 50)
-    ranked = docs.join(F.broadcast(found), "id").withColumn("priority", F.when(F.col("source") == "src1", 0).when(F.col("source") == "src2", 1).when(F.col("source") == "src9", 10).otherwise(3))
-    return graph.pack_within(ranked, 12_000, F.length("content"), [], ["priority", F.desc("score"), "id"]).select("id", "priority", "spent")
-
-
-@query("J25_database_report")
-def database_report(spark, sf_dir):
-    m = t.routine_metrics(F.col("text"))
-    return code.explode_with(_one(spark, content=SCRIPT), lambda x: [(k, s) for k, s, *_ in code.statements_of(x) if k == "CREATE_FUNCTION"], "kind string, text string").select("kind", *(c.alias(k) for k, c in m.items()))
-
-
-@query("J28_summaries")
-def summaries(spark, sf_dir):
-    """Documents without a label get a summary by an injected function; here, their first sentence."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    todo = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")
-    return code.explode_with(todo, lambda x: [((x or "").split(".")[0][:200],)], "summary string")
-
-
-@query("K1_file_events", "SELECT path, op FROM (VALUES ('a.py', 'UPSERT'), ('b.py', 'DELETE'), ('c.py', 'DELETE'), ('d.py', 'UPSERT')) v(path, op)")
-def file_events(spark, sf_dir):
-    rows = [("a.py", None, "create"), ("b.py", None, "delete"), ("c.py", "d.py", "move"), (".git/x.py", None, "modify"), ("n.bin", None, "create")]
-    e = spark.createDataFrame(rows, "path string, target string, op string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return queue.relevant(queue.expand_moves(e)).select("path", "op")
-
-
-@query("K12_patch_sync", "SELECT * FROM (VALUES ('src/a.py', 'UPSERT'), ('src/b.py', 'DELETE')) v(path, op)")
-def patch_sync(spark, sf_dir):
-    patch = "diff --git a/src/a.py b/src/a.py\n--- a/src/a.py\n+++ b/src/a.py\ndiff --git a/src/b.py b/src/b.py\n--- a/src/b.py\n+++ /dev/null\n"
-    heads = _one(spark, content=patch).select(F.explode(F.regexp_extract_all("content", F.lit(r"--- (\S+)\n\+\+\+ (\S+)"), 0)).alias("h"))
-    old, new = F.regexp_extract("h", r"--- (?:a/)?(\S+)", 1), F.regexp_extract("h", r"\+\+\+ (?:b/)?(\S+)", 1)
-    return heads.select(F.when(new == "/dev/null", old).otherwise(new).alias("path"), F.when(new == "/dev/null", "DELETE").otherwise("UPSERT").alias("op"))

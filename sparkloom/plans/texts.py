@@ -45,17 +45,6 @@ def references(spark, sf_dir):
     return t.references(_markdown(spark, sf_dir))
 
 
-_KIND = """CASE WHEN ref LIKE '%/%' AND regexp_matches(ref, '[.](py|js|md|go)$') THEN 'file' WHEN starts_with(ref, 'from ') OR starts_with(ref, 'import ') THEN 'import' WHEN starts_with(ref, '@') THEN 'symbol' WHEN regexp_matches(ref, '^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*[(].*[)]$') THEN 'symbol'
-WHEN regexp_matches(ref, '^[A-Z][a-z0-9]+([A-Z][A-Za-z0-9]*)+$') THEN 'symbol' WHEN regexp_matches(ref, '^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)+$') THEN 'module' WHEN regexp_matches(ref, '^[A-Za-z_][A-Za-z0-9_]*$') THEN 'symbol' END"""
-_REFS = [("src/db/pool.py",), ("from a.b import c",), ("@app.route",), ("pool.get(1)",), ("connect()",), ("HttpClient",), ("a.b.c",), ("MAX_SIZE",), ("Config",), ("name",), ("two words",)]
-
-
-@query("I16_reference_kind", f"SELECT ref, {_KIND} AS type, CASE ref WHEN 'two words' THEN 0.0 WHEN 'src/db/pool.py' THEN 0.9 WHEN 'from a.b import c' THEN 0.9 WHEN 'HttpClient' THEN 0.8 WHEN 'a.b.c' THEN 0.7 WHEN 'MAX_SIZE' THEN 0.7 WHEN 'Config' THEN 0.75 WHEN 'name' THEN 0.6 ELSE 0.85 END AS confidence FROM (VALUES {', '.join(f'($${r[0]}$$)' for r in _REFS)}) v(ref)")
-def reference_kind(spark, sf_dir):
-    kind = t.reference_kind(F.col("ref"))
-    return _values(spark, _REFS, "ref string").select("ref", kind["type"].alias("type"), kind["confidence"].alias("confidence"))
-
-
 @query("I1_sliding_chunks", "SELECT doc_id AS id, i AS chunk, i * 1500 AS start, substring(text, i * 1500 + 1, 2000) AS content, len(substring(text, 1, i * 1500)) - len(replace(substring(text, 1, i * 1500), chr(10), '')) + 1 AS start_line FROM documents, LATERAL (SELECT unnest(range(CAST(greatest(1, ceil((length(text) - 500) / 1500.0)) AS BIGINT))) AS i) r")
 def sliding_chunks(spark, sf_dir):
     return t.sliding_windows(_docs(spark, sf_dir), 2000, 500).drop("end_line")
@@ -79,9 +68,6 @@ def dictionary_tags(spark, sf_dir):
     return _docs(spark, sf_dir).select("id", t.dictionary_tags(F.col("content"), _TOPICS).alias("topics"))
 
 
-shared("I11_estimate_tokens", "SELECT doc_id, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM {documents}")
-
-
 @query("I12_content_hash", "SELECT doc_id AS id, substring(sha256(text), 1, 16) AS h FROM documents")
 def content_hash(spark, sf_dir):
     return _docs(spark, sf_dir).select("id", t.content_hash(F.col("content")).alias("h"))
@@ -113,10 +99,6 @@ def step_decay(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", t.step_decay(days).alias("freshness"))
 
 
-shared("I21_interval_window", "SELECT o_orderkey FROM {orders} WHERE o_orderdate > TIMESTAMP '1996-06-01 00:00:00' - INTERVAL '90' DAY AND o_orderdate <= TIMESTAMP '1996-06-01 00:00:00'")
-shared("I22_backoff", "SELECT o_orderkey, CAST(60 * power(2, o_orderkey % 6) AS BIGINT) AS retry_after_s FROM {orders}")
-
-
 @query("I23_filename_tag", "SELECT page_id, CASE WHEN p LIKE '%test%' THEN 'testing' WHEN p LIKE '%auth%' OR p LIKE '%login%' THEN 'auth' WHEN p LIKE '%db%' OR p LIKE '%model%' OR p LIKE '%.sql%' THEN 'database' WHEN p LIKE '%api%' OR p LIKE '%route%' THEN 'api' WHEN p LIKE '%config%' OR p LIKE '%setting%' THEN 'config' END AS tag FROM (SELECT page_id, lower(CASE page_id % 4 WHEN 0 THEN 'x/test_' WHEN 1 THEN 'API/' WHEN 2 THEN 'models/' ELSE 'z/' END || page_id) AS p FROM pages) t")
 def filename_tag(spark, sf_dir):
     id_ = F.col("page_id")
@@ -124,14 +106,6 @@ def filename_tag(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.filename_tag(path).alias("tag"))
 
 
-_PATCH = "M\\ta.py\\nA\\tb.py\\nD\\tc.py\\nR100\\td.py\\te.py\\nM\\ta.py"
-
-
-@query("I24_diff_changes", "SELECT * FROM (VALUES (1, 'UPSERT', 'a.py'), (1, 'UPSERT', 'b.py'), (1, 'DELETE', 'c.py'), (1, 'DELETE', 'd.py'), (1, 'UPSERT', 'e.py')) v(id, op, path)")
-def diff_changes(spark, sf_dir):
-    return t.diff_changes(_values(spark, [(1, _PATCH.replace("\\t", "\t").replace("\\n", "\n"))], "id int, patch string"))
-
-
 _BODY = "BEGIN\n IF a AND b THEN\n  x := 1;\n ELSIF c OR d THEN\n  FOR i IN 1..2 LOOP\n   CASE z WHEN 1 THEN y := 2; END CASE;\n  END LOOP;\n END IF;\n EXECUTE format('SELECT %s', n);\nEXCEPTION WHEN others THEN SET ROLE admin;\nEND"
 
 
@@ -141,12 +115,6 @@ def routine_metrics(spark, sf_dir):
     return _values(spark, [("f", _BODY)], "name string, body string").select("name", *(c.alias(k) for k, c in m.items()))
 
 
-@query("I26_sql_dialect", "SELECT * FROM (VALUES (1, 'oracle'), (2, 'sqlserver'), (3, 'mysql'), (4, 'postgres')) v(id, dialect)")
-def sql_dialect(spark, sf_dir):
-    rows = [(1, "SELECT NVL(a, 0) FROM dual WHERE ROWNUM < 5"), (2, "SELECT TOP 5 * FROM t WITH (NOLOCK)\nGO"), (3, "CREATE TABLE `t` (id TINYINT AUTO_INCREMENT) ENGINE=InnoDB"), (4, "SELECT 1")]
-    return _values(spark, rows, "id int, body string").select("id", t.sql_dialect(F.col("body")).alias("dialect"))
-
-
 _CALLS = (("select", "the"), ("insert", "with"), ("connect", "der"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,14 @@ def build_session(cpus: int | None = None, app: str = "sparkloom") -> SparkSessi
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only in a local session."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = getattr(shared_path, "own", None) or tempfile.mkdtemp(prefix="sparkloom-")
+        shared_path.own = top
+    return f"{top.rstrip('/')}/{name}"

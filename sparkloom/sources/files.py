@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from sparkloom.functions.text import detect_language
+from sparkloom.functions.text import content_hash, detect_language
 
 #: Folders that documentation scans pass by; fixed values.
-EXCLUDED = ("node_modules", "vendor", "dist", "build", "target", "__pycache__", ".git", ".venv", "venv", ".tox", "site-packages")
+EXCLUDED = (".git", ".venv", "venv", "node_modules", "__pycache__", ".pytest_cache", "dist", "build", ".tox", ".mypy_cache", ".ruff_cache")
+#: Kinds of documentation by extension; fixed values.
+DOC_TYPES = {"md": "markdown", "rst": "restructuredtext", "adoc": "asciidoc", "sql": "sql_schema", "psql": "sql_schema", "ddl": "sql_schema"}
 
 
 def glob_regex(pattern: str) -> str:
@@ -30,10 +35,34 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.removeprefix("file:").rstrip("/")
-    return files.withColumn("path", F.regexp_replace("path", r"^\w+:/*(?=/)", "")).withColumn("path", F.expr(f"substring(path, {len(base) + 2})"))
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """path (below the root), uri and mtime of all files below a folder, also of those that Spark's own file sources pass
+    over (empty ones, and names that begin with a dot or an underscore). The driver lists names, as these sources do."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(top)
+    found = jvm.org.apache.spark.deploy.SparkHadoopUtil.get().listLeafStatuses(fs, top).mkString("\n")
+    base = len(top.toString().rstrip("/")) + 1
+    rows = [(m[1][base:], m[1], int(m[2]) / 1000) for m in re.finditer(r"path=(.*?); isDirectory=false;.*? modification_time=(\d+);", found)]
+    return spark.createDataFrame(rows, "path string, uri string, mtime double").withColumn("mtime", F.timestamp_seconds("mtime"))
+
+
+def read_contents(files: DataFrame) -> DataFrame:
+    """uri -> also content, as text; bytes that are no UTF-8 are replaced. Executors open the files, of any store that Arrow knows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            for i, uri in enumerate(batch.column("uri").to_pylist()):
+                fs, path = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+                with fs.open_input_stream(path) as f:
+                    text = f.read().decode(errors="replace")
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([text])], names=[*batch.schema.names, "content"])
+
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(n).mapInArrow(run, StructType([*files.schema.fields, StructField("content", StringType())]))
 
 
 def ignored(path: Column, patterns: Sequence[str]) -> Column:
@@ -49,18 +78,44 @@ def ignored(path: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
+def select_sources(files: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
+    """path -> also language, of source files: no dot files, none that are ignored, known languages only."""
+    files = files.withColumn("language", detect_language(F.col("path")))
+    return files.where(~F.col("path").rlike(r"(^|/)\.") & F.col("language").isNotNull() & ~ignored(F.col("path"), ignore))
+
+
+def select_docs(files: DataFrame) -> DataFrame:
+    """path -> also type, of documentation and SQL scripts outside the excluded folders."""
+    return files.withColumn("type", doc_type(F.col("path"))).where(F.col("type").isNotNull() & ~in_excluded(F.col("path")))
+
+
 def scan_repo(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """path, language, sha, mtime, content of source files: no dot files, none that are ignored, known languages only."""
-    files = _files(spark, root).withColumn("language", detect_language(F.col("path")))
-    files = files.where(~F.col("path").rlike(r"(^|/)\.") & F.col("language").isNotNull() & ~ignored(F.col("path"), ignore))
-    return files.select("path", "language", F.substring(F.sha2("content", 256), 1, 16).alias("sha"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))
+    """path, language, sha, mtime, content of the source files below a folder; others aren't opened."""
+    found = read_contents(select_sources(list_tree(spark, root), ignore))
+    return found.select("path", "language", content_hash(F.col("content")).alias("sha"), "mtime", "content")
 
 
 def scan_docs(spark: SparkSession, root: str) -> DataFrame:
-    """path, type, content of documentation: md, rst, adoc and sql outside the excluded folders."""
-    out = "|".join(x.replace(".", r"\.") for x in EXCLUDED)
-    files = _files(spark, root).where(F.lower("path").rlike(r"\.(md|rst|adoc|sql)$") & ~F.col("path").rlike(rf"(^|/)({out})/"))
-    return files.select("path", F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).alias("type"), F.decode("content", "UTF-8").alias("content"))
+    """path, type, content of the documentation below a folder."""
+    return read_contents(select_docs(list_tree(spark, root))).select("path", "type", "content")
+
+
+def doc_type(path: Column) -> Column:
+    """What kind of documentation a file is by its extension, or null."""
+    kinds = F.create_map(*(F.lit(x) for pair in DOC_TYPES.items() for x in pair))
+    return kinds[F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))]
+
+
+def in_excluded(path: Column) -> Column:
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, EXCLUDED)))
+
+
+def table_names(spark: SparkSession, folder: str) -> list[str]:
+    """The Parquet tables of a folder, by name; any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = (f.getPath().getName() for f in found)
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
 
 
 def list_schemas(spark: SparkSession) -> DataFrame:
@@ -90,8 +145,9 @@ def hash_embedder(dim: int = 32) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
-def embed_missing(docs: DataFrame, done: DataFrame, embed: Callable[[list[str]], list[list[float]]], dim: int, key: str = "id", text: str = "content", max_chars: int = 8000, batch: int = 100, retries: int = 3) -> DataFrame:
-    """key, vector for documents without one. Failing batches are tried again, then get zero vectors."""
+def embed_missing(docs: DataFrame, done: DataFrame, embed: Callable[[list[str]], list[list[float]]], dim: int, key: str = "id", text: str = "content", max_chars: int | None = None, batch: int = 100, retries: int = 3) -> DataFrame:
+    """key, vector for documents without one. Failing batches are tried again, then get zero vectors.
+    `max_chars` is the provider's limit, if it has one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as t
-from sparkloom.operators import fulltext, fusion, graph, incremental, rules, vector
+from sparkloom.operators import fulltext, fusion, graph, incremental, listings, rules, vector
 from sparkloom.sources import code, extract, files
 
 
@@ -100,6 +100,86 @@ def test_scan_repo(spark, tmp_path):
     assert [(r["path"], r["language"]) for r in files.scan_repo(spark, str(tmp_path)).collect()] == [("src/a.py", "python")]
 
 
+def test_scans_over_a_tree_of_files(spark, tmp_path):
+    """Sources by ignore rules and languages, documentation outside the excluded folders; empty files and names with a dot or an underscore before come as well."""
+    tree = {"src/a.py": "x = 1\n", "src/b.GO": "package b", "lib/c.ts": "let c", "lib/__init__.py": "", "lib/_x.py": "é", "node_modules/d.js": "x", "docs/guide.md": "# G", "docs/old.RST": "O", "build/notes.md": "no", "db/t.sql": "SELECT 1", "db/u.ddl": "DROP", "target/kept.adoc": "k", ".github/w.md": "w", "README": "r", "x.min.js": "y"}
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "raw.bin").write_bytes(bytes(range(256)))
+    got = {r["path"]: (r["language"], r["content"]) for r in files.scan_repo(spark, str(tmp_path), ["node_modules/", "*.min.js"]).collect()}
+    assert got == {"src/a.py": ("python", "x = 1\n"), "src/b.GO": ("go", "package b"), "lib/c.ts": ("typescript", "let c"), "db/t.sql": ("sql", "SELECT 1"), "db/u.ddl": ("sql", "DROP"), "lib/__init__.py": ("python", ""), "lib/_x.py": ("python", "é")}
+    docs = {r["path"]: r["type"] for r in files.scan_docs(spark, str(tmp_path)).collect()}
+    assert docs == {"docs/guide.md": "markdown", "docs/old.RST": "restructuredtext", "db/t.sql": "sql_schema", "db/u.ddl": "sql_schema", "target/kept.adoc": "asciidoc", ".github/w.md": "markdown"}
+
+
+def test_lines_stay_below_the_root(spark):
+    rows = [("a.py", "1\n2\n3"), ("../a.py", "1"), ("x/../y", "1"), ("/etc/passwd", "1"), ("x..y", "1")]
+    got = {r["path"]: (r["lines"], r["n_lines"]) for r in listings.read_lines(spark.createDataFrame(rows, "path string, content string"), 2, 9).collect()}
+    assert got == {"a.py": ("2\n3", 3), "../a.py": (None, None), "x/../y": (None, None), "/etc/passwd": (None, None), "x..y": ("", 1)}
+
+
+def test_upsert_and_insert_take_one_row_a_key(spark):
+    old = spark.createDataFrame([(1, "old", 0), (2, "old", 0)], "id long, v string, at long")
+    new = spark.createDataFrame([(2, "b", 1), (2, "c", 2), (3, "d", 1), (3, "e", 5)], "id long, v string, at long")
+    rows = lambda df: sorted((r["id"], r["v"]) for r in df.collect())
+    assert rows(incremental.upsert(old, new, ["id"], [F.desc("at")])) == [(1, "old"), (2, "c"), (3, "e")]
+    assert rows(incremental.insert_new(old, new, ["id"], [F.desc("at")])) == [(1, "old"), (2, "old"), (3, "e")]
+
+
+def test_keywords_by_row_equal_those_of_the_driver(spark):
+    texts = ["How do I print lines with DBMS_OUTPUT and maxValue2", "Error error ERROR A1 XMLParser can our x über_maß", "", "the of AND"]
+    for text in texts:
+        tech, plain = fulltext.weighted_keywords(text)
+        row = one(spark, fulltext.keywords_column(F.lit(text)))
+        assert ([k["word"] for k in row if k["technical"]], [k["word"] for k in row if not k["technical"]]) == (tech, plain)
+    assert fulltext.weighted_keywords(texts[0]) == (["dbms_output", "maxvalue2"], ["print", "lines"])
+    assert fulltext.weighted_keywords("Error error ERROR A1 can our should") == (["a1"], ["error"])
+
+
+def test_auto_tags(spark):
+    paths = ["web/node_modules/x/y.js", "app/dist/a.js", "app/a.min.js", "a/min.js", "x/tests/t.py", "x/a_test.go", "x/a.spec.ts", "src/vendor/v/dist/b.js", "src/a.py"]
+    df = spark.createDataFrame(list(enumerate(paths)), "id long, path string")
+    got = sorted((r["id"], r["tag"]) for r in rules.auto_tags(df).collect())
+    assert got == [(0, "vendor"), (1, "generated"), (2, "generated"), (4, "test"), (5, "test"), (6, "test"), (7, "generated"), (7, "vendor")]
+
+
+def test_patch_of_several_files(spark):
+    patch = "--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n--- not a head\n+x\n--- /dev/null\n+++ b/new.py\n--- a/gone.py\n+++ /dev/null\n--- a/o.py\n+++ b/p.py\n"
+    got = sorted((r["op"], r["path"]) for r in t.patch_changes(spark.createDataFrame([(1, patch)], "id long, patch string")).collect())
+    assert got == [("DELETE", "gone.py"), ("DELETE", "o.py"), ("UPSERT", "new.py"), ("UPSERT", "p.py"), ("UPSERT", "x.py")]
+
+
+def test_full_text_index_equals_the_scan(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS id", "text AS content")
+    fulltext.write_index(docs, str(tmp_path / "index"))
+    index = fulltext.read_index(spark, str(tmp_path / "index"))
+    for query in ("tion wor the_x", "zzzzq", "the", "ss, -- (", "er er ern"):
+        want = [tuple(r) for r in fulltext.search_any(docs, query, 20).collect()]
+        assert [tuple(r) for r in fulltext.search_index(index, docs, query, 20).collect()] == want
+    plan = fulltext.search_index(index, docs, "tion", 5)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(lexeme), StringStartsWith(lexeme,tion)]" in plan
+
+
+def test_vector_index_equals_the_scan_and_reads_few_cells(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    middle = [[r.gauss(0, 1) for _ in range(12)] for _ in range(30)]
+    rows = [(i, [x + r.gauss(0, 0.1) for x in middle[i % 30]]) for i in range(3000)] + [(5000, [0.0] * 12), (5001, rows_ := middle[0]), (5002, rows_)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    index = vector.write_cells(df, str(tmp_path / "cells"), 30)
+    read = []
+    for i in range(0, 3000, 150):
+        want = [tuple(x) for x in vector.vector_topk(df, rows[i][1], 10).collect()]
+        found, cells = vector.search_cells(spark, index, rows[i][1], 10)
+        got = [tuple(x) for x in found.collect()]
+        assert [x[0] for x in got] == [x[0] for x in want] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, want))
+        read.append(len(cells))
+    assert sum(read) / len(read) < 10
+    assert vector.search_cells(spark, vector.write_cells(df.where("false"), str(tmp_path / "none"), 3), rows[0][1], 5)[0].count() == 0
+
+
 def test_html_branches():
     html = "<html><head><title>T</title></head><body><nav>no</nav><h1>Head</h1><p>A paragraph of text.</p><pre>x = 1\ny</pre><table><tr><td>a</td><td>b</td></tr></table><ul><li>one</li><li>two</li></ul><script>bad()</script></body></html>"
     got = extract.html_sections(html)
@@ -138,5 +218,5 @@ def test_scan_repo_query_lists_every_table(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * len(name))
     (tmp_path / "c.parquet").mkdir()
     (tmp_path / "c.parquet" / "part-0.parquet").write_bytes(b"xy")
-    got = QUERIES["A1_scan_repo"](spark, str(tmp_path)).collect()
+    got = QUERIES["A1_folder_files"](spark, str(tmp_path)).collect()
     assert sorted((r["path"], r["size"]) for r in got) == [("a.parquet", 9), ("b.parquet", 9), ("part-0.parquet", 2)]
