@@ -7,7 +7,8 @@ A fingerprint reads `block:signature:signature at twice the block`. Likeness is
 the better of the block sizes that both have, and 0 if no size or no run of `SHARED` characters is common.
 
 Defined results: null is the empty text, whose fingerprint is `3::`; equal texts have equal fingerprints and likeness 1,
-two empty ones too; rows that share a doc_id follow each other by text; the only row of a table is its own next.
+two empty ones too; rows that share a doc_id follow each other by a hash of the text, those without one come last; the only
+row of a table is its own next; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bytes_of, prefix_sums, slices, span_hash
+from sparkloom.llm.common import bytes_of, prefix_sums, settle, slices, span_hash
 
 WINDOW, SMALLEST, LENGTH, SHARED = 7, 3, 64, 4
+_ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 
@@ -125,56 +128,64 @@ def _two(docs: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]], out: str, buckets: int | None = None) -> DataFrame:
     """Apply `run` to (doc_id, text, text of the next document) in descending doc_id; after the last comes the first.
 
-    Documents are dealt to ranges of doc_id of about equal counts. Of each range, the one document that the range before
-    it needs as its last next is sent there too, as a guest; so texts are shuffled once and ranges work by themselves.
-    The driver sees two numbers for each range.
+    Texts are shuffled once, into ranges of doc_id whose bounds Spark samples; rows with one doc_id are ranged by their
+    text's hash, and copies of one row, among which no order matters, by their place in the input, so no key fills a
+    range. A range works by itself, but for its last document: its text, and that of its first one, come out with the
+    results, two a range, and what is open is matched in a second step. The driver sees the ranges' numbers.
     """
-    two = _two(docs)
     spark = docs.sparkSession
     n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = two.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).head()[0] if n > 1 else []
-    bounds = sorted(set(bounds or []))
-    cut = F.lit(0)
-    edges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    if bounds:
-        #: the number of bounds below the id, found by halving
-        cut = F.size(F.filter(edges, lambda b: b < F.col("doc_id")))
-    two = two.withColumn("bucket", F.coalesce(cut, F.lit(-1)))
-    tops = {r["bucket"]: r["top"] for r in two.groupBy("bucket").agg(F.max(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    #: the first document of each range is the guest of the range above, the very first that of the lowest
-    host = {b: order[i - 1] for i, b in enumerate(order)}
-    guests = None
-    if order:
-        rows = [(tops[b]["doc_id"], tops[b]["h"], host[b]) for b in order]
-        seats = F.broadcast(spark.createDataFrame(rows, "g long, gh long, host int"))
-        guests = two.join(seats, two["doc_id"].eqNullSafe(F.col("g")) & (F.xxhash64("text") == F.col("gh")))
-        guests = guests.select("doc_id", "text", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
-    dealt = two.withColumn("guest", F.lit(False))
-    dealt = dealt.unionByName(guests) if guests is not None else dealt
-    ordered = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("guest").asc(), F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        held = None
-        for batch in batches:
-            for doc, text, bucket, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "bucket", "guest")), strict=True):
-                if held and held[2] == bucket and not held[3]:
-                    yield held[0], held[1], text or ""
-                held = (doc, text or "", bucket, guest)
-
-    names = [c.split()[0] for c in out.split(", ")]
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("i")]
+    keyed = _two(docs).withColumns({"h": F.xxhash64("text"), "i": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    names, kinds = [c.split()[0] for c in out.split(", ")], [_ARROW[c.split()[1]] for c in out.split(", ")]
+    edges = "part int, edge string, whole string"
+
+    def made(rows: list[tuple], extra: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*(r + e for r, e in zip(rows, extra, strict=True)), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.int32(), pa.string(), pa.string()], strict=True)], names=[*names, "part", "edge", "whole"])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ends = TaskContext.get().partitionId(), []
+
+        def pairs() -> Iterator[tuple]:
+            held = None
+            for batch in batches:
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    if held:
+                        yield held[0], held[1], text or ""
+                    else:
+                        ends.append((doc, text or "", "first"))
+                    held = (doc, text or "")
+            if held:
+                ends.append((*held, "last"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for row in run(pairs(batches)):
+        for row in run(pairs()):
             rows.append(row)
             if len(rows) == 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+                yield made(rows, [(part, None, None)] * len(rows))
                 rows = []
+        rows, extra = rows + [(doc, *[None] * (len(names) - 1)) for doc, *_ in ends], [(part, None, None)] * len(rows) + [(part, e, text) for _, text, e in ends]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+            yield made(rows, extra)
+
+    found = settle(ordered.mapInArrow(inside, f"{out}, {edges}"))
+    open_ = found.where("edge IS NOT NULL").select("doc_id", "part", "edge", "whole")
+    parts = sorted(r["part"] for r in open_.where("edge = 'first'").select("part").collect())  # a number a range
+    if not parts:
+        return found.select(*names)
+    seats = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, following int")
+    heads = open_.where("edge = 'first'").select(F.col("part").alias("following"), F.col("whole").alias("next_text"))
+    last = open_.where("edge = 'last'").join(F.broadcast(seats), "part").join(heads, "following").select("doc_id", "whole", "next_text")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(run(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "whole", "next_text")), strict=True)))
+            if rows:
+                yield made(rows, [(None, None, None)] * len(rows))
 
-    return ordered.mapInArrow(work, out)
+    return found.where("edge IS NULL").select(*names).unionByName(last.mapInArrow(across, f"{out}, {edges}").select(*names))
 
 
 def edited(text: str, following: str) -> str:

@@ -41,6 +41,56 @@ def test_against_a_plain_loop(docs_of, corpus, buckets):
         assert 0 <= r["near_edited"] <= 1
 
 
+def slow_fingerprint(data):
+    """Cuts behind every window of seven bytes whose hash is a multiple, chunk by chunk, in plain numbers."""
+    from sparkloom.llm.common import _BYTE, _BASE
+
+    full = (1 << 64) - 1
+
+    def spread(x):
+        x ^= x >> 31
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 29
+        x = x * 0x94D049BB133111EB & full
+        return x ^ x >> 32
+
+    value = lambda some: spread(sum(int(_BYTE[b]) * pow(int(_BASE), i, 1 << 64) for i, b in enumerate(some)) & full)
+    roll = {i + 7: value(data[i : i + 7]) for i in range(len(data) - 6)}
+    cuts = lambda block: [i for i, v in sorted(roll.items()) if i < len(data) and v % block == 0]
+    block = 3
+    while len(cuts(block)) + 1 > 64:
+        block *= 2
+
+    def sign(at):
+        return "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[value(data[i:j]) >> 58] for i, j in zip([0, *at], [*at, len(data)]) if j > i)
+
+    return f"{block}:{sign(cuts(block))}:{sign(cuts(2 * block))}"
+
+
+def test_fingerprint_against_plain_numbers():
+    r = random.Random(7)
+    for n in (0, 1, 6, 7, 8, 50, 400, 3000):
+        for letters in (b"ab", bytes(range(256))):
+            data = bytes(r.choice(letters) for _ in range(n))
+            assert fingerprint(np.frombuffer(data, np.uint8)) == slow_fingerprint(data)
+
+
+def test_null_and_repeated_ids_and_long_texts(docs_of):
+    """Rows without an id come last; of rows with one id each is followed by another of them or by the next id."""
+    texts = ["t" * 10, "u" * 400_000, None, "same", "same", "same", "other", ""]
+    ids = [9, 9, None, None, 4, 4, 4, 1]
+    for buckets in (1, 5):
+        rows = compare_with_next(docs_of(texts, ids=ids), buckets).collect()
+        assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in rows) == sorted((i or 0, len(x or "")) for i, x in zip(ids, texts))
+        got = {}
+        for r in rows:
+            got.setdefault(r["doc_id"], []).append(r["edited_sha256"])
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert got[1] in ([sha("")], [sha("")])
+        first_of_9 = {sha(edited(a, b)) for a in texts[:2] for b in (*texts[:2], "same", "other") if a != b}
+        assert set(got[9]) <= first_of_9 and len(got[4]) == 3 and len(got[None]) == 2
+
+
 def test_likeness_tells_edits_from_strangers(corpus):
     r = random.Random(3)
     text = lambda: "".join(r.choice("abcdefgh ") for _ in range(4000)).encode()
