@@ -1,9 +1,13 @@
 """From raw documents to a training mix: five stages, each one operator over all that the stage before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the mix: doc_id, source, size,
-source_size, target and taken (words that the mix takes of a document, repeats counted). Null texts and
-empty tables are handled as the operators say. Near-dedup keeps one row of each repeated document (same doc_id and text)
-and takes rows without a doc_id for documents of their own, told apart by their text. A document whose text is removed as a whole stays, with an empty text.
+source_size, target and taken (words that the mix takes of a document, repeats counted).
+
+Defined results: a null text is scored, kept and mixed as an empty one; without labels every score is 0.5 and nothing is
+rejected; an empty benchmark hits nothing; no documents give no rows; other columns of documents are left out. Near-dedup
+keeps one row of each repeated document (same doc_id and text) and takes rows without a doc_id for documents of their own,
+told apart by their text. A document whose text is removed as a whole stays, with an empty text; a cut inside a character
+takes the rest of the character.
 """
 
 from __future__ import annotations
