@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating stars (Kiveris et al. 2014); edges never leave the executors."""
+"""Connected components of an edge table, by alternating stars (Kiveris et al. 2014); edges never leave the executors.
+
+Defined results: repeated edges and edges from a node to itself change nothing; an edge with a null end is left out; no
+edges give no nodes; nodes without an edge are not in the result; other columns are ignored.
+"""
 
 from __future__ import annotations
 
