@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from sparkloom.llm.decontamination import clean_of, contamination
+from sparkloom.llm.decontamination import clean_of, contamination, words_of
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -56,6 +56,15 @@ def test_short_items_of_every_length_and_beyond_the_broadcast_bound(spark, docs_
     assert sorted(r["doc_id"] for r in clean_of(df, bench, 0).collect()) == [i for i, w in enumerate(hit) if not w[4]]
 
 
+def test_words_end_at_every_gap(spark):
+    text = "".join(f"a{chr(c)}B" for c in range(128)) + "é\u00a0ü ß\u2028x"
+    df = spark.createDataFrame([(text,), (None,), ("",), (" \x00 ",)], "text string")
+    from pyspark.sql import functions as F
+
+    got = [r["w"] for r in df.select(words_of(F.col("text")).alias("w")).collect()]
+    assert got == [words(text), [], [], []]
+
+
 def test_null_and_repeated_ids(spark, docs_of):
     passage = " ".join(f"w{i}" for i in range(12))
     texts, ids = [passage, "x " + passage, "clean", passage, passage, None], [None, None, None, 4, 4, 5]
