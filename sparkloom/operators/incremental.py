@@ -35,6 +35,20 @@ def regenerate(files: DataFrame, changed: Column, by: str, share: float = 0.05)
     return files.groupBy(by).agg(n.alias("changed"), all_.alias("total"), F.when(n / all_ > share, "REGENERATE_SUMMARY").otherwise("skip").alias("action"))
 
 
+def reindex(derived: DataFrame, changed: DataFrame, fresh: DataFrame, owner: str = "id") -> DataFrame:
+    """Derived rows after a change: those of changed or deleted files go, what was extracted anew comes. `changed` has
+    `owner` and op, as `changes` gives them; `fresh` is extracted from inserted and updated files only."""
+    gone = changed.where(F.col("op") != "insert").select(owner)
+    return derived.join(gone, owner, "left_anti").unionByName(fresh)
+
+
+def keep_manual(tags: DataFrame, changed: DataFrame, owner: str = "id") -> DataFrame:
+    """Tags after a change: those by rules of changed or deleted files go, those by hand stay."""
+    gone = changed.where(F.col("op") != "insert").select(owner, F.lit(True).alias("__gone"))
+    rows = tags.join(gone, owner, "left").where(F.col("__gone").isNull() | (F.col("source") == "manual"))
+    return rows.drop("__gone")
+
+
 def enqueue(queue: DataFrame, jobs: DataFrame, key: str = "dedup_key") -> DataFrame:
     """Jobs whose key isn't open already, each key once."""
     open_ = queue.where(F.col("status").isin("PENDING", "CLAIMED")).select(key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as t
 from sparkloom.operators import fulltext as ft
-from sparkloom.operators import graph, incremental, listings, ranking, reports, rules
+from sparkloom.operators import claims, graph, incremental, listings, ranking, reports, rules
 from sparkloom.plans.stand_ins import COMPONENTS, FILES, PATCHES, REFERENCES, SCRIPTS, SOURCES, duck, frame
 from sparkloom.registry import query, sql
 from sparkloom.session import table
@@ -462,6 +462,41 @@ def summaries(spark, sf_dir):
     return of_docs.unionByName(modules.select(F.lit("module").alias("level"), F.col("source").alias("entity"), "summary")).unionByName(symbols_)
 
 
+_CLAIMS = "SELECT doc_id AS id, 'About it. The limit is ' || (doc_id % 40) || ' items' || CASE WHEN doc_id % 6 = 0 THEN '.' ELSE ' each.' END || ' Nothing else' AS content FROM {documents} WHERE doc_id % 7 <> 3"
+_CODE = "SELECT doc_id AS id, 'if (n > ' || (doc_id % 40 + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) || ')' || CASE WHEN doc_id % 2 = 0 THEN ' throw new Error' ELSE '' END AS code FROM {documents} WHERE doc_id % 11 > 0"
+
+
+@query("J20_claims", f"SELECT id, 'The limit is ' || (id % 40) || ' items' || CASE WHEN id % 6 = 0 THEN '' ELSE ' each' END AS claim, CASE WHEN id % 11 = 0 THEN 'no_code_found' WHEN id % 5 = 0 THEN 'mismatch' ELSE 'match' END AS verdict, CASE WHEN id % 11 = 0 OR id % 5 > 0 THEN NULL WHEN id % 2 = 0 THEN 'high' ELSE 'medium' END AS severity FROM {duck(_CLAIMS)} c")
+def claims_and_verdicts(spark, sf_dir):
+    """Claims about limits, held against code, by the offline stand-ins for a model."""
+    found = claims.claims_of(frame(spark, sf_dir, _CLAIMS), claims.limits_of)
+    judged = claims.verify(found, frame(spark, sf_dir, _CODE), claims.compare_numbers)
+    issues = claims.drift_issues(judged).select("id", "severity")
+    return judged.select("id", "claim", "verdict").join(issues, "id", "left")
+
+
+@query("I19_json_repair", "SELECT doc_id AS id, doc_id % 4 AS n FROM documents WHERE doc_id % 5 < 4")
+def json_repair(spark, sf_dir):
+    """Replies around JSON: bare, fenced, within other words, an object, and none at all."""
+    array = "'[' || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '1' WHEN 2 THEN '1, 2' ELSE '1, 2, 3' END || ']'"
+    text = f"SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN {array} WHEN 1 THEN 'Sure:' || chr(10) || '```json' || chr(10) || {array} || chr(10) || '```' WHEN 2 THEN 'It is ' || {array} || ', so.' WHEN 3 THEN ' ' || {array} || ' ' ELSE 'no [json' END AS content FROM {{documents}}"
+    return code.explode_with(frame(spark, sf_dir, text), lambda x: [(len(v),)] if (v := claims.parse_json(x)) is not None else [], "n long")
+
+
+_NOW = f"SELECT id, CASE WHEN id % 3 = 0 THEN 'go' ELSE language END AS language, CASE WHEN id % 3 = 0 THEN 'func renamed' || id || '()' || chr(10) ELSE content END AS content FROM ({SOURCES}) s WHERE id % 5 > 0"
+
+
+@query("K11_reindex", f"SELECT id, 'renamed' || id AS fqn FROM {_S} s WHERE id % 5 > 0 AND id % 3 = 0 UNION ALL SELECT id, unnest(CASE language WHEN 'python' THEN ['C' || id, 'C' || id || '.run', 'helper' || id] ELSE ['add' || id, 'Put' || id] END) FROM {_S} s WHERE id % 5 > 0 AND id % 3 > 0")
+def reindex(spark, sf_dir):
+    """Symbols after a third of the files changed and a fifth went; only what changed is parsed again."""
+    symbols_of = lambda df: code.explode_with(df, lambda x, lang: [(s[0],) for s in code.symbols_of(x, lang)], "fqn string", inputs=("content", "language"))
+    old, new = _sources(spark, sf_dir), frame(spark, sf_dir, _NOW)
+    digest = lambda df: df.select("id", t.content_hash(F.col("content")).alias("h"))
+    changed = incremental.changes(digest(old), digest(new))
+    todo = new.join(changed.where("op <> 'delete'").select("id"), "id", "left_semi")
+    return incremental.reindex(symbols_of(old), changed, symbols_of(todo))
+
+
 # -- change feed -------------------------------------------------------------------------------------------------------
 _EVENTS = "SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_id % 9 = 0 THEN '.git/' WHEN event_id % 11 = 0 THEN 'node_modules/' ELSE 'src/' END || 'u' || user_id || CASE WHEN event_id % 5 = 0 THEN '.bin' ELSE '.py' END AS path, 'src/v' || user_id || '.py' AS target, CASE event_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'modify' WHEN 2 THEN 'delete' ELSE 'move' END AS op FROM {events}"
 

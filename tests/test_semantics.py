@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as t
-from sparkloom.operators import fulltext, fusion, graph, incremental, listings, rules, vector
+from sparkloom.operators import claims, fulltext, fusion, graph, incremental, listings, rules, vector
 from sparkloom.sources import code, extract, files
 
 
@@ -220,3 +220,24 @@ def test_scan_repo_query_lists_every_table(spark, tmp_path):
     (tmp_path / "c.parquet" / "part-0.parquet").write_bytes(b"xy")
     got = QUERIES["A1_folder_files"](spark, str(tmp_path)).collect()
     assert sorted((r["path"], r["size"]) for r in got) == [("a.parquet", 9), ("b.parquet", 9), ("part-0.parquet", 2)]
+
+
+def test_claims_judgements_and_their_severity(spark):
+    """Replies in every shape; equal values are no mismatch; without code none is found."""
+    replies = {"a": '[{"claim_text": "x 5", "expected_value": 5, "confidence": 0.9}, {"claim_text": "weak", "confidence": 0.5}]', "b": '```json\n{"claims": [{"claim_text": "y", "confidence": 1, "topic": "t"}]}\n```', "c": 'Here: {"claim_text": "z", "confidence": 0.8}', "d": "none", "e": "[]"}
+    docs = spark.createDataFrame([(i, k) for i, k in enumerate(replies)], "id long, content string")
+    found = claims.claims_of(docs, replies.__getitem__)
+    got = sorted((r["id"], r["claim"], r["topic"], r["expected"]) for r in found.collect())
+    assert got == [(0, "x 5", "unknown", "5"), (1, "y", "t", None), (2, "z", "unknown", None)]
+    verdicts = {"one": '{"verdict": "mismatch", "confidence": 0.95, "actual_value": "5.0 items"}', "two": '{"verdict": "mismatch", "confidence": 0.75, "actual_value": 6}', "three": "?"}
+    said = spark.createDataFrame([(1, "one", "5"), (2, "two", "5"), (3, "three", "5"), (4, "four", None)], "id long, claim string, expected string")
+    code_ = spark.createDataFrame([(1, "c"), (2, "c"), (3, "c")], "id long, code string")
+    judged = claims.verify(said, code_, lambda claim, code: verdicts[claim])
+    assert sorted((r["id"], r["verdict"]) for r in judged.collect()) == [(1, "match"), (2, "mismatch"), (3, "unclear"), (4, "no_code_found")]
+    assert [(r["id"], r["severity"]) for r in claims.drift_issues(judged).collect()] == [(2, "medium")]
+
+
+def test_reindex_keeps_tags_by_hand(spark):
+    tags = spark.createDataFrame([(1, "rule"), (1, "manual"), (2, "rule"), (3, "rule")], "id long, source string")
+    changed = spark.createDataFrame([(1, "update"), (3, "insert")], "id long, op string")
+    assert sorted(tuple(r) for r in incremental.keep_manual(tags, changed).collect()) == [(1, "manual"), (2, "rule"), (3, "rule")]
