@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import settle
+from sparkloom.llm.common import join_hot, settle
 
 ARCHIVE_BYTES = 4 << 20
 STEP = 1 << 16
@@ -149,12 +149,13 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     #: one row is the response: the least by page_id and url, and one of its copies where it is repeated
     alike = keyed.where(F.col("size") >= least).groupBy("sha", "size", "page_id", "url").agg(F.count("*").alias("copies"))
     firsts = alike.groupBy("sha", "size").agg(F.min(F.struct("page_id", "url", "copies")).alias("f"), F.sum("copies").alias("n")).where("n > 1")
-    firsts = settle(firsts.select("sha", "size", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"), F.col("f.copies").alias("copies")))
+    firsts = settle(firsts.select("sha", "size", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"), F.col("f.copies").alias("copies"), F.col("n").alias("__n")))
     own = (F.col("page_id") == F.col("first")) & F.col("url").eqNullSafe(F.col("first_url"))
     columns = ["page_id", "url", "payload", "sha", "size", "first", "again"]
-    marked = keyed.join(firsts, ["sha", "size"], "left").where(F.col("first").isNull() | ~own | (F.col("copies") == 1))
+    #: a payload that a great part of the pages have is dealt to many tasks
+    marked = join_hot(keyed, firsts, ["sha", "size"], F.struct("page_id", "url"), "left").where(F.col("first").isNull() | ~own | (F.col("copies") == 1))
     marked = marked.withColumn("again", F.col("first").isNotNull() & ~own).select(*columns)
-    repeated = firsts.where("copies > 1")
+    repeated = firsts.where("copies > 1").drop("__n")
     if not repeated.isEmpty():
         #: only these rows move with their payloads, and only one of each; its copies are numbered
         whole = keyed.join(repeated, ["sha", "size"]).where(own).dropDuplicates(["sha", "size"])
