@@ -18,6 +18,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import join_hot, settle
+
 #: (host, path, verdict)
 GIVEN = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Share of labelled URLs that a mined rule is right about at least, how many these are at least (a share of a small table
@@ -80,13 +82,17 @@ def given_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return out
 
 
+def urls_of(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("url").cast("string").alias("url")).where("url IS NOT NULL")
+
+
 def filter_urls(pages: DataFrame, mined: DataFrame, rules: Sequence[tuple[str, str, str]] = GIVEN) -> DataFrame:
     """page_id, url -> page_id, host, path, rule, verdict, mined_rule (tokens of the most confident mined rule that fires).
 
     A URL has few tokens, so it meets few rules; equal URLs are looked up once.
     """
     url = F.col("url").cast("string")
-    urls = pages.select(url.alias("url")).where(F.col("url").isNotNull()).distinct()
+    urls = urls_of(pages).distinct()
     #: the least frequent token is that of the rules which fewest rules have; ties by the token
     posted = mined.select("tokens", "confidence", F.explode("tokens").alias("t"))
     many = posted.groupBy("t").count()
@@ -94,7 +100,9 @@ def filter_urls(pages: DataFrame, mined: DataFrame, rules: Sequence[tuple[str, s
     found = urls.select("url", tokens_of(F.col("url")).alias("own")).withColumn("t", F.explode("own")).join(index, "t").where(F.size(F.array_except("tokens", "own")) == 0)
     fired = found.groupBy("url").agg(F.max_by("tokens", F.struct("confidence", "tokens")).alias("mined_rule"))
     given = given_rule(host_of(url), path_of(url), rules)
-    out = pages.select("page_id", url.alias("url")).join(fired, "url", "left").withColumn("given", given)
+    #: pages are told by their url; one that a great part of them have is dealt to many tasks
+    fired = settle(urls_of(pages).groupBy("url").agg(F.count("*").alias("__n")).join(fired, "url"))
+    out = join_hot(pages.select("page_id", url.alias("url")), fired, ["url"], F.col("page_id"), "left").withColumn("given", given)
     learned = F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("given.rule").alias("rule"), F.coalesce(F.col("given.verdict"), learned).alias("verdict"), F.array_join("mined_rule", " ").alias("mined_rule"))
 
