@@ -303,8 +303,9 @@ def repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> D
 
     ordered = ready.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lead").sortWithinPartitions("lead", "context", "skip")
     spans_of = settle(ordered.mapInArrow(sort, spans))
-    if whole is not None:
-        spans_of = settle(spans_of.unionByName(whole))
+    #: a row a context, however many runs its windows were dealt to, so that the join gives a row an occurrence
+    all_of = spans_of if whole is None else spans_of.unionByName(whole)
+    spans_of = settle(all_of.groupBy("gram", "context", "n").agg(F.flatten(F.collect_list("runs")).alias("runs")))
     discard(pieces)
     marked = join_hot(found, spans_of.withColumnRenamed("n", "__n"), ["gram", "context"], place)
     begin = F.col("anchor") - F.col("back")
