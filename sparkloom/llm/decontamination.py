@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +90,10 @@ def _bitmap(hashes: DataFrame, column: str) -> Callable[[Column], Column]:
     bit = lambda h: h.bitwiseAND(F.lit((1 << BITMAP) - 1))
     one = F.col(column)
     rows = hashes.groupBy(F.shiftright(bit(one), 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(one).bitwiseAND(F.lit(63)).cast("int"))).alias("w")).collect()
-    found = {r["i"]: r["w"] for r in rows}
-    words = F.array(*(F.lit(found.get(i, 0)).cast("long") for i in range(1 << (BITMAP - 6))))
+    found = np.zeros(1 << (BITMAP - 6), np.int64)
+    for r in rows:
+        found[r["i"]] = r["w"]
+    words = F.lit(found)
     return lambda h: F.getbit(F.get(words, F.shiftright(bit(h), 6).cast("int")), bit(h).bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
