@@ -18,6 +18,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     A star's minimum is pre-aggregated in each task. Every round writes the edges out, so a lost executor costs one round.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     while True:
         #: large star: what lies above a node hangs on the least of its neighbours

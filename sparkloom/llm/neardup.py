@@ -62,10 +62,10 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
         if j - i >= size:
             out.append(np.unique(shingles[i : j - size + 1]))
         elif j > i:
-            whole = np.uint64(j - i)
+            whole = np.array([j - i], np.uint64)
             for w in words[i:j]:
-                whole = mix(np.array([whole * np.uint64(0xD6E8FEB86659FD93) + w]))[0]
-            out.append(np.array([whole], np.uint64))
+                whole = mix(whole * np.uint64(0xD6E8FEB86659FD93) + w)
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -274,17 +274,6 @@ def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches:
     open_ = open_.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("k", "w", "component")).alias("m"), F.sum("k").alias("__n"), F.sum("w").alias("all_w")).where("parts > 1")
     open_ = open_.select("key", "__n", F.col("m.component").alias("main"), F.col("m.k").alias("mk"), F.col("m.w").alias("mw"), (F.col("__n") - F.col("m.k")).alias("sk"), (F.col("all_w") - F.col("m.w")).alias("sw"))
     open_ = settle(open_.withColumns({"m_blocks": _blocks("mk", "mw", block), "s_blocks": _blocks("sk", "sw", block)}).select("key", "__n", "main", "m_blocks", "s_blocks"))
-    labelled = settle(join_hot(labelled, open_, ["key"], F.col("rep")))
-    #: a list that fits one block is one cell; else blocks of the main component come first and meet the others' only
-    alone = F.col("m_blocks") + F.col("s_blocks") == 2
-    main = F.col("component") == F.col("main")
-    own = F.when(main, _own(F.col("m_blocks"))).otherwise(F.col("m_blocks") + _own(F.col("s_blocks")))
-    own = F.when(alone, 0).otherwise(own)
-    others = F.sequence(F.when(main, F.col("m_blocks")).otherwise(F.lit(0)), F.col("m_blocks") + F.col("s_blocks") - 1)
-    pair = F.transform(others, lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    again = labelled.withColumn("own", own).withColumn("cell", F.explode(F.when(alone, one).otherwise(pair)))
-
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         out: list[tuple] = []
@@ -348,19 +337,32 @@ def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches:
         if out:
             yield _pairs(out)
 
-    spot = F.xxhash64("key", "cell.i", "cell.j")
-    again = again.join(ids.select("rep", "vals", "keys"), "rep").withColumn("spot", spot).withColumn("before", F.expr("slice(keys, 1, at)"))
-    again = _in_order(again.select("key", "cell", "rep", "vals", "component", "at", "own", "spot", "before"))
-    second = again.mapInArrow(between, "spot long, rep long, component long, partners array<long>")
-    met = second.join(texts.select("rep", "text"), "rep").select("spot", "rep", "component", "partners", "text")
-    more = settle(met.repartition("spot").sortWithinPartitions("spot", "rep").mapInArrow(confirm_all, "a long, b long"))
-    name = lambda c, as_: parts.select(F.col("node").alias(c), F.col("component").alias(as_))
-    merged = more.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    tops = connected_components(merged)
-    final = parts.join(tops.withColumnRenamed("component", "top"), parts["component"] == tops["node"], "left").select(parts["node"].alias("rep"), F.coalesce("top", "component").alias("component"))
-    lone = tops.join(parts.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), "component")
-    final = settle(final.unionByName(lone))
-    discard(live, labelled, open_, ids, texts, more, lists)
+    final = parts.select(F.col("node").alias("rep"), "component")
+    if not open_.isEmpty():
+        labelled = settle(join_hot(labelled, open_, ["key"], F.col("rep")))
+        #: a list that fits one block is one cell; else blocks of the main component come first and meet the others' only
+        alone = F.col("m_blocks") + F.col("s_blocks") == 2
+        main = F.col("component") == F.col("main")
+        own = F.when(main, _own(F.col("m_blocks"))).otherwise(F.col("m_blocks") + _own(F.col("s_blocks")))
+        own = F.when(alone, 0).otherwise(own)
+        others = F.sequence(F.when(main, F.col("m_blocks")).otherwise(F.lit(0)), F.col("m_blocks") + F.col("s_blocks") - 1)
+        pair = F.transform(others, lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+        one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+        again = labelled.withColumn("own", own).withColumn("cell", F.explode(F.when(alone, one).otherwise(pair)))
+        spot = F.xxhash64("key", "cell.i", "cell.j")
+        again = again.join(ids.select("rep", "vals", "keys"), "rep").withColumn("spot", spot).withColumn("before", F.expr("slice(keys, 1, at)"))
+        again = _in_order(again.select("key", "cell", "rep", "vals", "component", "at", "own", "spot", "before"))
+        second = again.mapInArrow(between, "spot long, rep long, component long, partners array<long>")
+        met = second.join(texts.select("rep", "text"), "rep").select("spot", "rep", "component", "partners", "text")
+        more = settle(met.repartition("spot").sortWithinPartitions("spot", "rep").mapInArrow(confirm_all, "a long, b long"))
+        name = lambda c, as_: parts.select(F.col("node").alias(c), F.col("component").alias(as_))
+        merged = more.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        tops = connected_components(merged)
+        final = parts.join(tops.withColumnRenamed("component", "top"), parts["component"] == tops["node"], "left").select(parts["node"].alias("rep"), F.coalesce("top", "component").alias("component"))
+        lone = tops.join(parts.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), "component")
+        final = settle(final.unionByName(lone))
+        discard(labelled, more)
+    discard(live, open_, ids, texts, lists)
     joined = classes.drop("keys").join(final, "rep")
     tops = joined.groupBy("component").agg(F.min("row").alias("top"), F.count("*").alias("__n"))
     joined = join_hot(joined, tops, ["component"], F.col("rep")).select(*sets, "top")
@@ -368,6 +370,6 @@ def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches:
     out = join_hot(some.select("doc_id", *ROW, *sets), named, sets, F.struct(*ROW))
     none = sketches.where("n = 0").select("doc_id", *ROW, *sets, F.struct(*ROW).alias("top"))
     out = out.select("doc_id", *ROW, *sets, "top").unionByName(none)
-    discard(classes, parts, final)
+    discard(classes, parts)
     component = F.when(~F.col("top._unknown"), F.col("top._id"))
     return out.select(*ROW, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("top") == F.struct(*ROW)).alias("kept"))
