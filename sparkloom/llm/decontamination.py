@@ -57,32 +57,41 @@ def _grams(df: DataFrame, seed: int) -> DataFrame:
     return df
 
 
-def _runs(df: DataFrame, lengths: list[int], name: str, seed: int) -> DataFrame:
+def _from_grams(df: DataFrame, lengths: list[int], name: str) -> DataFrame:
     """Add, for each length, the hashes of every run of as many words, put together from grams."""
-    keep = df.columns
-    df = _grams(df, seed)
     for n in lengths:
         have, at = None, 0
         for k in (8, 4, 2, 1):
             if n & k:
                 df = df.withColumn(f"{name}{n}", F.col(f"w{k}") if have is None else _pair(f"{name}{n}", f"w{k}", at, lambda x, y: F.xxhash64(x, y)))
                 have, at = k, at + k
-    return df.select(*keep, *(f"{name}{n}" for n in lengths))
+    return df
+
+
+def _runs(df: DataFrame, lengths: list[int], name: str, seed: int) -> DataFrame:
+    keep = df.columns
+    return _from_grams(_grams(df, seed), lengths, name).select(*keep, *(f"{name}{n}" for n in lengths))
 
 
-def kept_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """words -> also kept: if LENGTH is asked for, the least gram hash of every window; for lower lengths, all grams; each once."""
+def kept_hashes(df: DataFrame, lengths: list[int], own: Column | None = None) -> DataFrame:
+    """words -> also kept: if LENGTH is asked for, the least gram hash of every window; for lower lengths, all grams; each
+    once. `own` says the only length that counts in a row."""
     keep = df.columns
     df = _grams(df, 1)
-    found = []
+    found = {}
     if LENGTH in lengths:
         df = df.withColumn("m2", _pair("w8", "w8", 1, lambda x, y: F.least(x, y))).withColumn("m3", _pair("m2", "m2", 1, lambda x, y: F.least(x, y)))
-        found.append("m3")
+        found[LENGTH] = "m3"
     short = [n for n in lengths if n < LENGTH]
     if short:
-        df = _runs(df, short, "r", 1)
-        found += [f"r{n}" for n in short]
-    return df.select(*keep, F.array_distinct(F.concat(*found)).alias("kept"))
+        df = _from_grams(df, short, "r")
+        found |= {n: f"r{n}" for n in short}
+    some = F.concat(*found.values()) if own is None else _of_length(own, found)
+    return df.select(*keep, F.array_distinct(some).alias("kept"))
+
+
+def _of_length(own: Column, columns: dict[int, str]) -> Column:
+    return F.coalesce(*(F.when(own == n, F.col(c)) for n, c in columns.items()))
 
 
 def _bitmap(hashes: DataFrame, column: str) -> Callable[[Column], Column]:
@@ -124,12 +133,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_ROWS)
     words = words_of(F.col("text"))
     if not lengths:
         return docs.select(*key, F.size(words).cast("long").alias("n_words")), None, items.select("n", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(None).alias("set"), "item_id")
-    windows, fingerprints = None, None
-    for n in lengths:
-        some = _runs(_runs(items.where(F.col("n") == n), [n], "a", 2), [n], "b", 3).select("item_id", "n", F.inline(F.arrays_zip(F.col(f"a{n}").alias("a"), F.col(f"b{n}").alias("b"))))
-        own = kept_hashes(items.where(F.col("n") == n), [n]).select(F.explode("kept").alias("h"))
-        windows = some if windows is None else windows.unionByName(some)
-        fingerprints = own if fingerprints is None else fingerprints.unionByName(own)
+    n, hashed = F.col("n"), _runs(_runs(items, lengths, "a", 2), lengths, "b", 3)
+    both = F.arrays_zip(*(_of_length(n, {k: f"{c}{k}" for k in lengths}).alias(c) for c in "ab"))
+    windows = hashed.select("item_id", "n", F.inline(both))
+    fingerprints = kept_hashes(items, lengths, n).select(F.explode("kept").alias("h"))
     windows, fingerprints = settle(windows.distinct()), settle(fingerprints.distinct())
     #: windows of the same items are one set, named by a hash of the ids that doesn't depend on their order
     name = F.struct(F.bit_xor(F.xxhash64("item_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "item_id")).alias("y"), F.count("*").alias("c"))
