@@ -16,7 +16,10 @@ def folder_files(spark, sf_dir):
     return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.col("length").alias("size"))
 
 
-@query("A7_markdown_sections")
+_W = "(SELECT id, w FROM (SELECT doc_id AS id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents) x WHERE len(w) >= 8)"
+
+
+@query("A7_markdown_sections", f"SELECT id, 0 AS at, w[1] AS heading, 1 AS level, 'text' AS kind, '- **' || w[2] || '** see [' || w[3] || '](docs/' || w[4] || '.md) and `' || w[5] || '()`' AS content FROM {_W} a UNION ALL SELECT id, 1, w[6], 2, 'text', '`' || w[7] || '.' || w[8] || '`' FROM {_W} b")
 def markdown_sections(spark, sf_dir):
     from sparkloom.plans.texts import _markdown
 
