@@ -28,7 +28,8 @@ FROM d JOIN cut ON cut.source IS NOT DISTINCT FROM d.source
 SUBSTRINGS = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 n AS (SELECT r, doc_id, x, len(x) // 2 AS n_bytes FROM d),
-w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT r, x, unnest(range(0, n_bytes - 199)) AS i FROM n)),
+c AS (SELECT r, b, n_bytes, substr(x, 2 * b + 1, 656) AS y FROM (SELECT r, x, n_bytes, unnest(range(0, n_bytes - 199, 128)) AS b FROM n)),
+w AS (SELECT r, b + j AS i, md5(substr(y, 2 * j + 1, 400)) AS m FROM (SELECT r, b, y, unnest(range(0, least(128, n_bytes - 199 - b))) AS j FROM c)),
 t AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
 g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 200)::INT AS new FROM t)),
 s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, g),
