@@ -208,7 +208,7 @@ def repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One copy of each context; of a suffix that is alone in its run the lead is enough."""
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts, spots = batch.column("text").to_pylist(), batch.column("spots")
             inner, ends = spots.flatten(), np.cumsum(spots.value_lengths().to_numpy()).tolist()
             gram, context, anchor, back, more, n, different = (inner.field(i).to_pylist() for i in range(7))
@@ -339,7 +339,7 @@ def dedup_substrings(docs: DataFrame, length: int = 200, k: int = K, hot: int =
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 out = []
                 for text, runs in zip(*(part.column(c).to_pylist() for c in ("text", "runs")), strict=True):
                     data = (text or "").encode()
