@@ -39,9 +39,11 @@ SHINGLE, COORDINATES, THREEFOLD, MATCHES = 5, 48, 3, 6
 #: Collisions of pairs that a list's forest is made of; the likelier links, others are found between components.
 LIKELY = 14
 #: Classes and shingles of a block; blocks meet in one task two at a time.
-BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+BLOCK, BLOCK_SHINGLES = 2048, 500_000
 #: Members of a list up to which their signatures are merged coordinate by coordinate, without posting lists.
 FEW = 24
+#: Partners of a class that come in one row; more come in several, of which the first has the text.
+PARTNERS = 512
 #: What a row is known by, never null: whether it has no doc_id, the doc_id or 0, and a hash of the text.
 ROW = ["_unknown", "_id", "_hash"]
 _A, _B = np.random.default_rng(7).integers(0, 1 << 64, (2, COORDINATES * THREEFOLD), dtype=np.uint64)
@@ -275,13 +277,17 @@ def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches:
     open_ = open_.select("key", "__n", F.col("m.component").alias("main"), F.col("m.k").alias("mk"), F.col("m.w").alias("mw"), (F.col("__n") - F.col("m.k")).alias("sk"), (F.col("all_w") - F.col("m.w")).alias("sw"))
     open_ = settle(open_.withColumns({"m_blocks": _blocks("mk", "mw", block), "s_blocks": _blocks("sk", "sw", block)}).select("key", "__n", "main", "m_blocks", "s_blocks"))
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
         out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["spot", "rep", "component", "first", "partners"])
+
         for held in _by_list(batches, ["key", "cell", "rep", "vals", "component", "at", "own", "spot", "before"]):
             found = Collisions(np.stack([r[3] for r in held]), matches)
-            part, own, at, cell, spot = np.array([r[4] for r in held]), np.array([r[6] for r in held]), held[0][5], held[0][1], held[0][7]
+            reps, part, own, at, cell, spot = np.array([r[2] for r in held]), np.array([r[4] for r in held]), np.array([r[6] for r in held]), held[0][5], held[0][1], held[0][7]
             before = np.stack([r[8] for r in held])
-            partners: dict[int, list[int]] = {}
+            partners: dict[int, np.ndarray] = {}
             for i in range(1, len(held)):
                 far = found.before(i)[0]
                 far = far[part[far] != part[i]]
@@ -290,26 +296,27 @@ def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches:
                 if at and len(far):  # a pair comes from the first list that both share, by the lists' full keys
                     far = far[~(before[far] == before[i]).any(axis=1)]
                 if len(far):
-                    partners.setdefault(i, []).extend(held[j][2] for j in far)
+                    partners[i] = reps[far]
                     for j in far:
-                        partners.setdefault(int(j), [])
-            out += [(spot, held[i][2], held[i][4], them) for i, them in partners.items()]
-            if len(out) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["spot", "rep", "component", "partners"])
-                out = []
+                        partners.setdefault(int(j), reps[:0])
+            for i, them in partners.items():
+                out += [(spot, held[i][2], held[i][4], n == 0, them[n : n + PARTNERS]) for n in range(0, max(1, len(them)), PARTNERS)]
+                if len(out) >= 2000:
+                    yield made()
+                    out.clear()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["spot", "rep", "component", "partners"])
+            yield made()
 
     def confirm_spot(held: list[tuple]) -> Iterator[tuple[int, int]]:
         """Links between components among the documents of a spot; what a link has joined isn't compared again."""
         sets_ = shingle_sets(pa.array([r[3] for r in held], pa.large_string()), size)
         sizes = np.array(list(map(len, sets_)))
-        where, group = {r[0]: i for i, r in enumerate(held)}, np.unique([r[1] for r in held], return_inverse=True)[1]
+        reps, group = np.array([r[0] for r in held]), np.unique([r[1] for r in held], return_inverse=True)[1]
         ids = np.unique(np.concatenate(sets_), return_inverse=True)[1]
         starts = np.concatenate([[0], np.cumsum(sizes)])
         mark = np.zeros(len(ids) + 1, np.int64)
         for i, r in enumerate(held):
-            far = np.array([where[b] for b in r[2]], np.int64)
+            far = np.searchsorted(reps, np.concatenate(r[2]))
             far = far[group[far] != group[i]]
             if not len(far):
                 continue
@@ -328,11 +335,14 @@ def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches:
     def confirm_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now, out = [], None, []
         for batch in batches:
-            for spot, *row in zip(*(batch.column(c).to_pylist() for c in ("spot", "rep", "component", "partners", "text")), strict=True):
+            for spot, rep, component, first_, them, text in zip(*(_values(batch.column(c)) for c in ("spot", "rep", "component", "first", "partners", "text")), strict=True):
                 if spot != now:
                     out += confirm_spot(held) if held else ()
                     held, now = [], spot
-                held.append(row)
+                if first_:
+                    held.append((rep, component, [them], text))
+                else:
+                    held[-1][2].append(them)
         out += confirm_spot(held) if held else ()
         if out:
             yield _pairs(out)
@@ -352,16 +362,19 @@ def _judged(docs: DataFrame, similarity: int = 75, size: int = SHINGLE, matches:
         spot = F.xxhash64("key", "cell.i", "cell.j")
         again = again.join(ids.select("rep", "vals", "keys"), "rep").withColumn("spot", spot).withColumn("before", F.expr("slice(keys, 1, at)"))
         again = _in_order(again.select("key", "cell", "rep", "vals", "component", "at", "own", "spot", "before"))
-        second = again.mapInArrow(between, "spot long, rep long, component long, partners array<long>")
-        met = second.join(texts.select("rep", "text"), "rep").select("spot", "rep", "component", "partners", "text")
-        more = settle(met.repartition("spot").sortWithinPartitions("spot", "rep").mapInArrow(confirm_all, "a long, b long"))
+        columns = ["spot", "rep", "component", "first", "partners", "text"]
+        second = settle(again.mapInArrow(between, "spot long, rep long, component long, first boolean, partners array<long>"))
+        met = second.where("first").join(texts.select("rep", "text"), "rep").select(*columns)
+        met = met.unionByName(second.where("NOT first").withColumn("text", F.lit(None).cast("string")).select(*columns))
+        met = met.repartition("spot").sortWithinPartitions("spot", "rep", F.desc("first"))
+        more = settle(met.mapInArrow(confirm_all, "a long, b long"))
         name = lambda c, as_: parts.select(F.col("node").alias(c), F.col("component").alias(as_))
         merged = more.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         tops = connected_components(merged)
         final = parts.join(tops.withColumnRenamed("component", "top"), parts["component"] == tops["node"], "left").select(parts["node"].alias("rep"), F.coalesce("top", "component").alias("component"))
         lone = tops.join(parts.select("node"), "node", "left_anti").select(F.col("node").alias("rep"), "component")
         final = settle(final.unionByName(lone))
-        discard(labelled, more)
+        discard(labelled, second, more)
     discard(live, open_, ids, texts, lists)
     joined = classes.drop("keys").join(final, "rep")
     tops = joined.groupBy("component").agg(F.min("row").alias("top"), F.count("*").alias("__n"))

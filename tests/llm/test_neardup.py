@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+from sparkloom.llm import neardup
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.neardup import COORDINATES, FEW, MATCHES, Collisions, _forest, near_duplicates, shingle_sets, signature
 
@@ -31,6 +32,14 @@ def test_equals_brute_force(docs_of, corpus, block):
     assert [got[i] for i in range(len(corpus))] == brute(corpus)
 
 
+def test_partners_in_several_rows(docs_of, corpus, monkeypatch):
+    """A chain whose links the forests don't make, each class with more partners than a row takes."""
+    monkeypatch.setattr(neardup, "PARTNERS", 1)
+    monkeypatch.setattr(neardup, "LIKELY", 40)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(docs_of(corpus), block=8).collect()}
+    assert [got[i] for i in range(len(corpus))] == brute(corpus)
+
+
 def test_empty_tables_and_repeated_rows(docs_of):
     assert near_duplicates(docs_of([])).count() == 0
     assert [tuple(r) for r in near_duplicates(docs_of([None, "", " "])).orderBy("doc_id").collect()] == [(i, 0, i, True) for i in range(3)]
