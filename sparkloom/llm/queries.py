@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, decontamination, fingerprints, mixing, neardup, quality, substrings, tokens, urls, warc
 from sparkloom.llm.oracles import ORACLE_SQL  # noqa: F401
-from sparkloom.session import table
+from sparkloom.session import spread, table
 
 
 def tokenizer(name: str = "piece_bpe_32k.model") -> str:
@@ -18,20 +18,25 @@ def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a table of fewer partitions than cores is dealt to all of them."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), length=200).drop("text", "kept_text", "spans")
+    return substrings.dedup_substrings(documents(spark, sf_dir), length=200).drop("text", "kept_text", "spans")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer(), limit=4096)
+    return tokens.count_tokens(documents(spark, sf_dir), tokenizer(), limit=4096)
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(documents(spark, sf_dir))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,13 +44,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("places")
+    return decontamination.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("places")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
