@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import decontamination, mixing, neardup, quality, substrings
 from sparkloom.llm.common import settle
-from sparkloom.session import table
+from sparkloom.session import spread, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents below this quality score go.
@@ -61,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from sparkloom.operators import fulltext as ft
 from sparkloom.operators import fusion, incremental, rules
 from sparkloom.plans.retrieval import _hybrid_oracle, _lists, _tags
 from sparkloom.registry import query, sql
-from sparkloom.session import table
+from sparkloom.session import spread, table
 
 
 _RULES = (
@@ -18,7 +18,7 @@ _RULES = (
 
 
 def _entities(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"), F.concat_ws("_", "lang", F.col("doc_id").cast("string")).alias("symbol"))
 
 
@@ -64,7 +64,7 @@ _DB = (("oracle", "driver", 10, "(^|[^a-z])con"), ("oracle", "dialect", 8, "ing
 @query("J10_detect_database", "WITH m AS (" + " UNION ALL ".join(f"SELECT source, '{d}' AS db, {p} AS points FROM documents WHERE regexp_matches(text, '(?i){x}') GROUP BY source" for d, _, p, x in _DB) + ") SELECT source, db, sum(points) AS score, least(1.0, sum(points) / 50.0) AS confidence FROM m GROUP BY source, db")
 def detect_database(spark, sf_dir):
     hit = F.array_compact(F.array(*(F.when(F.col("text").rlike("(?i)" + x), F.struct(F.lit(d).alias("db"), F.lit(k).alias("kind"), F.lit(p).alias("points"))) for d, k, p, x in _DB)))
-    marks = table(spark, sf_dir, "documents").select("source", F.explode(hit).alias("m")).select("source", "m.*").distinct()
+    marks = spread(table(spark, sf_dir, "documents")).select("source", F.explode(hit).alias("m")).select("source", "m.*").distinct()
     return marks.groupBy("source", "db").agg(F.sum("points").alias("score")).withColumn("confidence", F.least(F.lit(1.0), F.col("score") / 50))
 
 
@@ -75,7 +75,7 @@ _CAT = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.CATE
 
 
 def _found(spark, sf_dir):
-    return rules.findings(table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("id"), F.col("text").alias("content")), rules.MIGRATION_RULES)
+    return rules.findings(spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("repo"), F.col("doc_id").alias("id"), F.col("text").alias("content")), rules.MIGRATION_RULES)
 
 
 @query("J12_findings", _FOUND)
@@ -130,7 +130,7 @@ def validity_score(spark, sf_dir):
 
 @query("J21_column_usage", "WITH l AS (SELECT doc_id AS id, i AS line, lower(x[i]) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents) d, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) r), c AS (SELECT unnest(['the', 'tion', 'und']) AS \"column\") SELECT DISTINCT c.\"column\", l.id, l.line, 'read' AS usage FROM l JOIN c ON list_contains(regexp_extract_all(l.s, '[a-z_][a-z0-9_]*'), c.\"column\") WHERE NOT regexp_matches(s, '\\b(where|join|insert|update|set)\\b')")
 def column_usage(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     columns = spark.createDataFrame([("the",), ("tion",), ("und",)], "column string")
     return rules.usage_of_columns(columns, docs).where("usage = 'read'")
 
@@ -140,7 +140,7 @@ _WORDS = ("tion", "heit", "the", "und")
 
 @query("J23_feature_mentions", "SELECT name, count(*) AS mentions, list(DISTINCT id ORDER BY id)[1:20] AS chunks, min(id) AS first FROM (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: x IN ('tion', 'heit', 'the', 'und'))) AS name FROM documents) t GROUP BY name")
 def feature_mentions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.filter(ft.lexemes(F.col("text")), lambda x: x.isin(*_WORDS)).alias("names"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.filter(ft.lexemes(F.col("text")), lambda x: x.isin(*_WORDS)).alias("names"))
     per_doc = docs.select("id", F.explode("names").alias("name")).groupBy("name", "id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("name").agg(F.sum("n").alias("mentions"), F.slice(F.array_sort(F.collect_set("id")), 1, 20).alias("chunks"), F.min("id").alias("first"))
 
@@ -219,7 +219,7 @@ def change_set(spark, sf_dir):
 def rules_by_chunks(spark, sf_dir):
     """Every rule against every chunk in one pass: rules are literals, so each pattern is compiled once."""
     hit = F.array_compact(F.array(*(F.when(F.col("text").rlike("(?i)" + r.pattern), F.lit(r.id)) for r in rules.MIGRATION_RULES)))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(hit).alias("rule"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.explode(hit).alias("rule"))
 
 
 @query("J11_ruleset", "SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{r.category}', '{r.severity}', {rules.SEVERITY[r.severity]} * {rules.CATEGORY[r.category]})" for r in rules.MIGRATION_RULES) + ") v(id, category, severity, weight)")

@@ -11,7 +11,7 @@ from sparkloom.operators import fulltext as ft
 from sparkloom.operators import fusion, graph
 from sparkloom.operators import vector as vec
 from sparkloom.registry import query, sql
-from sparkloom.session import shared_path, table
+from sparkloom.session import shared_path, spread, table
 
 #: The text query that fixtures are asked; prefixes of common syllables.
 ASKED = "tion wor the_x"
@@ -27,7 +27,7 @@ def _query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[flo
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:

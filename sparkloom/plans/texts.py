@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as t
 from sparkloom.operators.fulltext import lexemes
 from sparkloom.registry import query, shared
-from sparkloom.session import table
+from sparkloom.session import spread, table
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
 def _values(spark, rows: list[tuple], schema: str):

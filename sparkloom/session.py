@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, megabytes: int = 1) -> DataFrame:
+    """Rows of a table of few partitions, dealt to all cores before work that is heavy on each of them. A file of one row
+    group is one partition, however long its texts are; tables with a partition for each core stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(df.sparkSession.sparkContext.defaultParallelism, size // (megabytes << 20))
+    return df.repartition(int(n)) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the folder that driver and executors share (spark.checkpoint.dir); a temporary one only in a local session."""
     top = spark.conf.get("spark.checkpoint.dir", None)
