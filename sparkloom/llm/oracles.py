@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sparkloom.llm import compression, divergence, rules
 from sparkloom.llm.urls import CONFIDENCE, GIVEN, LEAST, LIFT, SUPPORT
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,6 +118,67 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM h
 """
 
+DIVERGENCE = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT lang, source, term, count(*) AS uses FROM (SELECT lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {divergence.LEAST_DOCS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, coalesce(uses, 0) AS uses FROM g JOIN k ON k.lang = g.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+p AS (SELECT *, 1 + ({divergence.SCALE}::HUGEINT * (uses + 1)) // (sum(uses) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM c),
+l AS (SELECT lang, term, sum(uses) AS uses FROM c GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + ({divergence.SCALE}::HUGEINT * (uses + 1)) // (sum(uses) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM l),
+v AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+    UNION ALL SELECT p.lang, p.source, 'term', p.term, (p - q) * (p - q) // q FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE uses > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= {divergence.TERM_RANKS}
+"""
+
+
+def _compression(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Every round is two steps of the statement: a<i> assigns, b<i> moves the entries."""
+    far = "list_sum(list_transform(range(1, w + 1), lambda i: (y[i] - c[i]) * (y[i] - c[i])))"
+    steps = [
+        f"e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, len(embedding) // {parts} AS w, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v"
+        " FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"x AS MATERIALIZED (SELECT r, w, part, v[part * w + 1:(part + 1) * w] AS y FROM e, range({parts}) t(part))",
+        f"b0 AS MATERIALIZED (SELECT part, r - 1 AS j, y AS c FROM x WHERE r <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, x.part, any_value(y) AS y, min(struct_pack(d := {far}, j := j)) AS m FROM x JOIN b{i} ON x.part = b{i}.part GROUP BY r, x.part)")
+        if i < rounds:
+            mean = "(s - ((s % n) + n) % n) // n"
+            steps.append(f"s{i} AS (SELECT part, j, pos, sum(z) AS s, count(*) AS n FROM (SELECT part, m.j AS j, unnest(y) AS z, generate_subscripts(y, 1) AS pos FROM a{i}) GROUP BY ALL)")
+            steps.append(f"m{i} AS (SELECT part, j, list(({mean})::BIGINT ORDER BY pos) AS c FROM s{i} GROUP BY part, j)")
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b{i}.part, b{i}.j, coalesce(m{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN m{i} ON m{i}.part = b{i}.part AND m{i}.j = b{i}.j)")
+    return (
+        "WITH " + ",\n".join(steps) + f""",
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, j)) AS codebooks_sha256 FROM b{rounds}),
+o AS (SELECT r, string_agg(printf('%02x', m.j), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN o ON o.r = e.r, h
+"""
+    )
+
+
+COMPRESSION = _compression(compression.PARTS, compression.ENTRIES, compression.ROUNDS, compression.SCALE)
+
+_STOP_WORDS = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
+QUALITY_RULES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+u AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT r, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS x FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+t AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM g WHERE x IS NOT NULL),
+p AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM t WHERE n > 1) GROUP BY r),
+s AS (SELECT r, count(*) AS n FROM u WHERE lower(x) IN ({_STOP_WORDS}) GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '{rules.SYMBOLS}'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines,
+    len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]')))::BIGINT AS n_bullet_lines, coalesce(s.n, 0)::BIGINT AS n_stop_words,
+    coalesce(p.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN p ON p.r = w.r LEFT JOIN s ON s.r = w.r)
+SELECT *, {" OR ".join(r.fails() for r in rules.RULES if r.base)} AS base_failed, NOT ({" OR ".join(r.fails() for r in rules.RULES)}) AS kept FROM m
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": MIXING,
     "op2_substrings": SUBSTRINGS,
@@ -125,4 +187,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat": CHAT,
     "op9_urls": URLS,
     "op10_warc": WARC,
+    "op11_divergence": DIVERGENCE,
+    "op12_compression": COMPRESSION,
+    "op13_quality_rules": QUALITY_RULES,
 }

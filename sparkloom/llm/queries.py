@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontamination, fingerprints, mixing, neardup, quality, substrings, tokens, urls, warc
+from sparkloom.llm import chat, compression, decontamination, divergence, fingerprints, mixing, neardup, quality, rules, substrings, tokens, urls, warc
 from sparkloom.llm.oracles import ORACLE_SQL  # noqa: F401
 from sparkloom.session import spread, table
 
@@ -69,6 +69,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).drop("url", "payload")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(documents(spark, sf_dir))
+
+
+def op12_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(rules.measure(documents(spark, sf_dir))).drop("failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_substrings": op2_substrings,
@@ -80,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_urls": op9_urls,
     "op10_warc": op10_warc,
+    "op11_divergence": op11_divergence,
+    "op12_compression": op12_compression,
+    "op13_quality_rules": op13_quality_rules,
 }
