@@ -6,8 +6,10 @@ Archives are rows of a table in the shared folder, each the bytes of a `.warc.gz
 any store that Spark writes to will do; `save_archives` puts them out as files.
 
 Defined results: null html is the empty payload, null urls are left out of the header; of rows with the same payload the
-one with the smallest page_id is the response (of rows with the same page_id too, one: the least by url); a payload below `least` bytes is
-always a response; an empty table gives no archives; damaged records raise ValueError. Header names are read in any case,
+one with the smallest page_id is the response (of rows with the same page_id too, one: the least by url); rows without a
+page_id come last, so one of them is the response only if no row with the payload has one, and then the others revisit it
+with refers_to null; a payload below `least` bytes is always a response; an empty table gives no archives; damaged records
+raise ValueError. Header names are read in any case,
 digests are verified where a record has them; other columns are ignored.
 """
 
@@ -73,21 +75,30 @@ def _url(text: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in text or "")
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None = None, size: int | None = None, sha: str | None = None) -> bytes:
-    """One record as a gzip member. A revisit has the payload's digest and size, not the payload."""
-    revisit = refers_to is not None
+def _record_id(page_id: int | None, sha: str) -> str:
+    """Of the page, or where it has no number of the payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'payload:{sha}' if page_id is None else f'page:{page_id}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, size: int | None = None, sha: str | None = None, revisit: bool | None = None) -> bytes:
+    """One record as a gzip member. A revisit has the payload's digest and size, not the payload; it may be one of a page
+    without a number."""
+    revisit = refers_to is not None if revisit is None else revisit
     block = b"" if revisit else HTTP % len(payload) + payload
+    sha = sha or digest(payload)
+    told = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
+        f"WARC-Record-ID: {_record_id(page_id, sha)}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {_url(url)}"] if url is not None else []),
-        f"WARC-Payload-Digest: sha1:{sha or digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{sha}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
-        f"X-Page-Id: {page_id}",
+        *([f"X-Page-Id: {page_id}"] if page_id is not None else []),
         f"X-Payload-Bytes: {len(payload) if size is None else size}",
-        *([f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>\r\nX-Refers-To-Page: {refers_to}"] if revisit else []),
+        *([told, f"WARC-Refers-To: {_record_id(refers_to, sha)}"] if revisit else []),
+        *([f"X-Refers-To-Page: {refers_to}"] if refers_to is not None else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -146,27 +157,28 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     keyed = base.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.length("payload").cast("long")})
-    #: one row is the response: the least by page_id and url, and one of its copies where it is repeated
+    #: one row is the response: the least by page_id (null last) and url, and one of its copies where it is repeated
     alike = keyed.where(F.col("size") >= least).groupBy("sha", "size", "page_id", "url").agg(F.count("*").alias("copies"))
-    firsts = alike.groupBy("sha", "size").agg(F.min(F.struct("page_id", "url", "copies")).alias("f"), F.sum("copies").alias("n")).where("n > 1")
+    least_row = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "copies"))
+    firsts = alike.groupBy("sha", "size").agg(least_row.alias("f"), F.sum("copies").alias("n")).where("n > 1")
     firsts = settle(firsts.select("sha", "size", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"), F.col("f.copies").alias("copies"), F.col("n").alias("__n")))
-    own = (F.col("page_id") == F.col("first")) & F.col("url").eqNullSafe(F.col("first_url"))
+    own = F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("first_url"))
     columns = ["page_id", "url", "payload", "sha", "size", "first", "again"]
     #: a payload that a great part of the pages have is dealt to many tasks
-    marked = join_hot(keyed, firsts, ["sha", "size"], F.struct("page_id", "url"), "left").where(F.col("first").isNull() | ~own | (F.col("copies") == 1))
-    marked = marked.withColumn("again", F.col("first").isNotNull() & ~own).select(*columns)
-    repeated = firsts.where("copies > 1").drop("__n")
-    if not repeated.isEmpty():
-        #: only these rows move with their payloads, and only one of each; its copies are numbered
-        whole = keyed.join(repeated, ["sha", "size"]).where(own).dropDuplicates(["sha", "size"])
-        numbered = whole.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).withColumn("again", F.col("i") > 1)
+    joined = join_hot(keyed, firsts, ["sha", "size"], F.struct("page_id", "url"), "left")
+    marked = joined.where(F.col("copies").isNull() | ~own | (F.col("copies") == 1))
+    marked = marked.withColumn("again", F.col("copies").isNotNull() & ~own).select(*columns)
+    if not firsts.where("copies > 1").isEmpty():
+        #: of copies of the response's row, each task keeps one; they are numbered, the first is the response
+        one = joined.where(own & (F.col("copies") > 1)).groupBy("sha", "size").agg(*(F.first(c).alias(c) for c in ("page_id", "url", "payload", "first", "copies")))
+        numbered = one.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).withColumn("again", F.col("i") > 1)
         marked = marked.unionByName(numbered.withColumn("payload", F.when(~F.col("again"), F.col("payload")).otherwise(F.lit(b""))).select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, size = [], 0
         for batch in batches:
             for page, url, body, sha, long, first, again in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                records.append(record(page, url, body, first if again else None, long, base64.b32encode(sha).decode()))
+                records.append(record(page, url, body, first if again else None, long, base64.b32encode(sha).decode(), again))
                 size += len(records[-1])
                 if size >= ARCHIVE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(records)], pa.binary()), pa.array([len(records)], pa.int64())], names=["archive", "n_records"])

@@ -85,3 +85,21 @@ def test_long_payloads_and_clashing_columns(spark):
     pages = pages.withColumns({c: F.lit(1) for c in ("payload", "sha", "size", "first", "again", "copies", "n", "archive")})
     got = {r["page_id"]: r for r in read_archives(write_archives(pages)).collect()}
     assert [(got[i]["payload_bytes"], got[i]["record_type"]) for i in range(3)] == [(3_000_000, "response"), (1, "response"), (3_000_000, "revisit")]
+
+
+def test_pages_without_a_number(spark):
+    """Null ids come last among equal payloads; of null ids alone, one is the response, whatever the urls."""
+    rows = [(None, "u", "x"), (5, "u", "x"), (7, None, "x"), (None, None, "y"), (None, None, "y"), (None, "v", "y"), (None, "w", "only"), (3, "a", None), (3, "a", None), (None, "a", ""), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for df in (pages, pages.repartition(4)):
+        got = read_archives(write_archives(df)).collect()
+        assert len(got) == len(rows) and {r["payload_bytes"] for r in got} == {0, 1, 4}
+        by = {}
+        for r in got:
+            by.setdefault(r["payload_digest"], []).append((r["record_type"], r["page_id"], r["refers_to"], r["url"]))
+        assert sorted(by[digest(b"x")], key=repr) == sorted([("response", 5, None, "u"), ("revisit", 7, 5, None), ("revisit", None, 5, "u")], key=repr)
+        assert sorted(t for t, *_ in by[digest(b"y")]) == ["response", "revisit", "revisit"] and all(x[1:3] == (None, None) for x in by[digest(b"y")])
+        assert by[digest(b"only")] == [("response", None, None, "w")]
+        assert sorted(by[digest(b"")], key=repr) == sorted([("response", 3, None, "a"), ("revisit", 3, 3, "a"), ("revisit", None, 3, "a"), ("revisit", None, 3, None)], key=repr)
+    alone = write_archives(pages, least=2)
+    assert sorted(r["record_type"] for r in read_archives(alone).collect()) == ["response"] * len(rows)
