@@ -73,10 +73,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_terms(docs: DataFrame) -> DataFrame:
     """text, lang, source -> lang, source, term, uses, docs: matches of each term and documents that have it; the term ''
-    stands once in every document."""
+    stands once in every document. Dealt by language and term: tasks have summed already, so rows are summed behind the
+    shuffle, and what follows by term needs no other one."""
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     found = plain.mapInArrow(_count, "lang string, source string, term string, uses long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
 
 
 def _share(uses: str, whole: str) -> Column:
@@ -85,25 +86,27 @@ def _share(uses: str, whole: str) -> Column:
     return F.expr(f"1 + CASE WHEN {uses} < 9000000000 THEN ({uses} + 1) * {SCALE} div {whole} ELSE {wide} END")
 
 
-def dense_shares(counts: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """Counts of terms -> the kept vocabulary (tid, lang, term) and, for each group and each kept term of its language, a
-    row (tid, lang, source, uses, p, q): q is the share in the whole language. The term '' is kept for every language, with
-    null shares, so that a language without kept terms has its groups, too."""
-    vocabulary = counts.groupBy("lang", "term").agg(F.sum("uses").alias("all_uses"), F.sum("docs").alias("docs"))
-    vocabulary = vocabulary.where((F.col("docs") >= least_docs) | (F.col("term") == "")).drop("docs")
+def kept_vocabulary(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """Counts of terms -> a settled row for each kept term of a language: tid, lang, term, all_uses, uses (by source, as many
+    entries as the language has sources). The term '' is kept for every language, so that each has its groups."""
+    held = F.map_from_entries(F.collect_list(F.struct("source", "uses"))).alias("uses")
+    terms = counts.groupBy("lang", "term").agg(F.sum("uses").alias("all_uses"), F.sum("docs").alias("docs"), held)
     #: numbers of a settled table stay what they are
-    vocabulary = settle(vocabulary.withColumn("tid", F.monotonically_increasing_id()))
+    return settle(terms.where((F.col("docs") >= least_docs) | (F.col("term") == "")).drop("docs").withColumn("tid", F.monotonically_increasing_id()))
+
+
+def dense_shares(vocabulary: DataFrame) -> DataFrame:
+    """For each group and each kept term of its language, zeros included: tid, lang, source, term, uses, p, q; q is the
+    share in the whole language. Shares of the term '' are null."""
     word = F.col("term") != ""
-    kept = settle(counts.join(vocabulary.select("lang", "term", "tid"), ["lang", "term"]).select("tid", "lang", "source", "term", "uses"))
+    own = F.when(word, F.col("n"))
+    groups = vocabulary.select("lang", "term", F.explode("uses").alias("source", "n")).groupBy("lang", "source").agg(F.coalesce(F.sum(own), F.lit(0)).alias("own"))
     langs = vocabulary.groupBy("lang").agg(F.count_if(word).alias("v"), F.coalesce(F.sum(F.when(word, F.col("all_uses"))), F.lit(0)).alias("n"))
-    groups = kept.groupBy("lang", "source").agg(F.coalesce(F.sum(F.when(word, F.col("uses"))), F.lit(0)).alias("own"))
     groups = settle(groups.join(langs, "lang").select("lang", "source", (F.col("own") + F.col("v")).alias("whole"), (F.col("n") + F.col("v")).alias("lang_whole")))
-    dealt = vocabulary.withColumn("deal", F.pmod(F.xxhash64("tid"), F.lit(DEAL)).cast("int"))
     copies = groups.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
-    zeros = dealt.join(copies, ["lang", "deal"]).select("tid", "lang", "source", F.lit(0).cast("long").alias("uses"), F.when(word, F.col("whole")).alias("whole"), F.when(word, _share("all_uses", "lang_whole")).alias("q"))
-    counted = kept.select("tid", "lang", "source", "uses", F.lit(None).cast("long").alias("whole"), F.lit(None).cast("long").alias("q"))
-    dense = zeros.union(counted).groupBy("tid", "lang", "source").agg(F.sum("uses").alias("uses"), F.max("whole").alias("whole"), F.max("q").alias("q"))
-    return vocabulary.select("tid", "lang", "term"), settle(dense.select("tid", "lang", "source", "uses", _share("uses", "whole").alias("p"), "q"))
+    dealt = vocabulary.withColumn("deal", F.pmod(F.xxhash64("tid"), F.lit(DEAL)).cast("int"))
+    crossed = dealt.join(copies, ["lang", "deal"]).withColumn("uses", F.coalesce(F.col("uses")[F.col("source")], F.lit(0)))
+    return crossed.select("tid", "lang", "source", "term", "uses", F.when(word, _share("uses", "whole")).alias("p"), F.when(word, _share("all_uses", "lang_whole")).alias("q"))
 
 
 def audit_sources(docs: DataFrame, least_docs: int = LEAST_DOCS, term_ranks: int = TERM_RANKS) -> DataFrame:
@@ -113,13 +116,14 @@ def audit_sources(docs: DataFrame, least_docs: int = LEAST_DOCS, term_ranks: int
     `term`: the terms that a source uses more than its language does, by their divergence from the language, up to
     `term_ranks` of them.
     """
-    vocabulary, dense = dense_shares(settle(count_terms(docs)), least_docs)
+    dense = dense_shares(kept_vocabulary(count_terms(docs), least_docs))
     value = F.expr("(p - q) * (p - q) div q")
+    #: a term's number is that of its language and text
     a = dense.select("tid", "lang", "source", "p")
     b = dense.select("tid", F.col("source").alias("item"), F.col("p").alias("q"))
     pairs = a.join(b, "tid").where("source <> item").groupBy("lang", "source", "item").agg(F.coalesce(F.sum(value), F.lit(0)).alias("value"))
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(ranked).alias("rank"))
-    terms = dense.where("uses > 0 AND p > q").join(vocabulary.select("tid", F.col("term").alias("item")), "tid").select("lang", "source", "item", value.alias("value"))
+    terms = dense.where("uses > 0 AND p > q").select("lang", "source", F.col("term").alias("item"), value.alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= term_ranks)
     return pairs.union(terms.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
