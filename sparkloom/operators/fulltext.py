@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import stem
+
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -163,3 +165,106 @@ def search_keywords(docs: DataFrame, query: str, k: int, key: str = "id", text:
     tech, plain = weighted_keywords(query)
     weights = {w: technical for w in tech} | {w: 1.0 for w in plain} | {w.lower(): 3.0 for w in primary}
     return docs.select(key, keyword_score(F.col(text), weights).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+
+
+# -- English: stems, places and covers ---------------------------------------------------------------------------------
+
+
+def english_terms(query: str, least: int = 2) -> list[str]:
+    """Distinct lower-case words of a query that English searches look for, unstemmed: stop words are passed over."""
+    return [w for w in dict.fromkeys(re.findall(r"\w+", query.lower())) if len(w) >= least and w not in stem.STOP_WORDS]
+
+
+def _stems_of(spark: SparkSession, words: Sequence[str]) -> list[str]:
+    """The stems of a query's words, each once: as many rows as it has words."""
+    if not words:
+        return []
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", stem.stem("w").alias("s")).orderBy("i").collect()
+    return list(dict.fromkeys(r["s"] for r in rows))
+
+
+def english_hits(text: str, stems: Sequence[str]) -> Column:
+    """Places (word numbers from 0, stop words counted) of the words of an English text, a column's name, that have one of
+    the stems: an array of structs (at, term), term being the number of the stem, in order.
+
+    A stem differs from its words in the last two letters at most or is given, so only words that begin like one are stemmed.
+    """
+    near = " OR ".join(f"startswith(w, '{x[: max(1, len(x) - 2)]}')" for x in stems)
+    words = f"transform(regexp_extract_all(lower({text}), r'{TOKEN}', 0), (w, i) -> CASE WHEN {near} THEN struct(i AS at, w AS word) END)"
+    of = f"array_position(array({', '.join(map(repr, stems))}), {stem.stem_sql('x.word')})"
+    return F.expr(f"filter(transform(array_compact({words}), x -> struct(x.at AS at, CAST({of} - 1 AS INT) AS term)), x -> x.term >= 0)")
+
+
+def cover_density(hits: Column, n_terms: int, weight: float = 0.1) -> Column:
+    """Rank of an array of structs (at, term) by the smallest stretches that hold every term: each counts `weight`, divided by
+    1 and the words in it that aren't hits. Null if a term is missing.
+
+    One sweep: the last place of each term is kept; a stretch ends at the first hit behind which its earliest place moves on.
+    """
+    zero = F.struct(F.array_repeat(F.lit(-1), n_terms).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).cast("double").alias("rank"), F.lit(-1).alias("i"))
+
+    def step(s: Column, x: Column) -> Column:
+        i = s["i"] + 1
+        last = F.transform(s["last"], lambda old, t: F.when(t == x["term"], i).otherwise(old))
+        return F.get(F.transform(F.array(last), lambda now: _swept(s, x, now, i)), 0)
+
+    def _swept(s: Column, x: Column, now: Column, i: Column) -> Column:
+        first = F.array_min(now)
+        new = (first >= 0) & (first != s["from"])
+        gap = x["at"] - F.get(hits, first)["at"] - (i - first)
+        return F.struct(now.alias("last"), F.when(new, first).otherwise(s["from"]).alias("from"), (s["rank"] + F.when(new, F.lit(weight) / (1 + gap)).otherwise(0.0)).alias("rank"), i.alias("i"))
+
+    return F.aggregate(hits, zero, step, lambda s: F.when(s["from"] >= 0, s["rank"]))
+
+
+def _ranked(found: DataFrame, n_terms: int, every: bool) -> DataFrame:
+    """key and its hits -> key, score: covers of all terms, or the hits of any."""
+    score = cover_density(F.col("hits"), n_terms) if every else F.when(F.size("hits") > 0, F.size("hits") * 0.1)
+    return found.select("key", score.alias("score")).where("score IS NOT NULL")
+
+
+def search_english(docs: DataFrame, query: str, k: int, key: str = "id", text: str = "content", every: bool = True, least: int = 2, skip: int = 0) -> DataFrame:
+    """Best k of the texts that hold every word of a query by its stem, by cover density; with every=False, of those that hold
+    any, by the number of places. A query of stop words alone finds nothing."""
+    stems = _stems_of(docs.sparkSession, english_terms(query, least))
+    if not stems:
+        return docs.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    found = docs.select(F.col(key).alias("key"), english_hits(text, stems).alias("hits"))
+    return _ranked(found, len(stems), every).orderBy(F.desc("score"), "key").offset(skip).limit(k).select(F.col("key").alias(key), "score")
+
+
+def write_english(docs: DataFrame, path: str, key: str = "id", text: str = "content") -> None:
+    """An index by stem: stem, key, places; range-partitioned and sorted by stem, frequent stems spread by key. Stems are
+    made once for each word of the collection, not for each place."""
+    spark = docs.sparkSession
+    words = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode(lexemes(F.col(text))).alias("at", "lexeme")).where(~F.col("lexeme").isin(*sorted(stem.STOP_WORDS)))
+    words.groupBy("key", "lexeme").agg(F.collect_list("at").alias("places")).write.mode("overwrite").parquet(f"{path}/words")
+    placed = spark.read.parquet(f"{path}/words")
+    placed.select("lexeme").distinct().withColumn("stem", stem.stem("lexeme")).write.mode("overwrite").parquet(f"{path}/stems")
+    rows = placed.join(spark.read.parquet(f"{path}/stems"), "lexeme").groupBy("stem", "key").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    rows.repartitionByRange("stem", "key").sortWithinPartitions("stem", "key").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def search_english_index(spark: SparkSession, path: str, query: str, k: int, key: str = "id", every: bool = True, least: int = 2, skip: int = 0) -> DataFrame:
+    """The same rows as `search_english`, from the postings of the query's stems alone: their place lists are merged by key."""
+    stems = _stems_of(spark, english_terms(query, least))
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("stem").isin(stems))
+    term = (F.array_position(F.array(*map(F.lit, stems or [""])), F.col("stem")) - 1).cast("int")
+    one = rows.select("key", term.alias("term"), "places")
+    merged = one.groupBy("key").agg(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("at"), F.col("term").alias("term")))).alias("lists"))
+    found = merged.where(F.size("lists") == len(stems)) if every else merged
+    found = found.select("key", F.sort_array(F.flatten("lists")).alias("hits"))
+    return _ranked(found, max(1, len(stems)), every).orderBy(F.desc("score"), "key").offset(skip).limit(k).select(F.col("key").alias(key), "score")
+
+
+def search_english_staged(docs: DataFrame, query: str, k: int, key: str = "id", text: str = "content") -> DataFrame:
+    """Every word by cover density; else any word, at score 1; else the query as a substring: key, stage, score. One pass: all
+    kinds of rows are ranked, and of the k that stay, those of the first stage that has any are kept."""
+    stems = _stems_of(docs.sparkSession, english_terms(query))
+    hits = english_hits(text, stems) if stems else F.expr("CAST(array() AS ARRAY<STRUCT<at: INT, term: INT>>)")
+    found = docs.select(F.col(key).alias("key"), hits.alias("hits"), F.col(text).ilike(f"%{query}%").alias("held"))
+    found = found.select("key", "held", F.size("hits").alias("n"), cover_density(F.col("hits"), max(1, len(stems))).alias("rank"))
+    stage = F.when(F.col("rank").isNotNull(), 1).when(F.col("n") > 0, 2).when(F.col("held"), 3)
+    found = found.select("key", stage.alias("stage"), F.coalesce("rank", F.lit(1.0)).alias("score")).where("stage IS NOT NULL")
+    best = found.orderBy("stage", F.desc("score"), "key").limit(k).withColumn("first", F.min("stage").over(Window.partitionBy()))
+    return best.where("stage = first").select(F.col("key").alias(key), "stage", "score")

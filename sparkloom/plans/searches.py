@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions import stem
 from sparkloom.functions import text as t
 from sparkloom.operators import fulltext as ft
 from sparkloom.operators import grams, rules
@@ -16,17 +17,31 @@ from sparkloom.session import shared_path, spread, table
 
 #: Indexes of a session, by the folder of their tables: built by the first query that needs them.
 _INDEXES: dict[tuple, grams.GramIndex] = {}
+_ENGLISH: dict[tuple, str] = {}
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
 def gram_index(spark: SparkSession, sf_dir: str) -> grams.GramIndex:
     """The documents' trigrams, written to the shared folder."""
     mark = (spark.sparkContext.applicationId, sf_dir)
     if mark not in _INDEXES:
-        docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-        _INDEXES[mark] = grams.write_grams(docs, shared_path(spark, f"grams-{uuid.uuid4().hex}"))
+        _INDEXES[mark] = grams.write_grams(_docs(spark, sf_dir), shared_path(spark, f"grams-{uuid.uuid4().hex}"))
     return _INDEXES[mark]
 
 
+def english_index(spark: SparkSession, sf_dir: str) -> str:
+    """The documents' English stems and their places, written to the shared folder."""
+    mark = (spark.sparkContext.applicationId, sf_dir)
+    if mark not in _ENGLISH:
+        path = shared_path(spark, f"english-{uuid.uuid4().hex}")
+        ft.write_english(_docs(spark, sf_dir), path)
+        _ENGLISH[mark] = path
+    return _ENGLISH[mark]
+
+
 def _with(spark: SparkSession, sf_dir: str, found: DataFrame, column: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", column).join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
@@ -67,3 +82,57 @@ def pattern_scan_indexed(spark, sf_dir):
 @query("C10_rules_indexed", ORACLES["C10_rules_by_chunks"])
 def rules_indexed(spark, sf_dir):
     return grams.match_rules(spark, gram_index(spark, sf_dir), [(r.id, "REGEX", "(?i)" + r.pattern) for r in rules.MIGRATION_RULES])
+
+
+# -- English: stems and covers -----------------------------------------------------------------------------------------
+
+
+def _english(stems: tuple[str, ...]) -> str:
+    """c(id, n, rank) of texts with a hit: the number of hits, and the rank by covers if every stem is there. The sweep is
+    stated by windows."""
+    near = " OR ".join(f"starts_with(w, '{x[: max(1, len(x) - 2)]}')" for x in stems)
+    last = ", ".join(f"max(i) FILTER (term = {n + 1}) OVER o AS l{n}" for n in range(len(stems)))
+    first = f"CASE WHEN {' AND '.join(f'l{n} IS NOT NULL' for n in range(len(stems)))} THEN least({', '.join(f'l{n}' for n in range(len(stems)))}) END"
+    return f"""WITH t AS (SELECT id, pos, w FROM (SELECT doc_id AS id, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS l FROM documents) d) u WHERE {near}),
+h AS (SELECT id, pos, term, row_number() OVER (PARTITION BY id ORDER BY pos) AS i FROM (SELECT id, pos, list_position([{', '.join(map(repr, stems))}], {stem.stem_sql('w', stem.DUCK)}) AS term FROM t) x WHERE term > 0),
+l AS (SELECT *, {last} FROM h WINDOW o AS (PARTITION BY id ORDER BY pos)), f AS (SELECT *, {first} AS first FROM l),
+v AS (SELECT id, i, pos, first FROM (SELECT *, lag(first) OVER (PARTITION BY id ORDER BY i) AS before FROM f) y WHERE first IS NOT NULL AND first IS DISTINCT FROM before),
+r AS (SELECT v.id, sum(0.1 / (1 + v.pos - h.pos - (v.i - v.first))) AS rank FROM v JOIN h ON h.id = v.id AND h.i = v.first GROUP BY v.id),
+c AS (SELECT id, n, rank FROM (SELECT id, count(*) AS n FROM h GROUP BY id) z LEFT JOIN r USING (id))"""
+
+
+_EVERY = "SELECT id, round(rank, 6) AS score FROM c WHERE rank IS NOT NULL ORDER BY rank DESC, id LIMIT {} OFFSET {}"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+@query("G5_english_any", _english(("ere", "oner", "thth")) + " SELECT id, round(n * 0.1, 6) AS score FROM c ORDER BY n DESC, id LIMIT 25")
+def english_any(spark, sf_dir):
+    return _rounded(ft.search_english(_docs(spark, sf_dir), "the ering of oners thth on", 25, every=False, least=3))
+
+
+@query("G6_english_all", _english(("thing", "ere", "ther")) + _EVERY.format(20, 0))
+def english_all(spark, sf_dir):
+    return _rounded(ft.search_english(_docs(spark, sf_dir), "the Things ered by thers", 20))
+
+
+@query("G6_english_indexed", _english(("thing", "ere", "ther")) + _EVERY.format(20, 0))
+def english_all_indexed(spark, sf_dir):
+    return _rounded(ft.search_english_index(spark, english_index(spark, sf_dir), "the Things ered by thers", 20))
+
+
+@query("G7_english_offset", _english(("thing", "tion")) + _EVERY.format(10, 10))
+def english_offset(spark, sf_dir):
+    return _rounded(ft.search_english(_docs(spark, sf_dir), "things tions", 10, skip=10))
+
+
+@query("G8_english_staged", _english(("thing", "ere", "ther")) + " SELECT id, 1 AS stage, round(rank, 6) AS score FROM c WHERE rank IS NOT NULL ORDER BY rank DESC, id LIMIT 12")
+def english_staged(spark, sf_dir):
+    return _rounded(ft.search_english_staged(_docs(spark, sf_dir), "the Things ered by thers", 12))
+
+
+@query("G8_english_any_stage", _english(("thing", "zzzz")) + " SELECT id, 2 AS stage, 1.0 AS score FROM c ORDER BY id LIMIT 12")
+def english_any_stage(spark, sf_dir):
+    return ft.search_english_staged(_docs(spark, sf_dir), "things zzzz", 12)
