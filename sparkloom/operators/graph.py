@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.listings import latest
+from sparkloom.session import settle
 
 
 def traverse(edges: DataFrame, roots: DataFrame, direction: str = "out", depth: int = 2) -> DataFrame:
@@ -50,6 +52,62 @@ def pack_within(spans: DataFrame, budget: int, size: Column, partition: Sequence
     return spans.withColumn("spent", running(size, partition, order, False)).where(F.col("spent") <= budget)
 
 
+def running_blocks(spans: DataFrame, size: Column, partition: Sequence[str] = (), order: Sequence = ("at",), before: bool = False, blocks: int | None = None, most: int | None = None) -> DataFrame:
+    """Spans with `spent`, the sum of sizes through each span in the order of its group (or before it), by blocks: no task
+    sees a whole group, so one may hold all rows.
+
+    Rows are range-partitioned by group and order; each block is summed; a block's offset is what its group has before it;
+    within a block a window does the rest. With `most`, blocks that begin beyond it are left out unread. The order must be
+    total for a result that is always the same; null groups are one group. Give it narrow rows: they are written once.
+    """
+    blocks = blocks or int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(spans.withColumn("__size", size).repartitionByRange(blocks, *partition, *order).withColumn("__block", F.spark_partition_id()))
+    totals = ranged.groupBy(*partition, "__block").agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("__total"))
+    if partition:
+        earlier = Window.partitionBy(*partition).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.withColumn("__offset", F.coalesce(F.sum("__total").over(earlier), F.lit(0))).drop("__total")
+        offsets = offsets.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(partition)), F.col("__block").alias("__b"), "__offset")
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(partition)))
+        ranged = ranged.join(offsets, same & (F.col("__block") == F.col("__b"))).drop("__b", *(f"__{i}" for i in range(len(partition))))
+    else:
+        #: one number a block
+        found = {r["__block"]: r["__total"] for r in totals.collect()}
+        sums = list(accumulate((found.get(i, 0) for i in range(blocks)), initial=0))
+        ranged = ranged.withColumn("__offset", F.get(F.array(*map(F.lit, sums)), F.col("__block")))
+    if most is not None:
+        ranged = ranged.where(F.col("__offset") <= most)
+    return ranged.withColumn("spent", F.col("__offset") + running(F.col("__size"), [*partition, "__block"], order, before)).drop("__size", "__block", "__offset")
+
+
+def pack_within_blocks(spans: DataFrame, budget: int, size: Column, partition: Sequence[str] = (), order: Sequence = ("at",), blocks: int | None = None) -> DataFrame:
+    """As `pack_within`, for groups that no task can hold."""
+    return running_blocks(spans, size, partition, order, False, blocks, budget).where(F.col("spent") <= budget)
+
+
+def pack_crossing_blocks(spans: DataFrame, budget: int, size: Column, partition: Sequence[str] = (), order: Sequence = ("at",), blocks: int | None = None) -> DataFrame:
+    """As `pack_crossing`, for groups that no task can hold."""
+    return running_blocks(spans, size, partition, order, True, blocks, budget).where(F.col("spent") < budget)
+
+
+def overlapping(left: DataFrame, right: DataFrame, on: Sequence[str], width: int, begin: str = "begin", end: str = "end") -> DataFrame:
+    """Pairs of rows with equal `on` whose intervals [begin, end] of whole numbers touch: on, and both rows as structs l and r.
+
+    Intervals are dealt to bins of `width` and meet in an equi-join on the bin; a pair is given in one bin only, that of the
+    later begin. Rows with a null, or with an end before the begin, meet nothing. Choose the width near the common length:
+    an interval has length / width + 1 rows.
+    """
+    bin_ = lambda x: F.floor(F.col(x) / width)
+
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        held = df.where(F.col(begin) <= F.col(end))
+        return held.select(*on, F.struct(*df.columns).alias(name), F.explode(F.sequence(bin_(begin), bin_(end))).alias("__bin"))
+
+    met = dealt(left, "l").join(dealt(right, "r"), [*on, "__bin"])
+    touch = (F.col(f"l.{begin}") <= F.col(f"r.{end}")) & (F.col(f"r.{begin}") <= F.col(f"l.{end}"))
+    first = F.floor(F.greatest(F.col(f"l.{begin}"), F.col(f"r.{begin}")) / width)
+    return met.where(touch & (F.col("__bin") == first)).drop("__bin")
+
+
 def estimate_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 

@@ -11,8 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import trigrams
 from sparkloom.operators.incremental import upsert
+from sparkloom.operators.similar import most_similar
 
 
 class TagRule(NamedTuple):
@@ -87,23 +87,18 @@ def validate_symbols(refs: DataFrame, symbols: DataFrame, near: float = 0.7, sug
     """ref, confidence; name -> ref, status (valid, STALE_API or MISSING_SYMBOL), severity, match.
 
     The name is what stands before `(` and behind the last dot. It is valid if a symbol has it; else the most similar
-    symbol by trigrams (ties by name) makes it an old name if it is closer than `near`, or is suggested. Candidates meet
-    in an equi-join on their trigrams, so names without a common one are never compared.
+    symbol by trigrams (ties by name) makes it an old name if it is closer than `near`, or is suggested from `suggest_at`.
     """
     name = F.element_at(F.split(F.element_at(F.split("ref", r"\("), 1), r"\."), -1)
     asked = refs.select("ref", "confidence", name.alias("asked")).distinct()
     known = symbols.select(F.col("name")).distinct()
-    open_ = asked.select("asked").distinct().join(known, F.col("asked") == F.col("name"), "left_anti").withColumn("x", trigrams(F.col("asked")))
-    a = open_.select("asked", F.size("x").alias("nx"), F.explode("x").alias("t"))
-    b = known.withColumn("y", trigrams(F.col("name"))).select("name", F.size("y").alias("ny"), F.explode("y").alias("t"))
-    shared = a.join(b, "t").groupBy("asked", "name", "nx", "ny").agg(F.count("*").alias("both"))
-    sim = F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))
-    best = shared.withColumn("sim", sim).where(F.col("sim") >= suggest_at).groupBy("asked").agg(F.min(F.struct((-F.col("sim")).alias("d"), "name")).alias("b"))
+    open_ = asked.select("asked").distinct().join(known, F.col("asked") == F.col("name"), "left_anti")
+    best = most_similar(open_, known.withColumnRenamed("name", "best"), suggest_at, "asked", "best")
     out = asked.join(known.withColumnRenamed("name", "same"), F.col("asked") == F.col("same"), "left").join(best, "asked", "left")
-    sim = -F.col("b.d")
+    sim = F.col("similarity")
     status = F.when(F.col("same").isNotNull(), "valid").when(sim > near, "STALE_API").otherwise("MISSING_SYMBOL")
     severity = F.when(F.col("same").isNotNull(), F.lit(None)).when(sim > near, "info").when(F.col("confidence") > 0.8, "error").otherwise("warning")
-    return out.select("ref", status.alias("status"), severity.alias("severity"), F.coalesce("same", "b.name").alias("match"))
+    return out.select("ref", status.alias("status"), severity.alias("severity"), F.coalesce("same", "best").alias("match"))
 
 
 def validate_imports(refs: DataFrame, files: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -183,16 +178,23 @@ def validity_score(parts: dict[str, Column]) -> Column:
 
 
 def resolve_paths(refs: DataFrame, files: DataFrame, suggest_at: float = 0.3) -> DataFrame:
-    """ref -> ref, how, path: exact, else the shortest path that ends in /ref (then by name), else null.
+    """ref -> ref, how, path, similarity: exact, else the shortest path that ends in /ref (then by name), else as a
+    suggestion the path most similar by trigrams (ties by path) from `suggest_at`, else missing. similarity is null but
+    for suggestions.
 
-    Suffixes of paths are exploded, so that both stages are equi-joins.
+    Suffixes of paths are exploded, so that the first two stages are equi-joins; the third is a set-similarity join of the
+    references that are left.
     """
     parts = F.split("path", "/")
     tails = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("ref"))
     best = tails.groupBy("ref").agg(F.min(F.struct(F.length("path").alias("n"), "path")).alias("b"))
     exact = files.select(F.col("path").alias("ref"), F.col("path").alias("exact")).distinct()
     out = refs.select("ref").distinct().join(exact, "ref", "left").join(best, "ref", "left")
-    return out.select("ref", F.when(F.col("exact").isNotNull(), "exact").when(F.col("b").isNotNull(), "suffix").otherwise("missing").alias("how"), F.coalesce("exact", "b.path").alias("path"))
+    left = out.where("exact IS NULL AND b IS NULL").select("ref")
+    near = most_similar(left, files.select(F.col("path").alias("near")), suggest_at, "ref", "near")
+    out = out.join(near, "ref", "left")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("b").isNotNull(), "suffix").when(F.col("near").isNotNull(), "similar").otherwise("missing")
+    return out.select("ref", how.alias("how"), F.coalesce("exact", "b.path", "near").alias("path"), "similarity")
 
 
 class Tool(NamedTuple):

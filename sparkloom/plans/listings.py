@@ -76,7 +76,7 @@ def read_lines(spark, sf_dir):
     return listings.read_lines(_files(spark, sf_dir), 2, 4).select("id", "lines", "n_lines")
 
 
-@query("A17_catalog", "SELECT table_name AS \"table\", ordinal_position - 1 AS position, column_name AS \"column\" FROM information_schema.columns WHERE table_schema = 'main'")
+@query("A17_catalog", "SELECT table_name AS \"table\", ordinal_position - 1 AS position, column_name AS \"column\" FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
 def catalog(spark, sf_dir):
     """Schemas of all the folder's tables; only their footers are read."""
     frames = {n: table(spark, sf_dir, n) for n in files.table_names(spark, sf_dir)}
@@ -300,12 +300,12 @@ def symbol_by_name(spark, sf_dir):
     return graph.find_symbol(known, name).select(F.lit("name").alias("how"), "id", "fqn").unionByName(graph.find_symbol(known, id_=7).select(F.lit("id").alias("how"), "id", "fqn"))
 
 
-_CALLS = "SELECT DISTINCT l_suppkey AS src, l_partkey % 100 + 1 AS dst FROM {lineitem} WHERE l_orderkey % 7 = 0"
+_CALLS = "SELECT DISTINCT l_suppkey AS src, l_partkey % 100 + 1 AS dst FROM {lineitem}"
 
 
-@query("H4_recursive_calls", f"WITH RECURSIVE e AS ({_CALLS.replace('{', '').replace('}', '')}), w(node, callee, depth) AS (SELECT src, dst, 1 FROM e WHERE src <= 5 UNION SELECT w.node, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.callee WHERE w.depth < 2) SELECT node, callee, depth FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, callee) AS r FROM w) t WHERE r <= 20")
+@query("H4_recursive_calls", f"WITH RECURSIVE e AS ({_CALLS.replace('{', '').replace('}', '')}), w(node, callee, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT w.node, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.callee WHERE w.depth < 2) SELECT node, callee, depth FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, callee) AS r FROM w) t WHERE r <= 20")
 def recursive_calls(spark, sf_dir):
-    entries = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select(F.col("s_suppkey").alias("node"))
+    entries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
     return graph.call_flows(frame(spark, sf_dir, _CALLS), entries)
 
 
@@ -369,7 +369,7 @@ def directory_notes(spark, sf_dir):
 
 
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substring('  ' || w || ' ', i, 3)))))"
-_ASKED = "SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN 'db.' || s_name || '()' WHEN 1 THEN s_name || 'x' ELSE 'zq' || (s_suppkey % 5) END AS ref, CASE WHEN s_suppkey % 2 = 0 THEN 0.9 ELSE 0.7 END AS confidence FROM {supplier} WHERE s_suppkey <= 300"
+_ASKED = "SELECT DISTINCT CASE s_suppkey % 3 WHEN 0 THEN 'db.' || s_name || '()' WHEN 1 THEN s_name || 'x' ELSE 'zq' || (s_suppkey % 5) END AS ref, CASE WHEN s_suppkey % 2 = 0 THEN 0.9 ELSE 0.7 END AS confidence FROM {supplier}"
 
 
 @query("J16_symbol_validation", f"""WITH r AS (SELECT ref, confidence, regexp_extract(string_split(ref, '(')[1], '([^.]*)$', 1) AS asked FROM {duck(_ASKED)} a), k AS (SELECT DISTINCT s_name AS name, {_TRI.format('s_name')} AS y FROM supplier),
@@ -446,9 +446,10 @@ def suggest_tool(spark, sf_dir):
 @query("J20_claim_evidence", f"""WITH f AS (SELECT id, path, content, {_BASE.replace('doc_id', 'id')} AS score FROM {_F} f WHERE id % 3 = 0), r AS (SELECT *, CASE WHEN contains(path, '/tests/') THEN 10 WHEN contains(path, '/services/') THEN 0 ELSE 3 END AS priority FROM f),
 s AS (SELECT id, priority, sum(length(content)) OVER (ORDER BY priority, score DESC, id) AS spent FROM r) SELECT id, priority, spent FROM s WHERE spent <= 60000""")
 def claim_evidence(spark, sf_dir):
-    """Evidence for a claim: found files by the place that their path has, whole texts within a budget of characters."""
-    found = _files(spark, sf_dir).where("id % 3 = 0").withColumn("score", F.col("id") % 10 / 10).withColumn("priority", ranking.evidence_priority(F.col("path")))
-    return graph.pack_within(found, 60_000, F.length("content"), [], ["priority", F.desc("score"), "id"]).select("id", "priority", "spent")
+    """Evidence for a claim: found files by the place that their path has, whole texts within a budget of characters. One
+    claim may have any number of files, so they are packed by blocks."""
+    found = _files(spark, sf_dir).where("id % 3 = 0").select("id", (F.col("id") % 10 / 10).alias("score"), ranking.evidence_priority(F.col("path")).alias("priority"), F.length("content").alias("n"))
+    return graph.pack_within_blocks(found, 60_000, F.col("n"), [], ["priority", F.desc("score"), "id"]).select("id", "priority", "spent")
 
 
 @query("J28_summaries", "SELECT 'document' AS level, CAST(doc_id AS VARCHAR) AS entity, substring(string_split(text, '.')[1], 1, 200) AS summary FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'module', source, count(*) || ' files: ' || array_to_string(list(DISTINCT lang ORDER BY lang), ', ') FROM documents GROUP BY source UNION ALL SELECT 'symbol', CAST(p_partkey AS VARCHAR), p_name || ': ' || p_type FROM part WHERE p_partkey % 4 > 0")

@@ -108,10 +108,16 @@ _FILES = "SELECT source || '/' || lang || '/' || doc_id || '.md' AS path FROM do
 _REFS = "SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN source || '/' || lang || '/' || doc_id || '.md' WHEN 1 THEN lang || '/' || doc_id || '.md' ELSE 'gone/' || doc_id || '.md' END AS ref FROM documents"
 
 
-@query("J15_resolve_paths", f"SELECT ref, how, path FROM (SELECT r.ref, f.path, CASE WHEN f.path = r.ref THEN 'exact' WHEN f.path IS NULL THEN 'missing' ELSE 'suffix' END AS how, row_number() OVER (PARTITION BY r.ref ORDER BY f.path <> r.ref, length(f.path), f.path) AS rn FROM ({_REFS}) r LEFT JOIN ({_FILES}) f ON f.path = r.ref OR f.path LIKE '%/' || r.ref) t WHERE rn = 1")
+_TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@query("J15_resolve_paths", f"""WITH f AS ({_FILES}), t AS (SELECT ref, path, how FROM (SELECT r.ref, f.path, CASE WHEN f.path = r.ref THEN 'exact' WHEN f.path IS NULL THEN 'missing' ELSE 'suffix' END AS how, row_number() OVER (PARTITION BY r.ref ORDER BY f.path <> r.ref, length(f.path), f.path) AS rn FROM ({_REFS}) r LEFT JOIN f ON f.path = r.ref OR f.path LIKE '%/' || r.ref) t WHERE rn = 1),
+x AS (SELECT DISTINCT ref, {_TRI.format('ref')} AS x FROM t WHERE how = 'missing'), y AS (SELECT DISTINCT path, {_TRI.format('path')} AS y FROM f),
+s AS (SELECT ref, path, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS sim FROM x, y), b AS (SELECT ref, path, sim FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY sim DESC, path) AS i FROM s WHERE sim >= 0.3) z WHERE i = 1)
+SELECT t.ref, CASE WHEN b.ref IS NOT NULL THEN 'similar' ELSE how END AS how, coalesce(t.path, b.path) AS path, round(sim, 6) AS similarity FROM t LEFT JOIN b ON b.ref = t.ref""")
 def resolve_paths(spark, sf_dir):
     files = sql(spark, sf_dir, _FILES.replace("documents", "{documents}"))
-    return rules.resolve_paths(sql(spark, sf_dir, _REFS.replace("documents", "{documents}")), files)
+    return rules.resolve_paths(sql(spark, sf_dir, _REFS.replace("documents", "{documents}")), files).withColumn("similarity", F.round("similarity", 6))
 
 
 _PARTS = "SELECT doc_id, (doc_id % 11) / 1e1 AS r, (doc_id % 7) / 6e0 AS e, (doc_id % 5) / 4e0 AS f, (doc_id % 3) / 2e0 AS s FROM {documents}"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import stem
 from sparkloom.functions import text as t
 from sparkloom.operators import fulltext as ft
-from sparkloom.operators import grams, rules
+from sparkloom.operators import grams, graph, rules, similar
 from sparkloom.plans import pipelines, relational, retrieval, texts  # noqa: F401  whose oracles hold here, too
 from sparkloom.registry import ORACLES, query
 from sparkloom.session import shared_path, spread, table
@@ -136,3 +136,39 @@ def english_staged(spark, sf_dir):
 @query("G8_english_any_stage", _english(("thing", "zzzz")) + " SELECT id, 2 AS stage, 1.0 AS score FROM c ORDER BY id LIMIT 12")
 def english_any_stage(spark, sf_dir):
     return ft.search_english_staged(_docs(spark, sf_dir), "things zzzz", 12)
+
+
+# -- sets, intervals and running budgets -------------------------------------------------------------------------------
+_TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@query("I13_similar_pairs", f"SELECT a, b, round(shared_ / (len(x) + len(y) - shared_), 6) AS similarity FROM (SELECT a, b, x, y, len(list_intersect(x, y)) AS shared_ FROM (SELECT DISTINCT s_name AS a, {_TRI.format('s_name')} AS x FROM supplier) s, (SELECT DISTINCT c_name AS b, {_TRI.format('c_name')} AS y FROM customer) c) p WHERE shared_ >= 0.35 * (len(x) + len(y) - shared_)")
+def similar_names(spark, sf_dir):
+    """Names of suppliers and customers with similar trigrams, by the set-similarity join."""
+    a = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("a")).distinct().withColumn("items", t.trigrams(F.col("a")))
+    b = table(spark, sf_dir, "customer").select(F.col("c_name").alias("b")).distinct().withColumn("items", t.trigrams(F.col("b")))
+    return similar.similar_pairs(a, b, 0.35).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("C6_interval_binned", ORACLES["C6_interval_overlap"])
+def interval_binned(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    a = turns.select("conv_id", "turn", F.col("turn").alias("begin"), (F.col("turn") + 1).alias("end"))
+    b = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("turn").alias("begin"), (F.col("turn") + 2).alias("end"))
+    return graph.overlapping(a, b, ["conv_id"], 4).select("conv_id", F.col("l.turn").alias("a_turn"), F.col("r.turn").alias("b_turn"))
+
+
+@query("C6_shipping_overlap", "SELECT a.l_orderkey, a.l_linenumber AS a_line, b.l_linenumber AS b_line FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND datediff('day', DATE '1990-01-01', a.l_shipdate::DATE) <= datediff('day', DATE '1990-01-01', b.l_shipdate::DATE) + b.l_linenumber * 5 AND datediff('day', DATE '1990-01-01', b.l_shipdate::DATE) <= datediff('day', DATE '1990-01-01', a.l_shipdate::DATE) + a.l_linenumber * 5")
+def shipping_overlap(spark, sf_dir):
+    """Lines of an order that are under way at the same time, each for five days a line number."""
+    begin = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", begin.alias("begin"), (begin + F.col("l_linenumber") * 5).alias("end"))
+    met = graph.overlapping(lines, lines, ["l_orderkey"], 16).where("l.l_linenumber < r.l_linenumber")
+    return met.select("l_orderkey", F.col("l.l_linenumber").alias("a_line"), F.col("r.l_linenumber").alias("b_line"))
+
+
+@query("E6_running_budget_blocks", "SELECT doc_id, source, spent FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS spent FROM documents) s WHERE spent <= 100000")
+def running_budget(spark, sf_dir):
+    """The longest documents of each source within a budget; one source may hold any number."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return graph.pack_within_blocks(docs, 100_000, F.col("n_chars"), ["source"], [F.desc("n_chars"), "doc_id"]).select("doc_id", "source", "spent")

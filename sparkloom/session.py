@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
         top = getattr(shared_path, "own", None) or tempfile.mkdtemp(prefix="sparkloom-")
         shared_path.own = top
     return f"{top.rstrip('/')}/{name}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: what reads them later sees the same rows, also after a lost executor. The
+    table goes with the end of the application."""
+    spark = df.sparkSession
+    path = shared_path(spark, f"settled-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
