@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,16 +21,20 @@ def _share(score: Column) -> Column:
 
 def hybrid(
     vec: DataFrame, fts: DataFrame, k: int, weights: tuple[float, float, float] = (0.55, 0.35, 0.10), tags: DataFrame | None = None,
-    tags_all: Sequence[str] = (), tags_any: Sequence[str] = (), keep: DataFrame | None = None, key: str = "id", filter_first: bool = True,
+    tags_all: Sequence[str] = (), tags_any: Sequence[str] = (), keep: Callable[[list], DataFrame] | None = None, key: str = "id", filter_first: bool = True,
 ) -> DataFrame:
     """Fuse two top-k lists (key, score) -> key, score and what explains it.
 
-    Tag filters, and the semi-join on `keep`, come before scores are divided by their maxima, or with filter_first=False
-    `keep` comes after. A candidate with any tag gets the tag's weight whole.
+    The candidates, two top-k lists at most, are settled first, so that their lists are searched once and tags and texts are
+    read for them alone. Tag filters, and `keep` (of the candidates' keys, gives those that stay), come before scores are
+    divided by their maxima, or with filter_first=False `keep` comes after. A candidate with any tag gets the tag's weight
+    whole.
     """
     both = ranked(vec, key, "vec").join(ranked(fts, key, "fts"), key, "full_outer")
+    rows = both.toArrow()
+    both, keys = vec.sparkSession.createDataFrame(rows), rows.column(key).to_pylist()
     if tags is not None:
-        own = tags.join(F.broadcast(both.select(key)), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("matched_tags"))
+        own = tags.where(F.col(key).isin(keys)).groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("matched_tags"))
         both = both.join(own, key, "left")
     else:
         both = both.withColumn("matched_tags", F.lit(None).cast("array<string>"))
@@ -40,11 +44,11 @@ def hybrid(
     if tags_any:
         both = both.where(F.arrays_overlap("matched_tags", F.array(*map(F.lit, tags_any))))
     if keep is not None and filter_first:
-        both = both.join(keep, key, "left_semi")
+        both = both.join(keep(keys), key, "left_semi")
     boost = F.when(F.size("matched_tags") > 0, 1.0).otherwise(0.0)
     both = both.withColumns({"tag_boost": boost, "score": weights[0] * _share(F.col("vec_score")) + weights[1] * _share(F.col("fts_score")) + weights[2] * boost})
     if keep is not None and not filter_first:
-        both = both.join(keep, key, "left_semi")
+        both = both.join(keep(keys), key, "left_semi")
     return both.orderBy(F.desc("score"), key).limit(k)
 
 

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import settle
+
 
 def doubles(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double"))
@@ -148,3 +150,51 @@ def search_cells(spark: SparkSession, index: Cells, q: Sequence[float], k: int,
     bound = (max(0.0, 2 - 2 * worst) ** 0.5) + 1e-6 if n >= k else float("inf")
     read = first + [c for c in order if far[c] - index.radii[c] <= bound]
     return within(read).select(F.col("key").alias(key), "score"), read
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def nearest_by_cells(spark: SparkSession, index: Cells, docs: DataFrame, k: int, deal: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Lateral top-k through an index: (doc, vector) -> doc, chunk, score, as by `nearest_of_each`; and the pairs of doc and
+    cell that were met (doc, cell, size), for the count of what was compared.
+
+    A row's bound comes from its nearest cells: those that hold k vectors, nearest first, are met and the k-th best distance
+    there is the bound. Then the row meets only cells whose centre less their radius lies within it, so nothing is lost.
+    Both steps are joins on the cell's number; a large cell is dealt to many tasks, of `deal` vectors each. The centres,
+    ann_lists of them, are part of the plan.
+    """
+    rows = spark.read.schema("key long, vector array<double>, far double, cell int").parquet(index.path)
+    unit = docs.select("doc", doubles("vector").alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).where("norm > 0")
+    unit = unit.select("doc", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    if not index.centres:
+        return rows.where(F.lit(False)).select(F.lit(0).cast("long").alias("doc"), F.col("key").alias("chunk"), F.lit(0.0).alias("score")), unit.where(F.lit(False)).select("doc", F.lit(0).alias("cell"), F.lit(0).alias("size"))
+    #: cells of the index, nearest first: (distance, cell, radius, size)
+    each = [F.struct(_distance(F.col("v"), literal(centre)).alias("d"), F.lit(c).alias("cell"), F.lit(index.radii[c]).alias("r"), F.lit(index.sizes[c]).alias("size")) for c, centre in index.centres.items()]
+    cells_ = unit.withColumn("cells", F.sort_array(F.array(*each)))
+    before = F.transform("cells", lambda _, i: F.aggregate(F.slice("cells", 1, i), F.lit(0), lambda s, x: s + x["size"]))
+    cells_ = cells_.withColumn("before", before)
+    first = F.filter("cells", lambda x, i: F.get("before", i) < k)
+    deals = F.create_map(*(F.lit(x) for c, n in index.sizes.items() for x in (c, max(1, -(-n // deal)))))
+    held = rows.withColumn("deal", F.pmod(F.xxhash64("key"), deals[F.col("cell")]).cast("int")).select("cell", "deal", F.col("key").alias("chunk"), F.col("vector").alias("w"))
+
+    def met(some: DataFrame) -> DataFrame:
+        """doc, v, cell -> the best k of each doc in the cells it meets."""
+        dealt = some.withColumn("deal", F.explode(F.sequence(F.lit(0), deals[F.col("cell")] - 1)))
+        scored = dealt.join(held, ["cell", "deal"]).select("doc", "cell", "deal", "chunk", cosine(F.col("v"), F.col("w")).alias("score")).where("score IS NOT NULL")
+        for by in (["doc", "cell", "deal"], ["doc"]):
+            scored = scored.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "chunk"))).where(F.col("at") <= k)
+        return scored.drop("at")
+
+    near = cells_.select("doc", "v", F.explode(first).alias("c")).select("doc", "v", "c.cell")
+    found = settle(met(near).select("doc", "chunk", "score"))
+    #: of k unit vectors the worst cosine gives the distance; rows with fewer meet all cells
+    bound = found.groupBy("doc").agg(F.when(F.count("*") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score"))) + 1e-6).alias("bound"))
+    wide = cells_.join(bound, "doc", "left")
+    more = F.filter("cells", lambda x, i: (F.get("before", i) >= k) & (x["d"] - x["r"] <= F.coalesce(F.col("bound"), F.lit(float("inf")))))
+    rest = wide.select("doc", "v", F.explode(more).alias("c")).select("doc", "v", "c.cell", "c.size")
+    both = found.unionByName(met(rest.drop("size")).select("doc", "chunk", "score"))
+    best = both.withColumn("at", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "chunk"))).where(F.col("at") <= k).drop("at")
+    size = F.create_map(*(F.lit(x) for c, n in index.sizes.items() for x in (c, n)))
+    return best, near.select("doc", "cell", size[F.col("cell")].alias("size")).unionByName(rest.select("doc", "cell", "size"))

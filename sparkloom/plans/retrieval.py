@@ -95,6 +95,12 @@ def lateral_topk(spark, sf_dir):
     return _round(_nearest(spark, sf_dir), "score")
 
 
+@query("C8_lateral_topk_indexed", f"SELECT doc, chunk, round(score, 6) AS score FROM ({_BEST}) b")
+def lateral_topk_indexed(spark, sf_dir):
+    docs = _vectors(spark, sf_dir).where("id % 20 = 0").withColumnRenamed("id", "doc")
+    return _round(vec.nearest_by_cells(spark, indexes(spark, sf_dir)[0], docs, 20)[0], "score")
+
+
 @query("F6_document_score", f"SELECT doc, round(CASE WHEN avg(score) > 0.5 THEN least(1.0, avg(score) * 1.5) ELSE avg(score) END, 6) AS score FROM ({_BEST}) b GROUP BY doc")
 def document_score(spark, sf_dir):
     return _round(vec.document_score(_nearest(spark, sf_dir)), "score")
@@ -251,6 +257,16 @@ def _lists(spark, sf_dir, n: int = 30):
     return vec.vector_topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), n), ft.search_any(_docs(spark, sf_dir), ASKED, n)
 
 
+def _lists_indexed(spark, sf_dir, n: int = 30):
+    found, postings = indexes(spark, sf_dir)
+    return vec.search_cells(spark, found, _query_vector(spark, sf_dir), n)[0], ft.search_index(postings, _docs(spark, sf_dir), ASKED, n)
+
+
+def _holding(spark, sf_dir):
+    """Of some documents those whose text holds a word."""
+    return lambda ids: _docs(spark, sf_dir).where(F.col("id").isin(ids) & F.contains(F.lower("content"), F.lit("tion"))).select("id")
+
+
 def _explained(df):
     return _round(df.select("id", "score", "vec_rank", "fts_rank", "matched_tags"), "score")
 
@@ -263,9 +279,7 @@ def hybrid_search(spark, sf_dir):
 
 @query("G12_hybrid_indexed", _hybrid_oracle("len(matched_tags) > 0 AND list_has_any(matched_tags, ['good', 'de', 'fr'])", (0.55, 0.35, 0.10), 12))
 def hybrid_indexed(spark, sf_dir):
-    found, postings = indexes(spark, sf_dir)
-    v = vec.search_cells(spark, found, _query_vector(spark, sf_dir), 30)[0]
-    f = ft.search_index(postings, _docs(spark, sf_dir), ASKED, 30)
+    v, f = _lists_indexed(spark, sf_dir)
     return _explained(fusion.hybrid(v, f, 12, tags=_tags(spark, sf_dir), tags_any=["good", "de", "fr"]))
 
 
@@ -281,8 +295,13 @@ _HOLDS = "id IN (SELECT doc_id FROM documents WHERE contains(lower(text), 'tion'
 @query("G13_doc_hybrid", _hybrid_oracle("true", (0.55, 0.45, 0.0), 10, after=_HOLDS))
 def doc_hybrid(spark, sf_dir):
     v, f = _lists(spark, sf_dir)
-    holds = _docs(spark, sf_dir).where(F.contains(F.lower("content"), F.lit("tion"))).select("id")
-    return _explained(fusion.hybrid(v, f, 10, (0.55, 0.45, 0.0), tags=_tags(spark, sf_dir), keep=holds, filter_first=False))
+    return _explained(fusion.hybrid(v, f, 10, (0.55, 0.45, 0.0), tags=_tags(spark, sf_dir), keep=_holding(spark, sf_dir), filter_first=False))
+
+
+@query("G13_doc_hybrid_indexed", _hybrid_oracle("true", (0.55, 0.45, 0.0), 10, after=_HOLDS))
+def doc_hybrid_indexed(spark, sf_dir):
+    v, f = _lists_indexed(spark, sf_dir)
+    return _explained(fusion.hybrid(v, f, 10, (0.55, 0.45, 0.0), tags=_tags(spark, sf_dir), keep=_holding(spark, sf_dir), filter_first=False))
 
 
 @query("J27_db_feature_context", f"SELECT d.source, round(avg(h.score), 6) AS score, count(*) AS n FROM ({_hybrid_oracle('list_contains(matched_tags, chr(103) || chr(111) || chr(111) || chr(100))', (0.55, 0.35, 0.10), 12)}) h JOIN documents d ON d.doc_id = h.id GROUP BY d.source")

@@ -142,12 +142,12 @@ def english_any_stage(spark, sf_dir):
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
 
-@query("I13_similar_pairs", f"SELECT a, b, round(shared_ / (len(x) + len(y) - shared_), 6) AS similarity FROM (SELECT a, b, x, y, len(list_intersect(x, y)) AS shared_ FROM (SELECT DISTINCT s_name AS a, {_TRI.format('s_name')} AS x FROM supplier) s, (SELECT DISTINCT c_name AS b, {_TRI.format('c_name')} AS y FROM customer) c) p WHERE shared_ >= 0.35 * (len(x) + len(y) - shared_)")
+@query("I13_similar_pairs", f"SELECT a, b, round(shared_ / (len(x) + len(y) - shared_), 6) AS similarity FROM (SELECT a, b, x, y, len(list_intersect(x, y)) AS shared_ FROM (SELECT DISTINCT s_name AS a, {_TRI.format('s_name')} AS x FROM supplier) s, (SELECT DISTINCT c_name AS b, {_TRI.format('c_name')} AS y FROM customer) c) p WHERE shared_ >= 0.2 * (len(x) + len(y) - shared_)")
 def similar_names(spark, sf_dir):
     """Names of suppliers and customers with similar trigrams, by the set-similarity join."""
     a = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("a")).distinct().withColumn("items", t.trigrams(F.col("a")))
     b = table(spark, sf_dir, "customer").select(F.col("c_name").alias("b")).distinct().withColumn("items", t.trigrams(F.col("b")))
-    return similar.similar_pairs(a, b, 0.35).withColumn("similarity", F.round("similarity", 6))
+    return similar.similar_pairs(a, b, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("C6_interval_binned", ORACLES["C6_interval_overlap"])
