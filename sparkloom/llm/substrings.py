@@ -4,13 +4,14 @@ A full suffix array has a row per byte. Here it is sparse: suffixes are taken at
 of `length` bytes the one of least hash (the leftmost of ties) is its anchor, so equal windows have equal anchors, at the
 same place in them. An anchor's context is the bytes under all windows that it anchors.
 
-Anchors are found once. Grams that occur once go no further than a count. Equal contexts become one suffix with its number
-of copies (told by two hashes, a pre-filter: copies need no order among themselves). Suffixes are range-partitioned by
+Anchors are found once. Grams that occur once go no further than a count. Of equal contexts (told by two hashes, a
+pre-filter) two occurrences become suffixes, the first and the last, so that copies, too, are found by the bytes that they
+share in the sorted order; more of them would only repeat that comparison. Suffixes are range-partitioned by
 their leading bytes, of which Spark samples the splitters; equal leads share a partition, so that no run of them has a
 neighbour across a boundary. In a partition each run is sorted by what follows the lead and by what stands before it, read
 backwards, by multikey quicksort on eight bytes at a time, and the common bytes of neighbours are measured. A window is
-under both orders: it is repeated if another suffix agrees with it as far as it reaches on either side, or if its own
-suffix has copies. A suffix that is alone in its run is decided by its copies.
+under both orders: it is repeated if another suffix agrees with it as far as it reaches on either side. What is found for
+the first occurrence of a context holds for all of them.
 
 A run of more than `hot` suffixes isn't gathered: each suffix is dealt to narrower runs, led by the bytes that all windows
 of a narrower range of places share, down to the window itself, whose run has nothing left to sort. No task holds a longer
@@ -168,9 +169,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 #: A suffix: its lead and the piece of text under its windows (`more` and one), in which the lead begins at `at` and the
-#: anchor at `back`; `skip` windows of the context come before these; n copies.
-_PIECE = "gram long, context long, lead binary, piece binary, at int, back int, skip int, more int, n long"
-_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+#: anchor at `back`; `skip` windows of the context come before these; the context occurs n times, this is its first (copy 0)
+#: or its last occurrence (copy 1).
+_PIECE = "gram long, context long, lead binary, piece binary, at int, back int, skip int, more int, n long, copy int"
+_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 _NAMES = [c.split()[0] for c in _PIECE.split(", ")]
 
 
@@ -197,30 +199,34 @@ def repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> D
     repeated = settle(anchored.groupBy("gram").agg(F.count("*").alias("__n")).where("__n > 1"))
     found = settle(join_hot(anchored, repeated, ["gram"], place, "left_semi"))
     discard(anchored, repeated)
-    contexts = settle(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "anchor", "back", "more")).alias("one")))
-    grams = settle(contexts.groupBy("gram").agg(F.count("*").alias("__n")))
-    spots = F.struct("gram", "context", "one.anchor", "one.back", "one.more", "n", "different")
-    known = join_hot(contexts, grams.withColumn("different", F.col("__n")), ["gram"], F.col("context"))
-    wanted = settle(known.groupBy("one.doc_id", "one.th").agg(F.collect_list(spots).alias("spots")))
+    spot = F.struct("doc_id", "th", "anchor", "back", "more")
+    contexts = settle(found.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(spot).alias("one"), F.max(spot).alias("other")))
+    #: suffixes of a run: two of a context that occurs several times
+    grams = settle(contexts.groupBy("gram").agg(F.count("*").alias("__n"), F.sum(F.least("n", F.lit(2))).alias("different")))
+    known = join_hot(contexts, grams, ["gram"], F.col("context"))
+    each = F.when(F.col("n") > 1, F.array("one", "other")).otherwise(F.array("one"))
+    known = known.select("gram", "context", "n", "different", F.posexplode(each).alias("copy", "at"))
+    spots = F.struct("gram", "context", "at.anchor", "at.back", "at.more", "n", "different", "copy")
+    wanted = settle(known.groupBy("at.doc_id", "at.th").agg(F.collect_list(spots).alias("spots")))
     discard(contexts, grams)
     w = wanted.alias("w")
     near = rows.alias("d").join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))).select("d.text", "w.spots")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One copy of each context; of a suffix that is alone in its run the lead is enough."""
+        """The bytes under the windows of each spot."""
         for batch in (part for whole in batches for part in slices(whole, "text")):
             texts, spots = batch.column("text").to_pylist(), batch.column("spots")
             inner, ends = spots.flatten(), np.cumsum(spots.value_lengths().to_numpy()).tolist()
-            gram, context, anchor, back, more, n, different = (inner.field(i).to_pylist() for i in range(7))
+            gram, context, anchor, back, more, n, different, copy = (inner.field(i).to_pylist() for i in range(8))
             lead, piece, j = [], [], 0
             for text, end in zip(texts, ends, strict=True):
                 data = text.encode()
                 for i in range(j, end):
                     lead.append(data[anchor[i] : anchor[i] + k])
-                    piece.append(data[anchor[i] - back[i] : anchor[i] - back[i] + more[i] + length] if different[i] > 1 else b"")
+                    piece.append(data[anchor[i] - back[i] : anchor[i] - back[i] + more[i] + length])
                 j = end
             if lead:
-                columns = [gram, context, lead, piece, back, back, [0] * len(lead), more, n]
+                columns = [gram, context, lead, piece, back, back, [0] * len(lead), more, n, copy]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)), pa.array(different, pa.int64())], names=[*_NAMES, "different"])
 
     pieces = settle(near.mapInArrow(cut, _PIECE + ", different long"))
@@ -233,13 +239,13 @@ def repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> D
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
-                for gram, context, _, piece, _, back, skip, more, n in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
+                for gram, context, _, piece, _, back, skip, more, n, copy in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
                     for j in range((back - more) // width, back // width + 1):
                         first, last = back - min(back, (j + 1) * width - 1), back - max(back - more, j * width)
                         some, own = piece[first : last + length], back - first
                         lead = some[own - j * width : own - j * width + length - width + 1]
                         name = hashlib.blake2b(lead, digest_size=16).digest()
-                        out.append((gram, context, lead, some, own - j * width, own, skip + first, last - first, n, int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)))
+                        out.append((gram, context, lead, some, own - j * width, own, skip + first, last - first, n, copy, int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True)))
                 if out:
                     kinds = [*_KINDS, pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*_NAMES, "core", "core2"])
@@ -263,11 +269,11 @@ def repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> D
             #: the lead is the window: its run has only equal strings
             again = split.groupBy(*names).agg(F.count("*").alias("__n"), F.min("context").alias("lo"), F.max("context").alias("hi"), F.max("n").alias("most"))
             again = settle(again.where((F.col("lo") < F.col("hi")) | (F.col("most") > 1)).select(*names, "__n"))
-            whole = join_hot(split.drop("lead", "piece"), again, names, where, "left_semi").select("gram", "context", "n", F.array(F.struct(F.col("skip").alias("first"), F.col("skip").alias("last"))).alias("runs"))
+            whole = join_hot(split.where("copy = 0").drop("lead", "piece"), again, names, where, "left_semi").select("gram", "context", "n", F.array(F.struct(F.col("skip").alias("first"), F.col("skip").alias("last"))).alias("runs"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list[tuple]) -> pa.RecordBatch | None:
-            lead, context, skip, gram, piece, at, more, n = zip(*held, strict=True)
+            lead, context, skip, copy, gram, piece, at, more, n = zip(*held, strict=True)
             run = np.cumsum([0, *(a != b for a, b in zip(lead[1:], lead[:-1], strict=True))])
             several = np.flatnonzero(np.bincount(run)[run] > 1)
             data = np.frombuffer(b"".join(piece), np.uint8)
@@ -278,9 +284,7 @@ def repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> D
             found = dict(zip(several.tolist(), windows, strict=True))
             out = []
             for i in range(len(held)):
-                if n[i] > 1:
-                    out.append((gram[i], context[i], n[i], [{"first": skip[i], "last": skip[i] + more[i]}]))
-                elif i in found and len(found[i]):
+                if copy[i] == 0 and i in found and len(found[i]):
                     a, b = _runs(found[i])
                     out.append((gram[i], context[i], n[i], [{"first": int(x) + skip[i], "last": int(y) + skip[i]} for x, y in zip(a, b, strict=True)]))
             if not out:
@@ -290,8 +294,8 @@ def repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> D
 
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "context", "skip", "gram", "piece", "at", "more", "n")), strict=True):
-                if held and row[:3] == held[-1][:3]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "context", "skip", "copy", "gram", "piece", "at", "more", "n")), strict=True):
+                if held and row[:4] == held[-1][:4]:
                     continue  # repeated rows of one document gave the same suffix
                 if len(held) >= SORTED and row[0] != held[-1][0]:
                     if (b := solve(held)) is not None:
@@ -301,7 +305,7 @@ def repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> D
         if held and (b := solve(held)) is not None:
             yield b
 
-    ordered = ready.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lead").sortWithinPartitions("lead", "context", "skip")
+    ordered = ready.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lead").sortWithinPartitions("lead", "context", "skip", "copy")
     spans_of = settle(ordered.mapInArrow(sort, spans))
     #: a row a context, however many runs its windows were dealt to, so that the join gives a row an occurrence
     all_of = spans_of if whole is None else spans_of.unionByName(whole)

@@ -99,3 +99,20 @@ def test_very_long_text(docs_of):
     texts = [long, "x" + long[500_000:500_300] + "y", long[:5000] + long[-5000:]]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in dedup_substrings(docs_of(texts)).collect()}
     assert got == {0: (1_200_000, 10_300, 3), 1: (302, 300, 1), 2: (10_000, 10_000, 1)}
+
+
+def test_copies_are_found_by_sorting_too(docs_of, corpus, monkeypatch):
+    """Without the sorted runs nothing is found, exact copies and repeated rows neither: hashes decide nothing alone."""
+    texts = ["".join(chr(97 + (i * i + 7 * i // 3) % 26) for i in range(600))] * 3 + corpus[:5]
+    assert sum(r["n_removed"] for r in dedup_substrings(docs_of(texts)).collect()) >= 1800
+    import sparkloom.llm.substrings as module
+
+    #: tasks take the module by value, as it is here
+    monkeypatch.setattr(module, "repeated_windows", lambda data, begin, *a: [np.zeros(0, np.int64)] * len(begin))
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        assert sum(r["n_removed"] for r in dedup_substrings(docs_of(texts)).collect()) == 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
