@@ -6,12 +6,13 @@ unless a rule with a subset of its tokens is as confident. A rule is posted unde
 up its own tokens there, and a rule fires if the URL has all of its tokens. A rule given by hand goes before.
 
 Defined results: a null url, or one without `://`, has an empty host and path, no tokens and is allowed; repeated rows
-are judged alike; labels without a URL are left out; without labels nothing is mined and all is allowed but by hand; of
+are judged alike; labels without a URL are left out, so are those of pages without a page_id, which are judged like others; without labels nothing is mined and all is allowed but by hand; of
 several rules that fire the most confident is named, of those the last by its tokens; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -56,16 +57,32 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     """url, bad -> rules (tokens, confidence, support), no rule with a subset that is as confident. A rule is right about
     `support` of the labelled URLs and about `least` of them.
 
-    Support bounds the number of frequent tokens: with n tokens a URL on average, n / support. Sets of them are not bounded
-    by length: k frequent tokens that stand together in enough URLs make 2^k sets.
+    Support bounds the number of frequent tokens: with n tokens a URL on average, n / support. Of a host's suffixes the
+    longest in a set implies the others, which say nothing more, so sets hold one suffix at most: sets without a host are
+    mined on the other tokens, those with one on a copy of the URL for each suffix. What is left is not bounded by length: k
+    frequent tokens of different kinds that stand together in enough URLs make 2^k sets.
     """
-    items = labelled.select(F.when(F.col("bad"), F.array_append(tokens_of(F.col("url")), F.lit(BLOCK))).otherwise(tokens_of(F.col("url"))).alias("items"))
-    n = items.count()
-    if n < least or not n:
-        return items.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
-    #: half a URL less than `least`, so that rounding can't ask for one more
-    model = FPGrowth(itemsCol="items", minSupport=max(support, (least - 0.5) / n), minConfidence=confidence).fit(items)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.col("lift") >= lift)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    host = lambda t: t.startswith("h:")
+    marked = labelled.select("bad", tokens_of(F.col("url")).alias("tokens"))
+    n, n_bad = marked.agg(F.count("*"), F.count_if("bad")).head()
+    none = labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
+    if n < least or not n_bad:
+        return none
+    mark = F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
+    others = F.concat(F.filter("tokens", lambda t: ~host(t)), mark)
+    need = max(math.ceil(support * n - 1e-9), least, 1)
+
+    def mined(items: DataFrame, with_host: bool) -> DataFrame:
+        total = items.count()
+        if total < need:
+            return none
+        #: half a URL less, so that rounding can't ask for one more
+        model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / total, minConfidence=confidence).fit(items)
+        fits = (F.element_at("consequent", 1) == BLOCK) & (F.col("confidence") * n >= lift * n_bad) & (F.exists("antecedent", host) == F.lit(with_host))
+        return model.associationRules.where(fits).select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * (total / n)).alias("support"))
+
+    each = marked.select(others.alias("others"), F.explode(F.filter("tokens", host)).alias("h"))
+    rules = mined(marked.select(others.alias("items")), False).unionByName(mined(each.select(F.array_append("others", F.col("h")).alias("items")), True))
     smaller = rules.select(F.col("tokens").alias("t"), F.col("confidence").alias("c"))
     #: rules share a token with each of their subsets: an equi-join on it
     pairs = rules.select("tokens", "confidence", F.explode("tokens").alias("k")).join(smaller.select("t", "c", F.explode("t").alias("k")), "k")

@@ -88,3 +88,15 @@ def test_few_labels_are_no_evidence_and_ties_have_one_answer(spark):
     assert len(out) == 28 and {(r["page_id"] % 2, r["verdict"], r["mined_rule"]) for r in out} == {(0, "allow", None), (1, "block", "h:ad.site")}
     long = spark.createDataFrame([(1, "http://ad.site/" + "x/" * 100_000)], "page_id long, url string")
     assert [r["verdict"] for r in filter_urls(long, rules).collect()] == ["block"]
+
+
+def test_many_labels_of_a_host_and_pages_without_a_number(spark):
+    """Twenty suffixes of one host always stand together: they make 20 sets, not a million, and the rule is one of them."""
+    deep = ".".join(f"l{i}" for i in range(20)) + ".site"
+    rows = [(i if i else None, f"http://{deep if i % 3 == 0 else 'ok.site'}/x") for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i if i else None, 0 if i % 3 == 0 else 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    rules = mine_rules(labelled_urls(pages, labels)).collect()
+    assert {len(r["tokens"]) for r in rules} == {1} and {r["confidence"] for r in rules} == {1.0} and len(rules) == 20
+    out = filter_urls(pages, mine_rules(labelled_urls(pages, labels))).collect()
+    assert len(out) == 90 and all((r["verdict"] == "block") == (deep in r["host"]) for r in out) and any(r["page_id"] is None and r["verdict"] == "block" for r in out)
