@@ -60,6 +60,7 @@ def simple_summary(documents: DataFrame, features: DataFrame, chunks: DataFrame,
     about = F.contains(F.lower("kind"), F.lit("migration")) | F.exists("topics", lambda t: F.contains(F.lower(t), F.lit("migration")))
     audience = F.when(about, "developers").when(F.col("epas") > F.col("oracle"), "dbas").otherwise("developers")
     purposes = F.create_map(*(F.lit(x) for pair in PURPOSES.items() for x in pair))
+    #: the words of the sentence are fixed values
     what = F.when(F.size("types") > 0, F.array_join("types", ", ")).otherwise("content")
     oracle = F.when(F.col("oracle") > 0, F.concat(F.lit("with "), F.col("oracle").cast("string"), F.lit(" Oracle-specific constructs")))
     epas = F.when(F.col("epas") > 0, F.concat(F.when(F.col("oracle") > 0, "and ").otherwise("with "), F.col("epas").cast("string"), F.lit(" EPAS features")))
