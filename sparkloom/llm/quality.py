@@ -7,8 +7,8 @@ and its size is fixed; everything is scored.
 
 Defined results: null or empty texts have only the bins of an empty text and get a score all the same; labels without a
 document or without a mark are left out, of several marks of one document the lowest counts, of several texts under one
-doc_id the least is learned from; repeated rows score alike; labels without a doc_id teach nothing;
-without any label every score is 0.5; other columns are ignored. Neither labels nor lang, source or doc_id are inputs.
+doc_id the least is learned from; repeated rows score alike; labels without a doc_id teach nothing; whether a
+row without a doc_id is held out is null; without any label every score is 0.5; other columns are ignored. Neither labels nor lang, source or doc_id are inputs.
 """
 
 from __future__ import annotations

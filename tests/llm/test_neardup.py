@@ -143,3 +143,13 @@ def test_two_texts_under_one_id_have_links_of_their_own(docs_of):
     x, y = (" ".join(f"{k}{w}" for w in words) for k in "xy")
     got = near_duplicates(docs_of([x, y, x + " z", y + " z"], ids=[1, 1, 2, 3])).collect()
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 1, False), (3, 1, False)}
+
+
+def test_components_of_a_large_star_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    star = spark.range(1, 100_001).select((F.col("id") + 5).alias("a"), F.lit(3).cast("long").alias("b"))
+    path = spark.range(100).select((F.col("id") + 1_000_000).alias("a"), (F.col("id") + 1_000_001).alias("b"))
+    edges = star.union(path).withColumns({c: F.lit("x") for c in ("u", "v", "m", "e", "node", "component")})
+    found = connected_components(edges)
+    assert {(r["component"], r["count"]) for r in found.groupBy("component").count().collect()} == {(3, 100_001), (1_000_000, 101)}

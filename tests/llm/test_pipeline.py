@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_neardup import brute as near
 from test_decontamination import brute as leaks
 from test_substrings import brute as repeats
@@ -41,3 +42,25 @@ def test_near_dedup_keeps_null_ids_and_one_of_repeated_rows(spark, docs_of):
     assert out.columns == corpus_pipeline.COLUMNS
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     assert got == sorted([(None, "clean text"), (None, None), (None, "other text"), (4, "again"), (8, long)], key=str)
+
+
+def tables(spark, path, docs, labels=(), bench=()):
+    clash = {c: F.lit("x") for c in ("score", "kept", "size", "th", "n", "gram", "runs", "item", "taken", "component_id")}
+    docs.withColumns(clash).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").withColumns({"text": F.lit("x"), "score": F.lit(1)}).write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(bench), "item_id long, text string").withColumns({"words": F.lit("x"), "doc_id": F.lit(1)}).write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_empty_documents(spark, tmp_path, docs_of):
+    path = tables(spark, str(tmp_path), docs_of([]).select(*corpus_pipeline.COLUMNS), [(1, 1, 0)], [(1, "a b c")])
+    out = corpus_pipeline.run(spark, path)
+    assert out.count() == 0 and out.columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_very_long_texts_and_clashing_names(spark, tmp_path, docs_of):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    texts = [long, long + " end", "short and clean text", None, "leak " + " ".join(f"b{i}" for i in range(12))]
+    path = tables(spark, str(tmp_path), docs_of(texts).select(*corpus_pipeline.COLUMNS), bench=[(7, " ".join(f"b{i}" for i in range(12)))])
+    out = {r["doc_id"]: r["size"] for r in corpus_pipeline.run(spark, path).collect()}
+    assert out == {0: 60_000, 2: 4, 3: 0}
