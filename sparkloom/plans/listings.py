@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from sparkloom.functions import text as t
 from sparkloom.operators import fulltext as ft
 from sparkloom.operators import claims, graph, incremental, listings, ranking, reports, rules
 from sparkloom.plans.stand_ins import COMPONENTS, FILES, PATCHES, REFERENCES, SCRIPTS, SOURCES, duck, frame
-from sparkloom.registry import query, sql
-from sparkloom.session import table
+from sparkloom.registry import ORACLES, query, sql
+from sparkloom.session import shared_path, table
 from sparkloom.sources import code, extract, files
 from sparkloom.streaming import queue
+from sparkloom.streaming.sink import KeyedTable
 
 _F, _S, _SQL = duck(FILES), duck(SOURCES), duck(SCRIPTS)
 _LANG = "CASE regexp_extract(path, '([.][a-z]+)$', 1) WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.tsx' THEN 'typescript' WHEN '.go' THEN 'go' WHEN '.java' THEN 'java' WHEN '.h' THEN 'c' WHEN '.sql' THEN 'sql' END"
@@ -222,6 +224,17 @@ def patch_sync(spark, sf_dir):
 
 
 #: Statements of each dialect, two marks and more in each, with a tie and single marks among them.
+@query("A19_keyed_table", ORACLES["A19_upsert_last_wins"])
+def keyed_table(spark, sf_dir):
+    """The same two change sets, written to a keyed table one after the other and read back."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id", F.lit("upsert").alias("op"))
+    kinds = dict(events.dtypes)
+    kept = KeyedTable(spark, shared_path(spark, f"keyed-{uuid.uuid4().hex}"), ", ".join(f"{c} {kinds[c]}" for c in ("user_id", "event_type", "value")), ["user_id", "event_type"], 8)
+    for rest in (1, 0):
+        kept.apply(events.where(F.col("event_id") % 3 == rest), [F.desc("ts"), F.desc("event_id")])
+    return kept.read()
+
+
 _DIALECTS = """CASE o_orderkey % 8 WHEN 0 THEN 'SELECT NVL(a, 0), NVL2(b, 1, 2) FROM t' WHEN 1 THEN 'SELECT TOP 5 * FROM t WITH (NOLOCK)' || chr(10) || 'GO' WHEN 2 THEN 'CREATE TABLE `t` (id TINYINT AUTO_INCREMENT) ENGINE=InnoDB' WHEN 3 THEN 'SELECT seq.CURRVAL, SYSTIMESTAMP FROM x'
 WHEN 4 THEN 'DECLARE [@a] NVARCHAR' WHEN 5 THEN 'f RETURN x IS' || chr(10) || '/' WHEN 6 THEN 'SELECT TOP 5 x FROM t WITH (NOLOCK) WHERE ROWNUM < 3 AND NVL(a, 1) = 1' ELSE 'SELECT SYSDATE' END"""
 
