@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from sparkloom.plans import listings, pipelines, relational, retrieval, searches, sources, texts  # noqa: F401
+from sparkloom.plans import kept, listings, pipelines, relational, retrieval, searches, sources, texts  # noqa: F401
