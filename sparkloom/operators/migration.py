@@ -128,6 +128,11 @@ def _hit(kind: str, mark: str, text: Column) -> Column:
     return F.contains(F.lower(text), F.lit(mark.lower())) & found if kind == "drivers" else found
 
 
+def _shown(found: str, kind: str) -> Column:
+    _, label, most = POINTS[kind]
+    return F.transform(F.slice(F.filter(found, lambda x: x["kind"] == kind), 1, most), lambda x: F.concat(F.lit(label), x["what"]))
+
+
 def detect(chunks: DataFrame, files: DataFrame, detection: dict = DETECTION, repo: str = "repo", text: str = "content", path: str = "path") -> DataFrame:
     """repo, db, score, confidence (a fiftieth of the score, 1 at most), evidence: a driver found counts 10, a connection 8, a
     word of the dialect 5, a file with an ending of the database 15 (of each ending the first five by path)."""
@@ -143,7 +148,7 @@ def detect(chunks: DataFrame, files: DataFrame, detection: dict = DETECTION, rep
     points = F.create_map(*(F.lit(x) for k in kinds for x in (k, POINTS[k][0])))
     #: a few dozen marks a repository at most
     each = all_.groupBy("repo", "db").agg(F.sum(points[F.col("kind")]).alias("score"), F.array_sort(F.collect_list(F.struct("kind", "at", "what"))).alias("m"))
-    shown = F.flatten(F.array(*(F.transform(F.slice(F.filter("m", lambda x, k=k: x["kind"] == k), 1, POINTS[k][2]), lambda x, k=k: F.concat(F.lit(POINTS[k][1]), x["what"])) for k in kinds)))
+    shown = F.flatten(F.array(*(_shown("m", k) for k in kinds)))
     return each.select("repo", "db", "score", F.least(F.lit(1.0), F.col("score") / 50).alias("confidence"), shown.alias("evidence"))
 
 
@@ -175,3 +180,29 @@ def score(found: DataFrame) -> DataFrame:
     one = weight_of(SEVERITY, F.col("severity"), 0.0) * weight_of(CATEGORY, F.col("category"), 1.0) * F.least(F.col("n") / 10, F.lit(2.0))
     whole = F.least(F.lit(100), F.floor(F.round(F.sum(one), 6))).cast("int")
     return found.groupBy("repo").agg(whole.alias("score")).withColumn("tier", tier(F.col("score")))
+
+
+#: Order of severities and closing sentences of a summary by tier; fixed values.
+ORDER = ("critical", "high", "medium", "low", "info")
+CLOSING = {
+    "low": "Straightforward migration with mostly mechanical changes.",
+    "medium": "Moderate complexity requiring careful planning and testing.",
+    "high": "Significant refactoring needed across multiple areas.",
+    "extreme": "Major undertaking requiring substantial architecture changes.",
+}
+
+
+def blockers(found: DataFrame, most: int = 10) -> DataFrame:
+    """repo, place, rule, title, severity, category, n: the gravest findings of a repository, then those with the most evidence."""
+    grade = F.array_position(F.array(*map(F.lit, ORDER)), F.col("severity"))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(grade, F.desc("n"), "rule"))
+    return found.withColumn("place", place).where(F.col("place") <= most).select("repo", "place", "rule", "title", "severity", "category", "n")
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """repo, score, tier, summary: one paragraph a repository with findings."""
+    count = found.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
+    closing = F.create_map(*(F.lit(x) for kv in CLOSING.items() for x in kv))[F.col("tier")]
+    text = F.format_string("Migration complexity: %s (score: %d/100). Found %d issues: %d critical, %d high severity. %s", F.upper("tier"), "score", "n", "critical", "high", closing)
+    both = score(found).alias("s").join(count.alias("c"), F.col("s.repo").eqNullSafe(F.col("c.repo")))
+    return both.select("s.repo", "score", "tier", text.alias("summary"))

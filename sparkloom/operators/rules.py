@@ -123,7 +123,7 @@ class MigrationRule(NamedTuple):
     pattern: str
 
 
-#: Weights of a finding; fixed values.
+#: Weights of a finding by our own rules (those of the whole rule set are in `migration`).
 SEVERITY = {"critical": 20.0, "high": 10.0, "medium": 5.0, "low": 2.0, "info": 0.0}
 CATEGORY = {"procedures": 1.5, "sql_dialect": 1.2, "drivers": 1.0, "schema": 1.3}
 #: Upper bounds of the tiers.
