@@ -2,7 +2,8 @@
 
 Patterns are written for the dialect of the fixed tables below, in which they are searched without regard to case, `.` meets
 line ends, `\\y` is the border of a word and `^` and `$` are the ends of the text; `ported` writes them for Spark. All of them
-run in one pass over the texts: each is a literal, so that it is compiled once.
+run in one pass over the texts: each is a literal, so that it is compiled once, and stands behind a plain search of the
+lower-cased text for the words that it needs, so that most texts meet few patterns.
 
 Defined results: null texts and paths match nothing; a null repository is one like others; repositories without any mark have
 no row; of equal scores the database first by name is taken.
@@ -12,12 +13,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.grams import regex_needs
 from sparkloom.operators.rules import tier, weight_of
+from sparkloom.session import settle
 
 
 class Rule(NamedTuple):
@@ -122,10 +126,30 @@ def marks(detection: dict = DETECTION) -> list[tuple[str, str, int, str]]:
     return [(db, kind, i, m) for db, kinds in detection.items() for kind, ms in kinds.items() if kind != "file_extensions" for i, m in enumerate(ms)]
 
 
-def _hit(kind: str, mark: str, text: Column) -> Column:
-    found = text.rlike(mark_pattern(kind, mark))
-    #: the driver's name first: behind each import the search would run to the end of the text
-    return F.contains(F.lower(text), F.lit(mark.lower())) & found if kind == "drivers" else found
+def found_in(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a ported pattern is found in a text; `low` is the text in lower case. The longest words it needs come first."""
+    needs = sorted(regex_needs(pattern), key=lambda some: -min(map(len, some)))
+    gates = [reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in sorted(some))) for some in needs]
+    return reduce(Column.__and__, [*gates, text.rlike(pattern)])
+
+
+_SPOT = "struct<db string, kind string, at int, what string>"
+
+
+def _spot(db: str, kind: str, at: int, what: Column) -> Column:
+    return F.struct(F.lit(db).alias("db"), F.lit(kind).alias("kind"), F.lit(at).alias("at"), what.alias("what")).cast(_SPOT)
+
+
+def _marks_in(text: Column, low: Column, detection: dict) -> Column:
+    return F.array_compact(F.array(*(F.when(found_in(text, low, mark_pattern(kind, m)), _spot(db, kind, i, F.lit(m))) for db, kind, i, m in marks(detection))))
+
+
+def _rules_in(text: Column, low: Column, rules: Sequence[Rule]) -> Column:
+    return F.array_compact(F.array(*(F.when(found_in(text, low, ported(r.pattern)), F.struct(F.lit(i).alias("at"), F.lit(r.source_db).alias("own"))) for i, r in enumerate(rules))))
+
+
+def _excerpt(text: Column) -> Column:
+    return F.substring(F.array_join(F.slice(F.split(text, "\n"), 1, 5), "\n"), 1, 500)
 
 
 def _shown(found: str, kind: str) -> Column:
@@ -136,11 +160,14 @@ def _shown(found: str, kind: str) -> Column:
 def detect(chunks: DataFrame, files: DataFrame, detection: dict = DETECTION, repo: str = "repo", text: str = "content", path: str = "path") -> DataFrame:
     """repo, db, score, confidence (a fiftieth of the score, 1 at most), evidence: a driver found counts 10, a connection 8, a
     word of the dialect 5, a file with an ending of the database 15 (of each ending the first five by path)."""
-    spot = "struct<db string, kind string, at int, what string>"
-    found = F.array(*(F.when(_hit(kind, m, F.col(text)), F.struct(F.lit(db).alias("db"), F.lit(kind).alias("kind"), F.lit(i).alias("at"), F.lit(m).alias("what")).cast(spot)) for db, kind, i, m in marks(detection)))
-    seen = chunks.select(F.col(repo).alias("repo"), F.explode(F.array_compact(found)).alias("m")).select("repo", "m.*").distinct()
+    low = chunks.select(F.col(repo).alias("repo"), F.col(text).alias("content"), F.lower(text).alias("low"))
+    return _detected(low.select("repo", F.explode(_marks_in(F.col("content"), F.col("low"), detection)).alias("m")), files, detection, repo, path)
+
+
+def _detected(spots: DataFrame, files: DataFrame, detection: dict, repo: str, path: str) -> DataFrame:
+    seen = spots.select("repo", "m.*").distinct()
     ends = [(db, i, e) for db, kinds in detection.items() for i, e in enumerate(kinds.get("file_extensions", ()))]
-    own = F.array(*(F.when(F.endswith(F.col(path), F.lit(e)), F.struct(F.lit(db).alias("db"), F.lit("file_extensions").alias("kind"), F.lit(i).alias("at"), F.col(path).alias("what")).cast(spot)) for db, i, e in ends))
+    own = F.array(*(F.when(F.endswith(F.col(path), F.lit(e)), _spot(db, "file_extensions", i, F.col(path))) for db, i, e in ends))
     of_files = files.select(F.col(repo).alias("repo"), F.explode(F.array_compact(own)).alias("m")).select("repo", "m.*").distinct()
     first = F.row_number().over(Window.partitionBy("repo", "db", "at").orderBy("what"))
     all_ = seen.unionByName(of_files.withColumn("n", first).where(F.col("n") <= FILES).drop("n"))
@@ -161,9 +188,13 @@ def findings(chunks: DataFrame, databases: DataFrame, rules: Sequence[Rule] = RU
     """repo, id, path, content of chunks and repo, db -> repo, rule, source_db, category, severity, title, n (evidence, at most
     k), evidence (id, path, excerpt; by id): the rules for all databases and those of the repository's own. Repositories
     without a database meet the rules for all. The excerpt is five lines, 500 characters at most."""
-    hit = F.array_compact(F.array(*(F.when(F.col("content").rlike(ported(r.pattern)), F.struct(F.lit(i).alias("at"), F.lit(r.source_db).alias("own"))) for i, r in enumerate(rules))))
-    excerpt = F.substring(F.array_join(F.slice(F.split("content", "\n"), 1, 5), "\n"), 1, 500)
-    each = chunks.select("repo", key, "path", F.explode(hit).alias("r"), excerpt.alias("excerpt")).select("repo", key, "path", "excerpt", "r.*")
+    low = chunks.select("repo", key, "path", "content", F.lower("content").alias("low"))
+    each = low.select("repo", key, "path", F.explode(_rules_in(F.col("content"), F.col("low"), rules)).alias("r"), _excerpt(F.col("content")).alias("excerpt"))
+    return _findings(each, databases, rules, k, key)
+
+
+def _findings(hits: DataFrame, databases: DataFrame, rules: Sequence[Rule], k: int, key: str) -> DataFrame:
+    each = hits.select("repo", key, "path", "excerpt", "r.*")
     used = F.broadcast(databases.select(F.col("repo").alias("__repo"), "db"))
     each = each.join(used, F.col("repo").eqNullSafe(F.col("__repo")), "left").where((F.col("own") == "") | (F.col("own") == F.col("db")))
     w = Window.partitionBy("repo", "at").orderBy(key, "path")
@@ -175,6 +206,20 @@ def findings(chunks: DataFrame, databases: DataFrame, rules: Sequence[Rule] = RU
     return named.select("repo", "w.rule", own.alias("source_db"), "w.category", "w.severity", "w.title", "n", "evidence")
 
 
+def assess(chunks: DataFrame, files: DataFrame, detection: dict = DETECTION, rules: Sequence[Rule] = RULE_SET, k: int = 50, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """What `detect` gives, and the findings for each repository's likeliest database. The texts are read once: marks and rules
+    found in them are settled, without the texts."""
+    low = chunks.select("repo", key, "path", "content", F.lower("content").alias("low"))
+    text = (F.col("content"), F.col("low"))
+    hits = F.transform(_rules_in(*text, rules), lambda r: F.struct(r["own"].alias("db"), F.lit("rule").alias("kind"), r["at"].alias("at"), F.lit("").alias("what")).cast(_SPOT))
+    #: one array is exploded, as a filter by two would work both out again
+    seen = low.select("repo", key, "path", _excerpt(F.col("content")).alias("excerpt"), F.explode(F.concat(_marks_in(*text, detection), hits)).alias("m"))
+    seen = settle(seen)
+    detected = _detected(seen.where("m.kind <> 'rule'").select("repo", "m"), files, detection, "repo", "path")
+    ruled = seen.where("m.kind = 'rule'").select("repo", key, "path", "excerpt", F.struct("m.at", F.col("m.db").alias("own")).alias("r"))
+    return detected, _findings(ruled, likeliest(detected), rules, k, key)
+
+
 def score(found: DataFrame) -> DataFrame:
     """repo, score, tier: severity times category times a tenth of the evidence (2 at most), summed; whole, 100 at most."""
     one = weight_of(SEVERITY, F.col("severity"), 0.0) * weight_of(CATEGORY, F.col("category"), 1.0) * F.least(F.col("n") / 10, F.lit(2.0))

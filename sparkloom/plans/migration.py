@@ -54,7 +54,7 @@ _TIERED = f"SELECT *, CASE WHEN score <= 25 THEN 'low' WHEN score <= 50 THEN 'me
 
 def _found(spark, sf_dir):
     code = _code(spark, sf_dir)
-    return m.findings(code, m.likeliest(m.detect(code, code)))
+    return m.assess(code, code)[1]
 
 
 @query("J10_source_databases", _DETECTED)
@@ -65,8 +65,9 @@ def source_databases(spark, sf_dir):
 
 @query("C10_rule_set_by_chunks", f"SELECT h.id, v.rule FROM (SELECT id, unnest({_FILTER.format(_RULED)}) AS hit FROM {_C} c) h JOIN {_TABLE} ON v.at_ = h.hit")
 def rule_set_by_chunks(spark, sf_dir):
-    hit = F.array_compact(F.array(*(F.when(F.col("content").rlike(m.ported(r.pattern)), r.id) for r in m.RULE_SET)))
-    return _code(spark, sf_dir).select("id", F.explode(hit).alias("rule"))
+    low = _code(spark, sf_dir).select("id", "content", F.lower("content").alias("low"))
+    hit = F.array_compact(F.array(*(F.when(m.found_in(F.col("content"), F.col("low"), m.ported(r.pattern)), r.id) for r in m.RULE_SET)))
+    return low.select("id", F.explode(hit).alias("rule"))
 
 
 @query("J12_rule_set_findings", _FOUND)

@@ -64,5 +64,8 @@ def test_score_by_hand(spark):
     #: 50 * 1.5 * 0.5 and 15 * 1.0 * 0.1
     assert [tuple(x) for x in m.score(found).collect()] == [("a", 39, "medium")]
     assert m.summary(found).collect()[0]["summary"].startswith("Migration complexity: MEDIUM (score: 39/100). Found 2 issues: 1 critical, 0 high severity. Moderate")
+    both = m.assess(code, code)
+    assert sorted(map(str, both[1].collect())) == sorted(map(str, found.collect()))
+    assert sorted(map(str, both[0].collect())) == sorted(map(str, m.detect(code, code).collect()))
     empty = code.limit(0)
     assert m.findings(empty, m.likeliest(m.detect(empty, empty))).count() == 0
