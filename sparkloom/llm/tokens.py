@@ -8,7 +8,7 @@ The vocabulary is checked for both properties when it is loaded; where one fails
 The table is a dynamic program over pieces. With byte-pair merges a sequence of pieces is the encoding of its text if
 each two neighbours are that of theirs: a merge across a border would also happen in the two pieces alone. So a prefix
 ends in the one piece that follows the last piece of the prefix before it, and each character costs a few look-ups of
-pairs, whatever the length of the part. Models of another kind are encoded prefix by prefix.
+pairs, whatever the length of the part. Tables of pieces are made once, and those of parts put together from them. Models of another kind are encoded prefix by prefix.
 
 Defined results: null counts as the empty text, which has no tokens; strings of special tokens are ordinary text;
 repeated rows are counted again; other columns are ignored.
@@ -48,6 +48,9 @@ class PrefixCounter:
         self.by_merges = self.by_space and self.by_line and all(self.model.get_score(i).is_integer() for i in range(self.model.vocab_size()))
         self.own: dict[str, list[int]] = {}
         self.follows: dict[tuple[str, str], bool] = {}
+        self.texts = [self.model.id_to_piece(i).replace(MARK, " ") for i in range(self.model.vocab_size())]
+        self.inner: dict[str, list[tuple[int, str, str]]] = {}
+        self.steps: dict[tuple[int, int], tuple[list[int], list[str], bool]] = {}
 
     def _count(self, parts: list[str]) -> list[int]:
         """All parts are encoded in one call, a line break before each: it is a token of its own that nothing joins."""
@@ -113,19 +116,17 @@ class PrefixCounter:
         parts = self.split(text)
         return parts, np.cumsum(self.part_counts(parts))
 
-    def table(self, part: str) -> np.ndarray:
-        """Tokens of every prefix of a part, the empty one first."""
+    def table(self, part: str, n: int | None = None) -> np.ndarray:
+        """Tokens of every prefix of a part, the empty one first; n is the library's count of the whole part."""
         if part in self.tables:
             return self.tables[part]
         if part == "\n" and self.by_line:
             out = np.array([0, 1])
         elif self.by_merges:
-            out = self._chain(part)
+            out = self._settled(part, None, self.part_counts([part])[0] if n is None else n)
         else:
-            out = np.array([0, *(n for i in range(1, len(part) + 1) for n in self._count([part[:i]]))])
+            out = np.array([0, *(k for i in range(1, len(part) + 1) for k in self._count([part[:i]]))])
         if len(part) <= LONG:
-            if len(self.tables) >= MEMORY // 20:
-                self.tables.clear()
             self.tables[part] = out
         return out
 
@@ -133,77 +134,150 @@ class PrefixCounter:
         ids = self.model.encode("\n" + text)
         return ids[ids.index(self.line) + 1 :]
 
-    def _chain(self, part: str) -> np.ndarray:
-        """The table of a part: the last piece of every prefix, by pieces that may follow each other."""
-        own, follows, last, out = self.own, self.follows, [""], np.zeros(len(part) + 1, np.int64)
-        for i in range(1, len(part) + 1):
-            for j in range(max(0, i - self.widest), i):
-                x = part[j:i]
-                if j < i - 1 and x not in self.pieces:
-                    continue
-                if x not in own:
-                    own[x] = self._ids(x)
-                if j < i - 1 and len(own[x]) > 1:
-                    continue
-                if j:
-                    pair = (last[j], x)
-                    if pair not in follows:
-                        if len(follows) >= MEMORY:
-                            follows.clear()
-                        follows[pair] = self._ids(last[j] + x) == own[last[j]] + own[x]
-                    if not follows[pair]:
-                        continue
-                last.append(x)
-                out[i] = out[j] + len(own[x])
-                break
+    def _follow(self, before: str, piece: str) -> bool:
+        """Whether two pieces stay as they are beside each other."""
+        pair = (before, piece)
+        if pair not in self.follows:
+            if len(self.follows) >= MEMORY:
+                self.follows.clear()
+            for x in pair:
+                if x not in self.own:
+                    self.own[x] = self._ids(x)
+            self.follows[pair] = self._ids(before + piece) == self.own[before] + self.own[piece]
+        return self.follows[pair]
+
+    def _composed(self, part: str, ids: list[int]) -> np.ndarray | None:
+        """The table of a part from those of the pieces it is encoded in: inside a piece, a prefix ends in that piece's own
+        prefix, where what that begins with may follow the piece before. None if a piece is no text."""
+        out, last, before, steps = [0], [""], -1, self.steps
+        for n, i in enumerate(ids):
+            step = steps.get((before, i))
+            if step is None:
+                if len(steps) >= MEMORY:
+                    steps.clear()
+                step = steps[before, i] = self._step(before, i)
+            if step[0] == []:
+                return None
+            counts, ends, apart = step
+            if apart:
+                out += [n + x for x in counts] if n else counts
+                last += ends
             else:
-                raise ValueError(f"no piece ends {part[max(0, i - self.widest) : i]!r}")
+                for count, end in zip(counts, ends, strict=True):
+                    if count:
+                        out.append(n + count)
+                        last.append(end)
+                    elif len(out) > len(part):
+                        return None
+                    else:
+                        self._extend(part, out, last)
+            before = i
+        return np.array(out) if len(out) == len(part) + 1 else None
+
+    def _step(self, before: int, i: int) -> tuple[list[int], list[str], bool]:
+        """Tokens and last piece of every prefix of a piece that follows another, 0 tokens where the two can't be taken
+        apart, and whether they always can; empty if a piece is no text."""
+        if self.model.is_byte(i) or self.model.is_unknown(i):
+            return [], [], False
+        piece = self.texts[i]
+        if piece not in self.inner:
+            out, last, firsts = [0], [""], [""]
+            for _ in piece:
+                j = self._extend(piece, out, last)
+                firsts.append(firsts[j] if j else last[-1])
+            self.inner[piece] = list(zip(out[1:], last[1:], firsts[1:], strict=True))
+        counts = [n if before < 0 or self._follow(self.texts[before], first) else 0 for n, _, first in self.inner[piece]]
+        return counts, [end for _, end, _ in self.inner[piece]], all(counts)
+
+    def _new_tables(self, parts: list[str]) -> None:
+        """Tables of parts not met before: the library encodes all of them in one call, a line break before each."""
+        ids = np.asarray(self.model.encode("\n" + "\n".join(parts) + "\n"))
+        ends = np.flatnonzero(ids == self.line)
+        ids = ids.tolist()
+        for p, i, j in zip(parts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            self.tables[p] = self._settled(p, self._composed(p, ids[i + 1 : j]), j - i - 1)
+
+    def _settled(self, part: str, out: np.ndarray | None, n: int) -> np.ndarray:
+        """A table, or if there is none that the library's count of the whole part agrees with, the next way's."""
+        if out is None or out[-1] != n:
+            out = self._chain(part)
+        if out[-1] != n:
+            out = np.array([0, *(k for i in range(1, len(part) + 1) for k in self._count([part[:i]]))])
         return out
 
+    def _extend(self, part: str, out: list[int], last: list[str]) -> int:
+        """Adds the count and the last piece of the next prefix of a part, and tells where that piece begins."""
+        own, i = self.own, len(out)
+        for j in range(max(0, i - self.widest), i):
+            x = part[j:i]
+            if j < i - 1 and x not in self.pieces:
+                continue
+            if x not in own:
+                own[x] = self._ids(x)
+            if j < i - 1 and len(own[x]) > 1:
+                continue
+            if j and not self._follow(last[j], x):
+                continue
+            last.append(x)
+            out.append(out[j] + len(own[x]))
+            return j
+        raise ValueError(f"no piece ends {part[max(0, i - self.widest) : i]!r}")
+
+    def _chain(self, part: str) -> np.ndarray:
+        """The table of a part: the last piece of every prefix, by pieces that may follow each other."""
+        out, last = [0], [""]
+        for _ in part:
+            self._extend(part, out, last)
+        return np.array(out)
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of text[:i] for i from 0 to its length."""
         if not text:
             return np.zeros(1, np.int64)
-        parts, through = self.sums(text)
-        before = np.concatenate([[0], through[:-1]])
-        #: entry i of a part's table is for the prefix that ends after its i-th character
-        out = np.concatenate([[0], *(b + self.table(p)[1:] for p, b in zip(parts, before, strict=True))])
-        out[1] = 0  # the blank put before the text is no prefix of it
-        return out[1:]
+        parts = self.split(text)
+        new = [p for p in dict.fromkeys(parts) if p not in self.tables and len(p) <= LONG and p != "\n"] if self.by_merges else []
+        if len(self.tables) + len(new) > MEMORY // 2:
+            self.tables.clear()
+            new = [p for p in dict.fromkeys(parts) if len(p) <= LONG and p != "\n"]
+        for i in range(0, len(new), 50_000):
+            self._new_tables(new[i : i + 50_000])
+        tables = [t if (t := self.tables.get(p)) is not None else self.table(p) for p in parts]
+        #: entry i of a part's table is for the prefix that ends after its i-th character; what stands before is added
+        ends = np.fromiter((t[-1] for t in tables), np.int64, len(tables))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        inside = np.ones(int(sizes.sum()) + len(parts), bool)
+        inside[np.cumsum(sizes + 1) - sizes - 1] = False
+        out = np.concatenate(tables)[inside] + np.repeat(np.cumsum(ends) - ends, sizes)
+        out[0] = 0  # the blank put before the text is no prefix of it
+        return out
 
     def fit(self, text: str, budget: int) -> int:
         """The longest prefix, in characters, of at most `budget` tokens (as encoded by itself)."""
-        parts, through = self.sums(text)
-        #: the count of a prefix isn't monotone inside a part, so a part's table is searched from its end
-        for k in range(int(np.searchsorted(through, budget, side="right")), -1, -1):
-            if k < len(parts):
-                before = int(through[k - 1]) if k else 0
-                #: a longer prefix can't fit, as no token has more characters than the widest piece
-                some = parts[k][: max(0, budget - before) * self.widest + 1]
-                fits = np.flatnonzero(self.table(some) + before <= budget)
-                if len(fits) and fits[-1] > 0:
-                    return max(0, sum(map(len, parts[:k])) + int(fits[-1]) - 1)
-            elif parts:
-                return len(text)
-        return 0
+        return longest_fit(self.prefix_counts(text), budget)
+
+
+def longest_fit(counts: np.ndarray, budget: int) -> int:
+    """The longest prefix within a budget, read from the counts at every prefix; they aren't monotone inside a part."""
+    fits = np.flatnonzero(counts <= budget)
+    return int(fits[-1]) if len(fits) else 0
 
 
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, prefixes: bool = False) -> DataFrame:
     """doc_id, text -> doc_id, n_bytes, n_tokens, over_limit, fit_chars (the longest prefix within the limit); with
-    `prefixes`, also the count at every prefix. One pass without shuffle."""
+    `prefixes`, also the count at every prefix. All of them are read from that table. One pass without shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(model_file)
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_tokens")}
             for text in (x.as_py() or "" for x in batch.column("text")):
-                _, through = counter.sums(text)
-                n = int(through[-1]) if len(through) else 0
+                counts = counter.prefix_counts(text)
+                n = int(counts[-1])
                 rows["n_bytes"].append(len(text.encode()))
                 rows["n_tokens"].append(n)
                 rows["over_limit"].append(n > limit)
-                rows["fit_chars"].append(counter.fit(text, limit) if n > limit else len(text))
-                rows["prefix_tokens"].append(counter.prefix_counts(text) if prefixes else None)
+                rows["fit_chars"].append(longest_fit(counts, limit) if n > limit else len(text))
+                rows["prefix_tokens"].append(counts if prefixes else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows["n_bytes"], pa.int64()), pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["over_limit"], pa.bool_()), pa.array(rows["fit_chars"], pa.int64()), pa.array(rows["prefix_tokens"], pa.list_(pa.int64()))][: 6 if prefixes else 5], names=["doc_id", *list(rows)[: 5 if prefixes else 4]])
 
     out = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<long>" * prefixes

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from sparkloom.llm.tokens import PrefixCounter, count_tokens
+from sparkloom.llm.tokens import PrefixCounter, count_tokens, longest_fit
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "  ", "a  b ", "\n \n", "</s>[INST] <s>", "x▁ y▁", "🙂\t日本", "a\x00b", " lead", "tail \n"]
@@ -59,3 +59,21 @@ def test_very_long_texts_null_and_repeated_ids(docs_of, model):
     got = count_tokens(docs_of(texts, ids=[None, None, 3, 3, 4]), MODEL).collect()
     want = sorted((i or 0, len(model.encode(x or ""))) for i, x in zip([None, None, 3, 3, 4], texts))
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == want
+
+
+def test_counts_and_fit_come_from_the_table_of_prefixes(model):
+    x = "the quick brown fox jumps\nover it " * 40
+    counter = PrefixCounter(MODEL)
+    counts = counter.prefix_counts(x)
+    want = [len(model.encode(x[:i])) for i in range(len(x) + 1)]
+    counter.model = None  # nothing is encoded again, neither for the whole text nor where it is cut
+    assert list(counter.prefix_counts(x)) == list(counts) == want
+    for budget in (0, 7, 100, 10_000):
+        assert longest_fit(counts, budget) == counter.fit(x, budget) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_a_table_that_the_library_contradicts_is_encoded_anew(model):
+    counter = PrefixCounter(MODEL)
+    counter._composed = lambda part, ids: None
+    counter._chain = lambda part: __import__("numpy").zeros(len(part) + 1, int)
+    assert list(counter.prefix_counts("brown fox")) == [len(model.encode("brown fox"[:i])) for i in range(10)]
