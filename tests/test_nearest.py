@@ -41,3 +41,16 @@ def test_more_asked_than_there_are_and_no_vectors(spark, tmp_path):
     assert vec.nearest_by_cells(spark, index, docs, 40)[0].count() == 4 * 15
     none = vec.write_cells(v.where("false"), str(tmp_path / "none"), 3)
     assert vec.nearest_by_cells(spark, none, docs, 5)[0].count() == 0
+
+
+def test_blocks_score_as_the_expression_does(spark):
+    some = rows(300, 5, 1.0) + [(1000 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(30)] + [(2000, [0.0] * 6), (2001, None), (2002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2003, [1.0] * 5), (2004, [float("nan")] * 6)]
+    v = spark.createDataFrame(some, "id long, vector array<double>")
+    docs, chunks = v.where("id % 7 = 0 OR id >= 2000").withColumnRenamed("id", "doc"), v.withColumnRenamed("id", "chunk")
+    each = docs.withColumnRenamed("vector", "a").crossJoin(chunks.withColumnRenamed("vector", "b")).select("doc", "chunk", vec.cosine(F.col("a"), F.col("b")).alias("score"))
+    want = each.withColumn("r", F.expr("row_number() OVER (PARTITION BY doc ORDER BY score DESC, chunk)")).where("r <= 40").drop("r")
+    for blocks in (None, 5):
+        got = vec.nearest_of_each(docs, chunks, 40, blocks)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    #: pairs are compared in blocks, not as rows of a join
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
