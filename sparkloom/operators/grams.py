@@ -1,7 +1,7 @@
 """Substring and regular-expression search through an index of trigrams.
 
 Texts are lower-cased, and of their UTF-8 bytes every three neighbours are a gram. The index holds, by gram and key, the
-places of the gram (range-partitioned and sorted by gram, frequent grams spread by key), the number of texts of each gram,
+places of the gram (in runs sorted by gram, one for each step of a task over its texts), the number of texts of each gram,
 and the texts themselves in parts by a hash of the key.
 
 A search first works out what a text must hold: for a pattern, sets of literals of which each set has a member in every
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 Needs = list[frozenset[str]]
 #: Bytes of texts that one vectorised step of the build works on; grams of a literal that are looked up, at most.
 STEP_BYTES, LOOKED_UP = 2 << 20, 4
+#: Bytes of a row group of the postings, about a step's.
+GROUP_BYTES = 16 << 20
 
 
 class GramIndex(NamedTuple):
@@ -67,7 +69,7 @@ def _step(data: np.ndarray, starts: np.ndarray, keys: pa.Array) -> pa.RecordBatc
     row = np.repeat(np.arange(len(keys)), np.diff(starts))
     inside = np.flatnonzero(row[2:] == row[:-2]) if len(row) > 2 else np.zeros(0, np.int64)
     gram, row = data[inside] << 16 | data[inside + 1] << 8 | data[inside + 2], row[inside]
-    order = np.lexsort((gram, row))  # stable, so places stay in order
+    order = np.lexsort((row, gram))  # stable, so places stay in order
     gram, row, place = gram[order], row[order], (inside - starts[row])[order]
     first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])]) if len(gram) else np.zeros(0, np.int64)
     places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(gram)].astype(np.int32)), pa.array(place.astype(np.int32)))
@@ -81,9 +83,10 @@ def write_grams(docs: DataFrame, path: str, key: str = "id", text: str = "conten
     lower = rows.select("key", F.lower("text").alias("text"))
     index = GramIndex(path, parts, dict(rows.dtypes)["key"])
     found = lower.mapInArrow(_postings, f"gram int, key {index.key_type}, places array<int>")
-    found.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.mode("overwrite").parquet(f"{path}/postings")
-    index.read(docs.sparkSession, "postings").groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
-    rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part", "key").write.mode("overwrite").partitionBy("part").parquet(f"{path}/texts")
+    #: nothing is shuffled: each task writes its own texts' grams in sorted runs, in small row groups
+    found.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).option("compression", "zstd").parquet(f"{path}/postings")
+    index.read(docs.sparkSession, "postings").groupBy("gram").agg(F.count("*").alias("n")).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
+    rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).repartition("part").write.option("compression", "zstd").mode("overwrite").partitionBy("part").parquet(f"{path}/texts")
     return index
 
 
