@@ -32,8 +32,14 @@ def neighbours_of_each(edges: DataFrame, nodes: DataFrame, k: int = 5) -> DataFr
     """node -> node, side, other: at most k callers and k callees each, in order."""
     out = edges.join(nodes, edges["src"] == nodes["node"]).select("node", F.lit("callee").alias("side"), F.col("dst").alias("other"))
     into = edges.join(nodes, edges["dst"] == nodes["node"]).select("node", F.lit("caller").alias("side"), F.col("src").alias("other"))
-    w = Window.partitionBy("node", "side").orderBy("other")
-    return out.unionByName(into).distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    return _least(out.unionByName(into), ["node", "side"], "other", k)
+
+
+def _least(rows: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
+    """The k least distinct values of each key. Ranks are dense, so repeated rows needn't be made distinct before: each task
+    drops what lies behind its own k least, and only the rest is shuffled."""
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(value))
+    return rows.withColumn("r", rank).where(F.col("r") <= k).drop("r").distinct()
 
 
 def running(size: Column, partition: Sequence[str], order: Sequence, before: bool) -> Column:
@@ -130,16 +136,22 @@ def find_symbol(symbols: DataFrame, name: str | None = None, id_: int | None = N
 def call_flows(edges: DataFrame, entries: DataFrame, depth: int = 2, k: int = 20) -> DataFrame:
     """src, dst; node -> node, callee, depth: for each entry the distinct callees of every depth, the first k by depth and name.
 
-    A callee is given at each depth at which a path reaches it; paths are cut to distinct ends at every step.
+    A callee is given at each depth at which a path reaches it. Depths come in order, so an entry that has its k is done, and
+    one that goes on has fewer than k ends, all of them known; a step needs the k least callees of a caller only.
     """
-    step = entries.select("node", F.col("node").alias("callee")).distinct()
+    few = _least(edges.select("src", "dst"), ["src"], "dst", k)
+    step = entries.select("node", F.col("node").alias("callee")).distinct().withColumn("had", F.lit(0).cast("long"))
     out = None
     for level in range(1, depth + 1):
-        step = step.join(edges, step["callee"] == edges["src"]).select("node", F.col("dst").alias("callee")).distinct()
-        found = step.withColumn("depth", F.lit(level))
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("node").orderBy("depth", "callee")
-    return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+        found = step.join(few, step["callee"] == few["src"]).select("node", "had", F.col("dst").alias("callee"))
+        #: by sums of what came before, an entry's rows are k at most over all levels
+        found = settle(_least(found, ["node", "had"], "callee", k))
+        at = F.row_number().over(Window.partitionBy("node").orderBy("callee"))
+        some = found.withColumn("r", F.col("had") + at).where(F.col("r") <= k).select("node", "callee", F.lit(level).alias("depth"))
+        out = some if out is None else out.unionByName(some)
+        n = found.groupBy("node").agg(F.count("*").alias("n"))
+        step = found.join(n, "node").withColumn("had", F.col("had") + F.col("n")).where(F.col("had") < k).select("node", "callee", "had")
+    return out
 
 
 def first_chunk(chunks: DataFrame, owner: str, line: str = "start_line", tie: str = "id") -> DataFrame:
