@@ -38,3 +38,29 @@ def test_neighbours_are_cut_before_they_are_shuffled(spark):
 def test_each_spelling_is_matched_once(spark, sf_dir):
     plan = listings.sequence_match(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [" in plan.split("MapInPandas")[1]
+
+
+def test_sections_go_out_by_parts_of_a_batch(spark, monkeypatch):
+    import pandas as pd
+
+    from sparkloom.sources import extract
+
+    caught = []
+    docs = spark.createDataFrame([(i, "x" * 600_000) for i in range(6)], "id long, content string")
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, f, schema: caught.append(f))
+    extract.sections_of(docs, lambda x: [("h", 1, "text", x)])
+    frame = pd.DataFrame([(i, "x" * 600_000) for i in range(6)], columns=["id", "content"])
+    parts = list(caught[0](iter([frame])))
+    assert [len(p) for p in parts] == [2, 2, 2] and [k for p in parts for k in p["id"]] == list(range(6))
+
+
+def test_high_similarities_are_looked_for_first(spark, monkeypatch):
+    from sparkloom.operators import similar
+
+    seen, pairs = [], similar.similar_pairs
+    monkeypatch.setattr(similar, "similar_pairs", lambda left, right, least, *names: seen.append((least, left.count())) or pairs(left, right, least, *names))
+    asked = spark.createDataFrame([("supplier alpha",), ("supplier betax",), ("zq",)], "a string")
+    known = spark.createDataFrame([("supplier alpha.",), ("supplier beta",)], "b string")
+    got = {(r["a"], r["b"]) for r in similar.most_similar(asked, known, 0.3).collect()}
+    assert got == {("supplier alpha", "supplier alpha."), ("supplier betax", "supplier beta")}
+    assert seen[0] == (0.9, 3) and seen[-1] == (0.3, 1)
