@@ -8,7 +8,8 @@ The vocabulary is checked for both properties when it is loaded; where one fails
 The table is a dynamic program over pieces. With byte-pair merges a sequence of pieces is the encoding of its text if
 each two neighbours are that of theirs: a merge across a border would also happen in the two pieces alone. So a prefix
 ends in the one piece that follows the last piece of the prefix before it, and each character costs a few look-ups of
-pairs, whatever the length of the part. Tables of pieces are made once, and those of parts put together from them. Models of another kind are encoded prefix by prefix.
+pairs, whatever the length of the part. Tables of pieces after a piece, or two, are made once, and those of texts put together
+from them, for all texts of a step at once. Models of another kind are encoded prefix by prefix.
 
 Defined results: null counts as the empty text, which has no tokens; strings of special tokens are ordinary text;
 repeated rows are counted again; other columns are ignored.
@@ -22,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkloom.llm.common import slices
+
 #: Words that a worker remembers; then it forgets all and starts anew, so that memory is bounded.
 MEMORY = 400_000
 #: Longer parts, in characters, aren't remembered.
@@ -48,9 +51,18 @@ class PrefixCounter:
         self.by_merges = self.by_space and self.by_line and all(self.model.get_score(i).is_integer() for i in range(self.model.vocab_size()))
         self.own: dict[str, list[int]] = {}
         self.follows: dict[tuple[str, str], bool] = {}
-        self.texts = [self.model.id_to_piece(i).replace(MARK, " ") for i in range(self.model.vocab_size())]
+        size = self.model.vocab_size()
+        self.texts = [self.model.id_to_piece(i).replace(MARK, " ") for i in range(size)]
         self.inner: dict[str, list[tuple[int, str, str]]] = {}
-        self.steps: dict[tuple[int, int], tuple[list[int], list[str], bool]] = {}
+        self.steps: dict[int, tuple[np.ndarray, list[str], int]] = {}
+        self.longer: dict[tuple[int, int, int], tuple[np.ndarray, int]] = {}
+        self.latest: tuple[str, np.ndarray] = ("", np.zeros(1, np.int64))
+        #: of each piece its characters (a byte that continues one has none), whether it's a byte, has a blank first, is blank
+        self.odd = np.array([self.model.is_byte(i) or self.model.is_unknown(i) or self.model.is_control(i) for i in range(size)])
+        self.odd[self.line] = False
+        self.width = np.array([int(not 0x80 <= int(x[3:-1], 16) < 0xC0) if self.model.is_byte(i) else len(x) for i, x in enumerate(self.texts)])
+        self.marked = np.array([x.startswith(" ") for x in self.texts])
+        self.blank = np.array([not x.strip(" ") for x in self.texts])
 
     def _count(self, parts: list[str]) -> list[int]:
         """All parts are encoded in one call, a line break before each: it is a token of its own that nothing joins."""
@@ -127,6 +139,8 @@ class PrefixCounter:
         else:
             out = np.array([0, *(k for i in range(1, len(part) + 1) for k in self._count([part[:i]]))])
         if len(part) <= LONG:
+            if len(self.tables) >= MEMORY // 2:
+                self.tables.clear()
             self.tables[part] = out
         return out
 
@@ -146,39 +160,13 @@ class PrefixCounter:
             self.follows[pair] = self._ids(before + piece) == self.own[before] + self.own[piece]
         return self.follows[pair]
 
-    def _composed(self, part: str, ids: list[int]) -> np.ndarray | None:
-        """The table of a part from those of the pieces it is encoded in: inside a piece, a prefix ends in that piece's own
-        prefix, where what that begins with may follow the piece before. None if a piece is no text."""
-        out, last, before, steps = [0], [""], -1, self.steps
-        for n, i in enumerate(ids):
-            step = steps.get((before, i))
-            if step is None:
-                if len(steps) >= MEMORY:
-                    steps.clear()
-                step = steps[before, i] = self._step(before, i)
-            if step[0] == []:
-                return None
-            counts, ends, apart = step
-            if apart:
-                out += [n + x for x in counts] if n else counts
-                last += ends
-            else:
-                for count, end in zip(counts, ends, strict=True):
-                    if count:
-                        out.append(n + count)
-                        last.append(end)
-                    elif len(out) > len(part):
-                        return None
-                    else:
-                        self._extend(part, out, last)
-            before = i
-        return np.array(out) if len(out) == len(part) + 1 else None
-
-    def _step(self, before: int, i: int) -> tuple[list[int], list[str], bool]:
-        """Tokens and last piece of every prefix of a piece that follows another, 0 tokens where the two can't be taken
-        apart, and whether they always can; empty if a piece is no text."""
-        if self.model.is_byte(i) or self.model.is_unknown(i):
-            return [], [], False
+    def _step(self, before: int, i: int) -> tuple[np.ndarray, list[str], int]:
+        """Tokens and last piece of every prefix of a piece that follows another (or -1), 0 tokens where the two can't be taken
+        apart; and 1 if they always can, 0 if not, -1 if no table can be put together from this piece."""
+        if i == self.line:
+            return np.ones(1, np.int64), ["\n"], 1
+        if self.odd[i]:
+            return np.zeros(self.width[i], np.int64), [], -1
         piece = self.texts[i]
         if piece not in self.inner:
             out, last, firsts = [0], [""], [""]
@@ -187,15 +175,88 @@ class PrefixCounter:
                 firsts.append(firsts[j] if j else last[-1])
             self.inner[piece] = list(zip(out[1:], last[1:], firsts[1:], strict=True))
         counts = [n if before < 0 or self._follow(self.texts[before], first) else 0 for n, _, first in self.inner[piece]]
-        return counts, [end for _, end, _ in self.inner[piece]], all(counts)
-
-    def _new_tables(self, parts: list[str]) -> None:
-        """Tables of parts not met before: the library encodes all of them in one call, a line break before each."""
-        ids = np.asarray(self.model.encode("\n" + "\n".join(parts) + "\n"))
-        ends = np.flatnonzero(ids == self.line)
-        ids = ids.tolist()
-        for p, i, j in zip(parts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            self.tables[p] = self._settled(p, self._composed(p, ids[i + 1 : j]), j - i - 1)
+        return np.array(counts, np.int64), [end for _, end, _ in self.inner[piece]], int(all(counts)) if counts[-1] == 1 else -1
+
+    def _known(self, before: int, i: int) -> tuple[np.ndarray, list[str], int]:
+        key = before * len(self.texts) + i
+        step = self.steps.get(key)
+        if step is None:
+            if len(self.steps) >= MEMORY:
+                self.steps.clear()
+            step = self.steps[key] = self._step(before, i)
+        return step
+
+    def _longer_step(self, first: int, before: int, i: int) -> tuple[np.ndarray, int]:
+        """What `_step` leaves open: prefixes that end in a piece which begins inside the piece before. A prefix has one
+        encoding, so the piece found is the one, whatever stands before the three; -1 if it begins further back."""
+        counts, ends, _ = self._known(before, i)
+        before_counts, before_ends, _ = self._known(first, before)
+        text, at, own = self.texts[before] + self.texts[i], len(self.texts[before]), self.own
+        #: tokens of prefixes, less those before piece i, and their last pieces; None if that takes pieces further back
+        out = [-1, *(int(n) - 1 if n else None for n in before_counts)]
+        last = [self.texts[first] if first >= 0 else "", *before_ends]
+        for n, end in zip(counts.tolist(), ends, strict=True):
+            k = len(out)
+            if not n:
+                for j in range(max(0, k - self.widest), k):
+                    x = text[j:k]
+                    if out[j] is None or j < k - 1 and x not in self.pieces:
+                        continue
+                    if x not in own:
+                        own[x] = self._ids(x)
+                    if j < k - 1 and len(own[x]) > 1 or last[j] and not self._follow(last[j], x):
+                        continue
+                    n, end = out[j] + len(own[x]), x
+                    break
+                else:
+                    return counts, -1
+            out.append(n)
+            last.append(end)
+        return np.array(out[at + 1 :], np.int64), 1
+
+    def _tables(self, texts: list[str]) -> list[np.ndarray]:
+        """Tokens of every prefix of each text (that aren't empty), the blank before it first. The library encodes each text
+        once; a prefix that ends inside a piece has the tokens before that piece, and those of the piece's own prefix after
+        the piece before it, or the two before. Parts where that isn't enough have tables of their own."""
+        ids = [np.asarray(self.model.encode(x), np.int64) for x in texts]
+        flat, sizes = np.concatenate(ids), np.array(list(map(len, ids)))
+        begins = np.cumsum(sizes) - sizes
+        prev = np.concatenate([[0], flat[:-1]])
+        starts = (flat == self.line) | (prev == self.line) | self.marked[flat] & ~self.blank[prev]
+        starts[begins] = True
+        before = np.where(starts, -1, prev)
+        pairs, which = np.unique(before * len(self.texts) + flat, return_inverse=True)
+        steps = [self._known(k // len(self.texts), k % len(self.texts)) for k in pairs.tolist()]
+        counts, kind = [c for c, _, _ in steps], np.array([k for _, _, k in steps])
+        open_ = np.flatnonzero(kind[which] == 0)
+        if len(open_):
+            three = (before[open_ - 1] * len(self.texts) + before[open_]) * len(self.texts) + flat[open_]
+            three, first, at = np.unique(three, return_index=True, return_inverse=True)
+            if len(self.longer) + len(three) > MEMORY:
+                self.longer.clear()
+            more = []
+            for j in open_[first].tolist():
+                key = (int(before[j - 1]), int(before[j]), int(flat[j]))
+                if key not in self.longer:
+                    self.longer[key] = self._longer_step(*key)
+                more.append(self.longer[key])
+            which[open_] = len(steps) + at
+            counts += [c for c, _ in more]
+            kind = np.concatenate([kind, [k for _, k in more]])
+        #: each token takes its step's counts, after the tokens of the text before it
+        lengths, widths = np.array(list(map(len, counts))), self.width[flat]
+        ends = np.cumsum(widths)
+        here = np.arange(len(flat)) - np.repeat(begins, sizes)
+        out = np.concatenate(counts)[np.arange(ends[-1]) + np.repeat((np.cumsum(lengths) - lengths)[which] - ends + widths, widths)] + np.repeat(here, widths)
+        heads = np.append(np.flatnonzero(starts), len(flat))
+        chars = np.append(ends - widths, ends[-1])
+        text_chars = chars[np.append(begins, len(flat))]
+        for part in np.unique(np.searchsorted(heads, np.flatnonzero(kind[which] < 0), side="right") - 1).tolist():
+            i, j = heads[part], heads[part + 1]
+            k = int(np.searchsorted(begins, i, side="right")) - 1
+            own = (" " + texts[k])[chars[i] - text_chars[k] : chars[j] - text_chars[k]]
+            out[chars[i] : chars[j]] = here[i] + self.table(own, int(j - i))[1:]
+        return [out[i:j] for i, j in zip(text_chars[:-1], text_chars[1:], strict=True)]
 
     def _settled(self, part: str, out: np.ndarray | None, n: int) -> np.ndarray:
         """A table, or if there is none that the library's count of the whole part agrees with, the next way's."""
@@ -232,25 +293,29 @@ class PrefixCounter:
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of text[:i] for i from 0 to its length."""
-        if not text:
-            return np.zeros(1, np.int64)
-        parts = self.split(text)
-        new = [p for p in dict.fromkeys(parts) if p not in self.tables and len(p) <= LONG and p != "\n"] if self.by_merges else []
-        if len(self.tables) + len(new) > MEMORY // 2:
-            self.tables.clear()
-            new = [p for p in dict.fromkeys(parts) if len(p) <= LONG and p != "\n"]
-        for i in range(0, len(new), 50_000):
-            self._new_tables(new[i : i + 50_000])
-        tables = [t if (t := self.tables.get(p)) is not None else self.table(p) for p in parts]
-        #: entry i of a part's table is for the prefix that ends after its i-th character; what stands before is added
-        ends = np.fromiter((t[-1] for t in tables), np.int64, len(tables))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        inside = np.ones(int(sizes.sum()) + len(parts), bool)
-        inside[np.cumsum(sizes + 1) - sizes - 1] = False
-        out = np.concatenate(tables)[inside] + np.repeat(np.cumsum(ends) - ends, sizes)
-        out[0] = 0  # the blank put before the text is no prefix of it
+        if self.latest[0] != text:
+            self.latest = text, self.all_prefix_counts([text])[0]
+        return self.latest[1].copy()
+
+    def all_prefix_counts(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text, tokens of text[:i] for i from 0 to its length."""
+        full = [x.replace(MARK, " ") for x in texts if x]  # the model takes one for the other
+        tables = iter(self._tables(full) if self.by_merges and full else map(self._by_parts, full))
+        out = []
+        for x in texts:
+            table = next(tables) if x else np.zeros(1, np.int64)
+            if len(table) != len(x) + 1:
+                raise ValueError(f"a table of {len(table)} prefixes for {len(x)} characters")
+            table[0] = 0  # the blank put before the text is no prefix of it
+            out.append(table)
         return out
 
+    def _by_parts(self, text: str) -> np.ndarray:
+        """What `_tables` gives, for models of other kinds."""
+        tables = [self.table(p) for p in self.split(text)]
+        ends = np.cumsum([0, *(t[-1] for t in tables)])
+        return np.concatenate([t[1:] + n for t, n in zip(tables, ends[:-1], strict=True)])
+
     def fit(self, text: str, budget: int) -> int:
         """The longest prefix, in characters, of at most `budget` tokens (as encoded by itself)."""
         return longest_fit(self.prefix_counts(text), budget)
@@ -268,17 +333,17 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, prefixes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(model_file)
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, "text")):
             rows: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_tokens")}
-            for text in (x.as_py() or "" for x in batch.column("text")):
-                counts = counter.prefix_counts(text)
+            texts = [x.as_py() or "" for x in part.column("text")]
+            for text, counts in zip(texts, counter.all_prefix_counts(texts), strict=True):
                 n = int(counts[-1])
                 rows["n_bytes"].append(len(text.encode()))
                 rows["n_tokens"].append(n)
                 rows["over_limit"].append(n > limit)
                 rows["fit_chars"].append(longest_fit(counts, limit) if n > limit else len(text))
                 rows["prefix_tokens"].append(counts if prefixes else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows["n_bytes"], pa.int64()), pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["over_limit"], pa.bool_()), pa.array(rows["fit_chars"], pa.int64()), pa.array(rows["prefix_tokens"], pa.list_(pa.int64()))][: 6 if prefixes else 5], names=["doc_id", *list(rows)[: 5 if prefixes else 4]])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows["n_bytes"], pa.int64()), pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["over_limit"], pa.bool_()), pa.array(rows["fit_chars"], pa.int64()), pa.array(rows["prefix_tokens"], pa.list_(pa.int64()))][: 6 if prefixes else 5], names=["doc_id", *list(rows)[: 5 if prefixes else 4]])
 
     out = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<long>" * prefixes
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, out)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -77,3 +79,20 @@ def test_a_table_that_the_library_contradicts_is_encoded_anew(model):
     counter._composed = lambda part, ids: None
     counter._chain = lambda part: __import__("numpy").zeros(len(part) + 1, int)
     assert list(counter.prefix_counts("brown fox")) == [len(model.encode("brown fox"[:i])) for i in range(10)]
+
+
+def test_tables_of_many_texts_equal_the_library(model):
+    import random
+
+    r = random.Random(5)
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for letters in ("ab \n", "entioning  s", "🙂日本語é \n", "▁x ▁", "Straße  über\tund\r\n", "the re in st\x00") for _ in range(25)]
+    for x, counts in zip(texts, PrefixCounter(MODEL).all_prefix_counts(texts), strict=True):
+        assert list(counts) == [len(model.encode(x[:i])) for i in range(len(x) + 1)]
+
+
+def test_new_words_have_no_tables_of_their_own():
+    """Tables of whole texts are put together from pairs and triples of pieces, whatever the words."""
+    counter = PrefixCounter(MODEL)
+    words = list(map("".join, itertools.product(["ent", "ion", "wor", "the", "ing", "sta"], repeat=4)))
+    counter.prefix_counts(" ".join(words))
+    assert len(counter.tables) < len(words) / 4, len(counter.tables)
