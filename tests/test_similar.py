@@ -66,3 +66,11 @@ def test_paths_are_suggested(spark):
     assert got == {"src/auth/logn.py": ("similar", "src/auth/login.py"), "src/auth/login.py": ("exact", "src/auth/login.py"), "auth/logout.py": ("suffix", "src/auth/logout.py"), "qqq.zz": ("missing", None), "README.md": ("exact", "README.md"), "readme.md": ("similar", "README.md")}
     strict = {r["ref"]: r["how"] for r in rules.resolve_paths(refs, files, suggest_at=0.95).collect()}
     assert strict["src/auth/logn.py"] == "missing" and strict["readme.md"] == "similar"
+
+
+def test_nothing_is_broadcast_and_pairs_are_not_shuffled(spark):
+    """No side of the join has a bound, and the pairs are far more than the sets."""
+    rows = similar.similar_pairs(frame(spark, sets(60, 1), "a"), frame(spark, sets(60, 2), "b"), 0.2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "BroadcastHashJoin" not in plan
+    assert not any("Aggregate" in line for line in plan.split("SortMergeJoin")[0].splitlines())
