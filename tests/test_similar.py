@@ -74,3 +74,47 @@ def test_nothing_is_broadcast_and_pairs_are_not_shuffled(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "BroadcastHashJoin" not in plan
     assert not any("Aggregate" in line for line in plan.split("SortMergeJoin")[0].splitlines())
+
+
+def test_items_of_one_side_are_not_posted(spark):
+    """What only one side has can't be shared: it shortens the prefix, as the rest must hold all that a pair shares."""
+    left = [(i, [*(f"l{j}" for j in range(5)), *(f"s{(i + j) % 40}" for j in range(6))]) for i in range(40)]
+    right = [(i, [*(f"r{j}" for j in range(5)), *(f"s{(i + j) % 40}" for j in range(6))]) for i in range(40)]
+    placed = similar.in_order(frame(spark, left, "a"), frame(spark, right, "b"), "a", "b")
+    for df, key in zip(placed, "ab", strict=True):
+        assert {(r["n"], len(r["places"])) for r in df.collect()} == {(11, 6)}
+        assert similar._met(df, 0.35, key, "k", "n", "rest", "all").count() == 40 * 3  # 4 of 11 at least
+    rows = similar.similar_pairs(frame(spark, left, "a"), frame(spark, right, "b"), 0.35).collect()
+    assert {(r["a"], r["b"], round(r["similarity"], 9)) for r in rows} == wanted(left, right, 0.35)
+
+
+def test_many_items_are_met_in_a_join(spark, monkeypatch):
+    left, right = sets(60, 5), sets(90, 6)
+    monkeypatch.setattr(similar, "VOCABULARY", 0)
+    monkeypatch.setattr(similar, "PART", 3)
+    rows = similar.similar_pairs(frame(spark, left, "a"), frame(spark, right, "b"), 0.4).collect()
+    assert len(rows) == len({(r["a"], r["b"]) for r in rows})
+    assert {(r["a"], r["b"], round(r["similarity"], 9)) for r in rows} == wanted(left, right, 0.4)
+
+
+def test_the_best_of_a_block_goes_on_alone(spark):
+    """Only the best of each left set leaves a block, ties by the right key, and needless steps are left out."""
+    left, right = sets(30, 7), sets(80, 8)
+    pairs = similar.similar_pairs(frame(spark, left, "a"), frame(spark, right, "b"), 0.2, "a", "b", "items", similar.DEAL, False, True).collect()
+    best = {}
+    for r in pairs:
+        best[r["a"]] = min(best.get(r["a"], (1, 0)), (-round(r["similarity"], 9), r["b"]))
+    want = {}
+    for a, b, s in wanted(left, right, 0.2):
+        want[a] = min(want.get(a, (1, 0)), (-s, b))
+    assert best == want and len(pairs) < len(wanted(left, right, 0.2))
+
+
+def test_steps_that_can_find_nothing_are_left_out(spark, monkeypatch):
+    seen, pairs = [], similar.similar_pairs
+    monkeypatch.setattr(similar, "similar_pairs", lambda left, right, least, *names: seen.append(least) or pairs(left, right, least, *names))
+    asked = spark.createDataFrame([("gone/1234.md",), ("gone/7777.md",)], "a string")
+    known = spark.createDataFrame([(f"src1/en/{i}.md",) for i in (1234, 1235, 7777, 9)], "b string")
+    got = {(r["a"], r["b"], round(r["similarity"], 6)) for r in similar.most_similar(asked, known, 0.3).collect()}
+    assert got == {("gone/1234.md", "src1/en/1234.md", 0.380952), ("gone/7777.md", "src1/en/7777.md", 0.368421)}
+    assert max(seen) < 0.5
