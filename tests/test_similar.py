@@ -116,5 +116,5 @@ def test_steps_that_can_find_nothing_are_left_out(spark, monkeypatch):
     asked = spark.createDataFrame([("gone/1234.md",), ("gone/7777.md",)], "a string")
     known = spark.createDataFrame([(f"src1/en/{i}.md",) for i in (1234, 1235, 7777, 9)], "b string")
     got = {(r["a"], r["b"], round(r["similarity"], 6)) for r in similar.most_similar(asked, known, 0.3).collect()}
-    assert got == {("gone/1234.md", "src1/en/1234.md", 0.380952), ("gone/7777.md", "src1/en/7777.md", 0.368421)}
+    assert got == {("gone/1234.md", "src1/en/1234.md", 0.380952), ("gone/7777.md", "src1/en/7777.md", 0.35)}
     assert max(seen) < 0.5
